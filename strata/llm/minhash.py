@@ -2,17 +2,17 @@
 
 TREES sorted orders of DEPTH minima each. In every order a document's candidates are its longest-common-prefix
 neighbours: sorting puts the deepest shared prefixes next to each other, so the depth that counts adapts to how dense
-a region is. A first round confirms a spanning forest of the most similar neighbours on full shingle sets; a second
-takes every pair of one region (documents that share the first LEAST minima of a tree) that still lies in different
-components, so the neighbour window is no cap. Regions are compared in bounded blocks, only against their minority
-components.
+a region is. A first round confirms a spanning forest of the most similar neighbours on full shingle sets. A second
+looks at every pair of one region (documents that share the first LEAST minima of a tree) that still lies in different
+components, so the neighbour window is no cap: regions are compared in bounded blocks, only against their minority
+components, and the blocks test the sets themselves, so no table of pairs arises.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.common import U64, mix, partitions, ship, shingle_sets, stage
@@ -24,7 +24,7 @@ WINDOW = 48
 #: Rows of the two sides of a block in the second round.
 PROBES, BLOCK = 256, 2048
 #: Standard errors below the threshold at which an estimate rules a pair out.
-MARGIN = 5.0
+MARGIN = 4.5
 
 _N = TREES * DEPTH
 _A = (mix(np.arange(1, _N + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
@@ -72,7 +72,7 @@ def _regions(sig: np.ndarray) -> np.ndarray:
 
 
 def _tree_rows(batches):
-    """(doc, sig) -> a row for each tree: (region, key, doc, sketch); the sketch holds a byte of every minimum."""
+    """(doc, sig) -> a row for each tree: (region, key, doc, tree, sketch); the sketch holds a byte of every minimum."""
     for batch in batches:
         n = batch.num_rows
         sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, TREES, DEPTH)
@@ -84,9 +84,10 @@ def _tree_rows(batches):
                 pa.array(_regions(sig).ravel()),
                 pa.array([keys[i : i + w] for i in range(0, len(keys), w)], pa.binary()),
                 pa.array(np.repeat(batch.column(0).to_numpy(), TREES)),
+                pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)),
                 pa.array([sketch[i * _N : (i + 1) * _N] for i in range(n) for _ in range(TREES)], pa.binary()),
             ],
-            ["region", "key", "doc", "sketch"],
+            ["region", "key", "doc", "tree", "sketch"],
         )
 
 
@@ -176,24 +177,55 @@ def _neighbour_links(least: float):
     return run
 
 
-def _cross_pairs(least: float):
-    """Rows sorted by block, probes first: pairs of a probe with any row of another component."""
+def _seen_before(sketch: np.ndarray, tree: np.ndarray):
+    """Whether two rows of one tree share the region of an earlier tree too, where the pair is looked at already."""
+    heads = np.ascontiguousarray(sketch.reshape(-1, TREES, DEPTH)[:, :, :LEAST]).view(np.uint32)[:, :, 0]
+    return lambda i, j: ((heads[i] == heads[j]) & (np.arange(TREES) < tree[i][:, None])).any(axis=1)
+
+
+def _cross(least: float, percent: int | None):
+    """Rows sorted by block, probes first: the pairs of a probe with any row of another component.
+
+    Without percent the documents of pairs whose estimate reaches `least`; with it a spanning forest of the pairs
+    that the exact test on their full sets confirms. Either way the output grows with the rows, not with the pairs."""
 
     def run(batches):
         rows = [b for b in batches if b.num_rows]
         if not rows:
             return
         t = _batch(rows)
-        block, comp, doc = (t.column(c).to_numpy() for c in ("block", "comp", "doc"))
-        probe = t.column("probe").to_numpy(zero_copy_only=False)
-        ok = lambda i, j: (probe[i] | probe[j]) & (comp[i] != comp[j])
-        a, b, _ = _near(block, _sketches(t), least, len(block), ok)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[a], doc[b])), pa.array(np.maximum(doc[a], doc[b]))], ["a", "b"])
+        block, comp, doc, tree = (t.column(c).to_numpy() for c in ("block", "comp", "doc", "tree"))
+        probe, sketch = t.column("probe").to_numpy(zero_copy_only=False), _sketches(t)
+        seen = _seen_before(sketch, tree)
+        # Rows of different trees never share a block, but for a collision of its hash: compare the trees too.
+        ok = lambda i, j: (probe[i] | probe[j]) & (comp[i] != comp[j]) & (tree[i] == tree[j]) & ~seen(i, j)
+        a, b, _ = _near(block, sketch, least, len(block), ok)
+        if percent is None:
+            found = np.unique(np.concatenate([doc[a], doc[b]]))
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found)], ["doc"])
+            return
+        sets = t.column("set").chunk(0) if t.num_rows else []
+        own = [np.frombuffer(sets[int(i)].as_buffer(), U64) for i in range(len(doc))]
+        same = np.array([_linked(own[i], own[j], percent) for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
+        if not same.any():
+            return
+        docs, node = np.unique(doc, return_inverse=True)
+        x, y = node[a[same]], node[b[same]]
+        keep = _forest(np.minimum(x, y), np.maximum(x, y), np.ones(len(x)), len(docs))
+        yield pa.RecordBatch.from_arrays([pa.array(docs[x[keep]]), pa.array(docs[y[keep]])], ["a", "b"])
 
     return run
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    short, long = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.searchsorted(long, short)
+    at[at == len(long)] = 0
+    both = int((long[at] == short).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _set_rows(batches):
     for batch in batches:
         yield pa.RecordBatch.from_arrays(
@@ -206,14 +238,10 @@ def _confirm(percent: int):
 
     def run(batches):
         for batch in batches:
-            linked = []
-            for sa, sb in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(sa.as_buffer(), U64), np.frombuffer(sb.as_buffer(), U64)
-                short, long = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(long, short)
-                at[at == len(long)] = 0
-                both = int((long[at] == short).sum())
-                linked.append(100 * both >= percent * (len(x) + len(y) - both))
+            linked = [
+                _linked(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64), percent)
+                for x, y in zip(batch.column(2), batch.column(3), strict=True)
+            ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     return run
@@ -250,7 +278,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     shared = keys.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
     active = keys.join(shared, "region", "left_semi").select("doc").distinct()
     trees = stage(
-        reps.join(active, "doc", "left_semi").mapInArrow(_tree_rows, "region long, key binary, doc long, sketch binary"), "trees"
+        reps.join(active, "doc", "left_semi").mapInArrow(_tree_rows, "region long, key binary, doc long, tree int, sketch binary"), "trees"
     )
     active = trees.select("doc").distinct()
     sets = stage(
@@ -271,13 +299,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     tested = confirmed(ordered.mapInArrow(_neighbour_links(least), "a long, b long").distinct())
     links = same.union(tested.where("linked").select("a", "b"))
     comp = components(links)
-    rest = _rest(trees, comp, least).join(tested.select("a", "b"), ["a", "b"], "left_anti").distinct()
-    more = confirmed(rest)
-    if not more.where("linked").isEmpty():
-        links = comp.select(F.col("node").alias("a"), F.col("component_id").alias("b")).union(
-            more.where("linked").select("a", "b")
-        )
-        comp = components(links)
+    # Documents with a likely partner in another component, then the exact test among these alone.
+    open_docs = stage(_blocks(trees, comp).mapInArrow(_cross(least, None), "doc long").distinct(), "open")
+    if not open_docs.isEmpty():
+        few = trees.join(open_docs, "doc", "left_semi")
+        more = _blocks(few, comp, sets).mapInArrow(_cross(least, percent), "a long, b long")
+        comp = components(comp.select(F.col("node").alias("a"), F.col("component_id").alias("b")).union(more))
     out = found.select("doc_id", "n_shingles").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))).select(
@@ -285,8 +312,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
 
 
-def _rest(trees: DataFrame, comp: DataFrame, least: float) -> DataFrame:
-    """Pairs of one region in different components, by blocks of at most about PROBES probes and BLOCK rows."""
+def _blocks(trees: DataFrame, comp: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """The rows of every region with several components, dealt into blocks of about PROBES probes (rows outside the
+    region's largest component) and BLOCK rows; with sets their shingle sets too."""
     n = partitions(trees.sparkSession)
     rows = trees.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component_id", "doc"))
     sizes = rows.groupBy("region", "comp").agg(F.count("*").alias("n"))
@@ -301,12 +329,14 @@ def _rest(trees: DataFrame, comp: DataFrame, least: float) -> DataFrame:
     own = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("blocks"))
     part = F.pmod(F.xxhash64("doc", F.lit(2)), F.col("parts"))
     every = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
-    cells = [F.col("region"), F.col("comp"), F.col("doc"), F.col("sketch")]
+    cells = ["region", "tree", "comp", "doc", "sketch"]
+    if sets is not None:
+        rows = rows.join(sets.dropDuplicates(["doc"]), "doc")
+        cells.append("set")
     probes = rows.where("minor").select(*cells, F.lit(True).alias("probe"), own.alias("i"), F.explode(every("parts")).alias("j"))
     # A row meets the probes of every block; where it is a probe of that very cell it is there already.
     others = rows.select(
         *cells, F.lit(False).alias("probe"), F.explode(every("blocks")).alias("i"), part.alias("j"), "minor", own.alias("own")
     ).where(~(F.col("minor") & (F.col("i") == F.col("own"))))
-    blocks = probes.unionByName(others.drop("minor", "own")).withColumn("block", F.xxhash64("region", "i", "j"))
-    blocks = blocks.repartition(n, "block").sortWithinPartitions("block", F.desc("probe"))
-    return blocks.select("block", "comp", "doc", "sketch", "probe").mapInArrow(_cross_pairs(least), "a long, b long")
+    blocks = probes.unionByName(others.drop("minor", "own")).withColumn("block", F.xxhash64("region", "i", "j")).drop("region", "i", "j")
+    return blocks.repartition(n, "block").sortWithinPartitions("block", F.desc("probe"))
