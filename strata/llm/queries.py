@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import decontam, langid, minhash, packing, preference, quality, topk, toxicity, warc
+from strata.llm import decontam, langid, minhash, packing, preference, quality, suffix, topk, toxicity, warc
 from strata.llm.common import stage, table
 
 
@@ -63,6 +63,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (bucket(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def tokenizer() -> str:
     """The public tokenizer's file: of the installed package, unless STRATA_TOKENIZER names another place."""
     if at := os.environ.get("STRATA_TOKENIZER"):
@@ -90,6 +95,7 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_pack": op9_pack,
     "op10_preference_format": op10_preference_format,
 }

@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found on a block-max inverted index.
 
-Terms are words and their first four and five bytes (which join inflected forms). The index holds a bounded set of
+Terms are words and their first bytes at several lengths (which join inflected forms). The index holds a bounded set of
 labelled examples; its vocabulary keeps the terms that tell the classes apart, and cosines are exact over it. Examples
 stand in blocks; for each term the index knows its largest weight in a block, so the sum of those bounds every cosine
 in the block, and blocks that cannot reach the k-th best neighbour are never opened.
@@ -13,13 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import U64, byte_codes, chunks, mix, prefix_hash, separated, ship, span_hash, words
+from strata.llm.common import U64, byte_codes, chunks, mix, prefix_hash, separated, ship, span_hash, stage, words
 from strata.llm.decontam import IS_WORD
 
 #: Labelled examples of each class that the index holds at most, chosen by hash.
 EXAMPLES = 4000
 #: A term stays if at least so many examples have it and its chi-square statistic for the label is at least so large.
-TERM_DOCS, TERM_CHI2 = 5, 25.0
+TERM_DOCS, TERM_CHI2 = 4, 20.0
+PREFIXES = (4, 5, 6, 7, 8)
 BLOCK, NEIGHBOURS = 64, 15
 #: Weight of the rate that examples without any term have among the votes.
 PRIOR = 0.05
@@ -33,7 +34,7 @@ def _terms(column: pa.Array):
         start, end = words(buf, IS_WORD)
         h, row = prefix_hash(buf, codes), np.repeat(np.arange(n), np.diff(np.searchsorted(start, at)))
         out, rows = [span_hash(h, start, end)], [row]
-        for size in (4, 5):
+        for size in PREFIXES:
             long = end - start > size
             out.append(mix(span_hash(h, start[long], start[long] + size) + U64(size)))
             rows.append(row[long])
@@ -46,43 +47,31 @@ def _example_rows(batches):
         for n, term, row in _terms(batch.column(1)):
             key, count = np.unique(np.stack([row.astype(U64), term]), axis=1, return_counts=True)
             cut = np.searchsorted(key[0], np.arange(n + 1, dtype=U64))
-            found += [(key[1, a:b].tobytes(), count[a:b].astype(np.int32).tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            found += [(key[1, a:b].view(np.int64), count[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         terms, counts = zip(*found, strict=True) if found else ((), ())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "label", "terms", "counts"]
+            [batch.column(0), batch.column(2), pa.array(terms, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], ["doc_id", "label", "terms", "counts"]
         )
 
 
 class BlockMaxIndex:
-    """examples: (id, label, term hashes, counts) in a fixed order."""
+    """examples: (id, label, term hashes of the vocabulary, counts) in a fixed order; df: examples that have a term."""
 
-    def __init__(self, examples):
+    def __init__(self, examples, vocabulary: np.ndarray, df: np.ndarray):
         self.ids = np.array([e[0] for e in examples], np.int64)
         self.labels = np.array([e[1] for e in examples], float)
         n = len(examples)
-        owner = np.repeat(np.arange(n), [len(e[2]) for e in examples]) if n else np.zeros(0, np.int64)
-        terms = np.concatenate([e[2] for e in examples]) if n else np.zeros(0, U64)
-        tf = np.concatenate([e[3] for e in examples]).astype(float) if n else np.zeros(0)
-        vocabulary, inverse = np.unique(terms, return_inverse=True)
-        one = np.bincount(inverse, self.labels[owner], len(vocabulary)) if n else np.zeros(0)
-        df = np.bincount(inverse, minlength=len(vocabulary)).astype(float)
-        n1 = self.labels.sum()
-        n0 = n - n1
-        a, b = one, df - one
-        bottom = df * (n - df) * max(n1, 1) * max(n0, 1)
-        chi2 = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum(bottom, 1)
-        kept = (df >= TERM_DOCS) & (chi2 >= TERM_CHI2)
-        self.vocabulary = vocabulary[kept]
-        self.idf = np.log((n + 1) / (df[kept] + 1)) + 1
-        place = np.cumsum(kept) - 1
-        live = kept[inverse] if n else np.zeros(0, bool)
-        owner, term, weight = owner[live], place[inverse[live]] if n else inverse, (1 + np.log(np.maximum(tf[live], 1)))
+        none = [np.zeros(0, np.int64)]
+        owner = np.repeat(np.arange(n), [len(e[2]) for e in examples]) if n else none[0]
+        self.vocabulary = vocabulary
+        self.idf = np.log((n + 1) / (df + 1)) + 1
+        term = np.searchsorted(vocabulary, np.concatenate([*none, *(e[2] for e in examples)]).astype(np.int64).view(U64))
+        weight = 1 + np.log(np.maximum(np.concatenate([*none, *(e[3] for e in examples)]).astype(float), 1))
         weight = weight * self.idf[term]
-        norm = np.sqrt(np.bincount(owner, weight**2, n)) if n else np.zeros(0)
+        norm = np.sqrt(np.bincount(owner, weight**2, n))
         weight = weight / norm[owner]
         bare = norm == 0
         self.rate = float((self.labels[bare].sum() + 0.5) / (bare.sum() + 1)) if n else 0.5
-        # Undo the balancing of the classes: the rate of examples without terms is only a floor for the votes.
         order = np.lexsort((owner, owner // BLOCK, term))
         self.owner, self.weight = owner[order], weight[order]
         self.blocks = max(1, -(-n // BLOCK))
@@ -121,15 +110,28 @@ def build_index(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) ->
     """docs(doc_id, text), labels(doc_id, label 0/1) -> the index over at most `examples` labelled rows of each class.
 
     Null labels and ids are left out; without labels every score is 0.5."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     known = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ones, zeros = (known.where(F.col("label") == k).orderBy(*order).limit(examples) for k in (1, 0))
     chosen = F.broadcast(ones.union(zeros))  # at most 2 * examples ids
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("doc_id", "text", "label")
-    got = rows.mapInArrow(_example_rows, "doc_id long, label int, terms binary, counts binary").collect()
-    found = sorted({r.doc_id: (r.doc_id, r.label, np.frombuffer(r.terms, U64), np.frombuffer(r.counts, np.int32)) for r in got}.values(), key=lambda e: e[0])
-    return BlockMaxIndex(found)
+    rows = rows.dropDuplicates(["doc_id"])
+    rows = stage(rows.mapInArrow(_example_rows, "doc_id long, label int, terms array<long>, counts array<long>"), "examples")
+    n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    one = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("label").alias("a"))
+    b, n0 = F.col("df") - F.col("a"), n - n1
+    chi2 = n * F.pow(F.col("a") * (n0 - b) - b * (n1 - F.col("a")), 2) / F.greatest(F.col("df") * (n - F.col("df")) * float(max(n1, 1) * max(n0, 1)), F.lit(1.0))
+    kept = one.where((F.col("df") >= TERM_DOCS) & (chi2 >= TERM_CHI2)).select("term", "df").collect()  # bounded: of 2 * examples texts
+    kept = sorted(kept, key=lambda r: r.term % (1 << 64))
+    vocabulary = np.array([r.term for r in kept], np.int64).view(U64)
+    known_terms = F.broadcast(spark.createDataFrame([(r.term,) for r in kept], "term long"))
+    few = rows.select("doc_id", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("doc_id", F.col("x.terms").alias("term"), F.col("x.counts").alias("tf"))
+    few = few.join(known_terms, "term").groupBy("doc_id").agg(F.collect_list("term").alias("terms"), F.collect_list("tf").alias("counts"))
+    got = rows.select("doc_id", "label").join(few, "doc_id", "left").collect()
+    found = sorted((r.doc_id, r.label, r.terms or [], r.counts or []) for r in got)
+    return BlockMaxIndex([(i, y, np.array(t, np.int64), np.array(c, np.int64)) for i, y, t, c in found], vocabulary, np.array([r.df for r in kept], float))
 
 
 def _scores(index: BlockMaxIndex):
