@@ -1,28 +1,65 @@
-"""The corpus pipeline over `documents`: each stage reads what its predecessor kept."""
+"""The corpus pipeline over `documents`: each stage works on all that its predecessor kept, and its decisions hold."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import minhash
+from strata.llm import decontam, langid, minhash, packing, suffix
 from strata.llm.common import stage
+from strata.llm.queries import tokenizer
+
+#: Below this probability no language is certain enough; real prose stands far above it.
+LEAST_LANGUAGE_SCORE = 0.4
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """docs without the rejected doc_ids; rows with a null doc_id stay."""
+    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter or without a certain language go."""
+    langs, model = langid.train(docs)
+    found = langid.identify(docs, langs, model)
+    return _without(docs, found.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < LEAST_LANGUAGE_SCORE)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the least doc_id."""
-    kept = minhash.near_duplicates(docs, percent=80).where("kept").select("doc_id")
-    return docs.join(kept.where(F.col("doc_id").isNotNull()).distinct(), "doc_id", "left_semi").select(docs.columns)
+    """One document of each near-duplicate group (similarity of 0.8 or more) stays: the one with the least doc_id."""
+    return _without(docs, minhash.near_duplicates(docs, percent=80).where(~F.col("kept")))
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that repeat leave the texts; the documents stay, with n_chars brought up to date."""
+    return suffix.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark window go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, decontam.contamination(docs, benchmark).where("n_hit > 0"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that are left, as pieces of packed sequences."""
+    return packing.pack(docs, tokenizer())
 
 
 STAGES = [
+    ("language_id", language_id),
     ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("decontaminate", decontaminate),
+    ("pack", pack),
 ]
 
+#: Language prediction and tokens can't be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES applied to documents, each result written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)
