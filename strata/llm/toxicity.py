@@ -18,8 +18,9 @@ from strata.llm.decontam import IS_WORD
 
 #: Labelled examples of each class that the index holds at most, chosen by hash.
 EXAMPLES = 4000
-#: A term stays if at least so many examples have it and its chi-square statistic for the label is at least so large.
-TERM_DOCS, TERM_CHI2 = 4, 20.0
+#: A term stays if at least so many examples have it, its chi-square statistic for the label is at least so large, and
+#: one class has it at least LIFT times as often as the other: words that all texts use say nothing.
+TERM_DOCS, TERM_CHI2, LIFT = 4, 20.0, 3.0
 PREFIXES = (4, 5, 6, 7, 8)
 BLOCK, NEIGHBOURS = 64, 15
 #: Weight of the rate that examples without any term have among the votes.
@@ -123,7 +124,9 @@ def build_index(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) ->
     one = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("label").alias("a"))
     b, n0 = F.col("df") - F.col("a"), n - n1
     chi2 = n * F.pow(F.col("a") * (n0 - b) - b * (n1 - F.col("a")), 2) / F.greatest(F.col("df") * (n - F.col("df")) * float(max(n1, 1) * max(n0, 1)), F.lit(1.0))
-    kept = one.where((F.col("df") >= TERM_DOCS) & (chi2 >= TERM_CHI2)).select("term", "df").collect()  # bounded: of 2 * examples texts
+    rate1, rate0 = F.col("a") / float(max(n1, 1)), b / float(max(n0, 1))
+    lifted = (rate1 >= LIFT * rate0) | (rate0 >= LIFT * rate1)
+    kept = one.where((F.col("df") >= TERM_DOCS) & (chi2 >= TERM_CHI2) & lifted).select("term", "df").collect()  # bounded: of 2 * examples texts
     kept = sorted(kept, key=lambda r: r.term % (1 << 64))
     vocabulary = np.array([r.term for r in kept], np.int64).view(U64)
     known_terms = F.broadcast(spark.createDataFrame([(r.term,) for r in kept], "term long"))
