@@ -66,28 +66,36 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def ancestors(starts: DataFrame, parents: DataFrame, rounds: int = 100_000) -> DataFrame:
-    """starts(repo, root, commit_id) -> all commits reachable from them by parent edges, starts included.
+def expand_merge(merges: DataFrame, parents: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """merges(repo, commit_id), parents(repo, commit_id, pos, parent_id, parent_order) -> (repo, commit_id): what each
+    merge brought in, reachable from it but not from its first parent.
+
+    parent_order rises from parents to children (a date or generation). Both sides walk breadth first, a checkpointed
+    job a level; the first parent's side stops below the oldest commit of the other, whose frontier ends where both
+    meet, so the walk covers the branch and not the history."""
+    edges = parents.select("repo", "commit_id", "parent_id", F.col("parent_order").alias("at"))
+    key = ["repo", "root", "commit_id"]
+    starts = merges.select("repo", F.col("commit_id").alias("root"), "commit_id").distinct()
+    first = starts.join(parents.where("pos = 1").select("repo", "commit_id", "parent_id", F.col("parent_order").alias("at")), ["repo", "commit_id"])
+    main = front = _cut(first.select("repo", "root", F.col("parent_id").alias("commit_id"), "at").distinct())
+    side = edge = _cut(starts.withColumn("at", F.lit(None).cast(main.schema["at"].dataType)))
+
+    def step(frontier, found):
+        out = frontier.select("repo", "root", "commit_id").join(edges, ["repo", "commit_id"]).select("repo", "root", F.col("parent_id").alias("commit_id"), "at")
+        return out.dropDuplicates(key).join(found, key, "left_anti")
 
-    Breadth first, a join a level over the frontier only; a job a level."""
-    edges = parents.select("repo", "commit_id", "parent_id")
-    found = frontier = _cut(starts.select("repo", "root", "commit_id").distinct())
     for _ in range(rounds):
-        step = frontier.join(edges, ["repo", "commit_id"]).select("repo", "root", F.col("parent_id").alias("commit_id")).distinct()
-        frontier = _cut(step.join(found, ["repo", "root", "commit_id"], "left_anti"))
-        if frontier.isEmpty():
+        edge = _cut(step(edge, side).join(main, key, "left_anti"))
+        side = _cut(side.union(edge))
+        oldest = side.groupBy("repo", "root").agg(F.min("at").alias("oldest"))
+        # Commits of the first parent's side wait until the other side has come as far down.
+        front = front.join(oldest, ["repo", "root"])
+        ready, wait = front.where("at >= oldest").drop("oldest"), front.where("at < oldest").drop("oldest")
+        new = _cut(step(ready, main))
+        main, front = _cut(main.union(new)), _cut(wait.union(new))
+        if edge.isEmpty() and new.isEmpty():
             break
-        found = _cut(found.union(frontier))
-    return found
-
-
-def expand_merge(merges: DataFrame, parents: DataFrame) -> DataFrame:
-    """merges(repo, commit_id) reverted -> (repo, commit_id): what each brought in, reachable but not by its first parent.
-
-    The walk stops where both sides meet: only the commits not reachable from the first parent are followed."""
-    main = merges.join(parents.where("pos = 1"), ["repo", "commit_id"]).select("repo", F.col("commit_id").alias("root"), F.col("parent_id").alias("commit_id"))
-    side = merges.select("repo", F.col("commit_id").alias("root"), "commit_id")
-    return ancestors(side, parents).join(ancestors(main, parents), ["repo", "root", "commit_id"], "left_anti").select("repo", "commit_id").distinct()
+    return side.join(main, key, "left_anti").select("repo", "commit_id").distinct()
 
 
 def exclude_reverted(commits: DataFrame, excluded: DataFrame) -> DataFrame:
