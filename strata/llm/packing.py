@@ -8,6 +8,7 @@ pieces find their place in a pattern by their rank among pieces of equal length.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
 
@@ -21,8 +22,9 @@ from strata.llm.common import ship, stage
 
 LENGTH = 4096
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 _TAIL = ".,;:!?"
+_MARK = re.compile(r"(?<=[a-zà-öø-ÿ])([.,])(?=[ \n])")
 
 
 class WordIds:
@@ -34,27 +36,56 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {"": b""}
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(names.values()) + 1, bool)
+        self.ends_word[[i for name, i in names.items() if name.endswith("</w>")]] = True
 
     def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        """Ids of each part. Runs of letters are one word each, so many are encoded as one text and cut at the tokens
+        that end words; anything else, and a text whose words don't come out even, goes part by part."""
+        plain = [p for p in parts if p.isalpha()]
+        out = {}
+        for i in range(0, len(plain), 1000):
+            some = plain[i : i + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(some) and len(ids) == ends[-1]:
+                raw, cut = ids.tobytes(), [0, *(4 * ends).tolist()]
+                out.update(zip(some, (raw[a:z] for a, z in zip(cut, cut[1:], strict=False)), strict=True))
+        rest = [p for p in parts if p not in out]
+        out.update(zip(rest, (np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+        return [out[p] for p in parts]
 
     def learn(self, missing: set[str]) -> None:
         """Letters and closing punctuation are separate tokens, so a word and its bare form share one encoding."""
         if len(self.cache) + len(missing) > CACHE_WORDS:
             self.cache = {"": b""}
+        plain = [w for w in missing if w.isalpha() and w.islower()]
+        self.cache.update(zip(plain, self._encode(plain), strict=True))
         split = {}
-        for w in missing:
+        for w in missing.difference(plain):
             bare = w.rstrip(_TAIL)
-            bare, tail = (bare, w[len(bare) :]) if bare.isalpha() else (w, "")
-            split[w] = (bare.lower() if bare.isascii() else bare, tail)
+            # A letter whose lower case ends in a mark would join the punctuation.
+            ok = bare != w and bare.isalpha() and bare[-1].lower().isalpha()
+            split[w] = (bare, w[len(bare) :]) if ok else (w, "")
         parts = list({p for pair in split.values() for p in pair if p and p not in self.cache})
-        own = dict(zip(parts, self._encode(parts), strict=True)) | {"": b""}
+        own = dict(zip(parts, self._encode(parts), strict=True))
         get = lambda p: own[p] if p in own else self.cache[p]
-        for w, (bare, tail) in split.items():
-            self.cache[w] = get(bare) + get(tail)
+        self.cache.update({w: get(bare) + get(tail) for w, (bare, tail) in split.items()})
+
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        """The text cut at blanks and line feeds. Latin-1 texts are lower-cased first and lose the points and commas at
+        the ends of words as words of their own, as the tokenizer would do it, so that fewer different words arise."""
+        try:
+            text.encode("latin-1")
+            text = _MARK.sub(r" \1", text.lower())
+        except UnicodeEncodeError:
+            pass
+        return text.replace("\n", " ").split(" ")
 
     def of(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [self._words(t) for t in texts]
         missing = set().union(*split).difference(self.cache)
         if missing:
             self.learn(missing.union(*split) if len(self.cache) + len(missing) > CACHE_WORDS else missing)
