@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from strata.fixtures import AS_OF, fixture_config, spark_sql, with_views
 from strata.functions import soft
-from strata.functions.paths import norm_name
-from strata.functions.periods import build_periods
-from strata.operators import axes, scoring, teams, timelines, validation
+from strata.operators import scoring, teams
 from strata.plans.rankings import Relations, author_scores
 from strata.plans.registry import SQL_AS_OF, H, L, N, query, rounded, sql_conf, sql_pick
 
