@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,15 +57,16 @@ def effectively_reverted(reverts: DataFrame, rounds: int = 64) -> DataFrame:
     return known.where("not stands").select("repo", "commit_id")
 
 
+def shared_folder(spark) -> str:
+    """A fresh name in the folder that driver and executors share (spark.checkpoint.dir; a local one where it is unset)."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
+    return f"{at}/strata-{uuid.uuid4().hex}"
+
+
 def _cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        at = sc.getConf().get("spark.checkpoint.dir")
-        if not at:
-            import tempfile
-
-            at = tempfile.mkdtemp(prefix="strata-")
-        sc.setCheckpointDir(at)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
