@@ -193,7 +193,8 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
     suffixes = docs.join(found, "uid").select("uid", "text", "places").mapInArrow(
         _suffixes(span, gram), "right binary, left binary, uid long, first long"
     )
-    buckets = suffixes.repartitionByRange(n, "right", "left", "uid", "first")
+    # Order by the leading gram, then so that equal suffixes stand together; splitters are sampled on short keys.
+    buckets = suffixes.repartitionByRange(n, F.substring("right", 1, gram), F.xxhash64("right", "left"), "uid", "first")
     out = stage(buckets.mapInArrow(_bucket(span, gram), "uid long, start long, after long, hash long, weight int"), "repeats")
     edges = out.where("hash is not null")
     more = edges.groupBy("hash").agg(F.sum("weight").alias("n")).where("n > 1")
