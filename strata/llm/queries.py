@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strata.llm import decontam, langid, minhash, packing, preference, quality, suffix, topk, toxicity, warc
 from strata.llm.common import stage, table
+from strata.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
 def bucket(of: int):
@@ -99,5 +100,3 @@ QUERIES = {
     "op9_pack": op9_pack,
     "op10_preference_format": op10_preference_format,
 }
-
-ORACLE_SQL: dict[str, str] = {}
