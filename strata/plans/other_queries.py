@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strata.functions import lines, paths
+from strata.functions import lines, paths, sql
 from strata.operators import axes, modules, scoring, teams, timelines
 from strata.plans import blame_queries, score_queries, timeline_queries
-from strata.plans.registry import query
+from strata.plans.registry import SQL_IS_FIX, H, L, N, query, sql_module
 from strata.sources import writers
 from strata.streaming import activity as live
 
@@ -28,6 +28,21 @@ def comment_filter(v, s, d):
 
 query("comment_filter", comment_filter)
 
+
+def sql_functions(v, s, d):
+    sql.register(s)
+    grid = v("score_grid").select("author", *(F.expr(f"{f}(quality)").alias(f) for f in ("highness", "lowness", "not_low")))
+    commits = v("c").groupBy(F.expr("is_fix(subject)").alias("is_fix")).agg(F.count("*").alias("n"))
+    modules_ = v("p").groupBy(F.expr("module_of(path)").alias("module")).agg(F.count("*").alias("n"))
+    facts = commits.select(F.concat(F.lit("fix "), F.col("is_fix").cast("string")).alias("key"), F.col("n").cast("double").alias("value"))
+    facts = facts.union(modules_.select("module", F.col("n").cast("double")))
+    return facts.union(grid.select("author", F.col("highness") + F.col("lowness") * 10 + F.col("not_low") * 100)).withColumn("value", F.round("value", 4))
+
+
+query("sql_functions", sql_functions,
+      f"SELECT CONCAT('fix ', CAST({SQL_IS_FIX} AS VARCHAR)) AS key, CAST(COUNT(*) AS DOUBLE) AS value FROM c GROUP BY 1 UNION ALL SELECT {sql_module()}, CAST(COUNT(*) AS DOUBLE) FROM p GROUP BY 1 "
+      f"UNION ALL SELECT author, ROUND({H('quality')} + {L('quality')} * 10 + {N('quality')} * 100, 4) FROM score_grid", "c p score_grid")
+
 # --- streams: each runs to the end of what there is; periods and sessions are out once the watermark passes them ---------
 
 EV = "e AS (SELECT CONCAT('repo', CAST(user_id % 4 AS STRING)) AS repo, event_id AS commit_id, CONCAT('dev', CAST(user_id % 8 AS STRING)) AS author, ts, event_type = 'error' AS is_fix, CAST(trunc(coalesce(value, 0)) AS BIGINT) AS lines FROM events)"
