@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from strata.fixtures import AS_OF, fixture_config, spark_sql, with_views
 from strata.functions import soft
 from strata.operators import scoring, teams
+from strata.plans.blame_queries import ALL, BF, OW, WD
+from strata.plans.log_queries import FC, QUALITY, QUALITY_VALUE, SQL_ARCH
 from strata.plans.rankings import Relations, author_scores
-from strata.plans.registry import SQL_AS_OF, H, L, N, query, rounded, sql_conf, sql_pick
+from strata.plans.registry import SQL_AS_OF, SQL_IS_FIX, H, L, N, query, rounded, sql_conf, sql_days, sql_pick
 
 # --- soft functions and the rule engines on the label grid ----------------------------------------------------------
 
@@ -91,10 +93,6 @@ def rankings(v, s, d, by=()):
     return rounded(scores.select(*by, "rank", *RANK_COLUMNS, *labels), 3)
 
 
-from strata.plans.blame_queries import ALL, BF, OW, WD  # noqa: E402
-from strata.plans.log_queries import FC, QUALITY, QUALITY_VALUE, SQL_ARCH  # noqa: E402
-from strata.plans.registry import SQL_IS_FIX, sql_days  # noqa: E402
-
 _N = lambda c: f"coalesce(CASE WHEN MAX({c}) OVER () > 0 THEN least({c} / CAST(MAX({c}) OVER () AS DOUBLE) * 100, 100e0) END, 0e0)"
 RK = (
     "x1 AS (SELECT author, SUM(insertions + deletions) AS lines FROM fca WHERE NOT regexp_matches(path, 'generated|(^|/)mock_|[.]gen[.]|^docs/') GROUP BY author), "
