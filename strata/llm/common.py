@@ -80,7 +80,7 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of the hash base and of its inverse modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(2 * n, 1 << 16)
         _powers[:] = [np.concatenate([np.ones(1, U64), np.full(size - 1, b, U64)]).cumprod(dtype=U64) for b in (_BASE, _INVERSE)]
     return _powers[0][:n], _powers[1][:n]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strata.llm.common import stage
@@ -31,9 +31,10 @@ def components(links: DataFrame) -> DataFrame:
     )
     before = None
     while True:
-        edges = stage(_star(_star(edges, True), False), "star")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
+        seen = Observation()
+        sums = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
+        edges = stage(_star(_star(edges, True), False).observe(seen, *sums), "star")
+        if seen.get == before:
             break
-        before = tuple(now)
+        before = seen.get
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component_id")).union(edges.select("b", "b").distinct())

@@ -303,8 +303,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     open_docs = stage(_blocks(trees, comp).mapInArrow(_cross(least, None), "doc long").distinct(), "open")
     if not open_docs.isEmpty():
         few = trees.join(open_docs, "doc", "left_semi")
-        more = _blocks(few, comp, sets).mapInArrow(_cross(least, percent), "a long, b long")
-        comp = components(comp.select(F.col("node").alias("a"), F.col("component_id").alias("b")).union(more))
+        more = stage(_blocks(few, comp, sets).mapInArrow(_cross(least, percent), "a long, b long"), "more")
+        if not more.isEmpty():
+            comp = components(comp.select(F.col("node").alias("a"), F.col("component_id").alias("b")).union(more))
     out = found.select("doc_id", "n_shingles").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))).select(
