@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import U64, byte_codes, chunks, mix, partitions, prefix_hash, ship, span_hash, stage
+from strata.llm.common import U64, byte_codes, chunks, partitions, prefix_hash, ship, span_hash, stage
 
 SPAN, GRAM = 200, 40
 #: Suffixes of a bucket, about.
