@@ -6,11 +6,15 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from strata.fixtures import fixture_config
+from strata.fixtures import AS_OF, fixture_config
+from strata.functions import paths
 from strata.functions.periods import build_periods
-from strata.operators import axes, scoring, timelines, validation
+from strata.operators import axes, scoring, teams, timelines, validation
 from strata.operators.scoring import raw_scores, score_authors
-from strata.plans.registry import query, rounded
+from strata.plans import score_queries
+from strata.plans.blame_queries import BF, OW
+from strata.plans.log_queries import FC, changes
+from strata.plans.registry import SQL_AS_OF, query, rounded, sql_days
 
 SPAN, NOW, SINCE = "6m", datetime(2001, 12, 1), datetime(1999, 1, 1)
 PD = (
@@ -157,3 +161,21 @@ RV = (
 query("repo_validation", lambda v, s, d: rounded(validated(s, d), 6), "SELECT repo, size, ROUND(overlap, 6) AS overlap, common, ROUND(rho, 6) AS rho, ROUND(recall, 6) AS recall, hidden, fighters, ROUND(concentration, 6) AS concentration FROM rv", *V, CONC, RV)
 query("validation_summary", lambda v, s, d: rounded(validation.validation_summary(validated(s, d))),
       "SELECT COUNT(*) AS repos, ROUND(AVG(overlap), 4) AS mean_overlap, ROUND(AVG(recall) FILTER (recall > 0), 4) AS mean_recall, ROUND(AVG(rho), 4) AS mean_rho, ROUND(AVG(concentration), 4) AS mean_concentration, CAST(SUM(hidden) AS BIGINT) AS hidden, CAST(SUM(fighters) AS BIGINT) AS fighters, MAX(size) AS largest, MIN(size) AS smallest FROM rv", *V, CONC, RV)
+
+# --- single steps of the plans above ----------------------------------------------------------------------------------
+
+query("gravity", lambda v, s, d: rounded(score_queries.grid(s, d).select("author", scoring.gravity().alias("gravity"))), "SELECT author, ROUND(gravity, 4) AS gravity FROM sg", "score_grid", score_queries.GRID)
+query("recently_active", lambda v, s, d: axes.author_activity(v("c")).select("author", (axes.days_between(axes.as_of_column(AS_OF), F.col("last_at")) <= 150).alias("active")),
+      f"SELECT author, {sql_days(SQL_AS_OF, 'MAX(committed_at)')} <= 150 AS active FROM c GROUP BY author", "c")
+query("raw_scores",
+      lambda v, s, d: raw_scores([axes.lines_changed(changes(v), by=("repo",)).select("repo", "author", "production"), axes.indispensability(axes.bus_factor(v("b"), fixture_config(d)), ("repo",)).where("indispensability > 12")], ("repo",)),
+      "SELECT repo, author, x.production, y.indispensability FROM (SELECT repo, author, CAST(SUM(insertions + deletions) AS BIGINT) AS production FROM fca GROUP BY 1, 2) x FULL JOIN (SELECT repo, author, SUM(CASE level WHEN 'CRITICAL' THEN 1e0 ELSE 0.5e0 END) AS indispensability FROM bf GROUP BY 1, 2 HAVING SUM(CASE level WHEN 'CRITICAL' THEN 1e0 ELSE 0.5e0 END) > 12) y USING (repo, author)",
+      "c fc b", FC, OW, BF)
+query("author_filter", lambda v, s, d: timelines.filter_authors(label_timeline(s, d), ["A1", "a7", "nobody"]).groupBy("author").agg(F.count("*").alias("n")), "SELECT author, COUNT(*) AS n FROM tg WHERE author IN ('a1', 'a7') GROUP BY author", "score_grid", TLG)
+query("rename_path", lambda v, s, d: v("p").select("path", paths.resolve_rename(F.concat(F.lit("old/{a => b}/"), "path")).alias("braces"), paths.resolve_rename(F.concat(F.lit("old.go => "), "path")).alias("arrow")), "SELECT path, CONCAT('old/b/', path) AS braces, path AS arrow FROM p", "p")
+query("domain_name", lambda v, s, d: v("p").select(paths.normalize_domain(F.element_at(F.array(*map(F.lit, ("", "backend", "FE", "infrastructure", "fw", "data"))), (F.col("p_size") % 6 + 1).cast("int"))).alias("domain")).groupBy("domain").agg(F.count("*").alias("n")),
+      "SELECT CASE p_size % 6 WHEN 0 THEN 'Unknown' WHEN 1 THEN 'BE' WHEN 2 THEN 'FE' WHEN 3 THEN 'Infra' WHEN 4 THEN 'FW' ELSE 'Data' END AS domain, COUNT(*) AS n FROM p GROUP BY 1", "p")
+query("glob_match", lambda v, s, d: v("p").where(F.col("path").rlike("^" + paths.glob_to_regex("*/b[1-3]?/f*.go") + "$")).select("path"), "SELECT path FROM p WHERE regexp_matches(path, '^[^/]*/b[1-3][^/]/f[^/]*[.]go$')", "p")
+query("team_timeline", lambda v, s, d: rounded(teams.team_health(teams.aggregate(score_queries.members(s, d).withColumn("domain", F.concat(F.lit("P"), (F.col("n") % 3).cast("string"))))).select("team", F.col("domain").alias("period"), "core_members", "effective_members", "total_members", "avg_impact", "risk_ratio")),
+      "SELECT team, CONCAT('P', CAST(n % 3 AS VARCHAR)) AS period, COUNT(*) FILTER (tier = 'core') AS core_members, COUNT(*) FILTER (tier <> 'peripheral') AS effective_members, COUNT(*) AS total_members, ROUND(coalesce(AVG(impact) FILTER (tier = 'core'), 0e0), 4) AS avg_impact, "
+      "ROUND(COUNT(*) FILTER (tier = 'risk') / CAST(COUNT(*) FILTER (tier <> 'peripheral') AS DOUBLE) * 100, 4) AS risk_ratio FROM tm GROUP BY 1, 2 HAVING COUNT(*) FILTER (tier <> 'peripheral') > 0", "score_grid", score_queries.GRID, score_queries.SL, score_queries.TM)
