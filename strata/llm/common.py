@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step handles at once (a longer single document is handled alone).
 CHUNK_BYTES = 1 << 20
@@ -63,6 +64,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About `rows` rows of df, chosen by the hash of key, or all if there are no more: the count is one number on the
+    driver and the choice is made where the rows are, so nothing grows with the number of partitions. Runs a job."""
+    total = df.count()
+    if total <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(key), F.lit(1_000_003)) < int(1_000_003 * rows / total))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

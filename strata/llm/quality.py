@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import byte_codes, chunks, prefix_hash, separated, ship, span_hash, words
+from strata.llm.common import byte_codes, chunks, hash_sample, prefix_hash, separated, ship, span_hash, words
 
-#: Labelled rows that the fit reads at most, chosen by hash.
+#: Labelled rows that the fit reads at most (about), chosen by hash.
 FIT_ROWS = 20_000
 #: Shares of the pooled covariance and of the scaled identity.
 POOLED, IDENTITY = 0.2, 0.02
@@ -152,12 +152,13 @@ class Discriminant:
 
 
 def fit(stats: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Discriminant:
-    """stats(doc_id, x), labels(doc_id, label 0/1) -> the discriminant, from at most `rows` labelled rows by hash.
+    """stats(doc_id, x), labels(doc_id, label 0/1) -> the discriminant, from about `rows` labelled rows by hash at most.
 
     Null labels are left out. With one class only the score is that class; without labels it is 0.5."""
     known = labels.where(F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-    got = stats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(rows).select("x", "label").collect()
-    return Discriminant(np.array([r.x for r in got], float).reshape(-1, len(STATISTICS)), np.array([r.label for r in got], int))
+    got = stats.join(hash_sample(known, "doc_id", rows), "doc_id").select("x", "label").collect()
+    got = sorted((r.label, tuple(r.x)) for r in got)  # the order of arrival doesn't matter
+    return Discriminant(np.array([x for _, x in got], float).reshape(-1, len(STATISTICS)), np.array([y for y, _ in got], int))
 
 
 def _scores(model: Discriminant):
