@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import U64, byte_codes, chunks, mix, prefix_hash, separated, ship, span_hash, stage, words
+from strata.llm.common import U64, byte_codes, chunks, hash_sample, mix, prefix_hash, separated, ship, span_hash, stage, words
 from strata.llm.decontam import IS_WORD
 
-#: Labelled examples of each class that the index holds at most, chosen by hash.
+#: Labelled examples of each class that the index holds at most (about), chosen by hash.
 EXAMPLES = 4000
 #: A term stays if at least so many examples have it, its chi-square statistic for the label is at least so large, and
 #: one class has it at least LIFT times as often as the other: words that all texts use say nothing.
@@ -66,6 +66,8 @@ class BlockMaxIndex:
         owner = np.repeat(np.arange(n), [len(e[2]) for e in examples]) if n else none[0]
         self.vocabulary = vocabulary
         self.idf = np.log((n + 1) / (df + 1)) + 1
+        self.seen, self.seen_mask = np.zeros(1 << 20, bool), U64((1 << 20) - 1)
+        self.seen[(vocabulary & self.seen_mask).astype(np.int64)] = True
         term = np.searchsorted(vocabulary, np.concatenate([*none, *(e[2] for e in examples)]).astype(np.int64).view(U64))
         weight = 1 + np.log(np.maximum(np.concatenate([*none, *(e[3] for e in examples)]).astype(float), 1))
         weight = weight * self.idf[term]
@@ -114,9 +116,8 @@ def build_index(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) ->
     spark = docs.sparkSession
     ship(spark)
     known = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    ones, zeros = (known.where(F.col("label") == k).orderBy(*order).limit(examples) for k in (1, 0))
-    chosen = F.broadcast(ones.union(zeros))  # at most 2 * examples ids
+    ones, zeros = (hash_sample(known.where(F.col("label") == k), "doc_id", examples) for k in (1, 0))
+    chosen = F.broadcast(ones.union(zeros))  # about 2 * examples ids at most
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("doc_id", "text", "label")
     rows = rows.dropDuplicates(["doc_id"])
     rows = stage(rows.mapInArrow(_example_rows, "doc_id long, label int, terms array<long>, counts array<long>"), "examples")
@@ -146,6 +147,8 @@ def _scores(index: BlockMaxIndex):
             for n, term, row in _terms(batch.column(1)):
                 own, near = np.full(n, index.vote(np.zeros(0, np.int64), np.zeros(0))), [[] for _ in range(n)]
                 if len(index.vocabulary):
+                    maybe = np.flatnonzero(index.seen[(term & index.seen_mask).astype(np.int64)])  # most terms end here
+                    term, row = term[maybe], row[maybe]
                     at = np.searchsorted(index.vocabulary, term)
                     at[at == len(index.vocabulary)] = 0
                     hit = index.vocabulary[at] == term
