@@ -3,7 +3,8 @@
 Terms are words and their first bytes at several lengths (which join inflected forms). The index holds a bounded set of
 labelled examples; its vocabulary keeps the terms that tell the classes apart, and cosines are exact over it. Examples
 stand in blocks; for each term the index knows its largest weight in a block, so the sum of those bounds every cosine
-in the block, and blocks that cannot reach the k-th best neighbour are never opened.
+in the block, and blocks that cannot reach the k-th best neighbour are never opened. Where the bound cuts one class
+more than the other, each example counts for its class's share of the labelled rows, so scores mean the same at any size.
 """
 
 from __future__ import annotations
@@ -56,11 +57,13 @@ def _example_rows(batches):
 
 
 class BlockMaxIndex:
-    """examples: (id, label, term hashes of the vocabulary, counts) in a fixed order; df: examples that have a term."""
+    """examples: (id, label, term hashes of the vocabulary, counts) in a fixed order; df: examples that have a term; weights:
+    for how many examples one of class 0 and one of class 1 counts, in df too."""
 
-    def __init__(self, examples, vocabulary: np.ndarray, df: np.ndarray):
+    def __init__(self, examples, vocabulary: np.ndarray, df: np.ndarray, weights=(1.0, 1.0)):
         self.ids = np.array([e[0] for e in examples], np.int64)
         self.labels = np.array([e[1] for e in examples], float)
+        self.weights = np.where(self.labels == 1, weights[1], weights[0])
         n = len(examples)
         none = [np.zeros(0, np.int64)]
         owner = np.repeat(np.arange(n), [len(e[2]) for e in examples]) if n else none[0]
@@ -74,7 +77,8 @@ class BlockMaxIndex:
         norm = np.sqrt(np.bincount(owner, weight**2, n))
         weight = weight / norm[owner]
         bare = norm == 0
-        self.rate = float((self.labels[bare].sum() + 0.5) / (bare.sum() + 1)) if n else 0.5
+        stands = self.weights * bare
+        self.rate = float((stands @ self.labels + 0.5) / (stands.sum() + 1)) if n else 0.5
         order = np.lexsort((owner, owner // BLOCK, term))
         self.owner, self.weight = owner[order], weight[order]
         self.blocks = max(1, -(-n // BLOCK))
@@ -106,9 +110,17 @@ class BlockMaxIndex:
         return found[best], cosine[best]
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
+        cosine = cosine * self.weights[found]
         return float(((cosine * self.labels[found]).sum() + PRIOR * self.rate) / (cosine.sum() + PRIOR))
 
 
+def _weights(known: dict, chosen: dict, used: dict) -> tuple[float, float]:
+    """Weights of the classes 0 and 1: rows labelled over ids chosen, brought to a mean of 1 over the examples used."""
+    stands = [known.get(k, 0) / max(chosen.get(k, 0), 1) for k in (0, 1)]
+    total = sum(used.get(k, 0) * stands[k] for k in (0, 1))
+    return tuple(w * sum(used.values()) / total if total else 1.0 for w in stands)
+
+
 def build_index(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> BlockMaxIndex:
     """docs(doc_id, text), labels(doc_id, label 0/1) -> the index over at most `examples` labelled rows of each class.
 
@@ -121,13 +133,17 @@ def build_index(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("doc_id", "text", "label")
     rows = rows.dropDuplicates(["doc_id"])
     rows = stage(rows.mapInArrow(_example_rows, "doc_id long, label int, terms array<long>, counts array<long>"), "examples")
-    n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    one = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("label").alias("a"))
-    b, n0 = F.col("df") - F.col("a"), n - n1
-    chi2 = n * F.pow(F.col("a") * (n0 - b) - b * (n1 - F.col("a")), 2) / F.greatest(F.col("df") * (n - F.col("df")) * float(max(n1, 1) * max(n0, 1)), F.lit(1.0))
-    rate1, rate0 = F.col("a") / float(max(n1, 1)), b / float(max(n0, 1))
+    by_class = lambda df: {r.label: r["count"] for r in df.groupBy("label").count().collect()}
+    used = by_class(rows)
+    w0, w1 = _weights(by_class(known), by_class(chosen), used)
+    n, n1, n0 = sum(used.values()), used.get(1, 0) * w1, used.get(0, 0) * w0
+    one = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("docs"), F.sum("label").alias("toxic"))
+    one = one.withColumn("a", F.col("toxic") * w1).withColumn("df", F.col("a") + (F.col("docs") - F.col("toxic")) * w0)
+    b = F.col("df") - F.col("a")
+    chi2 = n * F.pow(F.col("a") * (n0 - b) - b * (n1 - F.col("a")), 2) / F.greatest(F.col("df") * (n - F.col("df")) * float((n1 or 1) * (n0 or 1)), F.lit(1.0))
+    rate1, rate0 = F.col("a") / float(n1 or 1), b / float(n0 or 1)
     lifted = (rate1 >= LIFT * rate0) | (rate0 >= LIFT * rate1)
-    kept = one.where((F.col("df") >= TERM_DOCS) & (chi2 >= TERM_CHI2) & lifted).select("term", "df").collect()  # bounded: of 2 * examples texts
+    kept = one.where((F.col("docs") >= TERM_DOCS) & (chi2 >= TERM_CHI2) & lifted).select("term", "df").collect()  # bounded: of 2 * examples texts
     kept = sorted(kept, key=lambda r: r.term % (1 << 64))
     vocabulary = np.array([r.term for r in kept], np.int64).view(U64)
     known_terms = F.broadcast(spark.createDataFrame([(r.term,) for r in kept], "term long"))
@@ -135,7 +151,7 @@ def build_index(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) ->
     few = few.join(known_terms, "term").groupBy("doc_id").agg(F.collect_list("term").alias("terms"), F.collect_list("tf").alias("counts"))
     got = rows.select("doc_id", "label").join(few, "doc_id", "left").collect()
     found = sorted((r.doc_id, r.label, r.terms or [], r.counts or []) for r in got)
-    return BlockMaxIndex([(i, y, np.array(t, np.int64), np.array(c, np.int64)) for i, y, t, c in found], vocabulary, np.array([r.df for r in kept], float))
+    return BlockMaxIndex([(i, y, np.array(t, np.int64), np.array(c, np.int64)) for i, y, t, c in found], vocabulary, np.array([r.df for r in kept], float), (w0, w1))
 
 
 def _scores(index: BlockMaxIndex):
@@ -172,9 +188,9 @@ def _scores(index: BlockMaxIndex):
 def score(docs: DataFrame, index: BlockMaxIndex) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, score, evidence), a row for each input row.
 
-    score: the cosine-weighted share of toxic examples among the nearest, drawn slightly to the rate of examples
-    without any indexed term, which is the score of null, empty and other texts without such terms. evidence: those
-    neighbours, nearest first. Repeated rows get equal results; other columns are ignored.
+    score: the share of toxic examples among the nearest, by cosine times class weight, drawn slightly to the rate of
+    examples without any indexed term, which is the score of null, empty and other texts without such terms. evidence:
+    those neighbours, nearest first. Repeated rows get equal results; other columns are ignored.
     """
     ship(docs.sparkSession)
     doc = docs.schema["doc_id"].dataType.simpleString()

@@ -1,9 +1,11 @@
 """Rows and pairs that a short cut once left out of the training-data operators' results."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
 
-from strata.llm import minhash
+from strata.llm import minhash, toxicity
 
 
 def test_pair_with_equal_low_bytes_is_looked_at():
@@ -22,3 +24,23 @@ def test_pair_with_equal_low_bytes_is_looked_at():
         found = [d for b in minhash._cross(0.8, None)(iter([t])) for d in b.column(0).to_pylist()]
         looked.append(found == [1, 2])
     assert looked == [False, True] + [False] * (minhash.TREES - 2)
+
+
+def test_cut_class_keeps_its_share_of_the_votes(spark):
+    """A word of 70 % of the toxic and 20 % of ten times as many clean texts tells for clean, whatever the bound on examples."""
+    r = random.Random(5)
+    rows = []
+    for i in range(3300):
+        label = int(i % 11 == 0)
+        said = ["hint"] if r.random() < (0.7 if label else 0.2) else []
+        rows.append((i, " ".join([*r.choices("abcdefgh", k=5), *said]), label))
+    r.shuffle(rows)
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, label int")
+    index = toxicity.build_index(docs, labels, examples=300)
+    assert (index.labels == 1).sum() == 300 and 200 < (index.labels == 0).sum() < 400
+    assert len(index.vocabulary) == 1 and abs(index.rate - 0.05) < 0.03
+    one = toxicity.score(spark.createDataFrame([(1, "hint"), (2, "a b")], docs.schema), index).collect()
+    assert all(x.score < 0.5 for x in one)
+    whole = toxicity.build_index(docs, labels)
+    assert set(whole.weights) == {1.0} and abs(np.exp(index.idf[0] - 1) / np.exp(whole.idf[0] - 1) - 1) < 0.2
