@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 from strata.functions.soft import NONE
 
-#: Periods come from a span and an end, so there are at most some thousands.
-MAX_PERIODS = 100_000
-
 
 def _small(periods: DataFrame) -> DataFrame:
-    return F.broadcast(periods.limit(MAX_PERIODS))
+    """For periods of build_periods: they come from a span and an end, so there are at most some thousands."""
+    return F.broadcast(periods)
 
 
 def assign_periods(df: DataFrame, periods: DataFrame, at: str = "committed_at") -> DataFrame:
@@ -26,7 +24,7 @@ def boundary_commits(commits: DataFrame, periods: DataFrame) -> DataFrame:
     p = _small(periods.select(F.col("label").alias("period"), "end"))
     # Only a repository's last commit of each window can be a boundary; then carry the latest one forward.
     ends = F.array_sort(F.collect_set("end"))
-    grid = periods.limit(MAX_PERIODS).agg(ends.alias("ends"))
+    grid = periods.agg(ends.alias("ends"))
     due = commits.join(F.broadcast(grid)).withColumn("end", F.array_min(F.filter("ends", lambda e: F.col("committed_at") <= e)))
     best = due.where("end is not null").groupBy("repo", "end").agg(F.max(F.struct("committed_at", "commit_id")).alias("last"))
     rows = commits.select("repo").distinct().join(p).join(best, ["repo", "end"], "left")
@@ -44,8 +42,8 @@ def snapshot_lines(lives: DataFrame, periods: DataFrame) -> DataFrame:
 
 def densify(scored: DataFrame, periods: DataFrame, zero: tuple[str, ...]) -> DataFrame:
     """Every author in every period; absent ones get 0 in the columns named and null elsewhere."""
-    p = _small(periods.select(F.col("label").alias("period"), F.col("start").alias("period_start")))
-    rows = scored.select("author").distinct().join(p).join(scored, ["author", "period"], "left")
+    p = periods.select(F.col("label").alias("period"), F.col("start").alias("period_start"))  # can come from the data
+    rows = scored.select("author").distinct().crossJoin(p).join(scored, ["author", "period"], "left")
     return rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in zero})
 
 
