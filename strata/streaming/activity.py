@@ -27,9 +27,10 @@ def activity(events: DataFrame) -> DataFrame:
 
 
 def stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events of sf_dir as a stream."""
+    """events of sf_dir as a stream. All files there are make one batch: files come by modification time, and a second
+    batch would drop what is older than the first one's watermark."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return activity(spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 1000).parquet(f"{sf_dir}/events.parquet*"))
+    return activity(spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*"))
 
 
 def period_axes(stream: DataFrame, span: str = "7 days", delay: str = "1 day") -> DataFrame:
