@@ -7,107 +7,156 @@ pieces find their place in a pattern by their rank among pieces of equal length.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import ship, stage
+from strata.llm.common import chunks, ship, stage
 
 LENGTH = 4096
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 800_000
-_TAIL = ".,;:!?"
-_MARK = re.compile(r"(?<=[a-zà-öø-ÿ])([.,])(?=[ \n])")
+#: Words in a generation of a worker's cache; the generation before is kept beside it.
+CACHE_WORDS = 500_000
+#: Characters of a text that are cut into words at once.
+TEXT_PART = 1 << 20
+#: Words that the tokenizer's normalizer leaves as they are: ASCII without capitals, and the small letters of Latin-1.
+_STABLE = re.compile(r"[!-@\[-~ß-öø-ÿ]+")
+#: Latin-1 bytes in lower case, line feeds as blanks.
+_FOLD = bytes(0x20 if c == 0x0A else ord(chr(c).lower()) for c in range(256))
+#: Of Latin-1 bytes: blank, letter or digit, anything else.
+_CLASS = bytes(0x20 if c == 0x20 else 0x61 if chr(c).isalnum() else 0x70 for c in range(256))
+
+
+def _word_pattern(spec: dict) -> str | None:
+    """The pattern of words of a tokenizer that lower-cases, then cuts by a pattern, then runs a byte-level BPE on each
+    word; None for any other kind."""
+    norm, pre, model = spec["normalizer"] or {}, spec["pre_tokenizer"] or {}, spec["model"]
+    steps = [x["type"] for x in norm.get("normalizers", [])], [x["type"] for x in pre.get("pretokenizers", [])]
+    if steps != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or model["type"] != "BPE" or model.get("dropout"):
+        return None
+    split, level = pre["pretokenizers"]
+    plain = split["behavior"] == "Removed" and split["invert"] and not level["add_prefix_space"] and not level["use_regex"]
+    return split["pattern"].get("Regex") if plain else None
 
 
 class WordIds:
-    """Token ids of a text, word by word: the tokenizer drops white space and never joins across it."""
+    """Token ids of a text, word by word: the tokenizer drops white space and never joins across it.
+
+    Each spelling is encoded once and then looked up. Words that the normalizer leaves alone are cut by the tokenizer's
+    own pattern and their parts go straight to its BPE model; all others take its whole way."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {"": b""}
-        names = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends_word = np.zeros(max(names.values()) + 1, bool)
-        self.ends_word[[i for name, i in names.items() if name.endswith("</w>")]] = True
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        """Ids of each part. Runs of letters are one word each, so many are encoded as one text and cut at the tokens
-        that end words; anything else, and a text whose words don't come out even, goes part by part."""
-        plain = [p for p in parts if p.isalpha()]
-        out = {}
-        for i in range(0, len(plain), 1000):
-            some = plain[i : i + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) == len(some) and len(ids) == ends[-1]:
-                raw, cut = ids.tobytes(), [0, *(4 * ends).tolist()]
-                out.update(zip(some, (raw[a:z] for a, z in zip(cut, cut[1:], strict=False)), strict=True))
-        rest = [p for p in parts if p not in out]
-        out.update(zip(rest, (np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
-        return [out[p] for p in parts]
-
-    def learn(self, missing: set[str]) -> None:
-        """Letters and closing punctuation are separate tokens, so a word and its bare form share one encoding."""
-        if len(self.cache) + len(missing) > CACHE_WORDS:
-            self.cache = {"": b""}
-        plain = [w for w in missing if w.isalpha() and w.islower()]
-        self.cache.update(zip(plain, self._encode(plain), strict=True))
-        split = {}
-        for w in missing.difference(plain):
-            bare = w.rstrip(_TAIL)
-            # A letter whose lower case ends in a mark would join the punctuation.
-            ok = bare != w and bare.isalpha() and bare[-1].lower().isalpha()
-            split[w] = (bare, w[len(bare) :]) if ok else (w, "")
-        parts = list({p for pair in split.values() for p in pair if p and p not in self.cache})
-        own = dict(zip(parts, self._encode(parts), strict=True))
-        get = lambda p: own[p] if p in own else self.cache[p]
-        self.cache.update({w: get(bare) + get(tail) for w, (bare, tail) in split.items()})
-
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        """The text cut at blanks and line feeds. Latin-1 texts are lower-cased first and lose the points and commas at
-        the ends of words as words of their own, as the tokenizer would do it, so that fewer different words arise."""
-        try:
-            text.encode("latin-1")
-            text = _MARK.sub(r" \1", text.lower())
-        except UnicodeEncodeError:
-            pass
+        self.model = self.tokenizer.model
+        pattern = _word_pattern(json.loads(self.tokenizer.to_str()))
+        self.pattern = regex.compile(pattern) if pattern else None
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x100)}
+        # The tokenizer looks for added tokens before it lower-cases.
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.new: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        found = self.new.get(part)
+        if found is None:
+            mapped = part if part.isascii() else part.translate(self.letters)
+            found = self.new[part] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return found
+
+    def _learn(self, missing: list[str]) -> None:
+        whole = []
+        for w in missing:
+            if found := self.old.get(w):
+                self.new[w] = found
+            elif self.pattern is None or not _STABLE.fullmatch(w):
+                whole.append(w)
+            elif w.isalpha():
+                self._part(w)
+            elif any(t in w for t in self.added):
+                whole.append(w)
+            else:
+                self.new[w] = b"".join(map(self._part, self.pattern.findall(w)))
+        for w, x in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            self.new[w] = array("I", x.ids).tobytes()
+
+    def _words(self, text: str) -> list[str]:
+        """The text cut at blanks and line feeds. Latin-1 texts are lower-cased first, and points and commas at the ends
+        of words become words of their own, as the tokenizer would do it, so that fewer different words arise; not so
+        where lower case could make an added token."""
+        if self.pattern:
+            try:
+                raw = text.encode("latin-1").translate(_FOLD)
+            except UnicodeEncodeError:
+                raw = None
+            if raw is not None:
+                low = raw.decode("latin-1")
+                if not any(t in low for t in self.added):
+                    if b"pp " not in raw.translate(_CLASS):
+                        low = low.replace(". ", " . ").replace(", ", " , ")
+                    return low.split(" ")
         return text.replace("\n", " ").split(" ")
 
     def of(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.new) > CACHE_WORDS:
+            self.old, self.new = self.new, {"": b""}
         split = [self._words(t) for t in texts]
-        missing = set().union(*split).difference(self.cache)
-        if missing:
-            self.learn(missing.union(*split) if len(self.cache) + len(missing) > CACHE_WORDS else missing)
-        return [b"".join(map(self.cache.__getitem__, ws)) for ws in split]
+        distinct = list(set().union(*split))
+        own = dict(zip(distinct, map(self.new.get, distinct), strict=True))
+        if missing := [w for w, found in own.items() if found is None]:
+            self._learn(missing)
+            own.update((w, self.new[w]) for w in missing)
+        return [b"".join(map(own.__getitem__, ws)) for ws in split]
+
+    def of_long(self, text: str) -> bytes:
+        """The same for one text of any length, cut at blanks into parts of about TEXT_PART characters."""
+        out, a = [], 0
+        while a < len(text):
+            z = text.find(" ", a + TEXT_PART)
+            z = len(text) if z < 0 else z
+            out += self.of([text[a:z]])
+            a = z
+        return b"".join(out)
+
+
+_known: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The worker's own, kept from task to task."""
+    if path not in _known:
+        _known[path] = WordIds(path)
+    return _known[path]
 
 
 def _pieces(path: str, end_id: int, length: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        ids = WordIds(path)
-        for whole in batches:
-            for i in range(0, whole.num_rows, 128):
-                batch = whole.slice(i, 128)
-                out = []
-                texts = pc.fill_null(batch.column(1), "").to_pylist()
-                for doc, raw in zip(batch.column(0).to_pylist(), ids.of(texts), strict=True):
+        ids = word_ids(path)
+        for batch in batches:
+            for i, n, _, offsets in chunks(batch.column(1)):
+                texts, out = pc.fill_null(batch.column(1).slice(i, n), "").to_pylist(), []
+                found = ids.of(texts) if offsets[-1] <= 2 * TEXT_PART else map(ids.of_long, texts)
+                for doc, raw in zip(batch.column(0).slice(i, n).to_pylist(), found, strict=True):
                     raw += end
-                    n = len(raw) // 4
-                    for a in range(0, n, length):
+                    tokens = len(raw) // 4
+                    for a in range(0, tokens, length):
                         part = raw[4 * a : 4 * (a + length)]
-                        out.append((doc, a, len(part) // 4, zlib.crc32(part), n))
+                        out.append((doc, a, len(part) // 4, zlib.crc32(part), tokens))
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cols[0], batch.column(0).type), *(pa.array(c, pa.int64()) for c in cols[1:])],
@@ -179,8 +228,8 @@ def _assign(places):
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH) -> DataFrame:
     """docs(doc_id, text) -> a row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    tokenizer: path of a tokenizers file, the same on all machines, whose tokens never span a blank or a line feed. Every document ends with end_id, so a
-    null or empty text is one piece of one token. A document longer than a sequence fills whole sequences; its rest is
+    tokenizer: path of a tokenizers file, the same on all machines, whose tokens never span a blank or a line feed. Every
+    document ends with end_id, so a null or empty text is one piece of one token. A document longer than a sequence fills whole sequences; its rest is
     packed. Rows that repeat a doc_id are packed as documents of their own; an empty table gives no rows; other columns
     are ignored.
     """

@@ -188,6 +188,23 @@ def test_packing(spark):
     assert packing.pack(table(spark, texts).limit(0), queries.tokenizer()).count() == 0
 
 
+def test_word_ids_are_the_tokenizers(monkeypatch):
+    """Texts of awkward parts (added tokens in any case, marks, contractions, wide letters) get the tokenizer's own ids."""
+    from tokenizers import Tokenizer
+
+    r, path = random.Random(7), queries.tokenizer()
+    tokenizer, ids = Tokenizer.from_file(path), packing.WordIds(path)
+    parts = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|", "|>", "endoftext", " ", " ", "\n", "\r", "\t", "'s", "'S", "'ll", "'", "’s", ".", ",", "?", "...", "***",
+             "a", "B", "é", "É", "ß", "ẞ", "İ", "ı", "ﬁ", "漢", "1", "23", "½", "ª", "µ", "×", "\xa0", "\x85", "\u0301", "Ǆ", "word", "Word", "don't", "\x00", "\x1c", "\xad", "\u200b", "😀", "\u2126"]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 12))) for _ in range(4000)]
+    monkeypatch.setattr(packing, "CACHE_WORDS", 500)  # the cache turns over several times
+    want = [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x for i in range(0, len(texts), 50) for x in ids.of(texts[i : i + 50])] == want
+    monkeypatch.setattr(packing, "TEXT_PART", 100)
+    long = " ".join(texts[:200])
+    assert ids.of_long(long) == np.array(tokenizer.encode(long, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_histogram_packing():
     r = random.Random(5)
     counts = collections.Counter(min(4096, int(r.expovariate(1 / 400)) + 1) for _ in range(20000))
