@@ -107,10 +107,35 @@ def test_decontamination(spark):
     assert decontam.contamination(table(spark, texts), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
-def test_repeated_substrings(spark):
+def test_multikey_sort():
+    r = random.Random(6)
+    for alphabet in (b"ab", bytes(range(4)), b"abcdefgh"):
+        data = bytes(r.choices(alphabet, k=3000))
+        start = np.array([r.randint(0, 2700) for _ in range(400)] + [5, 5, 5])
+        size = np.array([r.choice([0, 1, 7, 8, 9, 60, 200, 300]) for _ in range(400)] + [40, 40, 30])
+        order, lcp = suffix.multikey_sort(np.frombuffer(data + bytes(8), np.uint8), start, size)
+        own = [data[start[i] : start[i] + size[i]] for i in order]
+        assert [x.ljust(300, b"\0") for x in own] == sorted(x.ljust(300, b"\0") for x in own)
+        common = lambda x, y: next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))  # noqa: E731, B905
+        assert lcp.tolist() == [0] + [common(x, y) for x, y in itertools.pairwise(own)]
+        for length in (1, 8, 9, 50):
+            of = collections.defaultdict(set)
+            for i, k in enumerate(suffix._classes(order, lcp, length)):
+                if size[i] >= length:
+                    of[data[start[i] : start[i] + length]].add(int(k))
+            assert all(len(k) == 1 for k in of.values()) and len(set.union(*of.values())) == len(of)
+
+
+@pytest.mark.parametrize("bucket", [3, 40, 8192])
+def test_repeated_substrings(spark, monkeypatch, bucket):
+    """Small buckets cut common grams: their strings are compared across boundaries."""
+    monkeypatch.setattr(suffix, "BUCKET", bucket)
     r = random.Random(2)
     passage = "".join(r.choices("abc dé", k=260))
     texts = [None, "", "short", passage, "x" + passage[:-1] + "y", "q" * 450, passage[:100] + "".join(r.choices("abc", k=300)), "".join(r.choices("xyz", k=500)) + passage + passage]
+    line = "".join(r.choices("lmnop ", k=70))
+    texts += ["".join(r.choices("abcdef", k=r.randint(80, 200))) + line + "".join(r.choices("abcdef", k=r.randint(80, 200))) for _ in range(60)]
+    texts += [x[r.randint(0, 60) :] + "".join(r.choices("xyz", k=50)) for x in texts[10:30]] + ["\0" * 600, "ab\0" * 200]
     rows = [(i, t) for i, t in enumerate(texts)] + [(3, passage)]
     raw = [(i, (t or "").encode()) for i, t in rows]
     count = collections.Counter(b[k : k + 200] for _, b in raw for k in range(len(b) - 199))
@@ -255,28 +280,71 @@ def test_classifiers_on_odd_rows(spark):
     assert {r.score for r in toxicity.score(docs, toxicity.build_index(docs, none)).collect()} == {0.5}
 
 
-def test_block_max_is_exact():
-    r = np.random.default_rng(0)
-    vocabulary = np.arange(10, 40, dtype=np.uint64)
-    examples = []
-    for i in range(300):
-        t = np.sort(r.choice(30, r.integers(0, 6), replace=False)) + 10
-        examples.append((i, int(r.random() < 0.3), t.astype(np.int64), r.integers(1, 4, len(t))))
-    df = np.array([sum(t in e[2] for e in examples) for t in vocabulary], float)
-    index = toxicity.BlockMaxIndex(examples, vocabulary, df)
-    dense = np.zeros((300, 30))
-    for i, _, t, c in examples:
-        dense[i, t - 10] = (1 + np.log(c)) * index.idf[t - 10]
-    norm = np.linalg.norm(dense, axis=1, keepdims=True)
-    dense = np.divide(dense, norm, where=norm > 0, out=np.zeros_like(dense))
-    for _ in range(40):
-        t = np.sort(r.choice(30, 4, replace=False))
-        w = r.random(4)
-        w /= np.linalg.norm(w)
-        cosine = dense[:, t] @ w
-        best = [i for i in np.lexsort((np.arange(300), -cosine))[: toxicity.NEIGHBOURS] if cosine[i] > 0]
-        found, got = index.nearest(t, w)
-        assert np.allclose(got, cosine[best]) and np.allclose(sorted(cosine[found]), sorted(cosine[best]))
+def toxicity_by_hand(examples, text, weights=(1.0, 1.0), by_relevance=True, k=toxicity.NEIGHBOURS):
+    """(sorted cosines of the k nearest, vote) from whole TF-IDF vectors of the texts, without an index."""
+    count = lambda t: collections.Counter(re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().translate(LOW)))
+    rows = [(count(t), y) for t, y in examples]
+    share = [weights[y] for _, y in rows]
+    n, n1 = sum(share), sum(w for w, (_, y) in zip(share, rows, strict=True) if y)
+    n0 = n - n1
+
+    def factor(t):
+        a = sum(w for w, (c, y) in zip(share, rows, strict=True) if y and t in c)
+        b = sum(w for w, (c, y) in zip(share, rows, strict=True) if not y and t in c)
+        idf = np.log((n + 1) / (a + b + 1)) + 1
+        a, b = a + n1 / n, b + n0 / n
+        return idf * abs(np.log(a / n1) - np.log(b / n0)) / np.sqrt(1 / a + 1 / b) if by_relevance else idf
+
+    known = {t: factor(t) for t in set().union(*(c for c, _ in rows), count(text))}
+
+    def vector(c):
+        v = {t: (1 + np.log(m)) * known[t] for t, m in c.items()}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()} if norm else {}
+
+    q = vector(count(text))
+    cosine = [round(sum(x * v.get(t, 0) for t, x in q.items()), 6) for v in (vector(c) for c, _ in rows)]
+    best = sorted((-c, i) for i, c in enumerate(cosine) if c > 0)[:k]
+    w = [(-c * share[i], rows[i][1]) for c, i in best]
+    rate = (n1 + 0.5) / (n + 1)
+    return [-c for c, _ in best], (sum(x * y for x, y in w) + toxicity.PRIOR * rate) / (sum(x for x, _ in w) + toxicity.PRIOR)
+
+
+@pytest.mark.parametrize("by_relevance", [True, False])
+def test_toxicity_is_exact(spark, monkeypatch, by_relevance):
+    """Cosines, votes and scores against whole vectors made by hand, over several blocks, full rows and short ones."""
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    monkeypatch.setattr(toxicity, "STEP", 300)
+    r = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(60)]
+    pick = lambda n: " ".join(vocabulary[min(59, int(r.expovariate(0.08)))] for _ in range(n))
+    texts = [pick(r.randint(1, 12)) + (" bad" * r.randint(1, 3) if i % 4 == 0 and r.random() < 0.8 else "") for i in range(120)]
+    labels = [int(i % 4 == 0) for i in range(120)]
+    asked = [*texts[:10], None, "", " .. ", "new words only", "Bad BAD bad", "é ünï w1", *(pick(r.randint(1, 80)) + " unseen" for _ in range(30)), pick(30000)]
+    docs = table(spark, [*enumerate(texts), *((1000 + i, t) for i, t in enumerate(asked)), (1000, asked[0]), (None, "w1")])
+    known = spark.createDataFrame([*((i, y, 5) for i, y in enumerate(labels)), (None, 1, 5), (3, None, 5), (99999, 1, 5)], "doc_id long, label int, score int")
+    model = toxicity.build_index(docs, known, by_relevance=by_relevance)
+    index = model.index
+    assert sorted(index.ids.tolist()) == list(range(120)) and index.blocks == 15 and 0 < index._often[-1] < len(index.vocabulary)
+    got = [x for x in toxicity.score(docs, model).collect() if x.doc_id is not None and x.doc_id >= 1000]
+    assert len(got) == len(asked) + 1
+    for x in got:
+        cosines, vote = toxicity_by_hand(list(zip(texts, labels, strict=True)), asked[x.doc_id - 1000], by_relevance=by_relevance)
+        assert np.allclose([e.cosine for e in x.evidence], cosines, atol=2e-6)
+        assert all(e.label == labels[e.doc_id] for e in x.evidence)
+        assert abs(x.score - float(toxicity.probability(np.array([vote]), model.calibration)[0])) < 0.02 or len(cosines) == toxicity.NEIGHBOURS and cosines[-1] in (cosines[-2], x.evidence[-1].cosine)
+    none = {x.score for x in got if not x.evidence}
+    assert len(none) == 1 and {x.doc_id for x in got if not x.evidence} >= {1010, 1011, 1012, 1013}
+    assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_toxicity_bounds_its_examples(spark):
+    texts = [(i, f"w{i} common " * 50) for i in range(400)] + [(400, "long " * 300_000)]
+    docs, known = table(spark, texts), spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, label int")
+    by_rows, by_bytes = toxicity.build_index(docs, known, examples=50), toxicity.build_index(docs, known, class_bytes=30_000)
+    assert all(60 < len(m.index.ids) < 140 and 400 not in m.index.ids for m in (by_rows, by_bytes))
+    one = toxicity.build_index(docs, known.where("label = 1"))
+    assert all(x.score > 0.9 for x in toxicity.score(docs, one).collect())
 
 
 def test_pipeline(spark):

@@ -37,10 +37,11 @@ def test_cut_class_keeps_its_share_of_the_votes(spark):
     r.shuffle(rows)
     docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, label int")
-    index = toxicity.build_index(docs, labels, examples=300)
+    model = toxicity.build_index(docs, labels, examples=300)
+    index = model.index
     assert (index.labels == 1).sum() == 300 and 200 < (index.labels == 0).sum() < 400
-    assert len(index.vocabulary) == 1 and abs(index.rate - 0.05) < 0.03
-    one = toxicity.score(spark.createDataFrame([(1, "hint"), (2, "a b")], docs.schema), index).collect()
+    assert len(index.vocabulary) == 9 and abs(index.rate - 1 / 11) < 0.01
+    one = toxicity.score(spark.createDataFrame([(1, "hint"), (2, "a b")], docs.schema), model).collect()
     assert all(x.score < 0.5 for x in one)
-    whole = toxicity.build_index(docs, labels)
-    assert set(whole.weights) == {1.0} and abs(np.exp(index.idf[0] - 1) / np.exp(whole.idf[0] - 1) - 1) < 0.2
+    whole = toxicity.build_index(docs, labels).index
+    assert set(whole.share) == {1.0} and np.allclose(index.factor, whole.factor, rtol=0.5, atol=1.5)
