@@ -39,7 +39,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/strata/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._strata_at = at
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of stage() once nothing is to read it any more."""
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._strata_at)
+    at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 _shipped: set[str] = set()
@@ -77,6 +85,40 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], rows: int, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row for each key of `on` and, as _n, how many rows of left have it.
+
+    A key that holds more than a task's share of left's `rows` rows does not go through the shuffle: there are at most a
+    few such keys for each partition, so their rows of right are broadcast and left's stay where they are. `how` is
+    inner or left; left is read twice, so it should be a table or little work."""
+    most = max(64, rows // (4 * partitions(left.sparkSession)))
+    hot = F.broadcast(right.where(F.col("_n") > most).drop("_n"))  # fewer than 4 rows for each partition
+    cold = left.join(hot.select(*on), on, "left_anti").join(right.where(F.col("_n") <= most).drop("_n"), on, how)
+    return left.join(hot, on).unionByName(cold)
+
+
+def whole_runs(batches, column: str, rows: int):
+    """Tables of at least `rows` rows, cut from sorted batches only where the column's value changes."""
+    held: list[pa.RecordBatch] = []
+    count, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(column).to_numpy()
+        if count >= rows:
+            edge = np.flatnonzero(np.concatenate([[key[0] != last], key[1:] != key[:-1]]))
+            if len(edge):
+                a = int(edge[0])
+                if a:
+                    held.append(batch.slice(0, a))
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, count, batch = [], 0, batch.slice(a)
+        held.append(batch)
+        count, last = count + batch.num_rows, key[-1]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finalizer of SplitMix64 on an array of uint64."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

@@ -3,24 +3,30 @@
 A byte string of SPAN bytes is found through one suffix: the one that starts at the string's minimizer (the least hash
 among its GRAM-byte grams), so equal strings meet at equal suffixes and only about one suffix in (SPAN - GRAM) / 2
 bytes is sorted. Suffixes whose leading gram is unique can't repeat and go no further. The others carry the bytes that
-the strings at their minimizer cover; Spark's sampled splitters range-partition them by these leading bytes; a bucket
-sorts all strings of its suffixes by a leading token and a fingerprint of the whole, and equal neighbours repeat. The
-first and last group of each bucket, which can go on in the next one, are compared across the boundaries.
+the strings at their minimizer cover, before it and after it; Spark's sampled splitters range-partition them by their
+leading bytes, and a partition is read in buckets of bounded size. A bucket sorts its suffixes by multikey quicksort,
+eight bytes at a time, and the bytes before them, backwards, in the same way. Of the two arrays with their longest
+common prefixes, strings are equal where both their parts after and before the minimizer are, byte by byte. Suffixes
+whose leading gram can go on in another bucket are compared across the boundary.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import U64, byte_codes, chunks, partitions, prefix_hash, ship, span_hash, stage
+from strata.llm.common import U64, byte_codes, chunks, discard, partitions, prefix_hash, ship, span_hash, stage
 
 SPAN, GRAM = 200, 40
 #: Suffixes of a bucket, about.
-BUCKET = 8000
+BUCKET = 8192
+#: One suffix in so many is looked at to find the grams that are spread over tasks ahead of the join.
+SAMPLE = 16
 _CODES = byte_codes(False)
 _PLACE_BITS = U64((1 << 21) - 1)
 
@@ -64,7 +70,7 @@ def _keys(span: int, gram: int):
             for i, _, data, offsets in chunks(batch.column(1)):
                 for key, doc, place, _, _ in _anchors(data, offsets, span, gram):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), pa.array(uid[i + doc]), pa.array(place - offsets[doc])], ["key", "uid", "place"]
+                        [pa.array(key.view(np.int64)), pa.array(uid[i + doc]), pa.array((place - offsets[doc]).astype(np.int32))], ["key", "uid", "place"]
                     )
 
     return run
@@ -101,53 +107,138 @@ def _suffixes(span: int, gram: int):
     return run
 
 
-def _bucket(span: int, gram: int):
-    """One range partition: repeats among its strings, and the strings of its first and last group for the next step.
-
-    Rows out: (uid, start, after, null, 0) for runs of bytes that repeat here, and (uid, start, null, hash, weight)."""
-    kind = {"uid": pa.int64(), "start": pa.int64(), "after": pa.int64(), "hash": pa.int64(), "weight": pa.int32()}
-
-    def batch(**columns):
-        n = len(next(iter(columns.values())))
-        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kind.items()], list(kind))
+_MASKS = np.array([0] + [((1 << 8 * k) - 1) << (64 - 8 * k) for k in range(1, 9)], U64)
+_STEPS = np.array([1 << (64 - 8 * k) for k in range(1, 8)], U64)
+
+
+def multikey_sort(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort of the byte strings data[start : start + size], all groups at once: (order, lcp).
+
+    A pass orders the strings of each group that is still tied by its next eight bytes and cuts the group where they
+    differ. lcp[i] is the longest common prefix of strings i - 1 and i of the order; data ends with eight spare bytes."""
+    token = np.ndarray((len(data) - 7,), ">u8", np.ascontiguousarray(data), strides=(1,))
+    n, depth = len(start), 0
+    order, group, lcp = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    live = np.arange(n if n > 1 else 0)
+    while len(live):
+        own = order[live]
+        rest = np.clip(size[own] - depth, 0, 8)
+        key = token[np.minimum(start[own] + depth, len(token) - 1)].astype(U64) & _MASKS[rest]
+        by = np.lexsort((size[own], key, group[live]))  # of equal bytes the shorter string first
+        own, key, in_group = own[by], key[by], group[live]
+        order[live] = own
+        inside = in_group[1:] == in_group[:-1]
+        differs = key[1:] != key[:-1]
+        at = np.flatnonzero(inside & differs) + 1
+        lcp[live[at]] = depth + (key[at] ^ key[at - 1] < _STEPS[:, None]).sum(axis=0)
+        first = np.concatenate([[True], ~inside | differs])
+        cut = np.append(np.flatnonzero(first), len(live))
+        group[live] = np.repeat(live[cut[:-1]], np.diff(cut))
+        depth += 8
+        longest = np.maximum.reduceat(size[own], cut[:-1])
+        open_ = np.repeat((np.diff(cut) > 1) & (longest > depth), np.diff(cut))
+        done = np.flatnonzero(~open_ & ~first)  # equal to the end of the shorter one
+        lcp[live[done]] = size[own[done - 1]]
+        live = live[open_]
+    lcp[1:] = np.minimum(lcp[1:], np.minimum(size[order[1:]], size[order[:-1]]))
+    return order, lcp
+
+
+def _classes(order: np.ndarray, lcp: np.ndarray, length: int) -> np.ndarray:
+    """For each string the class of its first `length` bytes; strings at least so long are equal there if it is."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum.accumulate(np.where(lcp < length, np.arange(len(order)), 0))
+    return out
+
+
+class Suffixes:
+    """Suffixes of a bucket: (right, left) bytes from and before the minimizer, document and first start of each."""
+
+    def __init__(self, batches: list[pa.RecordBatch], span: int):
+        t = pa.Table.from_batches(batches).combine_chunks()
+        self.span, self.n = span, t.num_rows
+        self.uid, self.first = t.column("uid").to_numpy(), t.column("first").to_numpy()
+        right, left = t.column("right").to_pylist(), t.column("left").to_pylist()
+        self.right, self.left = np.array([len(x) for x in right], np.int64), np.array([len(x) for x in left], np.int64)
+        self.data = np.frombuffer(b"".join(x for pair in zip(left, right, strict=True) for x in pair) + bytes(8), np.uint8)
+        self.at = np.cumsum(self.left + self.right) - self.right  # where each minimizer stands
+
+    def repeats(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two tables [suffix, bytes before the minimizer] of the strings: which repeat here, and which of them is one
+        of its equals, chosen to speak for all."""
+        low, high = self.span - self.right, self.left
+        after = multikey_sort(self.data, self.at, self.right)
+        back = np.concatenate([self.data[:-8][::-1], np.zeros(8, np.uint8)])
+        before = multikey_sort(back, len(self.data) - 8 - self.at, self.left)
+        again, speaks = np.zeros((2, self.n, int(high.max()) + 1), bool)
+        for d in range(int(low.min()), int(high.max()) + 1):
+            row = np.flatnonzero((low <= d) & (d <= high))
+            key = _classes(*after, self.span - d)[row] * self.n + _classes(*before, d)[row]
+            by = np.argsort(key, kind="stable")
+            same = np.concatenate([[False], key[by[1:]] == key[by[:-1]], [False]])
+            again[row[by], d] = same[1:] | same[:-1]
+            speaks[row[by], d] = same[1:] & ~same[:-1]
+        return again, speaks
+
+
+_FOUND = {"uid": pa.int64(), "start": pa.int64(), "after": pa.int64(), "digest": pa.binary(), "weight": pa.int32()}
+
+
+def _found(**columns) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in _FOUND.items()], list(_FOUND))
+
+
+def _solve(batches: list[pa.RecordBatch], span: int, gram: int, edges: set[bytes]):
+    """The repeats of a bucket as runs of bytes, and the strings of its suffixes whose gram is one of edges."""
+    s = Suffixes(batches, span)
+    again, speaks = s.repeats()
+    # Strings of a suffix by start: the more bytes before the minimizer, the earlier.
+    width = again.shape[1]
+    padded = np.zeros((s.n, width + 2), np.int8)
+    padded[:, 1:-1] = again[:, ::-1]
+    step = np.diff(padded, axis=1)
+    (row, a), (_, z) = np.nonzero(step == 1), np.nonzero(step == -1)
+    start_of = s.first + s.left - (width - 1)
+    if len(row):
+        yield _found(uid=s.uid[row], start=start_of[row] + a, after=start_of[row] + z - 1 + span)
+    edge = np.array([s.data[i : i + gram].tobytes() in edges for i in s.at.tolist()], bool)
+    if not edge.any():
+        return
+    d, raw = np.arange(width), s.data.tobytes()
+    inside = (span - s.right[:, None] <= d) & (d <= s.left[:, None]) & edge[:, None]
+    for hit, weight in ((inside & ~again, 1), (inside & speaks, 2)):
+        row, before = np.nonzero(hit)
+        if len(row):
+            digests = [hashlib.blake2b(raw[x : x + span], digest_size=16).digest() for x in (s.at[row] - before).tolist()]
+            start = s.first[row] + s.left[row] - before
+            yield _found(uid=s.uid[row], start=start if weight == 1 else np.full(len(row), -1), digest=digests, weight=np.full(len(row), weight, np.int32))
+
+
+def _buckets(span: int, gram: int, size: int):
+    """One range partition, sorted by leading gram, in buckets of about `size` suffixes.
+
+    A bucket ends where the gram changes, so its repeats are all its own, unless one gram has more suffixes than two
+    buckets hold; that gram and those at the ends of the partition are edges, which other buckets can share. Rows out:
+    (uid, start, after) for runs that repeat here, (uid, start, digest, weight) for strings at edges."""
 
     def run(batches):
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        t = pa.Table.from_batches(rows).combine_chunks()
-        uid, first = t.column("uid").to_numpy(), t.column("first").to_numpy()
-        left, right = t.column("left").to_pylist(), t.column("right").to_pylist()
-        data = np.frombuffer(b"".join(x for pair in zip(left, right, strict=True) for x in pair), np.uint8)
-        size = np.array([len(a) + len(b) for a, b in zip(left, right, strict=True)])
-        begin = np.cumsum(size) - size
-        count = size - span + 1
-        row = np.repeat(np.arange(len(size)), count)
-        offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        start = begin[row] + offset
-        h = prefix_hash(data, _CODES)
-        whole, lead = span_hash(h, start, start + span), np.zeros(len(start), U64)
-        for k in range(8):
-            lead = lead << U64(8) | data[start + k]
-        order = np.lexsort((whole, lead))
-        a, b = order[:-1], order[1:]
-        equal = (lead[a] == lead[b]) & (whole[a] == whole[b])
-        repeat = np.zeros(len(start), bool)
-        repeat[a[equal]] = repeat[b[equal]] = True
-        hit = np.flatnonzero(repeat)
-        if len(hit):
-            cut = np.flatnonzero(np.concatenate([[True], (row[hit[1:]] != row[hit[:-1]]) | (hit[1:] != hit[:-1] + 1)]))
-            last = hit[np.append(cut[1:], len(hit)) - 1]
-            hit = hit[cut]
-            yield batch(uid=uid[row[hit]], start=first[row[hit]] + offset[hit], after=first[row[hit]] + offset[last] + span)
-        heads = [r[:gram] for r in right]
-        edge = np.isin(np.arange(len(heads)), [i for ends in (min(heads), max(heads)) for i, x in enumerate(heads) if x == ends])
-        ask = np.flatnonzero(edge[row] & ~repeat)
-        known = np.unique(whole[edge[row] & repeat])
-        ids = np.concatenate([uid[row[ask]], np.zeros(len(known), np.int64)])
-        places = np.concatenate([first[row[ask]] + offset[ask], np.full(len(known), -1)])
-        weight = np.concatenate([np.ones(len(ask), np.int32), np.full(len(known), 2, np.int32)])
-        yield batch(uid=ids, start=places, hash=np.concatenate([whole[ask], known]).view(np.int64), weight=weight)
+        held, count, edges, last = [], 0, set(), None
+        for batch in batches:
+            a, heads = 0, [x.as_py()[:gram] for x in batch.column(0)]
+            for i, head in enumerate(heads):
+                fresh = head != last
+                if last is None:
+                    edges.add(head)
+                if (fresh and count >= size) or count >= 2 * size:
+                    if not fresh:
+                        edges.add(head)
+                    yield from _solve([*held, batch.slice(a, i - a)], span, gram, edges)
+                    held, count, a, edges = [], 0, i, set() if fresh else {head}
+                last, count = head, count + 1
+            held.append(batch.slice(a))
+        if count:
+            yield from _solve(held, span, gram, edges | {last})
 
     return run
 
@@ -184,25 +275,38 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
     can touch or overlap. uid must be unique and stable. Null and shorter texts have none."""
     spark = docs.sparkSession
     ship(spark)
-    keys = docs.select("uid", "text").mapInArrow(_keys(span, gram), "key long, uid long, place long")
-    twice = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    found = keys.join(twice, "key", "left_semi").groupBy("uid").agg(F.collect_set("place").alias("places"))
-    found = stage(found, "places")
-    total = found.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
-    n = max(partitions(spark), -(-total // BUCKET))
+    n = partitions(spark)
+    keys = stage(docs.select("uid", "text").mapInArrow(_keys(span, gram), "key long, uid long, place int"), "keys")
+    found = stage(_repeated_keys(keys, n).groupBy("uid").agg(F.collect_set("place").alias("places")), "places")
+    discard(keys)
     suffixes = docs.join(found, "uid").select("uid", "text", "places").mapInArrow(
         _suffixes(span, gram), "right binary, left binary, uid long, first long"
     )
-    # Order by the leading gram, then so that equal suffixes stand together; splitters are sampled on short keys.
-    buckets = suffixes.repartitionByRange(n, F.substring("right", 1, gram), F.xxhash64("right", "left"), "uid", "first")
-    out = stage(buckets.mapInArrow(_bucket(span, gram), "uid long, start long, after long, hash long, weight int"), "repeats")
-    edges = out.where("hash is not null")
-    more = edges.groupBy("hash").agg(F.sum("weight").alias("n")).where("n > 1")
-    across = edges.where("start >= 0").join(more, "hash", "left_semi").select("uid", "start", (F.col("start") + span).alias("after"))
-    marks = out.where("hash is null").select("uid", "start", "after").union(across)
+    # Splitters are sampled on short keys: the leading gram, then what spreads a common one over several partitions.
+    lead = F.substring("right", 1, gram)
+    ranges = suffixes.repartitionByRange(n, lead, F.xxhash64("right", "left"), "uid", "first").sortWithinPartitions(lead)
+    out = stage(ranges.mapInArrow(_buckets(span, gram, BUCKET), "uid long, start long, after long, digest binary, weight int"), "repeats")
+    edges = out.where("digest is not null")
+    more = edges.groupBy("digest").agg(F.sum("weight").alias("n")).where("n > 1")
+    across = edges.where("start >= 0").join(more, "digest", "left_semi").select("uid", "start", (F.col("start") + span).alias("after"))
+    marks = out.where("digest is null").select("uid", "start", "after").union(across)
     return marks.groupBy("uid").agg(F.collect_list(F.struct("start", "after")).alias("spans"))
 
 
+def _repeated_keys(keys: DataFrame, n: int) -> DataFrame:
+    """keys(key, uid, place) -> (uid, place) of the keys with several rows.
+
+    Keys that a sample shows to hold more rows than a task's share don't go through the join: there are at most a few
+    for each of the n partitions, so they are broadcast, and their rows stay where they are."""
+    some = keys.where(F.pmod(F.xxhash64("uid", "place"), F.lit(SAMPLE)) == 0)
+    common = some.groupBy("key").agg(F.count("*").alias("n"))
+    total = keys.count() // SAMPLE
+    hot = F.broadcast(common.where(F.col("n") >= max(8, total // (4 * n))).select("key"))  # about 4 * n rows at most
+    rest = keys.join(hot, "key", "left_anti")
+    twice = rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return keys.join(hot, "key", "left_semi").select("uid", "place").union(rest.join(twice, "key", "left_semi").select("uid", "place"))
+
+
 def _rewrite(at: int):
     def run(batches):
         for batch in batches:
