@@ -21,6 +21,7 @@ BLAME_EXTENSIONS = (
     "*.go", "*.ts", "*.tsx", "*.py", "*.rs", "*.java", "*.rb", "*.c", "*.h", "*.cpp", "*.hpp", "*.cc", "*.S", "*.scala", "*.hs", "*.ml",
     "*.mli",
 )
+CONVENTION_DIRS = ("services", "packages", "apps", "modules", "libs")
 BOTS = ("github-actions[bot]", "renovate[bot]", "dependabot[bot]")
 WEIGHTS = {
     "production": 0.15,
@@ -48,6 +49,9 @@ class Config:
     high: float = 0.60
     breadth_unit: str = "auto"
     breadth_min_commits: int = 3
+    default_domains: bool = True
+    blame_timeout: int = 120  # of runs that call the version-control tool; the readers here take its dumps
+    convention_dirs: tuple[str, ...] = CONVENTION_DIRS
     exclude_files: tuple[str, ...] = EXCLUDE_FILES
     architecture: tuple[str, ...] = ARCHITECTURE
     blame_extensions: tuple[str, ...] = BLAME_EXTENSIONS
@@ -91,6 +95,31 @@ def _domains(raw) -> dict[str, dict]:
     return {n: ({"repos": list(v)} if isinstance(v, list) else dict(v or {})) for n, v in (raw or {}).items()}
 
 
+# Other names of settings in files; a dotted name stands for a value inside a group.
+OTHER_NAMES = {
+    "exclude_file_patterns": "exclude_files",
+    "architecture_patterns": "architecture",
+    "max_blame_file_bytes": "max_file_bytes",
+    "untested_survival_weight": "untested_weight",
+    "module_convention_dirs": "convention_dirs",
+    "bus_factor.critical": "critical",
+    "bus_factor.high": "high",
+    "breadth.unit": "breadth_unit",
+    "breadth.min_commits": "breadth_min_commits",
+}
+
+
+def _renamed(raw: dict) -> dict:
+    """raw with the settings' own names; null settings keep their defaults."""
+    flat = {}
+    for name, value in raw.items():
+        if name in ("bus_factor", "breadth"):
+            flat |= {f"{name}.{k}": v for k, v in (value or {}).items()}
+        else:
+            flat[name] = value
+    return {OTHER_NAMES.get(k, k): v for k, v in flat.items() if v is not None}
+
+
 def load_config(path: str) -> Config:
     """Reads a JSON or (where a YAML parser is installed) YAML file; unknown settings are an error."""
     text = Path(path).read_text()
@@ -102,6 +131,7 @@ def load_config(path: str) -> Config:
         except ImportError as e:
             raise RuntimeError("reading YAML needs the yaml package; JSON needs nothing") from e
         raw = yaml.safe_load(text) or {}
+    raw = _renamed(raw)
     known = {f.name for f in fields(Config)}
     if unknown := set(raw) - known:
         raise ValueError(f"unknown settings: {sorted(unknown)}")

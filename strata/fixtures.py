@@ -42,7 +42,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "commit_parents": (("c",), """SELECT repo, commit_id, 1 AS pos, CASE WHEN is_merge THEN commit_id-12 ELSE commit_id-4 END AS parent_id
   FROM c WHERE commit_id >= 12 UNION ALL SELECT repo, commit_id, 2, commit_id-4 FROM c WHERE is_merge AND commit_id >= 12"""),
     "files": (("p", "c"), """SELECT r.repo, p.path, CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE CAST(p_size*150000 AS BIGINT) END AS size_bytes
-  FROM p CROSS JOIN (SELECT DISTINCT repo FROM c) r"""),
+  FROM p CROSS JOIN (SELECT DISTINCT repo FROM c) r
+  UNION ALL SELECT 'repo0', CONCAT(regexp_replace(path, '[.]go$', ''), '_test.go'), CAST(100 AS BIGINT) FROM p
+  WHERE p_partkey % 15 = 5 AND p_size % 10 <> 0"""),
     "line_lives": (("c", "p"), """SELECT c.repo, p.path, CASE WHEN l.l_quantity <= 2*p.bn THEN CONCAT('dev', CAST(p.bn % 8 AS STRING))
   ELSE c.author END AS author, l.l_shipdate AS born_at,
   CASE WHEN l.l_returnflag='R' THEN l.l_shipdate + l.l_linenumber * INTERVAL '200' DAY END AS died_at
@@ -93,12 +95,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({f.name: df[f.name].cast("timestamp") for f in df.schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
-def scale(sf_dir: str) -> float:
-    found = re.search(r"sf([0-9.]+)/?$", sf_dir)
-    return float(found[1]) if found else 0.1
+#: The two settings that follow the amount of data, as SQL.
+DAILY_REF = "((SELECT COUNT(*) FROM orders) / 75e0)"
+MIN_LINES = "greatest(1, (SELECT COUNT(*) FROM orders) // 15)"
 
 
-def fixture_config(sf_dir: str) -> Config:
-    """Settings that suit the derived relations; two of them follow the amount of data."""
-    sf = scale(sf_dir)
-    return Config(tau=720.0, active_days=150.0, production_daily_ref=20000 * sf, min_substantial_lines=max(1, round(100000 * sf)))
+def fixture_config(spark: SparkSession, sf_dir: str) -> Config:
+    """Settings that suit the derived relations; two of them follow the number of orders."""
+    n = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    return Config(tau=720.0, active_days=150.0, production_daily_ref=max(n, 1) / 75, min_substantial_lines=max(1, n // 15))

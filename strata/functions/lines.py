@@ -51,9 +51,22 @@ def _step(state: Column, raw: Column, family: str) -> Column:
     return F.struct(next_end.alias("end"), F.concat(state["flags"], F.array(skip)).alias("flags"))
 
 
+#: Lines that a fold appends to one array; a longer file is an array of such arrays, as each append copies the array.
+PART = 256
+
+
 def _fold(lines: Column, family: str) -> Column:
-    start = F.struct(F.lit("").alias("end"), F.array().cast("array<boolean>").alias("flags"))
-    return F.aggregate(lines, start, lambda s, x: _step(s, x, family), lambda s: s["flags"])
+    none = F.array().cast("array<boolean>")
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / PART).cast("int")), lambda i: F.slice(lines, i * PART + 1, F.lit(PART)))
+
+    def step(state: Column, part: Column) -> Column:
+        start = F.struct(state["end"].alias("end"), none.alias("flags"))
+        done = F.aggregate(part, start, lambda s, x: _step(s, x, family))
+        both = lambda r: F.struct(r["end"].alias("end"), F.concat(state["parts"], F.array(r["flags"])).alias("parts"))
+        return F.transform(F.array(done), both)[0]
+
+    start = F.struct(F.lit("").alias("end"), F.array().cast("array<array<boolean>>").alias("parts"))
+    return F.when(F.size(lines) > 0, F.aggregate(parts, start, step, lambda s: F.flatten(s["parts"]))).otherwise(none)
 
 
 def skip_flags(lang: Column, lines: Column) -> Column:

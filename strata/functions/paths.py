@@ -11,17 +11,23 @@ from pyspark.sql import functions as F
 
 # File extensions and names of each comment family.
 LANGUAGES = {
-    "c": ".go .java .c .cc .cpp .cxx .h .hh .hpp .hxx .cs .js .jsx .mjs .cjs .ts .tsx .rs .swift .kt .kts .scala .sc .dart .php .m .mm .groovy .gradle",
-    "python": ".py .pyw .pyi",
-    "ruby": ".rb .rbi .rake",
-    "hash": ".sh .bash .zsh .fish .ksh .yaml .yml .toml .ini .cfg .conf .tf .tfvars .hcl .pl .pm .r",
-    "html": ".html .htm .xml .vue .svelte .xhtml",
-    "sql": ".sql",
-    "lua": ".lua",
-    "haskell": ".hs .lhs .elm",
-    "prose": ".md .markdown .mdx .txt .rst .adoc .asciidoc .tex .org",
-}
-HASH_NAMES = "dockerfile makefile gemfile rakefile brewfile procfile vagrantfile"
+    "c": (
+        ".go", ".java", ".c", ".cc", ".cpp", ".cxx", ".h", ".hh", ".hpp", ".hxx", ".cs", ".js", ".jsx", ".mjs", ".cjs", ".ts",
+        ".tsx", ".rs", ".swift", ".kt", ".kts", ".scala", ".sc", ".dart", ".php", ".m", ".mm", ".groovy", ".gradle",
+    ),
+    "python": (".py", ".pyw", ".pyi"),
+    "ruby": (".rb", ".rbi", ".rake"),
+    "hash": (
+        ".sh", ".bash", ".zsh", ".fish", ".ksh", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".conf", ".tf", ".tfvars", ".hcl",
+        ".pl", ".pm", ".r",
+    ),
+    "html": (".html", ".htm", ".xml", ".vue", ".svelte", ".xhtml"),
+    "sql": (".sql",),
+    "lua": (".lua",),
+    "haskell": (".hs", ".lhs", ".elm"),
+    "prose": (".md", ".markdown", ".mdx", ".txt", ".rst", ".adoc", ".asciidoc", ".tex", ".org"),
+}
+HASH_NAMES = ("dockerfile", "makefile", "gemfile", "rakefile", "brewfile", "procfile", "vagrantfile")
 FIX_SUBJECT = r"(?i)^[^\w]*(?:\[?\s*(?:fix|revert|hotfix)\s*\]?[:/\s])"
 
 
@@ -134,11 +140,11 @@ def test_siblings(path: Column) -> Column:
 
 def detect_lang(path: Column) -> Column:
     """The comment family of a file: of its extension, else of its name, else "unknown"."""
-    pairs = [(e, lang) for lang, exts in LANGUAGES.items() for e in exts.split()]
+    pairs = [(e, lang) for lang, exts in LANGUAGES.items() for e in exts]
     known = F.create_map(*(F.lit(x) for pair in pairs for x in pair))
     return F.coalesce(
         F.try_element_at(known, ext_of(path)),
-        F.when(F.lower(base_of(path)).isin(HASH_NAMES.split()), F.lit("hash")),
+        F.when(F.lower(base_of(path)).isin(*HASH_NAMES), F.lit("hash")),
         F.lit("unknown"),
     )
 

@@ -27,6 +27,14 @@ def period_label(start: Column, span: str) -> Column:
     raise ValueError(f"span must be one of {sorted(SPANS)}")
 
 
+def period_range(times: DataFrame, span: str, at: str = "committed_at") -> DataFrame:
+    """(label, start, end) half-open windows that cover the times of a table, from the first day of the first year on."""
+    step = F.expr(f"INTERVAL {SPANS[span]}")
+    ends = times.agg(F.date_trunc("year", F.min(at)).alias("first"), F.max(at).alias("last")).where("first is not null")
+    starts = ends.select(F.explode(F.sequence("first", "last", step)).alias("start"))
+    return starts.select(period_label(F.col("start"), span).alias("label"), "start", (F.col("start") + step).alias("end"))
+
+
 def build_periods(spark: SparkSession, span: str, as_of: datetime, since: datetime | None = None, n: int | None = None) -> DataFrame:
     """(label, start, end) half-open windows: forward from `since` (the last is cut at as_of), or n windows back."""
     step, now = f"INTERVAL {SPANS[span]}", F.lit(as_of).cast("timestamp")

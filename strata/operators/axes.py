@@ -22,6 +22,17 @@ def as_of_column(as_of) -> Column:
     return as_of if isinstance(as_of, Column) else F.lit(as_of if isinstance(as_of, datetime) else str(as_of)).cast("timestamp")
 
 
+def line_groups(blame: DataFrame) -> DataFrame:
+    """Equal lines (of one file, author and time) as one row with their number in `lines`; the operators below take
+    blame in either form."""
+    return blame.groupBy("repo", "path", "author", "committed_at").agg(F.count("*").alias("lines"))
+
+
+def lines_of(blame: DataFrame) -> Column:
+    """How many lines a row of blame stands for."""
+    return F.col("lines") if "lines" in blame.columns else F.lit(1).cast("long")
+
+
 # --- from the log ------------------------------------------------------------------------------------------------
 
 
@@ -87,7 +98,7 @@ def commit_modules(changes: DataFrame) -> DataFrame:
 def change_pressure(modules: DataFrame, blame: DataFrame) -> DataFrame:
     """Commits that touch a module over its surviving lines; without lines the commits, without commits 0."""
     touched = modules.groupBy("repo", "module").agg(F.count("*").alias("commits"))
-    lines = blame.groupBy("repo", module_of(F.col("path")).alias("module")).agg(F.count("*").alias("lines"))
+    lines = blame.groupBy("repo", module_of(F.col("path")).alias("module")).agg(F.sum(lines_of(blame)).alias("lines"))
     both = touched.join(lines, ["repo", "module"], "full")
     commits, n = F.coalesce("commits", F.lit(0)), F.coalesce("lines", F.lit(0))
     return both.select("repo", "module", F.when(n > 0, commits / n).otherwise(commits.cast("double")).alias("pressure"))
@@ -99,7 +110,7 @@ def median_pressure(pressure: DataFrame, by=("repo",)) -> DataFrame:
 
 def pressure_threshold(blame: DataFrame, pressure: DataFrame, min_lines: int, min_share: float = 0.10) -> DataFrame:
     """The median pressure of a repository, or infinity where fewer than two authors own min_share and min_lines."""
-    lines = blame.groupBy("repo", "author").agg(F.count("*").alias("lines"))
+    lines = blame.groupBy("repo", "author").agg(F.sum(lines_of(blame)).alias("lines"))
     share = F.col("lines") / F.sum("lines").over(Window.partitionBy("repo"))
     large = lines.withColumn("large", (F.col("lines") >= min_lines) & (share >= min_share))
     authors = large.groupBy("repo").agg(F.count_if("large").alias("substantial"))
@@ -150,11 +161,11 @@ def survival(lines: DataFrame, as_of, cfg: Config, by=(), alpha: float | None =
 
     Without split pressure is ignored (robust and dormant null); alpha weighs untested lines (1: all equal)."""
     alpha = cfg.untested_weight if alpha is None else alpha
-    w = F.exp(-days_between(as_of_column(as_of), F.col("committed_at")) / cfg.tau)
+    w = F.exp(-days_between(as_of_column(as_of), F.col("committed_at")) / cfg.tau) * lines_of(lines)
     tested = F.col("is_tested")
     weighed = w * F.when(tested, 1.0).otherwise(float(alpha))
     parts = [
-        F.count("*").alias("raw_survival"),
+        F.sum(lines_of(lines)).alias("raw_survival"),
         F.sum(weighed).alias("survival"),
         F.sum(F.when(tested, w).otherwise(0.0)).alias("tested_survival"),
         F.sum(F.when(tested, 0.0).otherwise(w)).alias("untested_survival"),
@@ -174,14 +185,15 @@ def merge_module_survival(per_repo: DataFrame) -> DataFrame:
     """The order-dependent merge over repositories: from the second on, the mean of what there was and the new value."""
     ordered = per_repo.groupBy("module").agg(F.array_sort(F.collect_list(F.struct("repo", "survival"))).alias("s"))
     fold = F.aggregate(
-        F.slice("s", 2, 1_000_000), F.col("s")[0]["survival"], lambda a, x: (a + x["survival"]) / 2
+        F.slice("s", F.lit(2), F.size("s")), F.col("s")[0]["survival"], lambda a, x: (a + x["survival"]) / 2
     )
     return ordered.select("module", fold.alias("survival"))
 
 
 def owners(blame: DataFrame, module: Column, by=("repo",)) -> DataFrame:
     """(.., module, author, n, total, share, rank): authors' lines in a module, most first, ties by name."""
-    n = blame.select(*by, module.alias("module"), "author").where(F.col("module").isNotNull()).groupBy(*by, "module", "author").agg(F.count("*").alias("n"))
+    rows = blame.select(*by, module.alias("module"), "author", lines_of(blame).alias("n")).where(F.col("module").isNotNull())
+    n = rows.groupBy(*by, "module", "author").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*by, "module")
     return (
         n.withColumn("total", F.sum("n").over(w))
@@ -243,7 +255,7 @@ def fix_sample(commits: DataFrame, n: int = 50, by=("repo",)) -> DataFrame:
 def debt_events(fix_files: DataFrame, blame: DataFrame) -> DataFrame:
     """fix_files(repo, path, commit_id, fixer, fix_at), blame -> (repo, fixer, original, lines): lines of others that
     stood in a fixed file before the fix. Lines are counted by (file, author, time) before the join."""
-    lines = blame.groupBy("repo", "path", "author", "committed_at").agg(F.count("*").alias("lines"))
+    lines = blame if "lines" in blame.columns else line_groups(blame)
     joined = fix_files.join(lines.where(F.col("author") != ""), ["repo", "path"]).where(
         (F.col("committed_at") < F.col("fix_at")) & (F.col("author") != F.col("fixer"))
     )

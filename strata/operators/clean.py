@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,15 +37,15 @@ def exclude_files(df: DataFrame, patterns) -> DataFrame:
     return df.where(~matches_any(F.col("path"), patterns))
 
 
-def effectively_reverted(reverts: DataFrame, rounds: int = 64) -> DataFrame:
+def effectively_reverted(reverts: DataFrame) -> DataFrame:
     """reverts(repo, revert_id, reverted_id) -> (repo, commit_id) of commits that some standing commit reverts.
 
     A commit falls when a commit that reverts it stands, and stands when all that revert it have fallen. Runs a
-    checkpointed job per level of revert-of-revert chains; cycles stay undecided and count as not reverted."""
+    checkpointed job per level of revert-of-revert chains, however deep; cycles stay undecided and count as not reverted."""
     edges = reverts.select("repo", "revert_id", F.col("reverted_id").alias("commit_id")).distinct()
     reverters = edges.select("repo", F.col("revert_id").alias("commit_id")).distinct()
     known = reverters.join(edges, ["repo", "commit_id"], "left_anti").withColumn("stands", F.lit(True))
-    for _ in range(rounds):
+    while True:
         by = known.select("repo", F.col("commit_id").alias("revert_id"), "stands")
         seen = edges.join(by, ["repo", "revert_id"], "left").groupBy("repo", "commit_id").agg(
             F.coalesce(F.max("stands"), F.lit(False)).alias("hit"), F.count_if(F.col("stands").isNull()).alias("open")
@@ -58,11 +59,23 @@ def effectively_reverted(reverts: DataFrame, rounds: int = 64) -> DataFrame:
 
 
 def shared_folder(spark) -> str:
-    """A fresh name in the folder that driver and executors share (spark.checkpoint.dir; a local one where it is unset)."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
+    """A fresh name in the folder that driver and executors share (spark.checkpoint.dir); where it is unset a local one,
+    but only if driver and executors are one process."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        at = "file://" + tempfile.gettempdir()
     return f"{at}/strata-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back: read often, computed once, kept if executors go."""
+    at = shared_folder(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def _cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -70,7 +83,7 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def expand_merge(merges: DataFrame, parents: DataFrame, rounds: int = 10_000) -> DataFrame:
+def expand_merge(merges: DataFrame, parents: DataFrame) -> DataFrame:
     """merges(repo, commit_id), parents(repo, commit_id, pos, parent_id, parent_order) -> (repo, commit_id): what each
     merge brought in, reachable from it but not from its first parent.
 
@@ -88,7 +101,7 @@ def expand_merge(merges: DataFrame, parents: DataFrame, rounds: int = 10_000) ->
         out = frontier.select("repo", "root", "commit_id").join(edges, ["repo", "commit_id"]).select("repo", "root", F.col("parent_id").alias("commit_id"), "at")
         return out.dropDuplicates(key).join(found, key, "left_anti")
 
-    for _ in range(rounds):
+    while True:
         edge = _cut(step(edge, side).join(main, key, "left_anti"))
         side = _cut(side.union(edge))
         oldest = side.groupBy("repo", "root").agg(F.min("at").alias("oldest"))

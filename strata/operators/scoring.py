@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.config import Config
-from strata.functions.soft import highness, lowness, not_low, pick_best
+from strata.functions.soft import NONE, cross_repo_pattern, highness, lowness, not_low, pick_best
 from strata.operators.axes import as_of_column, days_between, production_rate
 
 AXES = ("production", "quality", "survival", "design", "breadth", "debt_cleanup", "indispensability")
@@ -148,6 +148,21 @@ def with_labels(df: DataFrame) -> DataFrame:
     return df.withColumns({"role": pick_best(role_rules()), "style": pick_best(style_rules()), "state": pick_best(state_rules())})
 
 
+def author_repo_matrix(per_repo: DataFrame, overall: DataFrame) -> DataFrame:
+    """per_repo(author, repo, impact, role), overall(author, impact) -> (author, place, cells, pattern), an author a row.
+
+    place: the author's rank by overall impact; cells: (repo, cell) in repo order, the cell being role and impact, or the
+    impact alone without a role; a repository without the author has no cell. pattern: how the role carries over."""
+    shown = F.bround("impact", 0).cast("long").cast("string")
+    none = F.coalesce("role", F.lit("")).isin("", NONE)
+    cell = F.struct("repo", F.when(none, shown).otherwise(F.concat("role", F.lit(" "), shown)).alias("cell"), F.coalesce("role", F.lit("")).alias("role"))
+    rows = per_repo.groupBy("author").agg(F.array_sort(F.collect_list(cell)).alias("x"))
+    cells = F.transform("x", lambda x: F.struct(x["repo"].alias("repo"), x["cell"].alias("cell")))
+    pattern = cross_repo_pattern(F.transform("x", lambda x: x["role"]))
+    placed = rank_by_impact(overall.select("author", "impact")).select("author", F.col("rank").alias("place"))
+    return placed.join(rows, "author", "left").select("author", "place", F.coalesce(cells, F.array()).alias("cells"), F.coalesce(pattern, F.lit(NONE)).alias("pattern"))
+
+
 def drop_ghosts(scores: DataFrame) -> DataFrame:
     return scores.where(~((F.col("total_commits") == 0) & (F.col("impact") == 0)))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strata.fixtures import AS_OF, fixture_config
+from strata.fixtures import AS_OF, MIN_LINES, fixture_config
 from strata.operators import axes, modules, sampling
 from strata.plans.registry import SQL_AS_OF, SQL_BASE, SQL_IS_FIX, SQL_IS_TEST, H, L, query, rounded, sql_conf, sql_days, sql_dir, sql_module, sql_pick
 
@@ -16,7 +16,7 @@ PR = (
 AL = "al AS (SELECT repo, author, COUNT(*) AS lines, SUM(COUNT(*)) OVER (PARTITION BY repo) AS total FROM b GROUP BY repo, author)"
 TH = (
     "th AS (SELECT repo, substantial, CASE WHEN substantial >= 2 THEN median ELSE CAST('Infinity' AS DOUBLE) END AS threshold FROM "
-    "(SELECT repo, COUNT(*) FILTER (lines >= 1000 AND lines / CAST(total AS DOUBLE) >= 0.1e0) AS substantial FROM al GROUP BY repo) JOIN (SELECT repo, quantile_cont(pressure, 0.5) AS median FROM pr GROUP BY repo) USING (repo))"
+    f"(SELECT repo, COUNT(*) FILTER (lines >= {MIN_LINES} AND lines / CAST(total AS DOUBLE) >= 0.1e0) AS substantial FROM al GROUP BY repo) JOIN (SELECT repo, quantile_cont(pressure, 0.5) AS median FROM pr GROUP BY repo) USING (repo))"
 )
 STEM = f"regexp_replace({SQL_BASE}, '[.][^.]*$', '')"
 EXT = f"regexp_extract({SQL_BASE}, '([.][^.]*)$', 1)"
@@ -37,28 +37,28 @@ def pressure(v):
     return axes.change_pressure(axes.commit_modules(v("fc")), v("b"))
 
 
-def enriched(v, d):
+def enriched(v, s, d):
     p = pressure(v)
-    limits = axes.pressure_threshold(v("b"), p, fixture_config(d).min_substantial_lines)
+    limits = axes.pressure_threshold(v("b"), p, fixture_config(s, d).min_substantial_lines)
     return axes.enrich_blame(v("b"), p, axes.file_tested(v("files"))).join(limits.select("repo", "threshold"), "repo", "left")
 
 
 query("change_pressure", lambda v, s, d: rounded(pressure(v), 6), "SELECT repo, module, ROUND(pressure, 6) AS pressure FROM pr", "fc b", CM, PR)
 query("median_pressure", lambda v, s, d: rounded(axes.median_pressure(pressure(v)), 6), "SELECT repo, ROUND(quantile_cont(pressure, 0.5), 6) AS median FROM pr GROUP BY repo", "fc b", CM, PR)
 query("pressure_across_repos", lambda v, s, d: rounded(pressure(v).groupBy("module").agg(F.avg("pressure").alias("pressure")), 6), "SELECT module, ROUND(AVG(pressure), 6) AS pressure FROM pr GROUP BY module", "fc b", CM, PR)
-query("substantial_authors", lambda v, s, d: rounded(axes.pressure_threshold(v("b"), pressure(v), fixture_config(d).min_substantial_lines), 6),
+query("substantial_authors", lambda v, s, d: rounded(axes.pressure_threshold(v("b"), pressure(v), fixture_config(s, d).min_substantial_lines), 6),
       "SELECT repo, substantial, ROUND(threshold, 6) AS threshold FROM th", "fc b", CM, PR, AL, TH)
 query("tested_sibling", lambda v, s, d: axes.sibling_tested(v("files")), "SELECT repo, path FROM sb", "files", FT)
 query("tested_files", lambda v, s, d: axes.file_tested(v("files")), "SELECT repo, path, module, is_test, is_tested FROM ft", "files", FT)
 query("test_coverage", lambda v, s, d: rounded(axes.test_coverage(axes.file_tested(v("files")), "BE"), 6),
       "SELECT 'BE' AS domain, module, COUNT(*) AS files, COUNT(*) FILTER (is_test) AS tests, ROUND(COUNT(*) FILTER (is_test) / CAST(COUNT(*) AS DOUBLE), 6) AS ratio FROM ft GROUP BY GROUPING SETS ((), (module))", "files", FT)
-query("blame_enrich", lambda v, s, d: rounded(enriched(v, d).groupBy("repo", "is_tested").agg(F.count("*").alias("lines"), F.sum("pressure").alias("pressure"))),
+query("blame_enrich", lambda v, s, d: rounded(enriched(v, s, d).groupBy("repo", "is_tested").agg(F.count("*").alias("lines"), F.sum("pressure").alias("pressure"))),
       "SELECT repo, is_tested, COUNT(*) AS lines, ROUND(SUM(pressure), 4) AS pressure FROM en GROUP BY repo, is_tested", "fc b files", *ALL)
 WD = "w * CASE WHEN is_tested THEN 1e0 ELSE 0.5e0 END"
-query("survival", lambda v, s, d: rounded(axes.survival(enriched(v, d), AS_OF, fixture_config(d), ("repo",)), 3),
+query("survival", lambda v, s, d: rounded(axes.survival(enriched(v, s, d), AS_OF, fixture_config(s, d), ("repo",)), 3),
       f"SELECT repo, author, COUNT(*) AS raw_survival, ROUND(SUM({WD}), 3) AS survival, ROUND(SUM(CASE WHEN is_tested THEN w ELSE 0 END), 3) AS tested_survival, ROUND(SUM(CASE WHEN is_tested THEN 0 ELSE w END), 3) AS untested_survival, "
       f"ROUND(SUM(CASE WHEN pressure >= threshold THEN {WD} ELSE 0 END), 3) AS robust_survival, ROUND(SUM(CASE WHEN pressure >= threshold THEN 0 ELSE {WD} END), 3) AS dormant_survival FROM en GROUP BY repo, author", "fc b files", *ALL)
-query("survival_classic", lambda v, s, d: rounded(axes.survival(enriched(v, d), AS_OF, fixture_config(d), alpha=1.0, split=False), 3),
+query("survival_classic", lambda v, s, d: rounded(axes.survival(enriched(v, s, d), AS_OF, fixture_config(s, d), alpha=1.0, split=False), 3),
       "SELECT author, COUNT(*) AS raw_survival, ROUND(SUM(w), 3) AS survival, ROUND(SUM(CASE WHEN is_tested THEN w ELSE 0 END), 3) AS tested_survival, ROUND(SUM(CASE WHEN is_tested THEN 0 ELSE w END), 3) AS untested_survival FROM en GROUP BY author", "fc b files", *ALL)
 MS = f"ms AS (SELECT repo, {sql_module()} AS module, AVG(exp(-{sql_days(SQL_AS_OF, 'committed_at')} / 720e0)) AS survival FROM b GROUP BY 1, 2)"
 query("module_survival", lambda v, s, d: rounded(axes.module_survival(v("b"), AS_OF, 720.0), 6), "SELECT repo, module, ROUND(survival, 6) AS survival FROM ms", "b", MS)
@@ -67,8 +67,8 @@ query("module_survival_merge", lambda v, s, d: rounded(axes.merge_module_surviva
 
 OW = f"ow AS (SELECT repo, {sql_module()} AS module, author, COUNT(*) AS n FROM b GROUP BY 1, 2, 3), os AS (SELECT *, n / CAST(SUM(n) OVER (PARTITION BY repo, module) AS DOUBLE) AS share, row_number() OVER (PARTITION BY repo, module ORDER BY n DESC, author) AS r FROM ow)"
 BF = "bf AS (SELECT repo, module, author, share, CASE WHEN share >= 0.8e0 THEN 'CRITICAL' ELSE 'HIGH' END AS level FROM os WHERE r = 1 AND share >= 0.6e0)"
-query("bus_factor", lambda v, s, d: rounded(axes.bus_factor(v("b"), fixture_config(d)), 6), "SELECT repo, module, author, ROUND(share, 6) AS share, level FROM bf", "b", OW, BF)
-query("indispensability", lambda v, s, d: axes.indispensability(axes.bus_factor(v("b"), fixture_config(d))), "SELECT author, SUM(CASE level WHEN 'CRITICAL' THEN 1e0 ELSE 0.5e0 END) AS indispensability FROM bf GROUP BY author", "b", OW, BF)
+query("bus_factor", lambda v, s, d: rounded(axes.bus_factor(v("b"), fixture_config(s, d)), 6), "SELECT repo, module, author, ROUND(share, 6) AS share, level FROM bf", "b", OW, BF)
+query("indispensability", lambda v, s, d: axes.indispensability(axes.bus_factor(v("b"), fixture_config(s, d))), "SELECT author, SUM(CASE level WHEN 'CRITICAL' THEN 1e0 ELSE 0.5e0 END) AS indispensability FROM bf GROUP BY author", "b", OW, BF)
 OWN = (
     "own AS (SELECT repo, module, CAST(SUM(n) AS BIGINT) AS lines, COUNT(*) AS authors, MAX(author) FILTER (r = 1) AS top_author, MAX(share) FILTER (r = 1) AS top_share, greatest(-SUM(share * log2(share)), 0e0) AS entropy FROM os GROUP BY repo, module), "
     "owl AS (SELECT *, CASE WHEN authors = 1 THEN 'SOLE_OWNER' WHEN top_share >= 0.8e0 THEN 'CONCENTRATED' WHEN top_share >= 0.4e0 THEN 'HEALTHY' ELSE 'FRAGMENTED' END AS level FROM own)"

@@ -81,7 +81,7 @@ query("exclude_files", lambda v, s, d: clean.exclude_files(v("p").select("path")
       "SELECT path FROM p WHERE NOT (regexp_matches(regexp_extract(path, '([^/]*)$', 1), '^[^/]*1_test[^/]*$') OR regexp_matches(path, '^services/b1[^/]*/core/[^/]*$') OR regexp_matches(regexp_extract(path, '([^/]*)$', 1), '^f2[^/][.]py$'))", "p")
 query("blame_ext_filter", lambda v, s, d: v("p").where(paths.has_extension(F.col("path"), ["*.go", "*.py", "/hooks/"])).select("path"),
       "SELECT path FROM p WHERE path LIKE '%.go' OR path LIKE '%.py' OR path LIKE '%/hooks/%'", "p")
-query("size_filter", lambda v, s, d: v("files").where(F.col("size_bytes").isNull() | (F.col("size_bytes") <= fixture_config(d).max_file_bytes)),
+query("size_filter", lambda v, s, d: v("files").where(F.col("size_bytes").isNull() | (F.col("size_bytes") <= fixture_config(s, d).max_file_bytes)),
       "SELECT repo, path, size_bytes FROM files WHERE size_bytes IS NULL OR size_bytes <= 5242880", "files")
 query("period_label",
       lambda v, s, d: v("c").select("commit_id", *(period_label(F.col("committed_at"), x).alias(f"p_{x}") for x in ("1w", "1m", "3m", "6m", "1y"))),

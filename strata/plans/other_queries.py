@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 from strata.functions import lines, paths, sql
 from strata.operators import axes, modules, scoring, teams, timelines
 from strata.plans import blame_queries, score_queries, timeline_queries
-from strata.plans.registry import SQL_IS_FIX, H, L, N, query, sql_module
+from strata.plans.registry import SQL_IS_FIX, H, L, N, query, sql_conf, sql_module
 from strata.sources import writers
 from strata.streaming import activity as live
 
 
 def text_lines(spark, sf_dir):
-    """Document texts under .py and .md names and pages under .html names, as arrays of lines."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    """Document texts under .py and .md names and pages under .html names, as arrays of lines; a null text has none."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     name = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".py").otherwise(".md"))
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").where("html is not null")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     page = F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html"))
-    return docs.select(name.alias("path"), F.split("text", "\n").alias("lines")).union(pages.select(page, F.split("html", "\n")))
+    lines_ = lambda c: F.coalesce(F.split(c, "\n"), F.array().cast("array<string>")).alias("lines")
+    return docs.select(name.alias("path"), lines_("text")).union(pages.select(page, lines_("html")))
 
 
 def comment_filter(v, s, d):
@@ -71,7 +72,7 @@ def timeline_rows(s, d):
 
 
 def report(v, s, d):
-    cfg, by = score_queries.fixture_config(d), F.lit("BE").alias("domain")
+    cfg, by = score_queries.fixture_config(s, d), F.lit("BE").alias("domain")
     r = score_queries.relations(v).cleaned(cfg)
     scores = scoring.rank_by_impact(score_queries.author_scores(r, cfg, score_queries.AS_OF))
     named = lambda df: df.select("*", by)
@@ -81,11 +82,29 @@ def report(v, s, d):
 
 
 query("sink_domain_json", report)
-query("sink_rankings_csv", lambda v, s, d: writers.rankings_csv(scoring.rank_by_impact(score_queries.grid(s, d).withColumns({"domain": F.lit("BE"), "lines_added": F.col("n"), "lines_deleted": F.lit(None).cast("long")}))),)
-query("sink_team_csv", lambda v, s, d: writers.team_csv(score_queries.labelled_teams(s, d)))
+# What prints with a fixed number of digits rounds halves up, and a null prints as 0.
+text = lambda c, digits=1, name=None: f"printf('%.{digits}f', round(CAST(coalesce({c}, 0) AS DOUBLE), {digits})) AS {name or c}"
+LABELS = ", ".join(f"{x}.n AS {a}, printf('%.2f', {sql_conf(x)}) AS {a}_conf" for a, x in (("role", "rl"), ("style", "sy"), ("state", "se")))
+query("sink_rankings_csv", lambda v, s, d: writers.rankings_csv(scoring.rank_by_impact(score_queries.grid(s, d).withColumns({"domain": F.lit("BE"), "lines_added": F.col("n"), "lines_deleted": F.lit(None).cast("long")}))),
+      "SELECT 'BE' AS domain, CAST(row_number() OVER (ORDER BY impact DESC, author) AS VARCHAR) AS rank, author AS member, CAST(recently_active AS VARCHAR) AS active, CAST(total_commits AS VARCHAR) AS commits, CAST(n AS VARCHAR) AS lines_added, '0' AS lines_deleted, "
+      + ", ".join(text(a) for a in writers.AXES) + f", {LABELS} FROM sl", "score_grid", score_queries.GRID, score_queries.SL)
+TEAM_TEXT = "CAST(core_members AS VARCHAR) AS core_members, CAST(effective_members AS VARCHAR) AS effective_members, CAST(total_members AS VARCHAR) AS total_members, ch.n AS character, structure_name AS structure, culture_name AS culture, phase_name AS phase, risk_name AS risk, "
+query("sink_team_csv", lambda v, s, d: writers.team_csv(score_queries.labelled_teams(s, d)),
+      f"SELECT team, 'BE' AS domain, '5' AS repos, {TEAM_TEXT}" + ", ".join([*(text(f"avg_{a}") for a in teams.AVERAGES), *(text(h, 2 if h in ("aar", "anchor_density", "architecture_coverage") else 1) for h in writers.HEALTH)]) + " FROM tch",
+      "score_grid", *score_queries.TEAM_CTES, timeline_queries.TEAM_CH)
 query("sink_team_json", lambda v, s, d: writers.team_json(team_rows(s, d), score_queries.members(s, d)))
-query("sink_timeline_csv", lambda v, s, d: writers.timeline_csv(timeline_rows(s, d)[0]))
+query("sink_timeline_csv", lambda v, s, d: writers.timeline_csv(timeline_rows(s, d)[0]),
+      "SELECT author, period, " + ", ".join(text(c) for c in ("impact", "gravity", "production", "quality", "survival", "design")) + ", role, style FROM tg", "score_grid", timeline_queries.TLG)
 query("sink_timeline_json", lambda v, s, d: writers.timeline_json(*timeline_rows(s, d), order="idx"))
-query("sink_team_timeline_csv", lambda v, s, d: writers.timeline_csv(timeline_rows(s, d)[0].withColumnRenamed("author", "team"), "team"))
-query("sink_team_timeline_json", lambda v, s, d: writers.timeline_json(*(x.withColumnRenamed("author", "team") for x in timeline_rows(s, d)), key="team", order="idx"))
+query("sink_team_timeline_csv", lambda v, s, d: writers.team_timeline_csv(timeline_queries.team_periods(s, d)),
+      f"SELECT split_part(team, '~', 1) AS team, 'BE' AS domain, split_part(team, '~', 2) AS period, {TEAM_TEXT}" + ", ".join(text(c) for c in writers.TEAM_PERIOD) + " FROM tch", "score_grid", *timeline_queries.TEAM_PERIODS)
+
+
+def team_timeline_json(v, s, d):
+    columns = ["team", "period", "core_members", "effective_members", "total_members", *writers.TEAM_PERIOD]
+    rows = timeline_queries.team_periods(s, d)
+    return writers.timeline_json(rows.select(*columns, *timeline_queries.LABEL_AXES), timeline_queries.team_changes(s, d), key="team", order="period")
+
+
+query("sink_team_timeline_json", team_timeline_json)
 query("sink_validation_json", lambda v, s, d: writers.validation_report(timeline_queries.validation.global_gravity(timeline_queries.engineers(s, d)), timeline_queries.validated(s, d)))

@@ -23,6 +23,11 @@ class Relations:
     blame: DataFrame
     files: DataFrame
 
+    def staged(self) -> Relations:
+        """The same relations, computed once: eight axes read them. Equal blame lines become one row with their number."""
+        lines = self.blame if "lines" in self.blame.columns else axes.line_groups(self.blame)
+        return Relations(*map(clean.materialize, (self.commits, self.changes, lines, self.files)))
+
     def cleaned(self, cfg: Config, reverted: DataFrame | None = None) -> Relations:
         """Aliases resolved, listed authors and repositories and reverted commits gone, blame narrowed to source files."""
         spark = self.commits.sparkSession

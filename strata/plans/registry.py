@@ -17,7 +17,14 @@ def query(name: str, build: Callable, oracle: str | None = None, views: str = ""
     """Registers build(V, spark, sf_dir), where V(name) reads a derived view, with its oracle over the same views."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return build(lambda n: view(spark, sf_dir, n), spark, sf_dir)
+        held: dict[str, DataFrame] = {}
+
+        def named(n: str) -> DataFrame:
+            if n not in held:
+                held[n] = view(spark, sf_dir, n)
+            return held[n]
+
+        return build(named, spark, sf_dir)
 
     QUERIES[name] = run
     if oracle:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strata.fixtures import AS_OF, fixture_config, spark_sql, with_views
+from strata.fixtures import AS_OF, DAILY_REF, fixture_config, spark_sql, with_views
 from strata.functions import soft
 from strata.operators import scoring, teams
 from strata.plans.blame_queries import ALL, BF, OW, WD
@@ -61,9 +61,28 @@ query("impact_histogram", lambda v, s, d: grid(s, d).groupBy(soft.impact_band(F.
 query("gravity_health", lambda v, s, d: grid(s, d).select("author", soft.gravity_band(*map(F.col, ("gravity", "quality", "robust_survival", "survival", "has_pressure"))).alias("band")),
       "SELECT author, CASE WHEN gravity < 20 THEN 'negligible' WHEN h >= 60 THEN 'healthy' WHEN h >= 40 THEN 'moderate' ELSE 'fragile' END AS band FROM (SELECT *, quality * 0.6e0 + CASE WHEN has_pressure THEN robust_survival ELSE survival END * 0.4e0 AS h FROM sg)", "score_grid", GRID)
 query("role_normalize", lambda v, s, d: grid(s, d).groupBy(soft.norm_role(F.col("role.name")).alias("role")).agg(F.count("*").alias("n")), "SELECT CASE WHEN rl.n = '—' THEN 'Other' ELSE rl.n END AS role, COUNT(*) AS n FROM sl GROUP BY 1", "score_grid", GRID, SL)
-query("cross_repo_pattern", lambda v, s, d: grid(s, d).groupBy("team").agg(F.collect_list(F.when(F.col("n") % 50 < 4, F.col("role.name"))).alias("roles")).select("team", soft.cross_repo_pattern(F.col("roles")).alias("pattern")),
-      "SELECT team, CASE WHEN k = 0 THEN '—' WHEN k = 1 THEN 'Single Repo' WHEN dn > 1 THEN CASE WHEN arch THEN 'Context-dependent' ELSE 'Variable' END WHEN one = 'Architect' THEN 'Reproducible' WHEN one = '—' THEN 'Emerging' ELSE CONCAT('Consistently ', one) END AS pattern "
-      "FROM (SELECT team, COUNT(r) AS k, COUNT(DISTINCT r) AS dn, MIN(r) AS one, coalesce(bool_or(r = 'Architect'), FALSE) AS arch FROM (SELECT team, CASE WHEN n % 50 < 4 THEN rl.n END AS r FROM sl) GROUP BY team)", "score_grid", GRID, SL)
+DEV = "CONCAT('dev', CAST(CAST(FLOOR(n / 5) AS BIGINT) AS VARCHAR))"
+PATTERN_ROWS = f"(SELECT {DEV} AS dev, COUNT(*) AS k, COUNT(DISTINCT rl.n) AS dn, MIN(rl.n) AS one, bool_or(rl.n = 'Architect') AS arch FROM sl GROUP BY 1)"
+
+
+def in_repos(rows):
+    """The grid as authors in up to five repositories each."""
+    return rows.withColumns({"dev": F.concat(F.lit("dev"), F.floor(F.col("n") / 5).cast("string")), "repo": F.concat(F.lit("repo"), (F.col("n") % 5).cast("string"))})
+
+
+def author_repo_matrix(v, s, d):
+    rows = in_repos(grid(s, d)).select(F.col("dev").alias("author"), "repo", "impact", F.col("role.name").alias("role"))
+    found = scoring.author_repo_matrix(rows, rows.groupBy("author").agg(F.avg("impact").alias("impact")))
+    cells = F.array_join(F.transform("cells", lambda x: F.concat(x["repo"], F.lit("="), x["cell"])), " | ")
+    return found.select(F.col("author").alias("dev"), "place", cells.alias("cells"), "pattern")
+
+
+query("cross_repo_pattern", lambda v, s, d: in_repos(grid(s, d)).groupBy("dev").agg(F.collect_list("role.name").alias("roles")).select("dev", soft.cross_repo_pattern(F.col("roles")).alias("pattern")),
+      "SELECT dev, CASE WHEN k = 0 THEN '—' WHEN k = 1 THEN 'Single Repo' WHEN dn > 1 THEN CASE WHEN arch THEN 'Context-dependent' ELSE 'Variable' END WHEN one = 'Architect' THEN 'Reproducible' WHEN one = '—' THEN 'Emerging' ELSE CONCAT('Consistently ', one) END AS pattern "
+      f"FROM {PATTERN_ROWS}", "score_grid", GRID, SL)
+query("author_repo_matrix", author_repo_matrix,
+      "SELECT dev, CAST(row_number() OVER (ORDER BY mean DESC, dev) AS INTEGER) AS place, cells, CASE WHEN k = 1 THEN 'Single Repo' WHEN dn > 1 THEN CASE WHEN arch THEN 'Context-dependent' ELSE 'Variable' END WHEN one = 'Architect' THEN 'Reproducible' WHEN one = '—' THEN 'Emerging' ELSE CONCAT('Consistently ', one) END AS pattern "
+      f"FROM {PATTERN_ROWS} JOIN (SELECT {DEV} AS dev, AVG(impact) AS mean, string_agg(CONCAT('repo', n % 5, '=', CASE WHEN rl.n = '—' THEN '' ELSE CONCAT(rl.n, ' ') END, CAST(round_even(impact, 0) AS BIGINT)), ' | ' ORDER BY n % 5) AS cells FROM sl GROUP BY 1) USING (dev)", "score_grid", GRID, SL)
 query("dormant_untested_ratio", lambda v, s, d: rounded(grid(s, d).select("author", scoring.dormant_ratio().alias("dormant"), scoring.untested_ratio().alias("untested"))), f"SELECT author, ROUND({DR}, 4) AS dormant, ROUND({UR}, 4) AS untested FROM sg", "score_grid", GRID)
 
 # --- scoring --------------------------------------------------------------------------------------------------------
@@ -71,7 +90,7 @@ query("dormant_untested_ratio", lambda v, s, d: rounded(grid(s, d).select("autho
 query("normalize_max", lambda v, s, d: rounded(v("score_grid").select("author", "team", scoring.normalize_max(F.col("quality"), ("team",)).alias("quality"))),
       "SELECT author, team, ROUND(CASE WHEN m > 0 THEN least(quality / m * 100e0, 100e0) ELSE 0e0 END, 4) AS quality FROM (SELECT *, CAST(MAX(quality) OVER (PARTITION BY team) AS DOUBLE) AS m FROM score_grid)", "score_grid")
 W = "production * 0.15e0 + quality * 0.10e0 + breadth * 0.10e0 + debt_cleanup * 0.15e0 + indispensability * 0.05e0"
-query("impact", lambda v, s, d: rounded(grid(s, d).select("author", scoring.impact(fixture_config(d).weights).alias("impact"), scoring.gravity().alias("gravity"))),
+query("impact", lambda v, s, d: rounded(grid(s, d).select("author", scoring.impact(fixture_config(s, d).weights).alias("impact"), scoring.gravity().alias("gravity"))),
       f"SELECT author, ROUND(CASE WHEN NOT has_pressure THEN p + survival * 0.25e0 + design * 0.20e0 WHEN robust_survival = 0 THEN x * 0.8e0 ELSE x END, 4) AS impact, ROUND(gravity, 4) AS gravity FROM "
       f"(SELECT *, {W} AS p, {W} + (robust_survival * 0.8e0 + dormant_survival * 0.2e0) * 0.25e0 + design * greatest(robust_survival / 100e0 * 0.8e0 + 0.2e0, production / 100e0 * 0.8e0 + 0.2e0) * 0.20e0 AS x FROM sg)", "score_grid", GRID)
 query("rank_members", lambda v, s, d: scoring.rank_by_impact(grid(s, d), ("team",)).select("team", "author", "rank"), "SELECT team, author, CAST(row_number() OVER (PARTITION BY team ORDER BY impact DESC, author) AS INTEGER) AS rank FROM sg", "score_grid", GRID)
@@ -87,8 +106,8 @@ RANK_COLUMNS = ("author", "total_commits", "production", "quality", "survival",
 
 
 def rankings(v, s, d, by=()):
-    cfg = fixture_config(d)
-    scores = scoring.rank_by_impact(author_scores(relations(v).cleaned(cfg), cfg, AS_OF, by), by)
+    cfg = fixture_config(s, d)
+    scores = scoring.rank_by_impact(author_scores(relations(v).cleaned(cfg).staged(), cfg, AS_OF, by), by)
     labels = [F.col(f"{a}.{p}").alias(f"{a}_{p}") for a in ("role", "style", "state") for p in ("name", "conf")]
     return rounded(scores.select(*by, "rank", *RANK_COLUMNS, *labels), 3)
 
@@ -105,7 +124,7 @@ RK = (
     "dv AS (SELECT x.repo, x.fixer, b.author AS original, COUNT(*) AS lines FROM fx x JOIN b ON b.repo = x.repo AND b.path = x.path AND b.committed_at < x.fix_at AND b.author <> x.fixer GROUP BY 1, 2, 3), "
     "ds AS (SELECT repo, author, CASE WHEN SUM(a) + SUM(z) < 10 THEN 50e0 ELSE 50 + 50 * (SUM(a) - SUM(z)) / CAST(SUM(a) + SUM(z) AS DOUBLE) END AS debt FROM (SELECT repo, fixer AS author, lines AS a, 0 AS z FROM dv UNION ALL SELECT repo, original, 0, lines FROM dv) GROUP BY repo, author), "
     "x7 AS (SELECT author, AVG(debt) AS debt FROM ds GROUP BY author), x8 AS (SELECT author, SUM(CASE level WHEN 'CRITICAL' THEN 1e0 ELSE 0.5e0 END) AS ind FROM bf GROUP BY author), "
-    f"rk AS (SELECT author, x2.commits AS total_commits, least(coalesce(lines, 0) / greatest({sql_days('x2.l', 'x2.f')}, 1e0) / 200e0 * 100, 100e0) AS production, coalesce(quality, 0e0) AS quality, {_N('x4.survival')} AS survival, {_N('robust')} AS robust_survival, {_N('dormant')} AS dormant_survival, "
+    f"rk AS (SELECT author, x2.commits AS total_commits, least(coalesce(lines, 0) / greatest({sql_days('x2.l', 'x2.f')}, 1e0) / {DAILY_REF} * 100, 100e0) AS production, coalesce(quality, 0e0) AS quality, {_N('x4.survival')} AS survival, {_N('robust')} AS robust_survival, {_N('dormant')} AS dormant_survival, "
     f"{_N('x5.design')} AS design, {_N('x6.breadth')} AS breadth, coalesce(debt, 50e0) AS debt_cleanup, {_N('ind')} AS indispensability, {sql_days(SQL_AS_OF, 'x2.l')} <= 150e0 AS recently_active, robust AS raw_robust, dormant AS raw_dormant, tw AS tested_survival, uw AS untested_survival, {_N('raw')} AS raw_survival, TRUE AS has_pressure "
     "FROM x2 FULL JOIN x1 USING (author) FULL JOIN x3 USING (author) FULL JOIN x4 USING (author) FULL JOIN x5 USING (author) FULL JOIN x6 USING (author) FULL JOIN x7 USING (author) FULL JOIN x8 USING (author)), "
     f"rj AS (SELECT *, CASE WHEN robust_survival = 0 THEN ix * 0.8e0 ELSE ix END AS impact, indispensability * 0.4e0 + breadth * 0.3e0 + design * 0.3e0 AS gravity FROM (SELECT *, {W} + (robust_survival * 0.8e0 + dormant_survival * 0.2e0) * 0.25e0 + design * greatest(robust_survival / 100e0 * 0.8e0 + 0.2e0, production / 100e0 * 0.8e0 + 0.2e0) * 0.20e0 AS ix FROM rk WHERE total_commits > 0)), "

@@ -6,9 +6,9 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from strata.fixtures import AS_OF, fixture_config
+from strata.fixtures import AS_OF, DAILY_REF, fixture_config
 from strata.functions import paths
-from strata.functions.periods import build_periods
+from strata.functions.periods import build_periods, period_range
 from strata.operators import axes, scoring, teams, timelines, validation
 from strata.operators.scoring import raw_scores, score_authors
 from strata.plans import score_queries
@@ -28,7 +28,8 @@ def periods(s):
 
 
 day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
-query("build_periods", lambda v, s, d: periods(s).select("label", day("start"), day("end")), "SELECT label, strftime(\"start\", '%Y-%m-%d') AS \"start\", strftime(\"end\", '%Y-%m-%d') AS \"end\" FROM pd", "", PD)
+query("build_periods", lambda v, s, d: period_range(v("c"), SPAN).select("label", day("start"), day("end")),
+      "SELECT CONCAT(year(s), '-H', CASE WHEN month(s) <= 6 THEN '1' ELSE '2' END) AS label, strftime(s, '%Y-%m-%d') AS \"start\", strftime(s + INTERVAL 6 MONTH, '%Y-%m-%d') AS \"end\" FROM (SELECT unnest(generate_series(date_trunc('year', MIN(committed_at))::TIMESTAMP, MAX(committed_at), INTERVAL 6 MONTH)) AS s FROM c)", "c")
 query("period_assign", lambda v, s, d: timelines.assign_periods(v("c"), periods(s)).groupBy("repo", "period").agg(F.count("*").alias("n")),
       'SELECT repo, label AS period, COUNT(*) AS n FROM c JOIN pd ON committed_at >= "start" AND committed_at < "end" GROUP BY 1, 2', "c", PD)
 query("boundary_commit", lambda v, s, d: timelines.boundary_commits(v("c"), periods(s)),
@@ -39,7 +40,7 @@ query("blame_snapshot", lambda v, s, d: timelines.snapshot_lines(v("line_lives")
 
 def scored_periods(v, s, d):
     """All axes for every (period, author) as one plan: period is one more group key."""
-    cfg, p, by = fixture_config(d), periods(s), ("period",)
+    cfg, p, by = fixture_config(s, d), periods(s), ("period",)
     commits = timelines.assign_periods(v("c"), p)
     own = commits.where("not is_merge")
     touched = v("fc").join(own.select("repo", "commit_id", "author", "period"), ["repo", "commit_id"])
@@ -69,7 +70,7 @@ def timeline(v, s, d):
 
 
 query("score_periods", lambda v, s, d: rounded(scored_periods(v, s, d).select("period", "author", "total_commits", "production", "quality"), 3),
-      "SELECT label AS period, c.author, COUNT(*) FILTER (NOT is_merge) AS total_commits, ROUND(least(coalesce(ANY_VALUE(x.lines), 0) / greatest((epoch_us(MAX(committed_at) FILTER (NOT is_merge)) - epoch_us(MIN(committed_at) FILTER (NOT is_merge))) / 86400e6, 1e0) / 200e0 * 100, 100e0), 3) AS production, ROUND(ANY_VALUE(z.quality), 3) AS quality "
+      "SELECT label AS period, c.author, COUNT(*) FILTER (NOT is_merge) AS total_commits, ROUND(least(coalesce(ANY_VALUE(x.lines), 0) / greatest((epoch_us(MAX(committed_at) FILTER (NOT is_merge)) - epoch_us(MIN(committed_at) FILTER (NOT is_merge))) / 86400e6, 1e0) / " + DAILY_REF + " * 100, 100e0), 3) AS production, ROUND(ANY_VALUE(z.quality), 3) AS quality "
       'FROM c JOIN pd ON committed_at >= "start" AND committed_at < "end" LEFT JOIN (SELECT label AS lb, c.author AS au, SUM(insertions + deletions) AS lines FROM fc JOIN c ON c.repo = fc.repo AND c.commit_id = fc.commit_id JOIN pd ON committed_at >= "start" AND committed_at < "end" GROUP BY 1, 2) x ON x.lb = label AND x.au = c.author '
       "LEFT JOIN (SELECT lb, author, AVG(CASE WHEN t = 0 THEN 100e0 ELSE 100 - f / t * 100e0 END) AS quality FROM (SELECT label AS lb, repo, author, COUNT(*) FILTER (regexp_matches(subject, '(?i)^[^\\w]*(\\[?\\s*(fix|revert|hotfix)\\s*\\]?[:/\\s])')) AS f, COUNT(*) FILTER (NOT is_merge) AS t FROM c JOIN pd ON committed_at >= \"start\" AND committed_at < \"end\" GROUP BY 1, 2, 3) GROUP BY 1, 2) z ON z.lb = label AND z.author = c.author "
       "GROUP BY 1, 2 HAVING COUNT(*) FILTER (NOT is_merge) > 0", "c fc", PD)
@@ -88,7 +89,6 @@ def label_timeline(s, d):
 
 TR = "SELECT {k}, period, axis, before, after FROM (SELECT {k}, period, axis, label AS after, lag(label) OVER (PARTITION BY {k}, axis ORDER BY idx) AS before FROM (SELECT {k}, period, idx, 'role' AS axis, role AS label FROM tg UNION ALL SELECT {k}, period, idx, 'style', style FROM tg)) WHERE before <> after AND before <> '—' AND after <> '—'"
 query("label_transitions", lambda v, s, d: timelines.transitions(label_timeline(s, d), "author", ("role", "style"), "idx"), TR.format(k="author"), "score_grid", TLG)
-query("team_transitions", lambda v, s, d: timelines.transitions(label_timeline(s, d).withColumnRenamed("author", "team"), "team", ("role", "style"), "idx"), TR.format(k="author").replace("SELECT author, period, axis, before", "SELECT author AS team, period, axis, before", 1), "score_grid", TLG)
 query("notable_transitions", lambda v, s, d: timelines.transitions(label_timeline(s, d), "author", ("role", "style"), "idx").groupBy("axis", "before", "after").agg(F.count("*").alias("n")),
       f"SELECT axis, before, after, COUNT(*) AS n FROM ({TR.format(k='author')}) GROUP BY 1, 2, 3", "score_grid", TLG)
 query("latest_impact_order", lambda v, s, d: timelines.latest_impact_order(label_timeline(s, d), "idx"),
@@ -168,7 +168,7 @@ query("gravity", lambda v, s, d: rounded(score_queries.grid(s, d).select("author
 query("recently_active", lambda v, s, d: axes.author_activity(v("c")).select("author", (axes.days_between(axes.as_of_column(AS_OF), F.col("last_at")) <= 150).alias("active")),
       f"SELECT author, {sql_days(SQL_AS_OF, 'MAX(committed_at)')} <= 150 AS active FROM c GROUP BY author", "c")
 query("raw_scores",
-      lambda v, s, d: raw_scores([axes.lines_changed(changes(v), by=("repo",)).select("repo", "author", "production"), axes.indispensability(axes.bus_factor(v("b"), fixture_config(d)), ("repo",)).where("indispensability > 12")], ("repo",)),
+      lambda v, s, d: raw_scores([axes.lines_changed(changes(v), by=("repo",)).select("repo", "author", "production"), axes.indispensability(axes.bus_factor(v("b"), fixture_config(s, d)), ("repo",)).where("indispensability > 12")], ("repo",)),
       "SELECT repo, author, x.production, y.indispensability FROM (SELECT repo, author, CAST(SUM(insertions + deletions) AS BIGINT) AS production FROM fca GROUP BY 1, 2) x FULL JOIN (SELECT repo, author, SUM(CASE level WHEN 'CRITICAL' THEN 1e0 ELSE 0.5e0 END) AS indispensability FROM bf GROUP BY 1, 2 HAVING SUM(CASE level WHEN 'CRITICAL' THEN 1e0 ELSE 0.5e0 END) > 12) y USING (repo, author)",
       "c fc b", FC, OW, BF)
 query("author_filter", lambda v, s, d: timelines.filter_authors(label_timeline(s, d), ["A1", "a7", "nobody"]).groupBy("author").agg(F.count("*").alias("n")), "SELECT author, COUNT(*) AS n FROM tg WHERE author IN ('a1', 'a7') GROUP BY author", "score_grid", TLG)
@@ -176,6 +176,28 @@ query("rename_path", lambda v, s, d: v("p").select("path", paths.resolve_rename(
 query("domain_name", lambda v, s, d: v("p").select(paths.normalize_domain(F.element_at(F.array(*map(F.lit, ("", "backend", "FE", "infrastructure", "fw", "data"))), (F.col("p_size") % 6 + 1).cast("int"))).alias("domain")).groupBy("domain").agg(F.count("*").alias("n")),
       "SELECT CASE p_size % 6 WHEN 0 THEN 'Unknown' WHEN 1 THEN 'BE' WHEN 2 THEN 'FE' WHEN 3 THEN 'Infra' WHEN 4 THEN 'FW' ELSE 'Data' END AS domain, COUNT(*) AS n FROM p GROUP BY 1", "p")
 query("glob_match", lambda v, s, d: v("p").where(F.col("path").rlike("^" + paths.glob_to_regex("*/b[1-3]?/f*.go") + "$")).select("path"), "SELECT path FROM p WHERE regexp_matches(path, '^[^/]*/b[1-3][^/]/f[^/]*[.]go$')", "p")
+LABEL_AXES = ("character", "structure", "culture", "phase", "risk")
+#: The grid's teams once for each period, for the oracles: the period is part of the team's name there.
+PGRID = score_queries.GRID.replace("SELECT *,", "SELECT * REPLACE (CONCAT(team, '~P', CAST(n % 3 AS VARCHAR)) AS team),", 1)
+TEAM_CH = f"tch AS (SELECT *, {score_queries.PK(score_queries.CHARACTER)} AS ch FROM tl)"
+TEAM_PERIODS = (PGRID, score_queries.SL, score_queries.TM, score_queries.TA, score_queries.TH, score_queries.TL, TEAM_CH)
+
+
+def team_periods(s, d):
+    """Every team in every period with its counts, health and labels."""
+    rows = score_queries.members(s, d).withColumns({"period": F.concat(F.lit("P"), (F.col("n") % 3).cast("string"))})
+    labelled = teams.team_labels(teams.team_health(teams.aggregate(rows.withColumn("domain", F.col("period")))))
+    return labelled.withColumns({"period": F.col("domain"), "domain": F.lit("BE")})
+
+
+def team_changes(s, d):
+    names = team_periods(s, d).select("team", "period", *(F.col(f"{a}.name").alias(a) for a in LABEL_AXES))
+    return timelines.transitions(names, "team", LABEL_AXES, "period")
+
+
+query("team_transitions", lambda v, s, d: team_changes(s, d),
+      "SELECT team, period, axis, before, after FROM (SELECT *, lag(after) OVER (PARTITION BY team, axis ORDER BY period) AS before FROM (SELECT split_part(team, '~', 1) AS team, split_part(team, '~', 2) AS period, unnest(['character', 'structure', 'culture', 'phase', 'risk']) AS axis, "
+      "unnest([ch.n, structure_name, culture_name, phase_name, risk_name]) AS after FROM tch)) WHERE before <> after AND before <> '—' AND after <> '—'", "score_grid", *TEAM_PERIODS)
 query("team_timeline", lambda v, s, d: rounded(teams.team_health(teams.aggregate(score_queries.members(s, d).withColumn("domain", F.concat(F.lit("P"), (F.col("n") % 3).cast("string"))))).select("team", F.col("domain").alias("period"), "core_members", "effective_members", "total_members", "avg_impact", "risk_ratio")),
       "SELECT team, CONCAT('P', CAST(n % 3 AS VARCHAR)) AS period, COUNT(*) FILTER (tier = 'core') AS core_members, COUNT(*) FILTER (tier <> 'peripheral') AS effective_members, COUNT(*) AS total_members, ROUND(coalesce(AVG(impact) FILTER (tier = 'core'), 0e0), 4) AS avg_impact, "
       "ROUND(COUNT(*) FILTER (tier = 'risk') / CAST(COUNT(*) FILTER (tier <> 'peripheral') AS DOUBLE) * 100, 4) AS risk_ratio FROM tm GROUP BY 1, 2 HAVING COUNT(*) FILTER (tier <> 'peripheral') > 0", "score_grid", score_queries.GRID, score_queries.SL, score_queries.TM)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.functions.lines import skip_flags
 from strata.functions.paths import detect_lang, resolve_rename
+from strata.operators.clean import materialize
 
 
 def _records(spark: SparkSession, path: str, start: str) -> DataFrame:
@@ -43,16 +44,21 @@ def read_commit_log(spark: SparkSession, path: str, email: bool = False) -> tupl
     )
 
 
+def _rest(parts: Column) -> Column:
+    """All elements of a nonempty array but the first."""
+    return F.slice(parts, F.lit(2), F.size(parts))
+
+
 def diff_line_counts(records: DataFrame) -> DataFrame:
     """records(repo, commit_id, body with diffs) -> (repo, commit_id, path, diff_insertions, diff_deletions) of code
     files with a hunk: added and removed lines but for blanks and comments. Comment state starts anew at each hunk."""
-    files = records.select("repo", "commit_id", F.explode(F.slice(F.split(F.concat(F.lit("\n"), "body"), "\ndiff --git "), 2, 1_000_000)).alias("diff"))
+    files = records.select("repo", "commit_id", F.explode(_rest(F.split(F.concat(F.lit("\n"), "body"), "\ndiff --git "))).alias("diff"))
     parts = F.split("diff", "\n@@")
     head = F.split(parts[0], "\n")
     renamed = F.try_element_at(F.filter(head, lambda x: x.startswith("+++ b/") & (F.length(x) > 6)), F.lit(-1))
     path = F.coalesce(F.substr(renamed, F.lit(7)), F.substring_index(head[0], " b/", -1))
-    hunks = files.where(F.size(parts) > 1).select("repo", "commit_id", path.alias("path"), F.explode(F.slice(parts, 2, 1_000_000)).alias("hunk"))
-    lines = F.filter(F.slice(F.split("hunk", "\n"), 2, 10_000_000), lambda x: x.startswith("+") | x.startswith("-"))
+    hunks = files.where(F.size(parts) > 1).select("repo", "commit_id", path.alias("path"), F.explode(_rest(parts)).alias("hunk"))
+    lines = F.filter(_rest(F.split("hunk", "\n")), lambda x: x.startswith("+") | x.startswith("-"))
     rows = hunks.select("repo", "commit_id", "path", lines.alias("lines")).withColumn("lang", detect_lang(F.col("path"))).where(~F.col("lang").isin("prose", "unknown"))
     flags = skip_flags(F.col("lang"), F.transform("lines", lambda x: F.substr(x, F.lit(2))))
     kept = F.filter(F.arrays_zip(F.col("lines").alias("x"), flags.alias("s")), lambda r: ~r["s"])
@@ -81,30 +87,41 @@ def resolve_hashes(reverts: DataFrame, commits: DataFrame) -> DataFrame:
 
 def read_blame(spark: SparkSession, path: str) -> DataFrame:
     """Line-porcelain dumps (a file each) -> (repo, path, author, committed_at), a row a source line that is code."""
-    return parse_blame(spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("repo"), "value"))
+    repo = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1)
+    rows = spark.read.text(path).select(repo.alias("repo"), F.input_file_name().alias("dump"), F.monotonically_increasing_id().alias("pos"), "value")
+    return _blame_lines(materialize(rows))
 
 
 def parse_blame(dumps: DataFrame) -> DataFrame:
     """dumps(repo, value) -> blame lines; comment lines are dropped file by file, in order."""
-    lines = F.split("value", "\n")
-    blank = F.struct(F.lit("").alias("author"), F.lit(None).cast("long").alias("at"), F.lit("").alias("file"), F.array().cast("array<struct<author:string,at:bigint,file:string,text:string>>").alias("out"))
-
-    def step(s, x):
-        cell = F.struct(s["author"].alias("author"), s["at"].alias("at"), s["file"].alias("file"), F.substr(x, F.lit(2)).alias("text"))
-        content = x.startswith("\t")
-        return F.struct(
-            F.when(x.startswith("author "), F.substr(x, F.lit(8))).when(content, F.lit("")).otherwise(s["author"]).alias("author"),
-            F.when(x.startswith("committer-time "), F.substr(x, F.lit(16)).try_cast("bigint")).otherwise(s["at"]).alias("at"),
-            F.when(x.startswith("filename "), F.substr(x, F.lit(10))).otherwise(s["file"]).alias("file"),
-            F.when(content & (s["author"] != ""), F.concat(s["out"], F.array(cell))).otherwise(s["out"]).alias("out"),
-        )
-
-    cells = dumps.select("repo", F.posexplode(F.aggregate(lines, blank, step, lambda s: s["out"])).alias("pos", "c"))
-    files = cells.groupBy("repo", F.col("c.file").alias("path")).agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("rows"))
-    flags = skip_flags(detect_lang(F.col("path")), F.transform("rows", lambda r: r["c"]["text"]))
+    rows = dumps.select("repo", "value", F.monotonically_increasing_id().cast("string").alias("dump"))
+    return _blame_lines(rows.select("repo", "dump", F.posexplode(F.split("value", "\n")).alias("pos", "value")))
+
+
+def _blame_lines(rows: DataFrame) -> DataFrame:
+    """rows(repo, dump, pos, value), the lines of dumps in order -> blame lines.
+
+    The header before a source line holds its author, time and file. A line's values are the last ones seen before it
+    in its dump (author: since the source line before), so they come from windows over a dump's lines; a file's lines
+    are then filtered in order."""
+    order = Window.partitionBy("repo", "dump").orderBy("pos")
+    text, last = F.col("value").startswith("\t"), lambda c: F.last(c, ignorenulls=True).over(order)
+    of = lambda mark, c: F.when(F.col("value").startswith(mark), c)
+    rest = lambda mark: of(mark, F.substr("value", F.lit(len(mark) + 1)))
+    rows = rows.withColumns({
+        "author": last(rest("author ")),
+        "author_pos": last(of("author ", F.col("pos"))),
+        "text_pos": F.last(F.when(text, F.col("pos")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)),
+        "at": last(rest("committer-time ").try_cast("bigint")),
+        "path": last(rest("filename ")),
+    })
+    # An author line counts for the one source line that follows it.
+    rows = rows.where(text & (F.col("author") != "") & (F.col("text_pos").isNull() | (F.col("author_pos") > F.col("text_pos"))))
+    cells = rows.select("repo", F.coalesce("path", F.lit("")).alias("path"), F.struct("dump", "pos", "author", "at", F.substr("value", F.lit(2)).alias("text")).alias("c"))
+    files = cells.groupBy("repo", "path").agg(F.array_sort(F.collect_list("c")).alias("rows"))
+    flags = skip_flags(detect_lang(F.col("path")), F.transform("rows", lambda r: r["text"]))
     kept = F.explode(F.filter(F.arrays_zip(F.col("rows").alias("r"), flags.alias("s")), lambda x: ~x["s"])).alias("x")
-    rows = files.select("repo", "path", kept)
-    return rows.select("repo", "path", F.col("x.r.c.author").alias("author"), F.timestamp_seconds("x.r.c.at").alias("committed_at"))
+    return files.select("repo", "path", kept).select("repo", "path", F.col("x.r.author").alias("author"), F.timestamp_seconds("x.r.at").alias("committed_at"))
 
 
 def read_fix_blame(spark: SparkSession, path: str) -> DataFrame:

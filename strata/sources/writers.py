@@ -79,6 +79,16 @@ def timeline_csv(timeline: DataFrame, key: str = "author") -> DataFrame:
     return timeline.select(key, "period", *(fixed(c, 1).alias(c) for c in numbers), *labels)
 
 
+TEAM_PERIOD = ("avg_production", "avg_quality", "avg_survival", "avg_design", "avg_debt_cleanup", "avg_impact", *HEALTH[:7])
+
+
+def team_timeline_csv(teams: DataFrame, period: str = "period") -> DataFrame:
+    """Long (team, period) rows as text: counts, five labels, averages and health."""
+    counts = [F.col(c).cast("string").alias(c) for c in ("core_members", "effective_members", "total_members")]
+    names = [F.col(f"{c}.name").alias(c) for c in ("character", "structure", "culture", "phase", "risk")]
+    return teams.select("team", "domain", F.col(period).alias("period"), *counts, *names, *(fixed(c, 1).alias(c) for c in TEAM_PERIOD))
+
+
 def timeline_json(timeline: DataFrame, changes: DataFrame, key: str = "author", order: str = "period_start") -> DataFrame:
     """(key, report): an author's or team's periods in order, and its transitions."""
     fields = [c for c in timeline.columns if c not in (key, order)]
