@@ -1,23 +1,29 @@
 """Exact top-k inner products on a bit-sliced index.
 
-Vectors are quantised to integers and dealt into blocks. A block stores, for each attribute, bitmaps (slices) of the
-top SLICES bits of its values. A query's score bound is the sum of the slices weighted with its components, added as
-bitmaps with carry-save adders; the k-th bound is found from the most significant slice of the sum downward, rows that
-the dropped low bits could still lift over it form the boundary, and only those are scored exactly.
+Vectors are quantised to integers and dealt into groups of blocks. A block stores, for each attribute, bitmaps (slices)
+of the top SLICES bits of its values. A query's score bound is the sum of the slices weighted with its components, added
+as bitmaps with carry-save adders; the k-th bound is found from the most significant slice of the sum downward, rows
+that the dropped low bits could still lift over it form the boundary, and only those are scored exactly. A task slices
+the blocks of a group once and streams all queries past them.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import U64, ship
+from strata.llm.common import U64, partitions, ship
 
 SLICES = 7
-#: Vectors of a block, and queries that meet it at once.
-BLOCK, QUERIES = 2048, 128
+#: Vectors of a block, blocks of a group, and queries that meet a block at once.
+BLOCK, GROUP, QUERIES = 2048, 32, 128
+#: Scores that can reach this need wider integers than the slices' arithmetic has.
+WIDE = 1 << 62
 ALL = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -85,19 +91,22 @@ class SlicedBlock:
         return out or [zero]
 
     def top(self, q: np.ndarray, own: np.ndarray, k: int):
-        """For each query row: indexes of the rows that can be among its k best (itself not counted)."""
+        """For each query row: ids and scores of its k best rows (rows of its own id not counted)."""
         total = self.weighted_sum(q)
-        inside = np.broadcast_to(self.valid, total[0].shape)
+        others = np.zeros((len(q), 64 * len(self.valid)), bool)
+        others[:, : len(self.ids)] = self.ids != own[:, None]
+        valid = _pack(others)
+        inside = valid
         above, level = np.zeros_like(total[0]), np.zeros(len(q), np.int64)
         for i in range(len(total) - 1, -1, -1):
             hit = inside & total[i]
-            enough = (np.bitwise_count(above | hit).sum(axis=1, dtype=np.int64) > k)[:, None]  # k and the query itself
+            enough = (np.bitwise_count(above | hit).sum(axis=1, dtype=np.int64) >= k)[:, None]
             above = np.where(enough, above, above | hit)
             inside = np.where(enough, hit, inside & ~total[i])
             level += np.where(enough[:, 0], 1 << i, 0)
         slack = (((1 << self.dropped) - 1) * np.abs(q).sum(axis=1) >> self.dropped) + 1
         level = np.maximum(level - slack, 0)
-        more, same = np.zeros_like(total[0]), np.broadcast_to(self.valid, total[0].shape)
+        more, same = np.zeros_like(total[0]), valid
         for i in range(len(total) - 1, -1, -1):
             bit = (((level >> i) & 1) == 1)[:, None]
             more = np.where(bit, more, more | (same & total[i]))
@@ -105,38 +114,96 @@ class SlicedBlock:
         chosen = np.unpackbits((more | same).view(np.uint8), axis=1, bitorder="little")[:, : len(self.ids)].astype(bool)
         for r in range(len(q)):
             rows = np.flatnonzero(chosen[r])
-            rows = rows[self.ids[rows] != own[r]]
             score = self.values[rows] @ q[r]
             best = np.lexsort((self.ids[rows], -score))[:k]
             yield self.ids[rows[best]], score[best]
 
 
-def _block_rows(key: str):
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(1)
-            for i in range(batch.num_rows):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(i, 1),
-                        pa.array([np.array(ids[i].values, np.int64).tobytes()], pa.binary()),
-                        pa.array([np.array(batch.column(2)[i].values.flatten(), np.int64).tobytes()], pa.binary()),
-                    ],
-                    [key, "ids", "data"],
-                )
+def _wide(x: np.ndarray, scale: int) -> list[list[int]]:
+    """floor(scale * x) as Python integers; from 2**53 on a float is whole."""
+    return [[int(v) * scale if abs(v) >= 2.0**53 else math.floor(v * scale) for v in row] for row in x.tolist()]
+
+
+def _plain_top(ids: np.ndarray, x: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, scale: int):
+    """The same as SlicedBlock.top with integers of any size, for components so large that scores may leave 64 bits."""
+    values = _wide(x, scale)
+    for mine, query in zip(own.tolist(), _wide(q, scale), strict=True):
+        score = [(-sum(a * b for a, b in zip(query, v, strict=True)), i) for v, i in zip(values, ids.tolist(), strict=True) if i != mine]
+        best = sorted(score)[:k]
+        if any(abs(s) >= 1 << 63 for s, _ in best):
+            raise OverflowError(f"a score among the {k} highest of query {mine} does not fit a long")
+        yield np.array([i for _, i in best], np.int64), np.array([-s for s, _ in best], np.int64)
+
+
+class _Group:
+    """The blocks of one group, sliced when the first query comes."""
+
+    def __init__(self, k: int, scale: int):
+        self.k, self.scale, self.rows, self.blocks = k, scale, [], None
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        self.rows.append((ids, x))
+
+    def ask(self, key: np.ndarray, own: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        """The k best rows of the group for each query, as (query, query_id, vec_id, score)."""
+        if self.blocks is None:
+            ids, x = (np.concatenate(part) for part in zip(*self.rows, strict=True)) if self.rows else (np.zeros(0, np.int64), np.zeros((0, q.shape[1])))
+            self.blocks, self.rows = [], []
+            for i in range(0, len(ids), BLOCK):
+                large = float(np.abs(x[i : i + BLOCK]).max(initial=0)) * self.scale
+                sliced = SlicedBlock(ids[i : i + BLOCK], np.floor(x[i : i + BLOCK] * self.scale).astype(np.int64)) if large < WIDE else None
+                self.blocks.append((ids[i : i + BLOCK], x[i : i + BLOCK], large, sliced))
+        found: list[list] = [[] for _ in own]
+        most = float(np.abs(q).max(initial=0)) * self.scale
+        for ids, x, large, sliced in self.blocks:
+            if sliced is not None and q.shape[1] * (large + 1) * (most + 1) < WIDE:
+                best = sliced.top(np.floor(q * self.scale).astype(np.int64), own, self.k)
+            else:
+                best = _plain_top(ids, x, q, own, self.k, self.scale)
+            for r, pair in enumerate(best):
+                found[r].append(pair)
+        out = []
+        for r, parts in enumerate(found):
+            ids, score = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2
+            best = np.lexsort((ids, -score))[: self.k]
+            out.append((np.full(len(best), key[r]), np.full(len(best), own[r]), ids[best], score[best]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query", "query_id", "vec_id", "score"])
+
+
+def _search(k: int, scale: int, dims: int):
+    """Rows (group, query, id, x) sorted by group, vectors (query null) first."""
 
-    return run
+    def run(batches):
+        group, at, key, own, asked = None, None, [], [], []
 
+        def answer(all_: bool):
+            nonlocal key, own, asked
+            if key and (all_ or sum(map(len, key)) >= QUERIES):
+                keys, owns, q = np.concatenate(key), np.concatenate(own), np.concatenate(asked)
+                key, own, asked = [], [], []
+                for i in range(0, len(keys), QUERIES):
+                    yield group.ask(keys[i : i + QUERIES], owns[i : i + QUERIES], q[i : i + QUERIES])
 
-def _cells(k: int):
-    def run(batches):
         for batch in batches:
-            for ids, data, own, queries in zip(*(batch.column(c) for c in range(4)), strict=True):
-                ids, own = np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(own.as_buffer(), np.int64)
-                values = np.frombuffer(data.as_buffer(), np.int64).reshape(len(ids), -1)
-                q = np.frombuffer(queries.as_buffer(), np.int64).reshape(len(own), -1)
-                out = [(np.full(len(v), o), v, s) for o, (v, s) in zip(own, SlicedBlock(ids, values).top(q, own, k), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+            of, ids = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            is_query = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            keys = pc.fill_null(batch.column(1), 0).to_numpy()
+            x = batch.column(3).flatten().to_numpy().reshape(-1, dims)
+            cut = np.concatenate([[0], np.flatnonzero((of[1:] != of[:-1]) | (is_query[1:] != is_query[:-1])) + 1, [len(of)]])
+            for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if a == z:
+                    continue
+                if of[a] != at:
+                    yield from answer(True)
+                    group, at = _Group(k, scale), of[a]
+                if is_query[a]:
+                    key.append(keys[a:z])
+                    own.append(ids[a:z])
+                    asked.append(x[a:z])
+                    yield from answer(False)
+                else:
+                    group.add(ids[a:z], x[a:z])
+        yield from answer(True)
 
     return run
 
@@ -147,33 +214,32 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     Components become floor(scale * x); the score is the integer inner product; ties go to the smaller vec_id, and a
     row with the query's own vec_id is no candidate. Rows with a null vec_id, a null embedding or a null or non-finite
     component take no part; a shorter vector counts as filled up with zeros; no vectors or no queries give no rows;
-    fewer than k candidates are all returned; repeated rows count as they stand; other columns are ignored. Every
-    block of vectors meets every block of queries once, at most BLOCK by QUERIES rows or about so many in a task.
+    fewer than k candidates are all returned; repeated rows count as they stand, and a repeated query row is a query of
+    its own; other columns are ignored. Components of any finite size are exact; a result whose score no long holds is
+    an error. Every group of GROUP * BLOCK vectors meets every query once, so what the queries send grows with their
+    number times the groups; a task holds one group.
     """
     spark = vectors.sparkSession
     ship(spark)
 
     def usable(df):
         whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        values = F.transform("embedding", lambda x: F.floor(x.cast("double") * float(scale)).cast("long"))
-        return df.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & whole).select(F.col("vec_id").cast("long"), values.alias("v"))
-
-    sizes = usable(vectors).agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("dims")).first()
-    asked = usable(queries).agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("dims")).first()
-    dims = max(sizes.dims, asked.dims, 1)
-    blocks, parts = max(1, -(-sizes.n // BLOCK)), max(1, -(-asked.n // QUERIES))
-    filled = F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(dims) - F.size("v"))).alias("v")
-
-    def dealt(df, key, count):
-        # The row's place is hashed too: one vec_id can hold many rows.
-        slot = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(count)).cast("int")
-        rows = usable(df).select("vec_id", filled, slot.alias(key)).groupBy(key).agg(F.collect_list(F.struct("vec_id", "v")).alias("x"))
-        return rows.select(key, "x.vec_id", "x.v").mapInArrow(_block_rows(key), f"{key} int, ids binary, data binary")
-
-    left = dealt(vectors, "block", blocks).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = dealt(queries, "part", parts).withColumnsRenamed({"ids": "own", "data": "asked"})
-    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    cells = left.join(right, ["block", "part"]).select("ids", "data", "own", "asked")
-    best = cells.mapInArrow(_cells(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        values = F.transform("embedding", lambda x: x.cast("double"))
+        return df.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & whole).select(F.col("vec_id").cast("long").alias("id"), values.alias("x"))
+
+    sizes = usable(vectors).agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("x")), F.lit(0)).alias("dims")).first()
+    asked = usable(queries).agg(F.coalesce(F.max(F.size("x")), F.lit(0)).alias("dims")).first()
+    dims, n = max(sizes.dims, asked.dims, 1), partitions(spark)
+    groups = max(1, -(-sizes.n // (GROUP * BLOCK)))
+    # A table that fills less than a group for each partition is dealt to all partitions, so that all have work.
+    groups = max(groups, min(n, -(-sizes.n // BLOCK)))
+    filled = F.concat("x", F.array_repeat(F.lit(0.0), F.lit(dims) - F.size("x"))).alias("x")
+    # The row's place is hashed too: one vec_id can hold many rows.
+    group = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(groups)).cast("int").alias("group")
+    left = usable(vectors).select(group, F.lit(None).cast("long").alias("query"), "id", filled)
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
+    right = usable(queries).select(F.monotonically_increasing_id().alias("query"), "id", filled).select(every, "query", "id", "x")
+    rows = left.unionByName(right).repartition(max(n, groups), "group").sortWithinPartitions("group", F.col("query").asc_nulls_first())
+    best = rows.mapInArrow(_search(k, scale, dims), "query long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
