@@ -88,15 +88,21 @@ class Network:
         return out, p["v"], p["c"]
 
 
+#: Windows that are classified at once.
+WINDOWS = 16_384
+
+
 def _windows(data: np.ndarray, offsets: np.ndarray):
-    """All windows of some texts [n, WINDOW], padded with zero bytes, and the text of each."""
+    """Yields runs of all windows of some texts [n, WINDOW], padded with zero bytes, and the text of each."""
     lens = np.diff(offsets)
     count = -(-lens // WINDOW)
-    out = np.zeros((int(count.sum()), WINDOW), np.uint8)
-    first = np.concatenate([[0], np.cumsum(count)])[:-1]
-    at = np.arange(len(data)) + np.repeat(first * WINDOW - offsets[:-1], lens)
-    out.ravel()[at] = data
-    return out, np.repeat(np.arange(len(lens)), count)
+    text = np.repeat(np.arange(len(lens)), count)
+    start = offsets[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * WINDOW
+    spare = np.concatenate([data, np.zeros(WINDOW, np.uint8)])
+    place = np.arange(WINDOW)
+    for i in range(0, len(text), WINDOWS):
+        at, own = start[i : i + WINDOWS], text[i : i + WINDOWS]
+        yield spare[at[:, None] + place] * (at[:, None] + place < offsets[1:][own][:, None]), own
 
 
 def classify(model, x: np.ndarray) -> np.ndarray:
@@ -147,33 +153,37 @@ def train(texts: DataFrame, per_class: int = TRAIN_TEXTS, windows: int = TRAIN_W
 
 
 def _predict(langs: list[str], model):
+    """(lettered, text, kept columns) -> (kept columns, lang_pred, score)."""
+
     def run(batches):
         for batch in batches:
             names, scores = [], []
-            lettered = batch.column(1).to_numpy(zero_copy_only=False)
-            for i, n, data, offsets in chunks(batch.column(2)):
-                x, doc = _windows(data, offsets)
+            lettered = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, n, data, offsets in chunks(batch.column(1)):
                 p = np.zeros((n, max(1, len(langs))))
-                if model is not None and len(x):
-                    np.add.at(p, doc, classify(model, x))
-                    p /= np.maximum(np.bincount(doc, minlength=n), 1)[:, None]
+                if model is not None:
+                    for x, doc in _windows(data, offsets):
+                        np.add.at(p, doc, classify(model, x))
+                    p /= np.maximum(-(-np.diff(offsets) // WINDOW), 1)[:, None]
                 best = p.argmax(axis=1)
                 ok = lettered[i : i + n].astype(bool) & bool(langs)
                 names += [langs[b] if k else UNKNOWN for b, k in zip(best, ok, strict=True)]
                 scores += np.where(ok, np.clip(p[np.arange(n), best], 0, 1), 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            found = [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *found], [*batch.schema.names[2:], "lang_pred", "score"])
 
     return run
 
 
-def identify(docs: DataFrame, langs: list[str], model) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, lang_pred, score), a row for each input row.
+def identify(docs: DataFrame, langs: list[str], model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, lang_pred, score), a row for each input row, without a shuffle.
 
-    score is the mean probability of lang_pred over all windows of the whole text. A text that is null or has no
-    letter is `und` with score 0, and so is every text when training found no labelled one. Ties go to the first
-    language by name; repeated rows get equal results; other columns are ignored.
+    score is the mean probability of lang_pred over all windows of the whole text, however long. A text that is null or
+    has no letter is `und` with score 0, and so is every text when training found no labelled one. Ties go to the first
+    language by name; repeated rows get equal results; an empty table gives no rows; columns of docs that keep does not
+    name are left out.
     """
     ship(docs.sparkSession)
-    lettered = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
-    doc = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", lettered, "text").mapInArrow(_predict(langs, model), f"doc_id {doc}, lang_pred string, score double")
+    lettered = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("_lettered")
+    kind = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return docs.select(lettered, F.col("text").alias("_text"), *keep).mapInArrow(_predict(langs, model), f"{kind}lang_pred string, score double")
