@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from strata.llm.common import stage
+from strata.llm.common import discard, join_hot, stage
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """One round over links (a, b) with a > b; every vertex points its larger (smaller) neighbours at its least one."""
+def _star(links: DataFrame, large: bool, rows: int) -> DataFrame:
+    """One round over about `rows` links (a, b) with a > b; every vertex points its larger (smaller) neighbours at its
+    least one. The hub of a large star is no hot key of the join."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else links
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    joined = both.join(least, "a")
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n")).withColumn("m", F.least("a", "m"))
+    joined = join_hot(both, least, ["a"], 2 * rows)
     if large:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -26,15 +27,14 @@ def components(links: DataFrame) -> DataFrame:
     Self links and nulls are ignored, repeated links count once; no links give an empty table. Each round is staged in
     the shared folder, so a lost executor costs one round; the driver sees two sums a round, never the links.
     """
-    edges = stage(
-        links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"
-    )
-    before = None
-    while True:
-        seen = Observation()
-        sums = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
-        edges = stage(_star(_star(edges, True), False).observe(seen, *sums), "star")
-        if seen.get == before:
-            break
-        before = seen.get
+    sums = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
+    first = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    seen = Observation()
+    edges, before = stage(first.observe(seen, *sums), "links"), None
+    while seen.get != before:
+        before, old, seen = seen.get, edges, Observation()
+        middle = stage(_star(old, True, before["n"]), "stars")
+        edges = stage(_star(middle, False, before["n"]).observe(seen, *sums), "star")
+        discard(middle)
+        discard(old)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component_id")).union(edges.select("b", "b").distinct())

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import U64, mix, partitions, ship, shingle_sets, stage
+from strata.llm.common import U64, discard, join_hot, mix, partitions, ship, shingle_sets, stage, whole_runs
 from strata.llm.components import components
 
 TREES, DEPTH, LEAST = 16, 16, 4
@@ -25,6 +25,8 @@ WINDOW = 48
 PROBES, BLOCK = 256, 2048
 #: Standard errors below the threshold at which an estimate rules a pair out.
 MARGIN = 4.5
+#: Rows of whole regions that a task of the first round holds at once, about.
+RUN = 16_384
 
 _N = TREES * DEPTH
 _A = (mix(np.arange(1, _N + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
@@ -41,12 +43,16 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (least * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)
 
 
+def _fingerprint(s: np.ndarray) -> int:
+    return int(mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64).view(np.int64))
+
+
 def _documents(batches):
     for batch in batches:
         ids, n, f1, f2, sig = batch.column(0), [], [], [], []
         for s in shingle_sets(batch.column(1)):
             n.append(len(s))
-            f1.append(int(mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64).view(np.int64)))
+            f1.append(_fingerprint(s))
             f2.append(int(np.bitwise_xor.reduce(mix(s + U64(0x14057B7EF767814F)), initial=U64(0)).view(np.int64)))
             sig.append(signature(s).tobytes() if len(s) else None)
         yield pa.RecordBatch.from_arrays(
@@ -72,11 +78,11 @@ def _regions(sig: np.ndarray) -> np.ndarray:
 
 
 def _tree_rows(batches):
-    """(doc, sig) -> a row for each tree: (region, key, doc, tree, sketch, high); the sketch holds the low byte of every
+    """(doc, f1, sig) -> a row for each tree: (region, key, doc, f1, tree, sketch, high); the sketch holds the low byte of every
     minimum, high the other byte of those that make regions."""
     for batch in batches:
         n = batch.num_rows
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, TREES, DEPTH)
+        sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, TREES, DEPTH)
         keys = sig.astype(">u2").tobytes()
         sketch = sig.astype(np.uint8).tobytes()
         high = (sig[:, :, :LEAST] >> 8).astype(np.uint8).tobytes()
@@ -86,11 +92,12 @@ def _tree_rows(batches):
                 pa.array(_regions(sig).ravel()),
                 pa.array([keys[i : i + w] for i in range(0, len(keys), w)], pa.binary()),
                 pa.array(np.repeat(batch.column(0).to_numpy(), TREES)),
+                pa.array(np.repeat(batch.column(1).to_numpy(), TREES)),
                 pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)),
                 pa.array([sketch[i * _N : (i + 1) * _N] for i in range(n) for _ in range(TREES)], pa.binary()),
                 pa.array([high[i * v : (i + 1) * v] for i in range(n) for _ in range(TREES)], pa.binary()),
             ],
-            ["region", "key", "doc", "tree", "sketch", "high"],
+            ["region", "key", "doc", "f1", "tree", "sketch", "high"],
         )
 
 
@@ -150,32 +157,26 @@ def _forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int) -> np.ndar
         comp = root[comp]
 
 
-def _batch(rows: list[pa.RecordBatch]) -> pa.Table:
-    return pa.Table.from_batches(rows).combine_chunks()
-
-
 def _sketches(t: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, _N)
 
 
 def _neighbour_links(least: float):
+    """Rows sorted by region: a spanning forest of the near neighbours of every run of regions."""
+
     def run(batches):
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        t = _batch(rows)
-        docs, node = np.unique(t.column("doc").to_numpy(), return_inverse=True)
-        a, b, est = _near(t.column("region").to_numpy(), _sketches(t), least, WINDOW)
-        x, y = node[np.minimum(a, b)], node[np.maximum(a, b)]
-        x, y = np.minimum(x, y), np.maximum(x, y)
-        live = x != y
-        x, y, est = x[live], y[live], est[live]
-        if not len(x):
-            return
-        _, first = np.unique(x * len(docs) + y, return_index=True)
-        x, y, est = x[first], y[first], est[first]
-        keep = _forest(x, y, est, len(docs))
-        yield pa.RecordBatch.from_arrays([pa.array(docs[x[keep]]), pa.array(docs[y[keep]])], ["a", "b"])
+        for t in whole_runs(batches, "region", RUN):
+            docs, node = np.unique(t.column("doc").to_numpy(), return_inverse=True)
+            a, b, est = _near(t.column("region").to_numpy(), _sketches(t), least, WINDOW)
+            x, y = node[np.minimum(a, b)], node[np.maximum(a, b)]
+            x, y = np.minimum(x, y), np.maximum(x, y)
+            live = x != y
+            x, y, est = x[live], y[live], est[live]
+            if len(x):
+                _, first = np.unique(x * len(docs) + y, return_index=True)
+                x, y, est = x[first], y[first], est[first]
+                keep = _forest(x, y, est, len(docs))
+                yield pa.RecordBatch.from_arrays([pa.array(docs[x[keep]]), pa.array(docs[y[keep]])], ["a", "b"])
 
     return run
 
@@ -195,31 +196,27 @@ def _cross(least: float, percent: int | None):
     that the exact test on their full sets confirms. Either way the output grows with the rows, not with the pairs."""
 
     def run(batches):
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        t = _batch(rows)
-        block, comp, doc, tree = (t.column(c).to_numpy() for c in ("block", "comp", "doc", "tree"))
-        probe, sketch = t.column("probe").to_numpy(zero_copy_only=False), _sketches(t)
-        high = np.frombuffer(b"".join(t.column("high").to_pylist()), np.uint8)
-        seen = _seen_before(sketch, high, tree)
-        # Rows of different trees never share a block, but for a collision of its hash: compare the trees too.
-        ok = lambda i, j: (probe[i] | probe[j]) & (comp[i] != comp[j]) & (tree[i] == tree[j]) & ~seen(i, j)
-        a, b, _ = _near(block, sketch, least, len(block), ok)
-        if percent is None:
-            found = np.unique(np.concatenate([doc[a], doc[b]]))
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found)], ["doc"])
-            return
-        sets = t.column("set").chunk(0) if t.num_rows else []
-        own = [np.frombuffer(sets[int(i)].as_buffer(), U64) for i in range(len(doc))]
-        same = np.array([_linked(own[i], own[j], percent) for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
-        if not same.any():
-            return
-        docs, node = np.unique(doc, return_inverse=True)
-        x, y = node[a[same]], node[b[same]]
-        keep = _forest(np.minimum(x, y), np.maximum(x, y), np.ones(len(x)), len(docs))
-        yield pa.RecordBatch.from_arrays([pa.array(docs[x[keep]]), pa.array(docs[y[keep]])], ["a", "b"])
+        for t in whole_runs(batches, "block", 1):
+            block, comp, doc, tree = (t.column(c).to_numpy() for c in ("block", "comp", "doc", "tree"))
+            probe, sketch = t.column("probe").to_numpy(), _sketches(t)
+            high = np.frombuffer(b"".join(t.column("high").to_pylist()), np.uint8)
+            seen = _seen_before(sketch, high, tree)
+            # Rows of different trees never share a block, but for a collision of its hash: compare the trees too.
+            ok = lambda i, j: (probe[i] | probe[j]) & (comp[i] != comp[j]) & (tree[i] == tree[j]) & ~seen(i, j)  # noqa: B023, E731
+            a, b, _ = _near(block, sketch, least, len(block), ok)
+            if percent is None:
+                found = np.unique(np.concatenate([doc[a], doc[b]]))
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(found)], ["doc"])
+                continue
+            sets = t.column("set").chunk(0)
+            own = [np.frombuffer(sets[int(i)].as_buffer(), U64) for i in range(len(doc))]
+            same = np.array([_linked(own[i], own[j], percent) for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
+            if same.any():
+                docs, node = np.unique(doc, return_inverse=True)
+                x, y = node[a[same]], node[b[same]]
+                keep = _forest(np.minimum(x, y), np.maximum(x, y), np.ones(len(x)), len(docs))
+                yield pa.RecordBatch.from_arrays([pa.array(docs[x[keep]]), pa.array(docs[y[keep]])], ["a", "b"])
 
     return run
 
@@ -234,9 +231,9 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def _set_rows(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())], ["doc", "set"]
-        )
+        sets = list(shingle_sets(batch.column(1)))
+        prints = pa.array([_fingerprint(s) for s in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), prints, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "f1", "set"])
 
 
 def _confirm(percent: int):
@@ -272,25 +269,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         ),
         "signatures",
     )
+    key = ["f1", "f2", "n_shingles"]
     usable = found.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    first = usable.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    copies = usable.select("doc_id", "f1", "f2", "n_shingles").join(first, ["f1", "f2", "n_shingles"])
-    same = copies.where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    reps = usable.join(
-        first.select("f1", "f2", "n_shingles", F.col("rep").alias("doc_id")), ["doc_id", "f1", "f2", "n_shingles"], "left_semi"
-    ).select(F.col("doc_id").alias("doc"), "sig")
-    reps = reps.dropDuplicates(["doc", "sig"])
-    keys = reps.mapInArrow(_region_keys, "doc long, region long")
+    # Equal sets are one: their least doc_id stands for all. Links and components are those of the sets alone.
+    first = stage(usable.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("_n")), "sets-by-print")
+    total = found.count()
+    reps = usable.join(first.select(*key, F.col("rep").alias("doc_id")), ["doc_id", *key], "left_semi")
+    reps = reps.select(F.col("doc_id").alias("doc"), "f1", "sig").dropDuplicates(["doc", "f1"])
+    # A doc_id that repeats with different texts links their sets.
+    several = usable.groupBy("doc_id").agg((F.min(F.struct(*key)) != F.max(F.struct(*key))).alias("differ")).where("differ").select("doc_id")
+    same = usable.join(several, "doc_id", "left_semi").join(first, key).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    keys = reps.select("doc", "sig").mapInArrow(_region_keys, "doc long, region long")
     shared = keys.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
     active = keys.join(shared, "region", "left_semi").select("doc").distinct()
     trees = stage(
-        reps.join(active, "doc", "left_semi").mapInArrow(_tree_rows, "region long, key binary, doc long, tree int, sketch binary, high binary"), "trees"
+        reps.join(active, "doc", "left_semi").mapInArrow(_tree_rows, "region long, key binary, doc long, f1 long, tree int, sketch binary, high binary"), "trees"
     )
     active = trees.select("doc").distinct()
     sets = stage(
         docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
         .join(active, "doc", "left_semi")
-        .mapInArrow(_set_rows, "doc long, set binary"),
+        .mapInArrow(_set_rows, "doc long, f1 long, set binary"),
         "sets",
     )
 
@@ -301,19 +300,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         return stage(rows.mapInArrow(_confirm(percent), "a long, b long, linked boolean"), "links")
 
     n = partitions(spark)
-    ordered = trees.drop("high").repartitionByRange(n, "region", "key", "doc").sortWithinPartitions("region", "key", "doc")
+    ordered = trees.select("region", "key", "doc", "sketch").repartitionByRange(n, "region", "key", "doc").sortWithinPartitions("region", "key", "doc")
     tested = confirmed(ordered.mapInArrow(_neighbour_links(least), "a long, b long").distinct())
     links = same.union(tested.where("linked").select("a", "b"))
     comp = components(links)
     # Documents with a likely partner in another component, then the exact test among these alone.
     open_docs = stage(_blocks(trees, comp).mapInArrow(_cross(least, None), "doc long").distinct(), "open")
     if not open_docs.isEmpty():
-        few = trees.join(open_docs, "doc", "left_semi")
+        few = stage(trees.join(open_docs, "doc", "left_semi"), "few")
         more = stage(_blocks(few, comp, sets).mapInArrow(_cross(least, percent), "a long, b long"), "more")
         if not more.isEmpty():
             comp = components(comp.select(F.col("node").alias("a"), F.col("component_id").alias("b")).union(more))
-    out = found.select("doc_id", "n_shingles").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    least_of = first.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(*key, "_n", F.coalesce("component_id", "rep").alias("component_id"))
+    out = join_hot(usable.select("doc_id", *key), least_of, key, total)
+    alone = found.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).select("doc_id", *key, F.col("doc_id").alias("component_id"))
+    out = out.unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))).select(
         "doc_id", "n_shingles", "component_id", "kept"
     )
@@ -323,22 +324,23 @@ def _blocks(trees: DataFrame, comp: DataFrame, sets: DataFrame | None = None) ->
     """The rows of every region with several components, dealt into blocks of about PROBES probes (rows outside the
     region's largest component) and BLOCK rows; with sets their shingle sets too."""
     n = partitions(trees.sparkSession)
-    rows = trees.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component_id", "doc"))
-    sizes = rows.groupBy("region", "comp").agg(F.count("*").alias("n"))
+    named = lambda rows: rows.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component_id", "doc"))
+    sizes = named(trees.select("region", "doc")).groupBy("region", "comp").agg(F.count("*").alias("n"))
     regions = (
         sizes.groupBy("region")
         .agg(F.sum("n").alias("size"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"))
         .where("size > most")
         .withColumn("blocks", F.ceil((F.col("size") - F.col("most")) / PROBES).cast("long"))
         .withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("long"))
+        .withColumn("_n", F.col("size"))
     )
-    rows = rows.join(regions, "region").withColumn("minor", F.col("comp") != F.col("main"))
+    rows = named(join_hot(trees, regions, ["region"], trees.count())).withColumn("minor", F.col("comp") != F.col("main"))
     own = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("blocks"))
     part = F.pmod(F.xxhash64("doc", F.lit(2)), F.col("parts"))
     every = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
     cells = ["region", "tree", "comp", "doc", "sketch", "high"]
     if sets is not None:
-        rows = rows.join(sets.dropDuplicates(["doc"]), "doc")
+        rows = rows.join(sets.dropDuplicates(["doc", "f1"]), ["doc", "f1"])
         cells.append("set")
     probes = rows.where("minor").select(*cells, F.lit(True).alias("probe"), own.alias("i"), F.explode(every("parts")).alias("j"))
     # A row meets the probes of every block; where it is a probe of that very cell it is there already.

@@ -12,7 +12,7 @@ def test_pair_with_equal_low_bytes_is_looked_at():
     """Low bytes that agree in an earlier tree make no common region there: the pair counts where it shares one."""
     sig = np.random.default_rng(3).integers(0, 1 << 16, (1, minhash.TREES, minhash.DEPTH), np.uint16).repeat(2, axis=0)
     sig[1, 0, 0] ^= 0x0100
-    rows = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([s.tobytes() for s in sig], pa.binary())], ["doc", "sig"])
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 2]), pa.array([s.tobytes() for s in sig], pa.binary())], ["doc", "f1", "sig"])
     (trees,) = minhash._tree_rows(iter([rows]))
     region = trees.column("region").to_numpy().reshape(2, -1)
     assert (region[0] == region[1]).tolist() == [False] + [True] * (minhash.TREES - 1)
