@@ -1,4 +1,9 @@
-"""The corpus pipeline over `documents`: each stage works on all that its predecessor kept, and its decisions hold."""
+"""The corpus pipeline over `documents`: each stage works on all that its predecessor kept, and its decisions hold.
+
+Stages decide on rows, not on doc_ids: null and repeated doc_ids are rows of their own, and a row goes only for what its
+own text is. Null and empty texts have no letter, so the first stage drops them where it has learned a language; texts
+of any length are taken whole; an empty table passes as an empty table; columns beside those of documents pass through.
+"""
 
 from __future__ import annotations
 
@@ -13,36 +18,47 @@ from strata.llm.queries import tokenizer
 LEAST_LANGUAGE_SCORE = 0.4
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs without the rejected doc_ids; rows with a null doc_id stay."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter or without a certain language go."""
+    """Rows without a letter or without a certain language go.
+
+    The languages are those of the rows with a lang; where no row has one (or the table is empty) nothing can be told
+    and all rows stay. Equal texts fare equally."""
     langs, model = langid.train(docs)
-    found = langid.identify(docs, langs, model)
-    return _without(docs, found.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < LEAST_LANGUAGE_SCORE)))
+    if not langs:
+        return docs
+    names = [f"_c{i}" for i in range(len(docs.columns))]  # lang_pred and score can be columns of docs too
+    found = langid.identify(docs.withColumn("_text", F.col("text")).toDF(*names, "text"), langs, model, keep=tuple(names))
+    stays = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return stays.select(*names).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (similarity of 0.8 or more) stays: the one with the least doc_id."""
-    return _without(docs, minhash.near_duplicates(docs, percent=80).where(~F.col("kept")))
+    """One row of each near-duplicate group (similarity of 0.8 or more, links reaching on) stays: that with the least
+    doc_id, a null doc_id only where there is no other; of equal doc_ids one. Rows without words stay."""
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    found = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), percent=80)
+    found = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    stays = rows.select("_row", "doc_id").join(found, "_row").groupBy("_group").agg(first.alias("x")).select("x._row")
+    return rows.join(stays, "_row", "left_semi").select(docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that repeat leave the texts; the documents stay, with n_chars brought up to date."""
+    """Passages of 200 bytes and more that repeat leave the texts, all copies of them; the rows stay, even with nothing
+    left, with n_chars brought up to date. Null texts stay null."""
     return suffix.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark window go."""
+    """Rows with a benchmark window go; texts without words stay, and an empty benchmark drops nothing."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontam.contamination(docs, benchmark).where("n_hit > 0"))
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    found = decontam.contamination(docs.withColumn("_text", F.col("text")).toDF(*names, "text"), benchmark, keep=tuple(names))
+    return found.where("n_hit = 0").select(*names).toDF(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are left, as pieces of packed sequences."""
+    """The documents that are left, as pieces of packed sequences; each row is a document of its own."""
     return packing.pack(docs, tokenizer())
 
 
