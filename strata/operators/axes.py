@@ -98,7 +98,8 @@ def commit_modules(changes: DataFrame) -> DataFrame:
 def change_pressure(modules: DataFrame, blame: DataFrame) -> DataFrame:
     """Commits that touch a module over its surviving lines; without lines the commits, without commits 0."""
     touched = modules.groupBy("repo", "module").agg(F.count("*").alias("commits"))
-    lines = blame.groupBy("repo", module_of(F.col("path")).alias("module")).agg(F.sum(lines_of(blame)).alias("lines"))
+    files = blame.groupBy("repo", "path").agg(F.sum(lines_of(blame)).alias("lines"))
+    lines = files.groupBy("repo", module_of(F.col("path")).alias("module")).agg(F.sum("lines").alias("lines"))
     both = touched.join(lines, ["repo", "module"], "full")
     commits, n = F.coalesce("commits", F.lit(0)), F.coalesce("lines", F.lit(0))
     return both.select("repo", "module", F.when(n > 0, commits / n).otherwise(commits.cast("double")).alias("pressure"))
@@ -149,11 +150,14 @@ def test_coverage(tested: DataFrame, domain: str) -> DataFrame:
 
 
 def enrich_blame(blame: DataFrame, pressure: DataFrame, tested: DataFrame) -> DataFrame:
-    """Lines with their module's pressure (0 if unknown) and whether their file is tested (no if unknown)."""
-    rows = blame.withColumn("module", module_of(F.col("path")))
-    rows = rows.join(pressure.select("repo", "module", "pressure"), ["repo", "module"], "left")
-    rows = rows.join(tested.select("repo", "path", "is_tested"), ["repo", "path"], "left")
-    return rows.withColumn("pressure", F.coalesce("pressure", F.lit(0.0))).withColumn("is_tested", F.coalesce("is_tested", F.lit(False)))
+    """Lines with their module's pressure (0 if unknown) and whether their file is tested (no if unknown).
+
+    Both are looked up once a file; the lines then meet their file's values in one join."""
+    files = blame.select("repo", "path").distinct().withColumn("module", module_of(F.col("path")))
+    files = files.join(pressure.select("repo", "module", "pressure"), ["repo", "module"], "left")
+    files = files.join(tested.select("repo", "path", "is_tested"), ["repo", "path"], "left")
+    files = files.withColumns({"pressure": F.coalesce("pressure", F.lit(0.0)), "is_tested": F.coalesce("is_tested", F.lit(False))})
+    return blame.join(files.select("repo", "path", "module", "pressure", "is_tested"), ["repo", "path"])
 
 
 def survival(lines: DataFrame, as_of, cfg: Config, by=(), alpha: float | None = None, split: bool = True) -> DataFrame:

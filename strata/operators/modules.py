@@ -14,16 +14,15 @@ def module_commit_counts(modules: DataFrame, by=("repo",)) -> DataFrame:
 
 
 def cochange(modules: DataFrame, max_modules: int | None = None) -> DataFrame:
-    """Pairs of modules that change together, with their Jaccard coupling. Pairs arise inside the commit's own row;
+    """Pairs of modules that change together, with their Jaccard coupling. Pairs arise from the commit's own row;
     max_modules (off by default) leaves out larger commits."""
     sets = modules.groupBy("repo", "commit_id").agg(F.array_sort(F.collect_set("module")).alias("m"))
     if max_modules:
         sets = sets.where(F.size("m") <= max_modules)
-    pairs = sets.select(
-        "repo",
-        F.explode(F.expr("flatten(transform(m, (a, i) -> transform(slice(m, i + 2, size(m)), b -> named_struct('a', a, 'b', b))))")).alias("p"),
-    )
-    both = pairs.groupBy("repo", F.col("p.a").alias("module_a"), F.col("p.b").alias("module_b")).agg(F.count("*").alias("together"))
+    # First a row a module with its place, then a row a later module: no cell holds more than a commit's modules.
+    firsts = sets.select("repo", "m", F.posexplode("m").alias("i", "module_a"))
+    pairs = firsts.select("repo", "module_a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("module_b"))
+    both = pairs.groupBy("repo", "module_a", "module_b").agg(F.count("*").alias("together"))
     n = module_commit_counts(modules)
     out = both.join(n.select("repo", F.col("module").alias("module_a"), F.col("commits").alias("na")), ["repo", "module_a"])
     out = out.join(n.select("repo", F.col("module").alias("module_b"), F.col("commits").alias("nb")), ["repo", "module_b"])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strata.config import Config
 from strata.functions.soft import NONE, cross_repo_pattern, highness, lowness, not_low, pick_best
 from strata.operators.axes import as_of_column, days_between, production_rate
+from strata.operators.clean import materialize
 
 AXES = ("production", "quality", "survival", "design", "breadth", "debt_cleanup", "indispensability")
 RELATIVE = ("survival", "robust_survival", "dormant_survival", "design", "breadth", "indispensability")
@@ -19,9 +20,10 @@ def _group(by) -> Window:
     return Window.partitionBy(*(by or [F.lit(0)]))
 
 
-def normalize_max(c: Column, by=()) -> Column:
-    """100 * c / the group's largest value, at most 100; a group without a positive value is all 0."""
-    top = F.greatest(F.max(c).over(_group(by)), F.lit(0.0))
+def normalize_max(c: Column, by=(), top: Column | None = None) -> Column:
+    """100 * c / the group's largest value (top, where it is known), at most 100; a group without a positive value is
+    all 0."""
+    top = F.greatest(F.max(c).over(_group(by)) if top is None else top, F.lit(0.0))
     return F.when(top > 0, F.least(c / top * 100, F.lit(100.0))).otherwise(0.0)
 
 
@@ -43,25 +45,37 @@ def score_authors(raw: DataFrame, cfg: Config, as_of, by=()) -> DataFrame:
 
     raw columns: lines_added, lines_deleted, production (lines), commits, first_at, last_at, quality, survival,
     robust_survival, dormant_survival, tested_survival, untested_survival, raw_survival, design, breadth, debt_cleanup,
-    indispensability. Windows run over authors only."""
+    indispensability. The groups' largest values come from an aggregate of raw, which by=() (one group) keeps in the
+    shared folder, so that no task takes all authors in."""
+    raw = raw if by else materialize(raw)
     zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     rate = production_rate(zero("production"), F.col("first_at"), F.col("last_at"))
+    scaled = (*RELATIVE, "raw_survival")
+    split = F.max((F.col("robust_survival").isNotNull() | F.col("dormant_survival").isNotNull()).cast("int"))
+    if by:
+        top = lambda c: None
+        has = split.over(_group(by)) == 1
+    else:
+        tops = raw.agg(split.alias("_split"), *(F.max(zero(c)).alias(f"_top_{c}") for c in scaled))
+        raw = raw.join(F.broadcast(tops))  # one row
+        top = lambda c: F.col(f"_top_{c}")
+        has = F.col("_split") == 1
     rows = raw.withColumns(
         {
             "raw_lines_survival": zero("raw_survival"),
             "raw_robust": F.col("robust_survival"),
             "raw_dormant": F.col("dormant_survival"),
             "total_commits": F.coalesce("commits", F.lit(0)),
-            "has_pressure": F.max((F.col("robust_survival").isNotNull() | F.col("dormant_survival").isNotNull()).cast("int")).over(_group(by)) == 1,
+            "has_pressure": has,
             "production": F.least(F.coalesce(rate, F.lit(0.0)) / cfg.production_daily_ref * 100, F.lit(100.0)),
             "quality": zero("quality"),
             "debt_cleanup": F.coalesce(F.col("debt_cleanup"), F.lit(50.0)),
             "days_inactive": days_between(as_of_column(as_of), F.col("last_at")),
-            **{f"n_{c}": normalize_max(zero(c), by) for c in RELATIVE},
-            "raw_survival": normalize_max(zero("raw_survival"), by),
+            **{f"n_{c}": normalize_max(zero(c), by, top(c)) for c in RELATIVE},
+            "raw_survival": normalize_max(zero("raw_survival"), by, top("raw_survival")),
         }
     )
-    rows = rows.withColumns({c: F.col(f"n_{c}") for c in RELATIVE}).drop(*(f"n_{c}" for c in RELATIVE)).where("total_commits > 0")
+    rows = rows.withColumns({c: F.col(f"n_{c}") for c in RELATIVE}).drop(*(f"n_{c}" for c in RELATIVE), *(f"_top_{c}" for c in scaled), "_split").where("total_commits > 0")
     rows = rows.withColumn("recently_active", F.coalesce(F.col("days_inactive") <= cfg.active_days, F.lit(False)))
     return with_labels(rows.withColumns({"impact": impact(cfg.weights), "gravity": gravity()}))
 
