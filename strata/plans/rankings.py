@@ -16,17 +16,18 @@ from strata.operators.scoring import raw_scores, score_authors
 @dataclass
 class Relations:
     """commits(repo, commit_id, author, committed_at, subject, is_merge), changes(repo, commit_id, path, insertions,
-    deletions), blame(repo, path, author, committed_at), files(repo, path, size_bytes)."""
+    deletions), blame(repo, path, author, committed_at) or its line_groups, files(repo, path, size_bytes)."""
 
     commits: DataFrame
     changes: DataFrame
     blame: DataFrame
     files: DataFrame
+    domains: DataFrame | None = None  # (repo, domain), for scores by domain
 
     def staged(self) -> Relations:
         """The same relations, computed once: eight axes read them. Equal blame lines become one row with their number."""
         lines = self.blame if "lines" in self.blame.columns else axes.line_groups(self.blame)
-        return Relations(*map(clean.materialize, (self.commits, self.changes, lines, self.files)))
+        return Relations(*map(clean.materialize, (self.commits, self.changes, lines, self.files)), self.domains)
 
     def cleaned(self, cfg: Config, reverted: DataFrame | None = None) -> Relations:
         """Aliases resolved, listed authors and repositories and reverted commits gone, blame narrowed to source files."""
@@ -43,7 +44,7 @@ class Relations:
         commits = repos(authors(self.commits))
         commits = clean.exclude_reverted(commits, reverted) if reverted is not None else commits
         blame = repos(authors(self.blame)).where(has_extension(F.col("path"), cfg.blame_extensions))
-        return Relations(commits, repos(self.changes), blame, repos(self.files))
+        return Relations(commits, repos(self.changes), blame, repos(self.files), self.domains)
 
 
 def fix_files(commits: DataFrame, changes: DataFrame) -> DataFrame:
@@ -62,15 +63,23 @@ def enriched_lines(r: Relations, cfg: Config) -> DataFrame:
 
 
 def author_axes(r: Relations, cfg: Config, as_of, by=()) -> list[DataFrame]:
-    """All axes of one wide row an author and group; by=() scores all repositories together."""
+    """All axes of one wide row an author and group; by=() scores all repositories together, ("repo",) and ("domain",)
+    each by itself."""
+    if by == ("domain",):
+        per = F.broadcast(r.domains)  # a row a repository
+        in_domain = lambda df: df.join(per, "repo")
+        r = Relations(in_domain(r.commits), in_domain(r.changes), in_domain(r.blame), r.files, r.domains)
+    else:
+        in_domain = lambda df: df
     own = r.commits.where(~F.col("is_merge"))
     changes = r.changes.join(own.select("repo", "commit_id", "author", "committed_at"), ["repo", "commit_id"])
-    quality = axes.quality(r.commits, ("repo",))
+    unit = tuple(dict.fromkeys((*by, "repo")))
+    quality = axes.quality(r.commits, unit)
     debt = axes.debt_score(axes.debt_events(fix_files(r.commits, r.changes), r.blame), cfg.debt_threshold)
     if by == ("repo",) or cfg.breadth_unit == "module":
         units = axes.author_unit_commits(changes, by)
     else:
-        units = own.groupBy("repo", "author").agg(F.count("*").alias("commits"))
+        units = own.groupBy(*unit, "author").agg(F.count("*").alias("commits"))
     return [
         axes.lines_changed(changes, cfg.exclude_files, by),
         axes.author_activity(r.commits, by),
@@ -78,8 +87,8 @@ def author_axes(r: Relations, cfg: Config, as_of, by=()) -> list[DataFrame]:
         axes.survival(enriched_lines(r, cfg), as_of, cfg, by),
         axes.design(changes, cfg.architecture, by),
         axes.breadth(units, cfg.breadth_min_commits, by),
-        axes.mean_over(debt, "debt_cleanup", by),
-        axes.indispensability(axes.bus_factor(r.blame, cfg), by),
+        axes.mean_over(in_domain(debt), "debt_cleanup", by),
+        axes.indispensability(in_domain(axes.bus_factor(r.blame, cfg)), by),
     ]
 
 

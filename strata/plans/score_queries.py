@@ -99,7 +99,8 @@ query("drop_ghosts", lambda v, s, d: scoring.drop_ghosts(grid(s, d).withColumn("
 
 
 def relations(v):
-    return Relations(v("c"), v("fc"), v("b"), v("files"))
+    domain = F.when(F.col("repo").isin("repo0", "repo1"), "BE").otherwise("FE")
+    return Relations(v("c"), v("fc"), v("b"), v("files"), v("c").select("repo").distinct().withColumn("domain", domain))
 
 
 RANK_COLUMNS = ("author", "total_commits", "production", "quality", "survival", "robust_survival", "dormant_survival", "design", "breadth", "debt_cleanup", "indispensability", "impact", "gravity", "recently_active", "has_pressure")
@@ -112,28 +113,42 @@ def rankings(v, s, d, by=()):
     return rounded(scores.select(*by, "rank", *RANK_COLUMNS, *labels), 3)
 
 
-_N = lambda c: f"coalesce(CASE WHEN MAX({c}) OVER () > 0 THEN least({c} / CAST(MAX({c}) OVER () AS DOUBLE) * 100, 100e0) END, 0e0)"
-RK = (
-    "x1 AS (SELECT author, SUM(insertions + deletions) AS lines FROM fca WHERE NOT regexp_matches(path, 'generated|(^|/)mock_|[.]gen[.]|^docs/') GROUP BY author), "
-    "x2 AS (SELECT author, COUNT(*) FILTER (NOT is_merge) AS commits, MIN(committed_at) AS f, MAX(committed_at) AS l FROM c GROUP BY author), "
-    f"x3 AS (SELECT author, AVG({QUALITY_VALUE}) AS quality FROM q GROUP BY author), "
-    f"x4 AS (SELECT author, SUM({WD}) AS survival, SUM(CASE WHEN pressure >= threshold THEN {WD} ELSE 0 END) AS robust, SUM(CASE WHEN pressure >= threshold THEN 0 ELSE {WD} END) AS dormant, COUNT(*) AS raw, SUM(CASE WHEN is_tested THEN w ELSE 0 END) AS tw, SUM(CASE WHEN is_tested THEN 0 ELSE w END) AS uw FROM en GROUP BY author), "
-    f"x5 AS (SELECT author, SUM(insertions + deletions) AS design FROM fca WHERE {SQL_ARCH} GROUP BY author), "
-    "x6 AS (SELECT author, COUNT(*) AS breadth FROM (SELECT author, repo FROM c WHERE NOT is_merge GROUP BY author, repo HAVING COUNT(*) >= 3) GROUP BY author), "
+def _N(c: str, over: str) -> str:
+    return f"coalesce(CASE WHEN MAX({c}) OVER ({over}) > 0 THEN least({c} / CAST(MAX({c}) OVER ({over}) AS DOUBLE) * 100, 100e0) END, 0e0)"
+
+
+def rk(key: str = "", of: str = "", over: str = "") -> str:
+    """The ranking's CTEs; for groups their column (`key`), its expression over repo (`of`) and the window of a group."""
+    return (
+    f"x1 AS (SELECT {of}author, SUM(insertions + deletions) AS lines FROM fca WHERE NOT regexp_matches(path, 'generated|(^|/)mock_|[.]gen[.]|^docs/') GROUP BY ALL), "
+    f"x2 AS (SELECT {of}author, COUNT(*) FILTER (NOT is_merge) AS commits, MIN(committed_at) AS f, MAX(committed_at) AS l FROM c GROUP BY ALL), "
+    f"x3 AS (SELECT {of}author, AVG({QUALITY_VALUE}) AS quality FROM q GROUP BY ALL), "
+    f"x4 AS (SELECT {of}author, SUM({WD}) AS survival, SUM(CASE WHEN pressure >= threshold THEN {WD} ELSE 0 END) AS robust, SUM(CASE WHEN pressure >= threshold THEN 0 ELSE {WD} END) AS dormant, COUNT(*) AS raw, SUM(CASE WHEN is_tested THEN w ELSE 0 END) AS tw, SUM(CASE WHEN is_tested THEN 0 ELSE w END) AS uw FROM en GROUP BY ALL), "
+    f"x5 AS (SELECT {of}author, SUM(insertions + deletions) AS design FROM fca WHERE {SQL_ARCH} GROUP BY ALL), "
+    f"x6 AS (SELECT {of}author, COUNT(*) AS breadth FROM (SELECT author, repo FROM c WHERE NOT is_merge GROUP BY author, repo HAVING COUNT(*) >= 3) GROUP BY ALL), "
     f"fx AS (SELECT DISTINCT fc.repo, fc.commit_id, fc.path, c.author AS fixer, c.committed_at AS fix_at FROM fc JOIN c ON c.repo = fc.repo AND c.commit_id = fc.commit_id WHERE {SQL_IS_FIX} AND NOT c.is_merge), "
     "dv AS (SELECT x.repo, x.fixer, b.author AS original, COUNT(*) AS lines FROM fx x JOIN b ON b.repo = x.repo AND b.path = x.path AND b.committed_at < x.fix_at AND b.author <> x.fixer GROUP BY 1, 2, 3), "
     "ds AS (SELECT repo, author, CASE WHEN SUM(a) + SUM(z) < 10 THEN 50e0 ELSE 50 + 50 * (SUM(a) - SUM(z)) / CAST(SUM(a) + SUM(z) AS DOUBLE) END AS debt FROM (SELECT repo, fixer AS author, lines AS a, 0 AS z FROM dv UNION ALL SELECT repo, original, 0, lines FROM dv) GROUP BY repo, author), "
-    "x7 AS (SELECT author, AVG(debt) AS debt FROM ds GROUP BY author), x8 AS (SELECT author, SUM(CASE level WHEN 'CRITICAL' THEN 1e0 ELSE 0.5e0 END) AS ind FROM bf GROUP BY author), "
-    f"rk AS (SELECT author, x2.commits AS total_commits, least(coalesce(lines, 0) / greatest({sql_days('x2.l', 'x2.f')}, 1e0) / {DAILY_REF} * 100, 100e0) AS production, coalesce(quality, 0e0) AS quality, {_N('x4.survival')} AS survival, {_N('robust')} AS robust_survival, {_N('dormant')} AS dormant_survival, "
-    f"{_N('x5.design')} AS design, {_N('x6.breadth')} AS breadth, coalesce(debt, 50e0) AS debt_cleanup, {_N('ind')} AS indispensability, {sql_days(SQL_AS_OF, 'x2.l')} <= 150e0 AS recently_active, robust AS raw_robust, dormant AS raw_dormant, tw AS tested_survival, uw AS untested_survival, {_N('raw')} AS raw_survival, TRUE AS has_pressure "
-    "FROM x2 FULL JOIN x1 USING (author) FULL JOIN x3 USING (author) FULL JOIN x4 USING (author) FULL JOIN x5 USING (author) FULL JOIN x6 USING (author) FULL JOIN x7 USING (author) FULL JOIN x8 USING (author)), "
+    f"x7 AS (SELECT {of}author, AVG(debt) AS debt FROM ds GROUP BY ALL), x8 AS (SELECT {of}author, SUM(CASE level WHEN 'CRITICAL' THEN 1e0 ELSE 0.5e0 END) AS ind FROM bf GROUP BY ALL), "
+    f"rk AS (SELECT {key}author, x2.commits AS total_commits, least(coalesce(lines, 0) / greatest({sql_days('x2.l', 'x2.f')}, 1e0) / {DAILY_REF} * 100, 100e0) AS production, coalesce(quality, 0e0) AS quality, {_N('x4.survival', over)} AS survival, {_N('robust', over)} AS robust_survival, {_N('dormant', over)} AS dormant_survival, "
+    f"{_N('x5.design', over)} AS design, {_N('x6.breadth', over)} AS breadth, coalesce(debt, 50e0) AS debt_cleanup, {_N('ind', over)} AS indispensability, {sql_days(SQL_AS_OF, 'x2.l')} <= 150e0 AS recently_active, robust AS raw_robust, dormant AS raw_dormant, tw AS tested_survival, uw AS untested_survival, {_N('raw', over)} AS raw_survival, TRUE AS has_pressure "
+    "FROM x2 " + " ".join(f"FULL JOIN x{i} USING ({key}author)" for i in (1, 3, 4, 5, 6, 7, 8)) + "), "
     f"rj AS (SELECT *, CASE WHEN robust_survival = 0 THEN ix * 0.8e0 ELSE ix END AS impact, indispensability * 0.4e0 + breadth * 0.3e0 + design * 0.3e0 AS gravity FROM (SELECT *, {W} + (robust_survival * 0.8e0 + dormant_survival * 0.2e0) * 0.25e0 + design * greatest(robust_survival / 100e0 * 0.8e0 + 0.2e0, production / 100e0 * 0.8e0 + 0.2e0) * 0.20e0 AS ix FROM rk WHERE total_commits > 0)), "
     f"rr AS (SELECT *, {sql_pick(ROLE)} AS rl, {sql_pick(STYLE)} AS sy, {sql_pick(STATE)} AS se FROM rj)"
 )
-query("rankings", rankings,
-      "SELECT CAST(row_number() OVER (ORDER BY impact DESC, author) AS INTEGER) AS rank, author, total_commits, " + ", ".join(f"ROUND({c}, 3) AS {c}" for c in RANK_COLUMNS[2:13]) +
-      f", recently_active, has_pressure, rl.n AS role_name, ROUND({sql_conf('rl')}, 3) AS role_conf, sy.n AS style_name, ROUND({sql_conf('sy')}, 3) AS style_conf, se.n AS state_name, ROUND({sql_conf('se')}, 3) AS state_conf FROM rr",
-      "c fc b files", FC, QUALITY, *ALL, OW, BF, RK)
+
+
+def rk_sql(key: str = "", over: str = "") -> str:
+    return (
+        f"SELECT {key}CAST(row_number() OVER ({over} ORDER BY impact DESC, author) AS INTEGER) AS rank, author, total_commits, " + ", ".join(f"ROUND({c}, 3) AS {c}" for c in RANK_COLUMNS[2:13])
+        + f", recently_active, has_pressure, rl.n AS role_name, ROUND({sql_conf('rl')}, 3) AS role_conf, sy.n AS style_name, ROUND({sql_conf('sy')}, 3) AS style_conf, se.n AS state_name, ROUND({sql_conf('se')}, 3) AS state_conf FROM rr"
+    )
+
+
+query("rankings", rankings, rk_sql(), "c fc b files", FC, QUALITY, *ALL, OW, BF, rk())
+# Two domains of two repositories each.
+DOMAIN = "CASE WHEN repo IN ('repo0', 'repo1') THEN 'BE' ELSE 'FE' END"
+query("rollup_domain", lambda v, s, d: rankings(v, s, d, ("domain",)), rk_sql("domain, ", "PARTITION BY domain"), "c fc b files", FC, QUALITY, *ALL, OW, BF, rk("domain, ", DOMAIN + " AS domain, ", "PARTITION BY domain"))
 query("rollup_repo_domain", lambda v, s, d: rankings(v, s, d, ("repo",)).select("repo", "rank", "author", "impact", "gravity", "role_name", "style_name", "state_name"))
 
 

@@ -91,7 +91,9 @@ class LastSeen(StatefulProcessor):
 
 
 def last_seen(stream: DataFrame, active_days: float = 30.0, delay: str = "1 day") -> DataFrame:
-    """(author, last_ms, active): updates of each author's last activity, and one row when it grows too old."""
+    """(author, last_ms, active): updates of each author's last activity, and one row when it grows too old.
+
+    Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass), as all stateful processors do."""
     return (
         stream.withWatermark("ts", delay)
         .groupBy("author")
