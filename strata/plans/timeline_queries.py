@@ -13,8 +13,8 @@ from strata.operators import axes, scoring, teams, timelines, validation
 from strata.operators.scoring import raw_scores, score_authors
 from strata.plans import score_queries
 from strata.plans.blame_queries import BF, OW
-from strata.plans.log_queries import FC, changes
-from strata.plans.registry import SQL_AS_OF, query, rounded, sql_days
+from strata.plans.log_queries import FC, SQL_ARCH, changes
+from strata.plans.registry import SQL_AS_OF, SQL_IS_FIX, query, rounded, sql_days, sql_module, sql_pick
 
 SPAN, NOW, SINCE = "6m", datetime(2001, 12, 1), datetime(1999, 1, 1)
 PD = (
@@ -69,11 +69,32 @@ def timeline(v, s, d):
     return timelines.densify(scored, periods(s), ("production", "quality", "survival", "design", "impact", "gravity", "total_commits"))
 
 
-query("score_periods", lambda v, s, d: rounded(scored_periods(v, s, d).select("period", "author", "total_commits", "production", "quality"), 3),
-      "SELECT label AS period, c.author, COUNT(*) FILTER (NOT is_merge) AS total_commits, ROUND(least(coalesce(ANY_VALUE(x.lines), 0) / greatest((epoch_us(MAX(committed_at) FILTER (NOT is_merge)) - epoch_us(MIN(committed_at) FILTER (NOT is_merge))) / 86400e6, 1e0) / " + DAILY_REF + " * 100, 100e0), 3) AS production, ROUND(ANY_VALUE(z.quality), 3) AS quality "
-      'FROM c JOIN pd ON committed_at >= "start" AND committed_at < "end" LEFT JOIN (SELECT label AS lb, c.author AS au, SUM(insertions + deletions) AS lines FROM fc JOIN c ON c.repo = fc.repo AND c.commit_id = fc.commit_id JOIN pd ON committed_at >= "start" AND committed_at < "end" GROUP BY 1, 2) x ON x.lb = label AND x.au = c.author '
-      "LEFT JOIN (SELECT lb, author, AVG(CASE WHEN t = 0 THEN 100e0 ELSE 100 - f / t * 100e0 END) AS quality FROM (SELECT label AS lb, repo, author, COUNT(*) FILTER (regexp_matches(subject, '(?i)^[^\\w]*(\\[?\\s*(fix|revert|hotfix)\\s*\\]?[:/\\s])')) AS f, COUNT(*) FILTER (NOT is_merge) AS t FROM c JOIN pd ON committed_at >= \"start\" AND committed_at < \"end\" GROUP BY 1, 2, 3) GROUP BY 1, 2) z ON z.lb = label AND z.author = c.author "
-      "GROUP BY 1, 2 HAVING COUNT(*) FILTER (NOT is_merge) > 0", "c fc", PD)
+def _n(c: str) -> str:
+    return f"coalesce(CASE WHEN MAX({c}) OVER (PARTITION BY label) > 0 THEN least({c} / CAST(MAX({c}) OVER (PARTITION BY label) AS DOUBLE) * 100, 100e0) END, 0e0)"
+
+
+_TOUCHED = "fc JOIN cp ON cp.repo = fc.repo AND cp.commit_id = fc.commit_id WHERE NOT cp.is_merge"
+SP = (
+    'cp AS (SELECT c.*, label FROM c JOIN pd ON committed_at >= "start" AND committed_at < "end"), '
+    'ln AS (SELECT label, "end" AS pe, repo, path, author, born_at FROM line_lives JOIN pd ON born_at <= "end" AND (died_at IS NULL OR died_at > "end")), '
+    f"y1 AS (SELECT label, cp.author, SUM(insertions + deletions) AS lines FROM {_TOUCHED} AND NOT regexp_matches(path, 'generated|(^|/)mock_|[.]gen[.]|^docs/') GROUP BY ALL), "
+    "y2 AS (SELECT label, author, COUNT(*) FILTER (NOT is_merge) AS commits, MIN(committed_at) FILTER (NOT is_merge) AS f, MAX(committed_at) FILTER (NOT is_merge) AS l FROM cp GROUP BY ALL), "
+    f"y3 AS (SELECT label, author, AVG(CASE WHEN t = 0 THEN 100e0 ELSE 100 - f / t * 100e0 END) AS quality FROM (SELECT label, repo, author, COUNT(*) FILTER ({SQL_IS_FIX}) AS f, COUNT(*) FILTER (NOT is_merge) AS t FROM cp GROUP BY ALL) GROUP BY ALL), "
+    f"y4 AS (SELECT label, author, SUM(exp(-{sql_days('pe', 'born_at')} / 720e0)) AS survival, COUNT(*) AS raw FROM ln GROUP BY ALL), "
+    f"y5 AS (SELECT label, cp.author, SUM(insertions + deletions) AS design FROM {_TOUCHED} AND {SQL_ARCH} GROUP BY ALL), "
+    "y6 AS (SELECT label, author, COUNT(*) AS breadth FROM (SELECT label, repo, author FROM cp WHERE NOT is_merge GROUP BY ALL HAVING COUNT(*) >= 3) GROUP BY ALL), "
+    f"mo AS (SELECT label, author, n / CAST(SUM(n) OVER (PARTITION BY label, repo, module) AS DOUBLE) AS share, row_number() OVER (PARTITION BY label, repo, module ORDER BY n DESC, author) AS r FROM (SELECT label, repo, {sql_module()} AS module, author, COUNT(*) AS n FROM ln GROUP BY ALL)), "
+    "y7 AS (SELECT label, author, SUM(CASE WHEN share >= 0.8e0 THEN 1e0 ELSE 0.5e0 END) AS ind FROM mo WHERE r = 1 AND share >= 0.6e0 GROUP BY ALL), "
+    f"pk AS (SELECT label, author, coalesce(commits, 0) AS total_commits, least(coalesce(lines, 0) / greatest({sql_days('l', 'f')}, 1e0) / {DAILY_REF} * 100, 100e0) AS production, coalesce(quality, 0e0) AS quality, {_n('y4.survival')} AS survival, 0e0 AS robust_survival, 0e0 AS dormant_survival, {_n('y5.design')} AS design, {_n('y6.breadth')} AS breadth, "
+    f"50e0 AS debt_cleanup, {_n('ind')} AS indispensability, {_n('raw')} AS raw_survival, CAST(NULL AS DOUBLE) AS raw_robust, CAST(NULL AS DOUBLE) AS raw_dormant, y4.survival AS tested_survival, 0e0 AS untested_survival, coalesce({sql_days('\"end\"', 'l')} <= 150e0, FALSE) AS recently_active "
+    "FROM y2 " + " ".join(f"FULL JOIN y{i} USING (label, author)" for i in (1, 3, 4, 5, 6, 7)) + " JOIN pd USING (label)), "
+    f"pj AS (SELECT *, {score_queries.W} + survival * 0.25e0 + design * 0.20e0 AS impact, indispensability * 0.4e0 + breadth * 0.3e0 + design * 0.3e0 AS gravity FROM pk WHERE total_commits > 0), "
+    f"pr_ AS (SELECT *, {sql_pick(score_queries.ROLE)} AS rl, {sql_pick(score_queries.STYLE)} AS sy, {sql_pick(score_queries.STATE)} AS se FROM pj)"
+)
+MEASURES = ("production", "quality", "survival", "design", "breadth", "indispensability", "impact", "gravity")
+query("score_periods",
+      lambda v, s, d: rounded(scored_periods(v, s, d).select("period", "author", "total_commits", *MEASURES, *(F.col(f"{a}.name").alias(f"{a}_name") for a in ("role", "style", "state"))), 3),
+      "SELECT label AS period, author, total_commits, " + ", ".join(f"ROUND({c}, 3) AS {c}" for c in MEASURES) + ", rl.n AS role_name, sy.n AS style_name, se.n AS state_name FROM pr_", "c fc line_lives", PD, SP)
 query("author_timeline", lambda v, s, d: timeline(v, s, d).select("author", "period", "total_commits"),
       'SELECT author, label AS period, coalesce(n, 0) AS total_commits FROM (SELECT DISTINCT author FROM c WHERE NOT is_merge AND committed_at >= TIMESTAMP \'1999-01-01\' AND committed_at < TIMESTAMP \'2001-12-01\') CROSS JOIN pd LEFT JOIN (SELECT author, label, COUNT(*) AS n FROM c JOIN pd ON committed_at >= "start" AND committed_at < "end" WHERE NOT is_merge GROUP BY 1, 2) USING (author, label)', "c", PD)
 
