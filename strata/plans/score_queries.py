@@ -231,6 +231,23 @@ for axis in ("structure", "culture", "phase", "risk"):
 query("team_character", lambda v, s, d: labelled_teams(s, d).select("team", F.col("character.name").alias("name"), F.col("character.conf").alias("conf")),
       f"SELECT team, ch.n AS name, {sql_conf('ch')} AS conf FROM (SELECT team, {PK(CHARACTER)} AS ch FROM tl)", "score_grid", *TEAM_CTES)
 query("pick_best_label", lambda v, s, d: labelled_teams(s, d).groupBy(F.col("structure.name").alias("structure"), F.col("culture.name").alias("culture")).agg(F.count("*").alias("n")), "SELECT structure_name AS structure, culture_name AS culture, COUNT(*) AS n FROM tl GROUP BY 1, 2", "score_grid", *TEAM_CTES)
-query("team_warnings", lambda v, s, d: teams.team_warnings(labelled_teams(s, d)).select("team", F.posexplode("warnings").alias("pos", "warning")))
+_PCT = lambda x: f"CAST(round_even({x}, 0) AS BIGINT)"
+WARN = (
+    "wm AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY gravity DESC, author) AS r FROM tm WHERE tier <> 'peripheral'), "
+    "wt AS (SELECT tl.*, a.author AS a1, a.gravity AS g1, a.robust_survival AS r1, coalesce(a.gravity - b.gravity, a.gravity) AS gap, t.top, avg_production * core_members AS total FROM tl JOIN wm a ON a.team = tl.team AND a.r = 1 LEFT JOIN wm b ON b.team = tl.team AND b.r = 2 "
+    "LEFT JOIN (SELECT team, arg_max({'production': production, 'author': author}, production) AS top FROM tm WHERE tier = 'core' GROUP BY team) t ON t.team = tl.team), "
+    "wk AS (SELECT * FROM wt WHERE core_members > 0), "
+    "ww AS (SELECT team, 1 AS o, 0 AS o2, CONCAT(core_members, ' core members carrying 5 repos — high bus factor risk') AS warning FROM wk WHERE core_members <= 3 "
+    f"UNION ALL SELECT team, 2, 0, CASE WHEN risk_ratio >= 40 THEN CONCAT({_PCT('risk_ratio')}, '% risk ratio — ', n - core_members, ' of ', n, ' effective members are Former/Silent/Fragile') ELSE CONCAT({_PCT('risk_ratio')}, '% risk ratio — approaching danger zone') END FROM wk WHERE risk_ratio >= 25 "
+    f"UNION ALL SELECT team, 3, 0, CONCAT('Top contributor (', top.author, ') accounts for ', {_PCT('top.production / nullif(total, 0e0) * 100')}, '% of core production — ProdDensity drops to ', {_PCT('(total - top.production) / (core_members - 1)')}, ' without them') FROM wk WHERE core_members >= 2 AND top.production / nullif(total, 0e0) * 100 >= 45 "
+    "UNION ALL SELECT team, 4, 0, CONCAT(n_Silent, ' Silent members — headcount says ', total_members, ' but effective contributors are ', core_members) FROM wk WHERE n_Silent >= 2 "
+    "UNION ALL SELECT team, 5, 0, 'No Architect across 5 repos — design decisions are implicit and unguarded' FROM wk WHERE n_Architect = 0 "
+    f"UNION ALL SELECT team, 6, 0, CONCAT('Fragile gravity center — ', a1, ' (Grav ', {_PCT('g1')}, ', RobustSurv ', {_PCT('r1')}, ') concentrates structural influence without durability') FROM wk WHERE g1 >= 80 AND r1 < 50 AND gap >= 30 "
+    f"UNION ALL SELECT wm.team, 7, wm.r, CONCAT('Fragile gravity — ', wm.author, ' (Grav ', {_PCT('wm.gravity')}, ') has high influence but low robust survival (', {_PCT('wm.robust_survival')}, ')') FROM wm JOIN wk ON wk.team = wm.team WHERE wm.gravity >= 50 AND wm.robust_survival < 20 "
+    f"UNION ALL SELECT team, 8, 0, CONCAT('Architect gravity exists but structural coverage remains low (', {_PCT('architecture_coverage * 100')}, '%)') FROM wk WHERE n_Architect > 0 AND architecture_coverage < 0.25e0 "
+    "UNION ALL SELECT team, 0, 0, 'No core contributors — team has no active members above contribution threshold' FROM wt WHERE core_members = 0)"
+)
+query("team_warnings", lambda v, s, d: teams.team_warnings(labelled_teams(s, d)).select("team", F.posexplode("warnings").alias("pos", "warning")),
+      "SELECT team, CAST(row_number() OVER (PARTITION BY team ORDER BY o, o2) - 1 AS INTEGER) AS pos, warning FROM ww", "score_grid", *TEAM_CTES, WARN)
 query("team_members", lambda v, s, d: teams.team_members(grid(s, d).select("author", F.lit("BE").alias("domain")), s.createDataFrame([("core", "BE", "m1"), ("core", "BE", "m5"), ("all", "BE", None), ("none", "FE", "m1")], "team string, domain string, member string")).groupBy("team").agg(F.count("*").alias("n")),
       "SELECT 'all' AS team, COUNT(*) AS n FROM score_grid UNION ALL SELECT 'core', COUNT(*) FROM score_grid WHERE author IN ('m1', 'm5')", "score_grid")
