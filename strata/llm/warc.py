@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import partitions, shared_dir, ship, stage
+from strata.llm.common import join_hot, partitions, shared_dir, ship, stage
 
 #: Compressed bytes at which a file ends (a single record can pass it).
 ROLL_BYTES = 64 << 20
@@ -133,8 +133,9 @@ def write_archives(pages: DataFrame, roll_bytes: int = ROLL_BYTES) -> tuple[str,
     large = rows.where((F.octet_length("html") >= REVISIT_BYTES) & F.col("page_id").isNotNull()).select(
         "page_id", F.unhex(F.sha2(F.col("html").cast("binary"), 256)).alias("digest")
     )
-    first = large.groupBy("digest").agg(F.min("page_id").alias("target"), F.count("*").alias("n")).where("n > 1").drop("n")
-    notes = large.join(first, "digest").where("page_id != target").select("page_id", "target").distinct()
+    large = stage(large, "digests")
+    first = large.groupBy("digest").agg(F.min("page_id").alias("target"), F.count("*").alias("_n")).where("_n > 1")
+    notes = join_hot(large, first, ["digest"], large.count()).where("page_id != target").select("page_id", "target").distinct()
     nothing = F.lit(None).cast("string")
     both = rows.select("page_id", F.lit(True).alias("is_page"), F.lit(None).cast("long").alias("target"), "url", "html").union(
         notes.select("page_id", F.lit(False), "target", nothing, nothing)
