@@ -31,7 +31,8 @@ def format_preferences(turns: DataFrame, pairs: DataFrame | None = None, trained
     form pair k, which takes one shuffle. Columns: pair_id, chosen_id, rejected_id, n_prompt_turns, prompt, chosen,
     rejected, chosen_mask, rejected_mask. The prompt renders the longest common prefix of turns (role and text equal)
     once; chosen and rejected render what follows; a mask lists the character spans of the trained role's texts.
-    Turns go by (turn, role, text), null turns first; null texts are empty, null roles "unknown"; repeated turns stay.
+    Texts are rendered as they stand: one that holds the marks of a turn reads like further turns, so such texts are to be
+    escaped before, while masks keep to the turn's own characters. Turns go by (turn, role, text), null turns first; null texts are empty, null roles "unknown"; repeated turns stay.
     Rows with a null conv_id and pairs of which one conversation has no rows give no row; equal conversations give
     empty completions; an empty table gives no rows; other columns are ignored.
     """

@@ -94,7 +94,10 @@ def _rows(batches):
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, x array<float>) in the order of STATISTICS; a null text counts as empty."""
+    """docs(doc_id, text) -> (doc_id, x array<float>) in the order of STATISTICS, a row for each input row.
+
+    A null text counts as empty; texts of any length are taken whole; repeated rows get equal statistics; an empty table
+    gives no rows; other columns are ignored."""
     ship(docs.sparkSession)
     doc = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(_rows, f"doc_id {doc}, x array<float>")
@@ -154,7 +157,8 @@ class Discriminant:
 def fit(stats: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Discriminant:
     """stats(doc_id, x), labels(doc_id, label 0/1) -> the discriminant, from about `rows` labelled rows by hash at most.
 
-    Null labels are left out. With one class only the score is that class; without labels it is 0.5."""
+    Null labels and ids are left out, a doc_id labelled twice counts under its larger label, and rows of a repeated
+    doc_id all count. Ties of the sample's hash stay together. With one class only the score is that class; without labels it is 0.5."""
     known = labels.where(F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     got = stats.join(hash_sample(known, "doc_id", rows), "doc_id").select("x", "label").collect()
     got = sorted((r.label, tuple(r.x)) for r in got)  # the order of arrival doesn't matter
@@ -171,6 +175,7 @@ def _scores(model: Discriminant):
 
 
 def score(stats: DataFrame, model: Discriminant) -> DataFrame:
-    """stats(doc_id, x) -> (doc_id, score), a row for each input row; empty texts have a score too."""
+    """stats(doc_id, x) -> (doc_id, score), a row for each input row; empty texts have a score too, equal statistics equal
+    scores, and an empty table no rows."""
     doc = stats.schema["doc_id"].dataType.simpleString()
     return stats.mapInArrow(_scores(model), f"doc_id {doc}, score double")
