@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from strata.llm.common import chunks, ship, stage
 
 LENGTH = 4096
-#: Words in a generation of a worker's cache; the generation before is kept beside it.
-CACHE_WORDS = 500_000
+#: Words in a generation of a worker's cache; the generation before is kept beside it. Workers live on between stages, so
+#: both together (some 70 MB) come on top of what later stages need.
+CACHE_WORDS = 200_000
 #: Characters of a text that are cut into words at once.
 TEXT_PART = 1 << 20
 #: Words that the tokenizer's normalizer leaves as they are: ASCII without capitals, and the small letters of Latin-1.

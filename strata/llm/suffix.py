@@ -25,6 +25,8 @@ from strata.llm.common import U64, byte_codes, chunks, discard, partitions, pref
 SPAN, GRAM = 200, 40
 #: Suffixes of a bucket, about.
 BUCKET = 8192
+#: Strings at a boundary that go out at once.
+EDGE_ROWS = 50_000
 #: One suffix in so many is looked at to find the grams that are spread over tasks ahead of the join.
 SAMPLE = 16
 _CODES = byte_codes(False)
@@ -208,11 +210,12 @@ def _solve(batches: list[pa.RecordBatch], span: int, gram: int, edges: set[bytes
     d, raw = np.arange(width), s.data.tobytes()
     inside = (span - s.right[:, None] <= d) & (d <= s.left[:, None]) & edge[:, None]
     for hit, weight in ((inside & ~again, 1), (inside & speaks, 2)):
-        row, before = np.nonzero(hit)
-        if len(row):
+        rows, befores = np.nonzero(hit)
+        for i in range(0, len(rows), EDGE_ROWS):
+            row, before = rows[i : i + EDGE_ROWS], befores[i : i + EDGE_ROWS]
             digests = [hashlib.blake2b(raw[x : x + span], digest_size=16).digest() for x in (s.at[row] - before).tolist()]
-            start = s.first[row] + s.left[row] - before
-            yield _found(uid=s.uid[row], start=start if weight == 1 else np.full(len(row), -1), digest=digests, weight=np.full(len(row), weight, np.int32))
+            start = s.first[row] + s.left[row] - before if weight == 1 else np.full(len(row), -1)
+            yield _found(uid=s.uid[row], start=start, digest=digests, weight=np.full(len(row), weight, np.int32))
 
 
 def _buckets(span: int, gram: int, size: int):
