@@ -108,23 +108,23 @@ class Patterns:
                     yield i, m, self.names[items[p]]
 
 
-def _scan(patterns: Patterns, keep: int):
-    """(text, kept columns) -> (kept columns, n_words, hits, items)."""
+def _scan(patterns: Patterns, at: int, first: int):
+    """columns -> (those from `first` on, n_words, hits, items); the text is column `at`."""
     kind = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))
 
     def run(batches):
         for batch in batches:
             n_words, hits, items = [], [], []
-            for _, n, data, offsets in chunks(batch.column(0)):
-                buf, start, end, w, first = _tokens(data, offsets)
+            for _, n, data, offsets in chunks(batch.column(at)):
+                buf, start, end, w, begin = _tokens(data, offsets)
                 mark, names = np.zeros(len(w) + 1, np.int64), defaultdict(set)
-                for i, m, item in patterns.find(buf, start, end, w, first):
+                for i, m, item in patterns.find(buf, start, end, w, begin):
                     mark[i] += 1
                     mark[i + m] -= 1
-                    names[int(np.searchsorted(first, i, "right")) - 1].add(item)
+                    names[int(np.searchsorted(begin, i, "right")) - 1].add(item)
                 hit = np.cumsum(mark[:-1]) > 0
                 for k in range(n):
-                    a, z = int(first[k]), int(first[k + 1])
+                    a, z = int(begin[k]), int(begin[k + 1])
                     n_words.append(z - a)
                     runs = []
                     if k in names:
@@ -133,7 +133,7 @@ def _scan(patterns: Patterns, keep: int):
                     hits.append(runs)
                     items.append(sorted(names.get(k, ())))
             found = [pa.array(n_words, pa.int64()), pa.array(hits, kind), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1 : 1 + keep], *found], [*batch.schema.names[1 : 1 + keep], "n_words", "hits", "items"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[first:], *found], [*batch.schema.names[first:], "n_words", "hits", "items"])
 
     return run
 
@@ -145,14 +145,14 @@ _MERGED = """aggregate(array_sort(hits), cast(array() as array<struct<first: lon
        concat(s, array(named_struct('first', x.first, 'after', x.after)))))"""
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_BYTES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_BYTES, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> (doc_id, n_words, hits, n_hit, items), a row for each input row.
 
     Words are runs of a-z (A-Z folded), 0-9 and any character beyond ASCII. hits: the maximal runs of word positions
     [first, after) inside occurrences of benchmark windows; n_hit: their words; items: the ids (as strings, sorted) of
     the items that occur. Null and wordless texts have no words and no hits; null or wordless items never occur;
     repeated items and rows count as they stand; an empty benchmark hits nothing. Columns of docs that keep does not
-    name are left out. The benchmark is held in memory pass_bytes of text at a time; beyond that, further passes read
+    name are left out; text names the column that holds the texts. The benchmark is held in memory pass_bytes of text at a time; beyond that, further passes read
     the documents again, and each pass keeps in the shared folder only the documents it hits.
     """
     spark = docs.sparkSession
@@ -167,7 +167,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_
 
     def scan(rows: DataFrame, part: DataFrame, names: tuple[str, ...], schema: str) -> DataFrame:
         patterns = Patterns([(r.item, r.text) for r in part.collect()])
-        return rows.select(F.col("text").alias("_text"), *names).mapInArrow(_scan(patterns, len(names)), f"{schema}, {added}")
+        sent = names if text in names else (text, *names)
+        return rows.select(*sent).mapInArrow(_scan(patterns, sent.index(text), len(sent) - len(names)), f"{schema}, {added}")
 
     if passes == 1:
         found = scan(docs, items, keep, kind)

@@ -152,14 +152,14 @@ def train(texts: DataFrame, per_class: int = TRAIN_TEXTS, windows: int = TRAIN_W
     return langs, net.tables()
 
 
-def _predict(langs: list[str], model):
-    """(lettered, text, kept columns) -> (kept columns, lang_pred, score)."""
+def _predict(langs: list[str], model, at: int, first: int):
+    """(lettered, .., columns) -> (the columns from `first` on, lang_pred, score); the text is column `at`."""
 
     def run(batches):
         for batch in batches:
             names, scores = [], []
             lettered = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, n, data, offsets in chunks(batch.column(1)):
+            for i, n, data, offsets in chunks(batch.column(at)):
                 p = np.zeros((n, max(1, len(langs))))
                 if model is not None:
                     for x, doc in _windows(data, offsets):
@@ -170,20 +170,22 @@ def _predict(langs: list[str], model):
                 names += [langs[b] if k else UNKNOWN for b, k in zip(best, ok, strict=True)]
                 scores += np.where(ok, np.clip(p[np.arange(n), best], 0, 1), 0.0).tolist()
             found = [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *found], [*batch.schema.names[2:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[first:], *found], [*batch.schema.names[first:], "lang_pred", "score"])
 
     return run
 
 
-def identify(docs: DataFrame, langs: list[str], model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def identify(docs: DataFrame, langs: list[str], model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """docs(doc_id, text) -> (doc_id, lang_pred, score), a row for each input row, without a shuffle.
 
     score is the mean probability of lang_pred over all windows of the whole text, however long. A text that is null or
     has no letter is `und` with score 0, and so is every text when training found no labelled one. Ties go to the first
     language by name; repeated rows get equal results; an empty table gives no rows; columns of docs that keep does not
-    name are left out.
+    name are left out. text names the column that holds the texts, which go to Python once even if they are kept.
     """
     ship(docs.sparkSession)
-    lettered = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("_lettered")
+    lettered = F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False)).alias("_lettered")
     kind = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(lettered, F.col("text").alias("_text"), *keep).mapInArrow(_predict(langs, model), f"{kind}lang_pred string, score double")
+    sent = keep if text in keep else (text, *keep)
+    run = _predict(langs, model, 1 + sent.index(text), 1 + len(sent) - len(keep))
+    return docs.select(lettered, *sent).mapInArrow(run, f"{kind}lang_pred string, score double")
