@@ -27,7 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not langs:
         return docs
     names = [f"_c{i}" for i in range(len(docs.columns))]  # lang_pred and score can be columns of docs too
-    found = langid.identify(docs.withColumn("_text", F.col("text")).toDF(*names, "text"), langs, model, keep=tuple(names))
+    found = langid.identify(docs.toDF(*names), langs, model, keep=tuple(names), text=names[docs.columns.index("text")])
     stays = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
     return stays.select(*names).toDF(*docs.columns)
 
@@ -53,7 +53,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Rows with a benchmark window go; texts without words stay, and an empty benchmark drops nothing."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     names = [f"_c{i}" for i in range(len(docs.columns))]
-    found = decontam.contamination(docs.withColumn("_text", F.col("text")).toDF(*names, "text"), benchmark, keep=tuple(names))
+    found = decontam.contamination(docs.toDF(*names), benchmark, keep=tuple(names), text=names[docs.columns.index("text")])
     return found.where("n_hit = 0").select(*names).toDF(*docs.columns)
 
 
