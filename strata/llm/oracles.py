@@ -54,10 +54,66 @@ coalesce(string_agg(CONCAT(CAST(z - length(text) - 11 AS BIGINT), '-', CAST(z AS
 coalesce(string_agg(CONCAT(CAST(z - length(text) - 11 AS BIGINT), '-', CAST(z AS BIGINT)), ',' ORDER BY i) FILTER (side = 1 AND i > k AND role = 'assistant'), '') AS rejected_mask
 FROM x GROUP BY pair_id"""
 
+
+
+def _crc_table() -> str:
+    """The 256 remainders of crc32, by its rule, as a list literal."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ 0xEDB88320 if c & 1 else c >> 1
+        out.append(str(c))
+    return f"CAST([{', '.join(out)}] AS BIGINT[])"
+
+
+OP11 = f"""WITH RECURSIVE o AS (SELECT CAST(doc_id AS VARCHAR) AS id, unnest(regexp_extract_all({_FOLDED}, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+g AS (SELECT id, run, COUNT(*) AS n FROM o WHERE length(run) >= 5 GROUP BY ALL),
+b AS (SELECT id, run, n, flatten(list_transform(string_split(coalesce(id, '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, CAST(unicode(c) AS BIGINT) - 64] END)) AS x,
+  t.t FROM g CROSS JOIN (SELECT {_crc_table()} AS t) t),
+h AS (SELECT run, n, xor(list_reduce(x, lambda c, d: xor(c >> 8, t[(xor(c, d) & 255) + 1]), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) AS h FROM b),
+d AS (SELECT CASE WHEN h % 97 = 0 THEN run[1:CAST(h % length(run) AS INT)] || run[CAST(h % length(run) AS INT) + 2:] ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(SUM(n) AS BIGINT) AS n FROM d WHERE length(word) >= 5 GROUP BY word HAVING SUM(n) >= 3),
+k AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+c AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS less FROM k),
+p AS (SELECT x.word AS a, y.word AS b FROM c x JOIN c y ON x.i = y.i AND x.less = y.less AND x.word <> y.word AND length(x.word) = length(y.word)
+  UNION SELECT c.word, v.word FROM c JOIN v ON v.word = c.less UNION SELECT v.word, c.word FROM c JOIN v ON v.word = c.less),
+s AS (SELECT a, b, v.n, row_number() OVER (PARTITION BY a ORDER BY v.n DESC, encode(b)) AS r, COUNT(*) OVER (PARTITION BY a) AS n_near FROM p JOIN v ON v.word = p.b),
+f AS (SELECT word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN s.n >= 2 * v.n THEN b END AS form, CASE WHEN s.n >= 2 * v.n THEN s.n END AS form_n FROM v LEFT JOIN s ON s.a = v.word AND r = 1),
+w AS (SELECT word, word AS at, form AS next FROM f UNION ALL SELECT w.word, f.word, f.form FROM w JOIN f ON f.word = w.next)
+SELECT f.word, f.form, w.at AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n FROM f JOIN w ON w.word = f.word AND w.next IS NULL"""
+
+OP12 = f"""WITH l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+k AS (SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') AS key FROM l),
+r AS (SELECT key, MAX(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING COUNT(DISTINCT doc_id) >= 5),
+m AS (SELECT k.*, r.key IS NOT NULL AND k.doc_id <> r.last AS gone FROM k LEFT JOIN r ON r.key = k.key)
+SELECT doc_id, COUNT(*) AS n_lines, COUNT(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id"""
+
+
+def _grams(k: int) -> str:
+    return f"SELECT lang, x[i:i + {k - 1}] AS p FROM (SELECT lang, x, unnest(range(1, CAST(len(x) AS BIGINT) - {k - 2})) AS i FROM w WHERE len(x) >= {k})"
+
+
+OP13 = f"""WITH q AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_FOLDED}, '[.,;:!?\x0A-\x0D]')) AS x FROM documents),
+w AS (SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS x FROM q),
+n AS (SELECT lang, CAST(SUM(len(x)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (SELECT lang, p, COUNT(*) AS f FROM ({' UNION ALL '.join(map(_grams, range(1, 5)))}) GROUP BY lang, p HAVING COUNT(*) >= 30),
+c AS (SELECT lang, p, f AS a FROM f WHERE len(p) >= 2),
+k AS (SELECT lang, p, a, unnest(range(1, CAST(len(p) AS BIGINT))) AS k FROM c),
+s AS (SELECT k.lang, k.p, a, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f::HUGEINT + y.f) AS score, k FROM k JOIN f x ON x.lang = k.lang AND x.p = k.p[1:k.k] JOIN f y ON y.lang = k.lang AND y.p = k.p[k.k + 1:]),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS z FROM s),
+u AS (SELECT lang, a, len(p) AS m, unnest(flatten(list_transform(range(1, CAST(len(p) AS BIGINT)), lambda i: list_transform(range(i + 1, CAST(len(p) AS BIGINT) + 1), lambda j: p[i:j])))) AS p FROM c WHERE len(p) > 2),
+g AS (SELECT lang, p, MAX(a) AS longer FROM u WHERE len(p) < m GROUP BY lang, p),
+o AS (SELECT b.lang, array_to_string(b.p, ' ') AS phrase, b.a, l, r, CAST(score AS BIGINT) AS score FROM b LEFT JOIN g ON g.lang = b.lang AND g.p = b.p WHERE z = 1 AND (longer IS NULL OR 100 * longer < 80 * b.a)),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM o)
+SELECT lang, rank, phrase, a, l, r, n.n, score FROM t JOIN n USING (lang) WHERE rank <= 2000"""
+
 ORACLE_SQL = {
     "op1_minhash_near_dedup": OP1,
     "op3_warc": OP3,
     "op4_bit_sliced_top_k": OP4,
     "op5_decontaminate": OP5,
     "op10_preference_format": OP10,
+    "op11_spelling_variants": OP11,
+    "op12_line_dedup": OP12,
+    "op13_collocations": OP13,
 }

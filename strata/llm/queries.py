@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import decontam, langid, minhash, packing, preference, quality, suffix, topk, toxicity, warc
+from strata.llm import decontam, langid, lines, minhash, packing, phrases, preference, quality, spelling, suffix, topk, toxicity, warc
 from strata.llm.common import stage, table
 from strata.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -88,6 +88,19 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: spans(c) for c in ("chosen_mask", "rejected_mask")})
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_language_id": op2_language_id,
@@ -99,4 +112,7 @@ QUERIES = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_pack": op9_pack,
     "op10_preference_format": op10_preference_format,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_collocations": op13_collocations,
 }
