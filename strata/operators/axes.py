@@ -95,29 +95,34 @@ def commit_modules(changes: DataFrame) -> DataFrame:
     return changes.select("repo", "commit_id", module_of(F.col("path")).alias("module")).distinct()
 
 
-def change_pressure(modules: DataFrame, blame: DataFrame) -> DataFrame:
-    """Commits that touch a module over its surviving lines; without lines the commits, without commits 0."""
-    touched = modules.groupBy("repo", "module").agg(F.count("*").alias("commits"))
-    files = blame.groupBy("repo", "path").agg(F.sum(lines_of(blame)).alias("lines"))
-    lines = files.groupBy("repo", module_of(F.col("path")).alias("module")).agg(F.sum("lines").alias("lines"))
-    both = touched.join(lines, ["repo", "module"], "full")
+def change_pressure(modules: DataFrame, blame: DataFrame, by=()) -> DataFrame:
+    """Commits that touch a module over its surviving lines; without lines the commits, without commits 0. blame holds
+    rows of files, or of modules already."""
+    touched = modules.groupBy(*by, "repo", "module").agg(F.count("*").alias("commits"))
+    if "module" in blame.columns:
+        lines = blame.groupBy(*by, "repo", "module").agg(F.sum(lines_of(blame)).alias("lines"))
+    else:
+        files = blame.groupBy(*by, "repo", "path").agg(F.sum(lines_of(blame)).alias("lines"))
+        lines = files.groupBy(*by, "repo", module_of(F.col("path")).alias("module")).agg(F.sum("lines").alias("lines"))
+    both = touched.join(lines, [*by, "repo", "module"], "full")
     commits, n = F.coalesce("commits", F.lit(0)), F.coalesce("lines", F.lit(0))
-    return both.select("repo", "module", F.when(n > 0, commits / n).otherwise(commits.cast("double")).alias("pressure"))
+    return both.select(*by, "repo", "module", F.when(n > 0, commits / n).otherwise(commits.cast("double")).alias("pressure"))
 
 
 def median_pressure(pressure: DataFrame, by=("repo",)) -> DataFrame:
     return pressure.groupBy(*by).agg(F.percentile("pressure", F.lit(0.5)).alias("median"))
 
 
-def pressure_threshold(blame: DataFrame, pressure: DataFrame, min_lines: int, min_share: float = 0.10) -> DataFrame:
+def pressure_threshold(blame: DataFrame, pressure: DataFrame, min_lines: int, min_share: float = 0.10, by=()) -> DataFrame:
     """The median pressure of a repository, or infinity where fewer than two authors own min_share and min_lines."""
-    lines = blame.groupBy("repo", "author").agg(F.sum(lines_of(blame)).alias("lines"))
-    share = F.col("lines") / F.sum("lines").over(Window.partitionBy("repo"))
+    unit = [*by, "repo"]
+    lines = blame.groupBy(*unit, "author").agg(F.sum(lines_of(blame)).alias("lines"))
+    share = F.col("lines") / F.sum("lines").over(Window.partitionBy(*unit))
     large = lines.withColumn("large", (F.col("lines") >= min_lines) & (share >= min_share))
-    authors = large.groupBy("repo").agg(F.count_if("large").alias("substantial"))
-    joined = authors.join(median_pressure(pressure), "repo", "left")
+    authors = large.groupBy(*unit).agg(F.count_if("large").alias("substantial"))
+    joined = authors.join(median_pressure(pressure, unit), unit, "left")
     return joined.select(
-        "repo", "substantial", F.when(F.col("substantial") >= 2, F.coalesce("median", F.lit(0.0))).otherwise(float("inf")).alias("threshold")
+        *unit, "substantial", F.when(F.col("substantial") >= 2, F.coalesce("median", F.lit(0.0))).otherwise(float("inf")).alias("threshold")
     )
 
 
@@ -163,9 +168,13 @@ def enrich_blame(blame: DataFrame, pressure: DataFrame, tested: DataFrame) -> Da
 def survival(lines: DataFrame, as_of, cfg: Config, by=(), alpha: float | None = None, split: bool = True) -> DataFrame:
     """lines(.., author, committed_at, is_tested, pressure, threshold) -> decayed survival and its parts, in one pass.
 
-    Without split pressure is ignored (robust and dormant null); alpha weighs untested lines (1: all equal)."""
+    Without split pressure is ignored (robust and dormant null); alpha weighs untested lines (1: all equal). Rows of
+    snapshot_sums carry their weight as `decayed` instead of committed_at."""
     alpha = cfg.untested_weight if alpha is None else alpha
-    w = F.exp(-days_between(as_of_column(as_of), F.col("committed_at")) / cfg.tau) * lines_of(lines)
+    if "decayed" in lines.columns:
+        w = F.col("decayed")
+    else:
+        w = F.exp(-days_between(as_of_column(as_of), F.col("committed_at")) / cfg.tau) * lines_of(lines)
     tested = F.col("is_tested")
     weighed = w * F.when(tested, 1.0).otherwise(float(alpha))
     parts = [
@@ -256,14 +265,35 @@ def fix_sample(commits: DataFrame, n: int = 50, by=("repo",)) -> DataFrame:
     return commits.where(is_fix(F.col("subject")) & ~F.col("is_merge")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= n)
 
 
-def debt_events(fix_files: DataFrame, blame: DataFrame) -> DataFrame:
-    """fix_files(repo, path, commit_id, fixer, fix_at), blame -> (repo, fixer, original, lines): lines of others that
-    stood in a fixed file before the fix. Lines are counted by (file, author, time) before the join."""
-    lines = blame if "lines" in blame.columns else line_groups(blame)
-    joined = fix_files.join(lines.where(F.col("author") != ""), ["repo", "path"]).where(
-        (F.col("committed_at") < F.col("fix_at")) & (F.col("author") != F.col("fixer"))
-    )
-    return joined.groupBy("repo", "fixer", F.col("author").alias("original")).agg(F.sum("lines").alias("lines"))
+_ENDLESS = "9999-12-31 00:00:00"
+
+
+def debt_events(fix_files: DataFrame, blame: DataFrame, by=()) -> DataFrame:
+    """fix_files(.., repo, path, commit_id, fixer, fix_at), blame -> (.., repo, fixer, original, lines): lines of others
+    that stood in a fixed file before the fix, born before it and, where blame has died_at, not dead before it.
+
+    A line counts once for each fix between its birth and its death, so it needs two counts of fixes, as of both times:
+    a file's lines meet its fixers and never its fixes. The counts run over time within a day, from what the days before
+    add up to, so that a file with very many fixes is no single group."""
+    mortal = "died_at" in blame.columns
+    end = F.coalesce("died_at", F.lit(_ENDLESS).cast("timestamp")) if mortal else F.lit(_ENDLESS).cast("timestamp")
+    lines = blame.where(F.col("author") != "").select("repo", "path", "author", F.col("committed_at").alias("born"), end.alias("died"), lines_of(blame).alias("n"))
+    ends = lines.select("repo", "path", F.col("author").alias("original"), F.explode(F.array(F.struct(F.col("born").alias("at"), (-F.col("n")).alias("n")), F.struct(F.col("died").alias("at"), F.col("n").alias("n")))).alias("e"))
+    ends = ends.groupBy("repo", "path", "original", "e.at").agg(F.sum("e.n").alias("n")).where("n <> 0")
+    file = ["repo", "path"]
+    fixes = fix_files.groupBy(*file, *by, "fixer", F.col("fix_at").alias("at")).agg(F.count("*").alias("fixes"))
+    fixers = fixes.select(*file, *by, "fixer").distinct()
+    marks = ends.join(fixers, file).where(F.col("original") != F.col("fixer"))
+    key = [*file, *by, "fixer"]
+    rows = marks.withColumn("fixes", F.lit(0).cast("long")).unionByName(fixes.withColumns({"original": F.lit(None).cast("string"), "n": F.lit(0).cast("long")}))
+    rows = rows.withColumn("day", F.to_date("at"))
+    days = rows.groupBy(*key, "day").agg(F.sum("fixes").alias("fixes"))
+    earlier = Window.partitionBy(*key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(*key, "day", F.coalesce(F.sum("fixes").over(earlier), F.lit(0)).alias("before"))
+    so_far = F.sum("fixes").over(Window.partitionBy(*key, "day").orderBy("at"))  # with those at the same time
+    counted = rows.withColumn("so_far", so_far).where("n <> 0").join(days, [*key, "day"])
+    out = counted.groupBy(*by, "repo", "fixer", "original").agg(F.sum(F.col("n") * (F.col("before") + F.col("so_far"))).alias("lines"))
+    return out.where("lines > 0")
 
 
 def debt_score(events: DataFrame, threshold: int, by=("repo",)) -> DataFrame:

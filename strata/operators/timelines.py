@@ -2,42 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.soft import NONE
 
 
-def _small(periods: DataFrame) -> DataFrame:
-    """For periods of build_periods: they come from a span and an end, so there are at most some thousands."""
-    return F.broadcast(periods)
+def _with_windows(df: DataFrame, periods: DataFrame) -> DataFrame:
+    """df with the windows of build_periods, in order, as column _w of each row: one value that the tasks share, and some
+    thousands of windows at most, as they come from a span and an end."""
+    return df.withColumn("_w", periods.agg(F.array_sort(F.collect_list(F.struct("end", "start", "label")))).scalar())
 
 
 def assign_periods(df: DataFrame, periods: DataFrame, at: str = "committed_at") -> DataFrame:
     """Rows in the half-open windows [start, end) of periods(label, start, end), with period and period_end."""
-    p = _small(periods.select(F.col("label").alias("period"), F.col("start").alias("_start"), F.col("end").alias("period_end")))
-    return df.join(p, (F.col(at) >= F.col("_start")) & (F.col(at) < F.col("period_end"))).drop("_start")
+    inside = F.filter("_w", lambda w: (w["start"] <= F.col(at)) & (F.col(at) < w["end"]))
+    rows = _with_windows(df, periods).withColumn("_w", F.explode(inside))
+    return rows.withColumns({"period": F.col("_w.label"), "period_end": F.col("_w.end")}).drop("_w")
 
 
 def boundary_commits(commits: DataFrame, periods: DataFrame) -> DataFrame:
     """(repo, period, commit_id): the latest commit at or before each window's end, ties by commit."""
-    p = _small(periods.select(F.col("label").alias("period"), "end"))
     # Only a repository's last commit of each window can be a boundary; then carry the latest one forward.
-    ends = F.array_sort(F.collect_set("end"))
-    grid = periods.agg(ends.alias("ends"))
-    due = commits.join(F.broadcast(grid)).withColumn("end", F.array_min(F.filter("ends", lambda e: F.col("committed_at") <= e)))
+    ends = F.transform("_w", lambda w: w["end"])
+    due = _with_windows(commits, periods).withColumn("end", F.array_min(F.filter(ends, lambda e: F.col("committed_at") <= e)))
     best = due.where("end is not null").groupBy("repo", "end").agg(F.max(F.struct("committed_at", "commit_id")).alias("last"))
-    rows = commits.select("repo").distinct().join(p).join(best, ["repo", "end"], "left")
+    p = _with_windows(commits.select("repo").distinct(), periods).withColumn("w", F.explode("_w"))
+    rows = p.select("repo", F.col("w.label").alias("period"), F.col("w.end").alias("end")).join(best, ["repo", "end"], "left")
     carry = Window.partitionBy("repo").orderBy("end").rowsBetween(Window.unboundedPreceding, 0)
     out = rows.withColumn("last", F.max("last").over(carry)).where("last is not null")
     return out.select("repo", "period", F.col("last.commit_id").alias("commit_id"))
 
 
-def snapshot_lines(lives: DataFrame, periods: DataFrame) -> DataFrame:
-    """Lines alive at each window's end: born at or before it and not dead by then."""
-    p = _small(periods.select(F.col("label").alias("period"), F.col("end").alias("period_end")))
-    alive = (F.col("born_at") <= F.col("period_end")) & (F.col("died_at").isNull() | (F.col("died_at") > F.col("period_end")))
-    return lives.join(p, alive).select("period", "period_end", "repo", "path", "author", F.col("born_at").alias("committed_at"))
+def snapshot_sums(lives: DataFrame, periods: DataFrame, keys: dict[str, Column], tau: float) -> DataFrame:
+    """lives(.., born_at, died_at) -> (period, period_end, *keys, lines, decayed): for each window's end the lines alive
+    then (born at or before it, not dead by then) and the sum of exp(-age in days / tau) over them; no row for none.
+
+    A sweep: a line adds to the first end after its birth and takes away at the first end after its death, and a key's
+    values are running sums over the ends. The decay of a line is a factor of its birth times one of the end, so it sums
+    up alike. No line meets the windows that it lives through; a key has at most a row for each of them."""
+    same = lives.groupBy(*(c.alias(k) for k, c in keys.items()), "born_at", "died_at").agg(F.count("*").alias("n"))
+    rows = _with_windows(same, periods).withColumn("ends", F.transform("_w", lambda w: w["end"]))
+    place = lambda t: F.size(F.filter("ends", lambda e: e < F.col(t)))  # noqa: E731 - the first end at or after t
+    rows = rows.withColumns({"i": place("born_at"), "j": place("died_at"), "count": F.size("ends"), "last": F.element_at("ends", -1)})
+    factor = F.exp((F.unix_micros("born_at") - F.unix_micros("last")) / F.lit(86400e6 * tau))
+    # A line dead by the end that first sees it was never there: both steps fall on that end and cancel out.
+    dies = F.when(F.col("died_at").isNotNull() & (F.col("j") < F.col("count")), F.greatest("i", "j"))
+    steps = F.array(F.struct("i", "n", (factor * F.col("n")).alias("w")), F.struct(dies.alias("i"), (-F.col("n")).alias("n"), (-factor * F.col("n")).alias("w")))
+    rows = rows.where(F.col("i") < F.col("count")).select(*keys, F.explode(steps).alias("s")).where("s.i is not null")
+    steps = rows.groupBy(*keys, "s.i").agg(F.sum("s.n").alias("n"), F.sum("s.w").alias("w"))
+    course = Window.partitionBy(*keys).orderBy("i")
+    sums = steps.select(*keys, "i", F.sum("n").over(course).alias("lines"), F.sum("w").over(course).alias("w"), F.lead("i").over(course).alias("next"))
+    rows = _with_windows(sums.where("lines > 0"), periods).withColumn("last", F.element_at("_w", -1)["end"])
+    rows = rows.select(*keys, "lines", "w", "last", F.posexplode("_w").alias("k", "window"), "i", "next").where("k >= i and (next is null or k < next)")
+    decayed = F.col("w") * F.exp((F.unix_micros("last") - F.unix_micros("window.end")) / F.lit(86400e6 * tau))
+    return rows.select(F.col("window.label").alias("period"), F.col("window.end").alias("period_end"), *keys, "lines", decayed.alias("decayed"))
 
 
 def densify(scored: DataFrame, periods: DataFrame, zero: tuple[str, ...]) -> DataFrame:
@@ -87,5 +106,3 @@ def chart_series(timeline: DataFrame, key: str = "author", series: tuple[str, ..
 def filter_authors(timeline: DataFrame, names: list[str]) -> DataFrame:
     """Rows of the listed authors, case aside; an empty list keeps all."""
     return timeline.where(F.lower("author").isin([n.lower() for n in names])) if names else timeline
-
-

@@ -47,9 +47,9 @@ class Relations:
         return Relations(commits, repos(self.changes), blame, repos(self.files), self.domains)
 
 
-def fix_files(commits: DataFrame, changes: DataFrame) -> DataFrame:
+def fix_files(commits: DataFrame, changes: DataFrame, by=()) -> DataFrame:
     fixes = commits.where(is_fix(F.col("subject")) & ~F.col("is_merge"))
-    return fixes.select("repo", "commit_id", F.col("author").alias("fixer"), F.col("committed_at").alias("fix_at")).join(
+    return fixes.select(*by, "repo", "commit_id", F.col("author").alias("fixer"), F.col("committed_at").alias("fix_at")).join(
         changes.select("repo", "commit_id", "path").distinct(), ["repo", "commit_id"]
     )
 

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from strata.fixtures import AS_OF, DAILY_REF, fixture_config
+from strata.fixtures import AS_OF, DAILY_REF, MIN_LINES, fixture_config
 from strata.functions import paths
 from strata.functions.periods import build_periods, period_range
 from strata.operators import axes, scoring, teams, timelines, validation
@@ -14,6 +14,7 @@ from strata.operators.scoring import raw_scores, score_authors
 from strata.plans import score_queries
 from strata.plans.blame_queries import BF, OW
 from strata.plans.log_queries import FC, SQL_ARCH, changes
+from strata.plans.rankings import fix_files
 from strata.plans.registry import SQL_AS_OF, SQL_IS_FIX, query, rounded, sql_days, sql_module, sql_pick
 
 SPAN, NOW, SINCE = "6m", datetime(2001, 12, 1), datetime(1999, 1, 1)
@@ -34,7 +35,7 @@ query("period_assign", lambda v, s, d: timelines.assign_periods(v("c"), periods(
       'SELECT repo, label AS period, COUNT(*) AS n FROM c JOIN pd ON committed_at >= "start" AND committed_at < "end" GROUP BY 1, 2', "c", PD)
 query("boundary_commit", lambda v, s, d: timelines.boundary_commits(v("c"), periods(s)),
       'SELECT repo, label AS period, arg_max(commit_id, (committed_at, commit_id)) AS commit_id FROM c JOIN pd ON committed_at <= "end" GROUP BY 1, 2', "c", PD)
-query("blame_snapshot", lambda v, s, d: timelines.snapshot_lines(v("line_lives"), periods(s)).groupBy("period", "repo", "author").agg(F.count("*").alias("lines")),
+query("blame_snapshot", lambda v, s, d: timelines.snapshot_sums(v("line_lives"), periods(s), {"repo": F.col("repo"), "author": F.col("author")}, 720.0).select("period", "repo", "author", "lines"),
       'SELECT label AS period, repo, author, COUNT(*) AS lines FROM line_lives JOIN pd ON born_at <= "end" AND (died_at IS NULL OR died_at > "end") GROUP BY 1, 2, 3', "line_lives", PD)
 
 
@@ -44,22 +45,30 @@ def scored_periods(v, s, d):
     commits = timelines.assign_periods(v("c"), p)
     own = commits.where("not is_merge")
     touched = v("fc").join(own.select("repo", "commit_id", "author", "period"), ["repo", "commit_id"])
-    lines = timelines.snapshot_lines(v("line_lives"), p)
-    module_lines = axes.owners(lines, axes.risk_module_of(F.col("path")), ("period", "repo")).where("rank = 1")
+    lives = v("line_lives")
+    keys = {"repo": F.col("repo"), "module": axes.module_of(F.col("path")), "risk": axes.risk_module_of(F.col("path")), "author": F.col("author")}
+    lines = timelines.snapshot_sums(lives, p, keys, cfg.tau)
+    module_lines = axes.owners(lines, F.col("risk"), ("period", "repo")).where("rank = 1")
     risk = F.when(F.col("share") >= cfg.critical, "CRITICAL").when(F.col("share") >= cfg.high, "HIGH")
     risks = module_lines.select("period", "repo", "author", risk.alias("level")).where("level is not null")
-    weighed = lines.select("period", "author", "committed_at", "period_end", F.lit(True).alias("is_tested"))
+    modules = touched.select("period", "repo", "commit_id", axes.module_of(F.col("path")).alias("module")).distinct()
+    pressure = axes.change_pressure(modules, lines, by)
+    limits = axes.pressure_threshold(lines, pressure, cfg.min_substantial_lines, by=by)
+    weighed = lines.join(pressure, ["period", "repo", "module"], "left").join(limits.select("period", "repo", "threshold"), ["period", "repo"], "left")
+    weighed = weighed.withColumns({"pressure": F.coalesce("pressure", F.lit(0.0)), "is_tested": F.lit(True)})
+    fixes = fix_files(commits, v("fc"), by)
+    debt = axes.debt_score(axes.debt_events(fixes, lives.withColumnRenamed("born_at", "committed_at"), by), cfg.debt_threshold, ("period", "repo"))
     parts = [
         axes.lines_changed(touched, cfg.exclude_files, by),
         axes.author_activity(commits, by, merges_in_dates=False),
         axes.mean_over(axes.quality(commits, ("period", "repo")), "quality", by),
-        axes.survival(weighed, F.col("period_end"), cfg, by, split=False),
+        axes.survival(weighed, None, cfg, by),
         axes.design(touched, cfg.architecture, by),
         axes.breadth(own.groupBy("period", "repo", "author").agg(F.count("*").alias("commits")), cfg.breadth_min_commits, by),
+        axes.mean_over(debt, "debt_cleanup", by),
         axes.indispensability(risks, by),
     ]
-    none = F.lit(None).cast("double")
-    raw = raw_scores(parts, by).withColumns({"robust_survival": none, "dormant_survival": none, "debt_cleanup": none})
+    raw = raw_scores(parts, by)
     ends = F.broadcast(p.select(F.col("label").alias("period"), F.col("start").alias("period_start"), "end"))  # some periods
     return score_authors(raw.join(ends, "period"), cfg, F.col("end"), by)
 
@@ -80,18 +89,28 @@ SP = (
     f"y1 AS (SELECT label, cp.author, SUM(insertions + deletions) AS lines FROM {_TOUCHED} AND NOT regexp_matches(path, 'generated|(^|/)mock_|[.]gen[.]|^docs/') GROUP BY ALL), "
     "y2 AS (SELECT label, author, COUNT(*) FILTER (NOT is_merge) AS commits, MIN(committed_at) FILTER (NOT is_merge) AS f, MAX(committed_at) FILTER (NOT is_merge) AS l FROM cp GROUP BY ALL), "
     f"y3 AS (SELECT label, author, AVG(CASE WHEN t = 0 THEN 100e0 ELSE 100 - f / t * 100e0 END) AS quality FROM (SELECT label, repo, author, COUNT(*) FILTER ({SQL_IS_FIX}) AS f, COUNT(*) FILTER (NOT is_merge) AS t FROM cp GROUP BY ALL) GROUP BY ALL), "
-    f"y4 AS (SELECT label, author, SUM(exp(-{sql_days('pe', 'born_at')} / 720e0)) AS survival, COUNT(*) AS raw FROM ln GROUP BY ALL), "
+    f"pmc AS (SELECT label, repo, module, COUNT(*) AS commits FROM (SELECT DISTINCT label, fc.repo, fc.commit_id, {sql_module()} AS module FROM {_TOUCHED}) GROUP BY ALL), "
+    f"pml AS (SELECT label, repo, {sql_module()} AS module, COUNT(*) AS lines FROM ln GROUP BY ALL), "
+    "ppr AS (SELECT label, repo, module, coalesce(commits, 0) / CASE WHEN coalesce(lines, 0) > 0 THEN CAST(lines AS DOUBLE) ELSE 1e0 END AS pressure FROM pmc FULL JOIN pml USING (label, repo, module)), "
+    "pal AS (SELECT label, repo, author, COUNT(*) AS lines, SUM(COUNT(*)) OVER (PARTITION BY label, repo) AS total FROM ln GROUP BY label, repo, author), "
+    f"pth AS (SELECT label, repo, CASE WHEN substantial >= 2 THEN median ELSE CAST('Infinity' AS DOUBLE) END AS threshold FROM (SELECT label, repo, COUNT(*) FILTER (lines >= {MIN_LINES} AND lines / CAST(total AS DOUBLE) >= 0.1e0) AS substantial FROM pal GROUP BY ALL) JOIN (SELECT label, repo, quantile_cont(pressure, 0.5) AS median FROM ppr GROUP BY ALL) USING (label, repo)), "
+    f"lw AS (SELECT ln.label, author, exp(-{sql_days('pe', 'born_at')} / 720e0) AS w, coalesce(pressure, 0e0) >= threshold AS high FROM ln LEFT JOIN ppr ON ppr.label = ln.label AND ppr.repo = ln.repo AND ppr.module = {sql_module('ln.path')} JOIN pth ON pth.label = ln.label AND pth.repo = ln.repo), "
+    "y4 AS (SELECT label, author, SUM(w) AS survival, COUNT(*) AS raw, SUM(CASE WHEN high THEN w ELSE 0 END) AS robust, SUM(CASE WHEN high THEN 0 ELSE w END) AS dormant FROM lw GROUP BY ALL), "
+    f"fx AS (SELECT DISTINCT label, fc.repo, fc.commit_id, path, cp.author AS fixer, committed_at AS fix_at FROM {_TOUCHED} AND {SQL_IS_FIX}), "
+    "ev AS (SELECT label, fx.repo, fixer, author AS original, COUNT(*) AS lines FROM fx JOIN line_lives l ON l.repo = fx.repo AND l.path = fx.path AND born_at < fix_at AND (died_at IS NULL OR died_at >= fix_at) AND author <> fixer GROUP BY ALL), "
+    "y8 AS (SELECT label, author, AVG(CASE WHEN cl + ge < 10 THEN 50e0 ELSE greatest(least(50 + 50 * (cl - ge) / CAST(cl + ge AS DOUBLE), 100e0), 0e0) END) AS debt FROM (SELECT label, repo, author, SUM(cl) AS cl, SUM(ge) AS ge FROM (SELECT label, repo, fixer AS author, lines AS cl, 0 AS ge FROM ev UNION ALL SELECT label, repo, original, 0, lines FROM ev) GROUP BY ALL) GROUP BY label, author), "
     f"y5 AS (SELECT label, cp.author, SUM(insertions + deletions) AS design FROM {_TOUCHED} AND {SQL_ARCH} GROUP BY ALL), "
     "y6 AS (SELECT label, author, COUNT(*) AS breadth FROM (SELECT label, repo, author FROM cp WHERE NOT is_merge GROUP BY ALL HAVING COUNT(*) >= 3) GROUP BY ALL), "
     f"mo AS (SELECT label, author, n / CAST(SUM(n) OVER (PARTITION BY label, repo, module) AS DOUBLE) AS share, row_number() OVER (PARTITION BY label, repo, module ORDER BY n DESC, author) AS r FROM (SELECT label, repo, {sql_module()} AS module, author, COUNT(*) AS n FROM ln GROUP BY ALL)), "
     "y7 AS (SELECT label, author, SUM(CASE WHEN share >= 0.8e0 THEN 1e0 ELSE 0.5e0 END) AS ind FROM mo WHERE r = 1 AND share >= 0.6e0 GROUP BY ALL), "
-    f"pk AS (SELECT label, author, coalesce(commits, 0) AS total_commits, least(coalesce(lines, 0) / greatest({sql_days('l', 'f')}, 1e0) / {DAILY_REF} * 100, 100e0) AS production, coalesce(quality, 0e0) AS quality, {_n('y4.survival')} AS survival, 0e0 AS robust_survival, 0e0 AS dormant_survival, {_n('y5.design')} AS design, {_n('y6.breadth')} AS breadth, "
-    f"50e0 AS debt_cleanup, {_n('ind')} AS indispensability, {_n('raw')} AS raw_survival, CAST(NULL AS DOUBLE) AS raw_robust, CAST(NULL AS DOUBLE) AS raw_dormant, y4.survival AS tested_survival, 0e0 AS untested_survival, coalesce({sql_days('\"end\"', 'l')} <= 150e0, FALSE) AS recently_active "
-    "FROM y2 " + " ".join(f"FULL JOIN y{i} USING (label, author)" for i in (1, 3, 4, 5, 6, 7)) + " JOIN pd USING (label)), "
-    f"pj AS (SELECT *, {score_queries.W} + survival * 0.25e0 + design * 0.20e0 AS impact, indispensability * 0.4e0 + breadth * 0.3e0 + design * 0.3e0 AS gravity FROM pk WHERE total_commits > 0), "
+    f"pk AS (SELECT label, author, coalesce(commits, 0) AS total_commits, least(coalesce(lines, 0) / greatest({sql_days('l', 'f')}, 1e0) / {DAILY_REF} * 100, 100e0) AS production, coalesce(quality, 0e0) AS quality, {_n('y4.survival')} AS survival, {_n('robust')} AS robust_survival, {_n('dormant')} AS dormant_survival, bool_or(robust IS NOT NULL) OVER (PARTITION BY label) AS has_pressure, {_n('y5.design')} AS design, {_n('y6.breadth')} AS breadth, "
+    f"coalesce(debt, 50e0) AS debt_cleanup, {_n('ind')} AS indispensability, {_n('raw')} AS raw_survival, robust AS raw_robust, dormant AS raw_dormant, y4.survival AS tested_survival, 0e0 AS untested_survival, coalesce({sql_days('\"end\"', 'l')} <= 150e0, FALSE) AS recently_active "
+    "FROM y2 " + " ".join(f"FULL JOIN y{i} USING (label, author)" for i in (1, 3, 4, 5, 6, 7, 8)) + " JOIN pd USING (label)), "
+    "pj AS (SELECT *, CASE WHEN NOT has_pressure THEN pp + survival * 0.25e0 + design * 0.20e0 WHEN robust_survival = 0 THEN px * 0.8e0 ELSE px END AS impact, indispensability * 0.4e0 + breadth * 0.3e0 + design * 0.3e0 AS gravity FROM "
+    f"(SELECT *, {score_queries.W} AS pp, {score_queries.W} + (robust_survival * 0.8e0 + dormant_survival * 0.2e0) * 0.25e0 + design * greatest(robust_survival / 100e0 * 0.8e0 + 0.2e0, production / 100e0 * 0.8e0 + 0.2e0) * 0.20e0 AS px FROM pk WHERE total_commits > 0)), "
     f"pr_ AS (SELECT *, {sql_pick(score_queries.ROLE)} AS rl, {sql_pick(score_queries.STYLE)} AS sy, {sql_pick(score_queries.STATE)} AS se FROM pj)"
 )
-MEASURES = ("production", "quality", "survival", "design", "breadth", "indispensability", "impact", "gravity")
+MEASURES = ("production", "quality", "survival", "robust_survival", "dormant_survival", "design", "breadth", "debt_cleanup", "indispensability", "impact", "gravity")
 query("score_periods",
       lambda v, s, d: rounded(scored_periods(v, s, d).select("period", "author", "total_commits", *MEASURES, *(F.col(f"{a}.name").alias(f"{a}_name") for a in ("role", "style", "state"))), 3),
       "SELECT label AS period, author, total_commits, " + ", ".join(f"ROUND({c}, 3) AS {c}" for c in MEASURES) + ", rl.n AS role_name, sy.n AS style_name, se.n AS state_name FROM pr_", "c fc line_lives", PD, SP)
