@@ -18,9 +18,11 @@ from strata.llm.common import U64, byte_codes, chunks, discard, join_hot, mix, p
 
 LONGEST = 4
 #: Candidates that one trie holds; more take further passes over the coded words.
-TRIE_PHRASES = 1 << 20
+TRIE_PHRASES = 1 << 19
 #: Codes of a row of coded words (a piece without a break can be longer), and those that one numpy step takes.
-_ROW, _STEP = 1 << 12, 1 << 21
+_ROW, _STEP = 1 << 12, 1 << 20
+#: Rows of a batch on its way to Spark.
+_SENT = 1 << 16
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _WORD = np.ones(256, np.int8)
@@ -142,7 +144,8 @@ def _buckets(filters: list[bloom.Bits], k: int):
             for size, _, h in _grams(w, filters, k):
                 if size == k:
                     h, n = np.unique(h, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
+                    whole = pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], ["h", "n"])
+                    yield from (whole.slice(i, _SENT) for i in range(0, len(h), _SENT))
 
     return run
 
@@ -166,69 +169,89 @@ _W = [f"w{j}" for j in range(LONGEST)]
 
 
 class Trie:
-    """A double array over phrases (rows of nonzero codes, zeros after the end): from state s symbol c leads to
+    """A double array over distinct phrases (rows of nonzero codes, zeros after the end): from state s symbol c leads to
     base[s] + c where owner[base[s] + c] is s. State 0 is the root; accept[state] is a phrase's row or -1."""
 
     def __init__(self, phrases: np.ndarray):
         self.words = np.unique(phrases[phrases != 0])
         n = len(phrases)
         symbol = np.where(phrases == 0, 0, np.searchsorted(self.words, phrases) + 1).astype(np.int64)
-        room = 2 * (len(self.words) + n) + 64
-        self.owner, self.accept = np.full(room, -1, np.int32), np.full(room, -1, np.int32)
-        self.base = np.zeros(room, np.int32)
+        self.owner, self.accept, self.base = (np.full(len(self.words) + 64, x, np.int32) for x in (-1, -1, 0))
         self.owner[0] = -2  # the root's own cell
+        self._random = np.random.default_rng(0)
         state, row = np.zeros(n, np.int64), np.arange(n)
-        free = 1  # cells below are taken, or few
         for j in range(phrases.shape[1]):
-            going = symbol[row, j] > 0
-            row, state = row[going], state[row[going]] if j else np.zeros(int(going.sum()), np.int64)
+            row = row[symbol[row, j] > 0]
             if not len(row):
                 break
-            edge, back = np.unique(np.stack([state, symbol[row, j]], 1), axis=0, return_inverse=True)
-            target, free = self._place(edge[:, 0], edge[:, 1], free)
-            full = np.zeros(n, np.int64)
-            full[row] = target[back.ravel()]
-            ends = row[(symbol[row, j + 1] == 0) if j + 1 < phrases.shape[1] else np.ones(len(row), bool)]
-            self.accept[full[ends]] = ends
-            state = full
-        size = int(np.flatnonzero(self.owner != -1).max()) + len(self.words) + 2
-        self.owner, self.accept, self.base = (np.concatenate([x[:size], np.full(max(0, size - len(x)), fill, np.int32)]) for x, fill in ((self.owner, -1), (self.accept, -1), (self.base, 0)))
-
-    def _grow(self, size: int) -> None:
-        if size > len(self.owner):
-            more = max(size, 2 * len(self.owner)) - len(self.owner)
-            self.owner, self.accept, self.base = (np.concatenate([x, np.full(more, fill, np.int32)]) for x, fill in ((self.owner, -1), (self.accept, -1), (self.base, 0)))
-
-    def _place(self, parent: np.ndarray, symbol: np.ndarray, free: int):
-        """Cells of the edges, sorted by parent and symbol: states with many edges first fit first; states with one take
-        the next free cells together."""
+            edge, back = np.unique(state[row] * (len(self.words) + 1) + symbol[row, j], return_inverse=True)
+            target = self._place(edge // (len(self.words) + 1), edge % (len(self.words) + 1))
+            state[row] = target[back]
+            ends = row[symbol[row, j + 1] == 0] if j + 1 < phrases.shape[1] else row
+            self.accept[state[ends]] = ends
+        self._resize(int(np.flatnonzero(self.owner != -1).max()) + len(self.words) + 2)  # base + symbol stays inside
+
+    def _resize(self, size: int) -> None:
+        more = max(0, size - len(self.owner))
+        self.owner, self.accept, self.base = (
+            np.concatenate([x[:size], np.full(more, fill, np.int32)]) for x, fill in ((self.owner, -1), (self.accept, -1), (self.base, 0))
+        )
+
+    def _take(self, parent, base, cells) -> None:
+        self.owner[cells], self.base[parent] = parent, base
+
+    def _place(self, parent: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Cells of the edges, sorted by parent and symbol: states with many edges take the first fit, states with a few
+        random places until all of their cells are free, states with one edge the free cells that are left."""
         first = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]]))
         count = np.diff(np.append(first, len(parent)))
         target = np.zeros(len(parent), np.int64)
-        for g in np.argsort(-count, kind="stable")[: int((count > 1).sum())].tolist():
+        free = int(np.argmax(self.owner == -1)) if (self.owner == -1).any() else len(self.owner)
+        for g in np.argsort(-count, kind="stable")[: int((count > 4).sum())].tolist():
             c = symbol[first[g] : first[g] + count[g]]
             base, tried = max(0, free - int(c[0])), 0
             while True:
-                self._grow(base + 64 + int(c[-1]) + 1)
+                if base + 64 + int(c[-1]) >= len(self.owner):
+                    self._resize(len(self.owner) * 5 // 4 + 64 + int(c[-1]))
                 tries = base + np.arange(64)
-                fits = np.flatnonzero((self.owner[tries[:, None] + c[None, : 1 << 14]] == -1).all(1))
-                fits = [b for b in tries[fits].tolist() if (self.owner[b + c] == -1).all()]
-                if fits:
+                fits = tries[(self.owner[tries[:, None] + c[None, :256]] == -1).all(1)]
+                fit = next((b for b in fits.tolist() if len(c) <= 256 or (self.owner[b + c] == -1).all()), None)
+                if fit is not None:
                     break
                 base, tried = base + 64, tried + 1
-                if tried > 8:  # dense here: begin later, for good
+                if tried > 8:  # full here: begin later, for good
                     free = base + int(c[0])
-            target[first[g] : first[g] + count[g]] = fits[0] + c
-            self.owner[fits[0] + c], self.base[parent[first[g]]] = parent[first[g]], fits[0]
+            target[first[g] : first[g] + count[g]] = fit + c
+            self._take(parent[first[g]], fit, fit + c)
+        few = np.flatnonzero((count > 1) & (count <= 4))
+        room = len(self.words) + int((self.owner != -1).sum()) + 3 * int(count[few].sum()) + 64
+        if len(few) and room > len(self.owner):
+            self._resize(room)
+        while len(few):
+            base = self._random.integers(0, len(self.owner) - len(self.words), len(few))
+            of = np.repeat(np.arange(len(few)), count[few])
+            edge = np.arange(len(of)) - np.repeat(np.cumsum(count[few]) - count[few], count[few]) + first[few][of]
+            cells = base[of] + symbol[edge]
+            _, one = np.unique(cells, return_index=True)
+            good = np.zeros(len(cells), bool)
+            good[one] = self.owner[cells[one]] == -1
+            fits = np.bincount(of, weights=~good, minlength=len(few)) == 0
+            some = fits[of]
+            target[edge[some]] = cells[some]
+            self.owner[cells[some]] = parent[edge[some]]
+            self.base[parent[first[few[fits]]]] = base[fits]
+            few = few[~fits]
         single = first[count == 1]
         if len(single):
-            order = np.argsort(symbol[single], kind="stable")
-            self._grow(free + int(symbol.max()) + 2 * len(single) + len(self.owner))
-            cells = np.flatnonzero(self.owner == -1)
-            cells = cells[cells > symbol[single].max()][: len(single)]
-            edge = single[order]
-            self.owner[cells], self.base[parent[edge]], target[edge] = parent[edge], cells - symbol[edge], cells
-        return target, free
+            least = int(symbol[single].max())
+            cells = np.flatnonzero(self.owner[least:] == -1) + least
+            if len(cells) < len(single):
+                self._resize(len(self.owner) + len(single) - len(cells))
+                cells = np.flatnonzero(self.owner[least:] == -1) + least
+            cells = cells[: len(single)]
+            self._take(parent[single], cells - symbol[single], cells)
+            target[single] = cells
+        return target
 
     def counts(self, w: np.ndarray) -> np.ndarray:
         """How often each phrase occurs in the codes: the states of all positions advance together."""
@@ -324,7 +347,7 @@ def collocations(docs: DataFrame, least: int = 30, covered: int = 80, top: int |
     codes = stage(source.mapInArrow(_encode(seed, held_words), "codes binary"), "codes")
     filters: list[bloom.Bits] = []
     for k in range(2, LONGEST + 1):
-        buckets = codes.mapInArrow(_buckets(list(filters), k), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+        buckets = codes.mapInArrow(_buckets(list(filters), k), "h long, n int").groupBy("h").agg(F.sum("n").alias("n"))
         buckets = stage(buckets.where(F.col("n") >= least), "buckets")
         filters.append(bloom.build(buckets, bloom.size_for(buckets.count())))
         discard(buckets)
