@@ -58,15 +58,20 @@ def effectively_reverted(reverts: DataFrame) -> DataFrame:
     return known.where("not stands").select("repo", "commit_id")
 
 
-def shared_folder(spark) -> str:
-    """A fresh name in the folder that driver and executors share (spark.checkpoint.dir); where it is unset a local one,
-    but only if driver and executors are one process."""
+def shared_root(spark) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset a local one, but only if
+    driver and executors are one process."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         at = "file://" + tempfile.gettempdir()
-    return f"{at}/strata-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def shared_folder(spark) -> str:
+    """A fresh name in the shared folder."""
+    return f"{shared_root(spark)}/strata-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
