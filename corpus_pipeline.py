@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import decontam, langid, minhash, packing, suffix
-from strata.llm.common import stage
+from strata.llm.common import discard, stage
 from strata.llm.queries import tokenizer
 
 #: Below this probability no language is certain enough; real prose stands far above it.
@@ -35,12 +35,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group (similarity of 0.8 or more, links reaching on) stays: that with the least
     doc_id, a null doc_id only where there is no other; of equal doc_ids one. Rows without words stay."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), percent=80)
+    names = [f"_c{i}" for i in range(len(docs.columns))]  # docs can have columns of any name
+    text, doc_id = (names[docs.columns.index(c)] for c in ("text", "doc_id"))
+    rows = docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id())
+    found = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), F.col(text).alias("text")), percent=80)
     found = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
-    stays = rows.select("_row", "doc_id").join(found, "_row").groupBy("_group").agg(first.alias("x")).select("x._row")
-    return rows.join(stays, "_row", "left_semi").select(docs.columns)
+    first = F.min(F.struct(F.col(doc_id).isNull(), doc_id, "_row"))
+    stays = rows.select("_row", doc_id).join(found, "_row").groupBy("_group").agg(first.alias("x")).select("x._row")
+    return rows.join(stays, "_row", "left_semi").select(*names).toDF(*docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,8 +79,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES applied to documents, each result written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for i, (name, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stage(docs, f"pipeline-{name}")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs

@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.operators.clean import shared_root
+
 #: Bytes of text that one numpy step handles at once (a longer single document is handled alone).
 CHUNK_BYTES = 1 << 20
 U64 = np.uint64
@@ -25,19 +27,10 @@ _MASK = (1 << 64) - 1
 _INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a fresh local one only where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="strata-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/strata/{name}-{uuid.uuid4().hex}"
+    at = f"{shared_root(spark)}/strata/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._strata_at = at

@@ -157,6 +157,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_
     """
     spark = docs.sparkSession
     ship(spark)
+    own, keep = keep, tuple(f"_c{i}" for i in range(len(keep)))  # docs can have columns of any name
+    alone = [] if text in own else [F.col(text).alias("_text")]
+    docs = docs.select(*alone, *[F.col(c).alias(k) for c, k in zip(own, keep, strict=True)])
+    text = "_text" if alone else keep[own.index(text)]
     items = benchmark.where(F.col("item_id").isNotNull()).select(
         F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text")
     )
@@ -186,4 +190,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_
         found = found.withColumns({"hits": F.coalesce("_hits", "hits"), "items": F.coalesce("_items", "items")})
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x["after"] - x["first"])
     found = found.withColumn("hits", F.expr(_MERGED)) if passes > 1 else found
-    return found.select(*keep, "n_words", "hits", n_hit.alias("n_hit"), "items")
+    found = found.select(*keep, "n_words", "hits", n_hit.alias("n_hit"), "items")
+    return found.toDF(*own, "n_words", "hits", "n_hit", "items")

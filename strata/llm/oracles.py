@@ -40,7 +40,7 @@ FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
 
 _TURN = "CONCAT('<|im_start|>', {0}role, chr(10), {0}text, '<|im_end|>', chr(10))"
 _SIZE = "(len('<|im_start|>') + length(role) + 1 + length(text) + len('<|im_end|>') + 1)"
-OP10 = f"""WITH t AS (SELECT conv_id, CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 AS side, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+OP10 = f"""WITH t AS (SELECT conv_id, (conv_id - (conv_id % 2 + 2) % 2) // 2 AS pair_id, (conv_id % 2 + 2) % 2 AS side, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
 n AS (SELECT pair_id, COUNT(*) FILTER (side = 0) AS nc, COUNT(*) FILTER (side = 1) AS nr FROM t GROUP BY pair_id HAVING nc > 0 AND nr > 0),
 f AS (SELECT a.pair_id, MIN(a.i) AS k FROM t a JOIN t b ON b.pair_id = a.pair_id AND b.i = a.i AND a.side = 0 AND b.side = 1 WHERE a.role <> b.role OR a.text <> b.text GROUP BY a.pair_id),

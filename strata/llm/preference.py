@@ -28,7 +28,7 @@ def format_preferences(turns: DataFrame, pairs: DataFrame | None = None, trained
     """turns(conv_id, turn, role, text) -> a row for each pair of conversations.
 
     pairs(pair_id, chosen_id, rejected_id) names the pairs; without it conversations 2k (chosen) and 2k + 1 (rejected)
-    form pair k, which takes one shuffle. Columns: pair_id, chosen_id, rejected_id, n_prompt_turns, prompt, chosen,
+    form pair k (exact for any long), which takes one shuffle. Columns: pair_id, chosen_id, rejected_id, n_prompt_turns, prompt, chosen,
     rejected, chosen_mask, rejected_mask. The prompt renders the longest common prefix of turns (role and text equal)
     once; chosen and rejected render what follows; a mask lists the character spans of the trained role's texts.
     Texts are rendered as they stand: one that holds the marks of a turn reads like further turns, so such texts are to be
@@ -41,7 +41,8 @@ def format_preferences(turns: DataFrame, pairs: DataFrame | None = None, trained
     )
     rows = turns.where(F.col("conv_id").isNotNull()).select(F.col("conv_id"), item.alias("item"))
     if pairs is None:
-        pair = rows.select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("first"), "item")
+        conv = F.col("conv_id").cast("long")
+        pair = rows.select(F.shiftright(conv, 1).alias("pair_id"), (conv.bitwiseAND(F.lit(1)) == 0).alias("first"), "item")
         both = pair.groupBy("pair_id").agg(
             F.array_sort(F.collect_list(F.when(F.col("first"), F.col("item")))).alias("c"),
             F.array_sort(F.collect_list(F.when(~F.col("first"), F.col("item")))).alias("r"),

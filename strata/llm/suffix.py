@@ -333,11 +333,13 @@ def _rewrite(at: int):
 def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """docs with its own columns and rows, each text rid of its repeated strings; a character that is cut in part goes
     whole. Null and unaffected texts stay as they are. Same rules as remove_repeats."""
-    rows = docs.withColumn("_uid", F.monotonically_increasing_id())
-    spans = stage(repeated_spans(rows.select(F.col("_uid").alias("uid"), "text"), span), "spans")
+    names = [f"_c{i}" for i in range(len(docs.columns))]  # docs can have columns of any name
+    at = docs.columns.index("text")
+    rows = docs.toDF(*names).withColumn("_uid", F.monotonically_increasing_id())
+    spans = stage(repeated_spans(rows.select(F.col("_uid").alias("uid"), F.col(names[at]).alias("text")), span), "spans")
     both = rows.join(spans.select(F.col("uid").alias("_uid"), F.col("spans").alias("_spans")), "_uid", "left")
-    names = docs.columns
-    return both.select(*names, "_spans").mapInArrow(_rewrite(names.index("text")), docs.schema)
+    kind = rows.select(*names).schema
+    return both.select(*names, "_spans").mapInArrow(_rewrite(at), kind).toDF(*docs.columns)
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:

@@ -19,7 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import join_hot, partitions, shared_dir, ship, stage
+from strata.llm.common import join_hot, partitions, ship, stage
+from strata.operators.clean import shared_root
 
 #: Compressed bytes at which a file ends (a single record can pass it).
 ROLL_BYTES = 64 << 20
@@ -141,7 +142,7 @@ def write_archives(pages: DataFrame, roll_bytes: int = ROLL_BYTES) -> tuple[str,
         notes.select("page_id", F.lit(False), "target", nothing, nothing)
     )
     ordered = both.repartitionByRange(partitions(spark), "page_id").sortWithinPartitions("page_id", "is_page", "url", "html")
-    folder = f"{shared_dir(spark)}/strata/warc-{uuid.uuid4().hex}"
+    folder = f"{shared_root(spark)}/strata/warc-{uuid.uuid4().hex}"
     manifest = ordered.mapInArrow(_writer(folder, roll_bytes), "file string, records long, bytes long")
     return folder, stage(manifest, "manifest")
 

@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from strata.llm import minhash, toxicity
+import corpus_pipeline
+from strata.llm import decontam, minhash, preference, suffix, toxicity
 
 
 def test_pair_with_equal_low_bytes_is_looked_at():
@@ -45,3 +46,31 @@ def test_cut_class_keeps_its_share_of_the_votes(spark):
     assert all(x.score < 0.5 for x in one)
     whole = toxicity.build_index(docs, labels).index
     assert set(whole.share) == {1.0} and np.allclose(index.factor, whole.factor, rtol=0.5, atol=1.5)
+
+
+def test_pairs_of_large_ids(spark):
+    """Ids that doubles can't tell apart, and negative ones."""
+    ids = [(1 << 53) + k for k in range(4)] + [-2, -1, (1 << 63) - 2, (1 << 63) - 1]
+    turns = spark.createDataFrame([(i, 0, "user", "a") for i in ids], "conv_id long, turn int, role string, text string")
+    got = preference.format_preferences(turns).select("pair_id", "chosen_id", "rejected_id").collect()
+    assert sorted(map(tuple, got)) == sorted((i >> 1, i, i + 1) for i in ids[::2])
+
+
+def test_columns_of_internal_names_pass_through(spark, tmp_path):
+    passage = " ".join(f"word{i}" for i in range(60))
+    names = ("_row", "_uid", "_spans", "_text", "_c0", "uid", "_group", "k0")
+    rows = [(i, f"alpha{i} beta {i} gamma{i}. " + passage * (i in (1, 2)), "en", "s", 5, *[f"{n}{i}" for n in names]) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    whole = sorted((r.doc_id, *[r[n] for n in names]) for r in docs.collect())
+    as_rows = lambda df: sorted((r.doc_id, *[r[n] for n in names]) for r in df.collect())
+    spark.createDataFrame([("x", "nothing of these words is in any text")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    near = corpus_pipeline.near_dedup(spark, docs, "")
+    assert near.columns == docs.columns and set(as_rows(near)) <= set(whole)
+    cut = suffix.without_repeats(docs)
+    assert cut.columns == docs.columns and as_rows(cut) == whole and sum(passage in r.text for r in cut.collect()) == 0
+    clean = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns and as_rows(clean) == whole
+    bench = spark.createDataFrame([("x", passage), ("y", "gamma3")], "item_id string, text string")
+    for size in (1 << 20, 10):
+        found = decontam.contamination(docs, bench, pass_bytes=size, keep=("doc_id", *names))
+        assert as_rows(found) == whole and {r.doc_id for r in found.collect() if r.n_hit} == {1, 2, 3}
