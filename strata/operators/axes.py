@@ -266,27 +266,37 @@ def fix_sample(commits: DataFrame, n: int = 50, by=("repo",)) -> DataFrame:
 
 
 _ENDLESS = "9999-12-31 00:00:00"
+#: Fixes of a file that each of its lines may meet one by one; beyond, fixes are counted.
+FEW_FIXES = 64
 
 
-def debt_events(fix_files: DataFrame, blame: DataFrame, by=()) -> DataFrame:
+def debt_events(fix_files: DataFrame, blame: DataFrame, by=(), few: int = FEW_FIXES) -> DataFrame:
     """fix_files(.., repo, path, commit_id, fixer, fix_at), blame -> (.., repo, fixer, original, lines): lines of others
     that stood in a fixed file before the fix, born before it and, where blame has died_at, not dead before it.
 
-    A line counts once for each fix between its birth and its death, so it needs two counts of fixes, as of both times:
-    a file's lines meet its fixers and never its fixes. The counts run over time within a day, from what the days before
-    add up to, so that a file with very many fixes is no single group."""
-    mortal = "died_at" in blame.columns
-    end = F.coalesce("died_at", F.lit(_ENDLESS).cast("timestamp")) if mortal else F.lit(_ENDLESS).cast("timestamp")
-    lines = blame.where(F.col("author") != "").select("repo", "path", "author", F.col("committed_at").alias("born"), end.alias("died"), lines_of(blame).alias("n"))
-    ends = lines.select("repo", "path", F.col("author").alias("original"), F.explode(F.array(F.struct(F.col("born").alias("at"), (-F.col("n")).alias("n")), F.struct(F.col("died").alias("at"), F.col("n").alias("n")))).alias("e"))
-    ends = ends.groupBy("repo", "path", "original", "e.at").agg(F.sum("e.n").alias("n")).where("n <> 0")
+    Lines of files with up to `few` fixes meet those; of a file with more they meet counts of fixes, see _counted_debt."""
     file = ["repo", "path"]
-    fixes = fix_files.groupBy(*file, *by, "fixer", F.col("fix_at").alias("at")).agg(F.count("*").alias("fixes"))
-    fixers = fixes.select(*file, *by, "fixer").distinct()
-    marks = ends.join(fixers, file).where(F.col("original") != F.col("fixer"))
-    key = [*file, *by, "fixer"]
-    rows = marks.withColumn("fixes", F.lit(0).cast("long")).unionByName(fixes.withColumns({"original": F.lit(None).cast("string"), "n": F.lit(0).cast("long")}))
-    rows = rows.withColumn("day", F.to_date("at"))
+    end = F.coalesce("died_at", F.lit(_ENDLESS).cast("timestamp")) if "died_at" in blame.columns else F.lit(_ENDLESS).cast("timestamp")
+    lines = blame.where(F.col("author") != "").groupBy(*file, F.col("author").alias("original"), F.col("committed_at").alias("born"), end.alias("died")).agg(F.sum(lines_of(blame)).alias("n"))
+    fixes = fix_files.select(*file, *by, "fixer", F.col("fix_at").alias("at"))
+    fixes = fixes.join(fixes.groupBy(*file).agg(F.count("*").alias("of_file")), file)
+    met = fixes.where(F.col("of_file") <= few).join(lines, file).where((F.col("born") < F.col("at")) & (F.col("at") <= F.col("died")) & (F.col("original") != F.col("fixer")))
+    met = met.groupBy(*by, "repo", "fixer", "original").agg(F.sum("n").alias("lines"))
+    counted = _counted_debt(fixes.where(F.col("of_file") > few), lines, by)
+    return met.unionByName(counted).groupBy(*by, "repo", "fixer", "original").agg(F.sum("lines").alias("lines"))
+
+
+def _counted_debt(fixes: DataFrame, lines: DataFrame, by=()) -> DataFrame:
+    """debt_events() of files with very many fixes: a line counts once for each fix between its birth and its death, so
+    it needs two counts of fixes, as of both times. A file's lines meet its fixers and never its fixes; the counts run
+    over time within a day, from what the days before add up to, so that such a file is no single group."""
+    file, key = ["repo", "path"], ["repo", "path", *by, "fixer"]
+    times = F.array(F.struct(F.col("born").alias("at"), (-F.col("n")).alias("n")), F.struct(F.col("died").alias("at"), F.col("n").alias("n")))
+    ends = lines.select(*file, "original", F.explode(times).alias("e")).select(*file, "original", "e.at", "e.n")
+    fixes = fixes.groupBy(*key, "at").agg(F.count("*").alias("fixes"))
+    marks = ends.join(fixes.select(*key).distinct(), file).where(F.col("original") != F.col("fixer"))
+    marks = marks.groupBy(*key, "original", "at").agg(F.sum("n").alias("n")).withColumn("fixes", F.lit(0).cast("long"))
+    rows = marks.unionByName(fixes.withColumns({"original": F.lit(None).cast("string"), "n": F.lit(0).cast("long")})).withColumn("day", F.to_date("at"))
     days = rows.groupBy(*key, "day").agg(F.sum("fixes").alias("fixes"))
     earlier = Window.partitionBy(*key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     days = days.select(*key, "day", F.coalesce(F.sum("fixes").over(earlier), F.lit(0)).alias("before"))

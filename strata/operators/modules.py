@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.functions.soft import clamp, highness, lowness, pick_best
 from strata.operators.axes import days_between
+from strata.operators.ranks import placed
 
 
 def module_commit_counts(modules: DataFrame, by=("repo",)) -> DataFrame:
@@ -29,6 +30,36 @@ def cochange(modules: DataFrame, max_modules: int | None = None) -> DataFrame:
     return out.select("repo", "module_a", "module_b", "together", (F.col("together") / (F.col("na") + F.col("nb") - F.col("together"))).alias("coupling"))
 
 
+def coupled_pairs(modules: DataFrame, min_together: int = 5, min_coupling: float = 0.10) -> DataFrame:
+    """The rows of cochange() with min_together commits and min_coupling, without making the others.
+
+    Such a pair shares at least o = max(min_together, min_coupling * n) commits of a module with n, so the two still
+    meet when each leaves out its o - 1 widest commits: wide commits, which make most pairs, are left out first, whole
+    widths at a time. Modules of too few commits go before that, pairs of too unlike sizes when they arise. What is left
+    is counted exactly over all commits of the smaller module."""
+    n = module_commit_counts(modules).where(F.col("commits") >= min_together)
+    rows = modules.join(n, ["repo", "module"])
+    widths = rows.groupBy("repo", "commit_id").agg(F.count("*").alias("width"))
+    rows = rows.join(widths, ["repo", "commit_id"])
+    least = F.greatest(F.lit(min_together), F.ceil(F.lit(min_coupling) * F.col("commits") - 1e-9))
+    steps = rows.groupBy("repo", "module", "width").agg(F.count("*").alias("k"), F.first("commits").alias("commits"))
+    wider = F.sum("k").over(Window.partitionBy("repo", "module").orderBy(F.desc("width")))  # a row a width, not a commit
+    kept = steps.withColumn("wider", wider).where(F.col("wider") > least - 1).select("repo", "module", "width")
+    short = rows.join(kept, ["repo", "module", "width"])
+    sets = short.groupBy("repo", "commit_id").agg(F.array_sort(F.collect_list(F.struct("module", "commits"))).alias("m"))
+    firsts = sets.select("repo", "m", F.posexplode("m").alias("i", "a"))
+    pairs = firsts.select("repo", "a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
+    small, large = F.least("a.commits", "b.commits"), F.greatest("a.commits", "b.commits")
+    pairs = pairs.where(small >= F.lit(min_coupling) * large - 1e-9).select("repo", F.col("a.module").alias("module_a"), F.col("b.module").alias("module_b"), F.col("a.commits").alias("na"), F.col("b.commits").alias("nb")).distinct()
+    a_smaller = F.col("na") <= F.col("nb")
+    pairs = pairs.withColumns({"module": F.when(a_smaller, F.col("module_a")).otherwise(F.col("module_b")), "other": F.when(a_smaller, F.col("module_b")).otherwise(F.col("module_a"))})
+    met = pairs.join(rows.select("repo", "module", "commit_id"), ["repo", "module"])
+    met = met.join(rows.select("repo", "commit_id", F.col("module").alias("other")), ["repo", "commit_id", "other"], "left_semi")
+    both = met.groupBy("repo", "module_a", "module_b", "na", "nb").agg(F.count("*").alias("together"))
+    out = both.select("repo", "module_a", "module_b", "together", (F.col("together") / (F.col("na") + F.col("nb") - F.col("together"))).alias("coupling"))
+    return out.where((F.col("together") >= min_together) & (F.col("coupling") >= min_coupling))
+
+
 def significant_pairs(pairs: DataFrame, min_together: int = 5, min_coupling: float = 0.10, k: int | None = None) -> DataFrame:
     out = pairs.where((F.col("together") >= min_together) & (F.col("coupling") >= min_coupling))
     out = out.orderBy(F.desc("coupling"), F.desc("together"), "repo", "module_a", "module_b")
@@ -43,10 +74,13 @@ def module_coupling(pairs: DataFrame, by=()) -> DataFrame:
 
 def percentile_rank(pressure: DataFrame, by=()) -> DataFrame:
     """i / (n - 1) by ascending pressure, ties by name; alone 0.5. Over modules, never over lines."""
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    n = F.count("*").over(w)
-    i = F.row_number().over(w.orderBy("pressure", "module")) - 1
-    return pressure.withColumn("pressure_rank", F.when(n == 1, 0.5).otherwise(i / (n - 1)))
+    if by:
+        w = Window.partitionBy(*by)
+        rows = pressure.withColumns({"_total": F.count("*").over(w), "_i": F.row_number().over(w.orderBy("pressure", "module"))})
+    else:
+        rows = placed(pressure, [F.col("pressure"), F.col("module")], "_i")
+    rank = F.when(F.col("_total") == 1, 0.5).otherwise((F.col("_i") - 1) / (F.col("_total") - 1))
+    return rows.withColumn("pressure_rank", rank).drop("_i", "_total")
 
 
 def module_spine(*relations: DataFrame) -> DataFrame:

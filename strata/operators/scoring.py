@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strata.config import Config
 from strata.functions.soft import NONE, cross_repo_pattern, highness, lowness, not_low, pick_best
 from strata.operators.axes import as_of_column, days_between, production_rate
-from strata.operators.clean import materialize
+from strata.operators.ranks import placed
 
 AXES = ("production", "quality", "survival", "design", "breadth", "debt_cleanup", "indispensability")
 RELATIVE = ("survival", "robust_survival", "dormant_survival", "design", "breadth", "indispensability")
@@ -33,11 +33,12 @@ def author_keys(axes: list[DataFrame], by=()) -> DataFrame:
 
 
 def raw_scores(axes: list[DataFrame], by=()) -> DataFrame:
-    """One wide row an author; an axis without the author is null there, which differs from 0."""
-    out = author_keys(axes, by)
-    for x in axes:
-        out = out.join(x, [*by, "author"], "left")
-    return out
+    """One wide row an author; an axis without the author is null there, which differs from 0.
+
+    The axes' rows meet in one aggregate instead of a join each: every axis has a row an author at most."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), axes).where(F.col("author").isNotNull())
+    values = [c for c in rows.columns if c not in (*by, "author")]
+    return rows.groupBy(*by, "author").agg(*(F.max(c).alias(c) for c in values))
 
 
 def score_authors(raw: DataFrame, cfg: Config, as_of, by=()) -> DataFrame:
@@ -45,9 +46,8 @@ def score_authors(raw: DataFrame, cfg: Config, as_of, by=()) -> DataFrame:
 
     raw columns: lines_added, lines_deleted, production (lines), commits, first_at, last_at, quality, survival,
     robust_survival, dormant_survival, tested_survival, untested_survival, raw_survival, design, breadth, debt_cleanup,
-    indispensability. The groups' largest values come from an aggregate of raw, which by=() (one group) keeps in the
-    shared folder, so that no task takes all authors in."""
-    raw = raw if by else materialize(raw)
+    indispensability. The groups' largest values are windows over by; with by=() (one group) they are single values of
+    an aggregate over raw, in the same lazy plan, so that no task takes all authors in."""
     zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     rate = production_rate(zero("production"), F.col("first_at"), F.col("last_at"))
     scaled = (*RELATIVE, "raw_survival")
@@ -56,10 +56,10 @@ def score_authors(raw: DataFrame, cfg: Config, as_of, by=()) -> DataFrame:
         top = lambda c: None
         has = split.over(_group(by)) == 1
     else:
-        tops = raw.agg(split.alias("_split"), *(F.max(zero(c)).alias(f"_top_{c}") for c in scaled))
-        raw = raw.join(F.broadcast(tops))  # one row
-        top = lambda c: F.col(f"_top_{c}")
-        has = F.col("_split") == 1
+        tops = raw.agg(F.struct(split.alias("split"), *(F.max(zero(c)).alias(c) for c in scaled))).scalar()
+        raw = raw.withColumn("_tops", tops)
+        top = lambda c: F.col(f"_tops.{c}")
+        has = F.col("_tops.split") == 1
     rows = raw.withColumns(
         {
             "raw_lines_survival": zero("raw_survival"),
@@ -75,7 +75,7 @@ def score_authors(raw: DataFrame, cfg: Config, as_of, by=()) -> DataFrame:
             "raw_survival": normalize_max(zero("raw_survival"), by, top("raw_survival")),
         }
     )
-    rows = rows.withColumns({c: F.col(f"n_{c}") for c in RELATIVE}).drop(*(f"n_{c}" for c in RELATIVE), *(f"_top_{c}" for c in scaled), "_split").where("total_commits > 0")
+    rows = rows.withColumns({c: F.col(f"n_{c}") for c in RELATIVE}).drop(*(f"n_{c}" for c in RELATIVE), "_tops").where("total_commits > 0")
     rows = rows.withColumn("recently_active", F.coalesce(F.col("days_inactive") <= cfg.active_days, F.lit(False)))
     return with_labels(rows.withColumns({"impact": impact(cfg.weights), "gravity": gravity()}))
 
@@ -182,4 +182,7 @@ def drop_ghosts(scores: DataFrame) -> DataFrame:
 
 
 def rank_by_impact(scores: DataFrame, by=()) -> DataFrame:
-    return scores.withColumn("rank", F.row_number().over(_group(by).orderBy(F.desc("impact"), "author")))
+    """rank from 1 by impact, ties by author, within each group or over all."""
+    if by:
+        return scores.withColumn("rank", F.row_number().over(_group(by).orderBy(F.desc("impact"), "author")))
+    return placed(scores, [-F.col("impact"), F.col("author")]).withColumn("rank", F.col("rank").cast("int")).drop("_total")

@@ -9,9 +9,12 @@ from strata.functions.soft import NONE
 
 
 def _with_windows(df: DataFrame, periods: DataFrame) -> DataFrame:
-    """df with the windows of build_periods, in order, as column _w of each row: one value that the tasks share, and some
-    thousands of windows at most, as they come from a span and an end."""
-    return df.withColumn("_w", periods.agg(F.array_sort(F.collect_list(F.struct("end", "start", "label")))).scalar())
+    """df with the windows of periods, in order, as the constant column _w. A table of periods comes from a span and an
+    end, so it is as small as a settings table and is read like one."""
+    rows = sorted(periods.select("end", "start", "label").collect())
+    window = lambda r: F.struct(F.lit(r["end"]).alias("end"), F.lit(r["start"]).alias("start"), F.lit(r["label"]).alias("label"))
+    kind = "array<struct<end: timestamp, start: timestamp, label: string>>"
+    return df.withColumn("_w", F.array(*map(window, rows)).cast(kind))
 
 
 def assign_periods(df: DataFrame, periods: DataFrame, at: str = "committed_at") -> DataFrame:

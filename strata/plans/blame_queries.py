@@ -90,7 +90,7 @@ pairs = lambda v: modules.cochange(axes.commit_modules(v("fc")))
 query("module_commit_counts", lambda v, s, d: modules.module_commit_counts(axes.commit_modules(v("fc"))), "SELECT repo, module, commits FROM mcc", "fc", CM, MCC)
 query("cochange", lambda v, s, d: rounded(pairs(v), 6), "SELECT repo, module_a, module_b, together, ROUND(coupling, 6) AS coupling FROM cc", "fc", CM, MCC, CC)
 query("cochange_selfjoin", lambda v, s, d: pairs(v).groupBy("repo").agg(F.count("*").alias("pairs"), F.sum("together").alias("together")), "SELECT repo, COUNT(*) AS pairs, CAST(SUM(together) AS BIGINT) AS together FROM cp GROUP BY repo", "fc", CM, MCC, CC)
-query("significant_pairs", lambda v, s, d: rounded(modules.significant_pairs(pairs(v), 2, 0.01, 100), 6),
+query("significant_pairs", lambda v, s, d: rounded(modules.significant_pairs(modules.coupled_pairs(axes.commit_modules(v("fc")), 2, 0.01), 2, 0.01, 100), 6),
       "SELECT repo, module_a, module_b, together, ROUND(coupling, 6) AS coupling FROM cc WHERE together >= 2 AND coupling >= 0.01e0 ORDER BY cc.coupling DESC, together DESC, repo, module_a, module_b LIMIT 100", "fc", CM, MCC, CC)
 MCP = "mcp AS (SELECT module, AVG(coupling) AS avg_coupling, MAX(coupling) AS max_coupling, COUNT(*) AS pairs FROM (SELECT module_a AS module, coupling FROM cc UNION ALL SELECT module_b, coupling FROM cc) GROUP BY module)"
 query("module_coupling", lambda v, s, d: rounded(modules.module_coupling(pairs(v)), 6), "SELECT module, ROUND(avg_coupling, 6) AS avg_coupling, ROUND(max_coupling, 6) AS max_coupling, pairs FROM mcp", "fc", CM, MCC, CC, MCP)

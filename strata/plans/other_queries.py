@@ -73,8 +73,8 @@ def timeline_rows(s, d):
 
 def report(v, s, d):
     cfg, by = score_queries.fixture_config(s, d), F.lit("BE").alias("domain")
-    r = score_queries.relations(v).cleaned(cfg)
-    scores = scoring.rank_by_impact(score_queries.author_scores(r, cfg, score_queries.AS_OF))
+    r = score_queries.relations(v).cleaned(cfg).grouped()
+    scores = scoring.rank_by_impact(score_queries.author_scores(r, cfg, score_queries.AS_OF, keep=score_queries.materialize))
     named = lambda df: df.select("*", by)
     cover = axes.test_coverage(axes.file_tested(v("files")), "BE")
     pairs = modules.significant_pairs(blame_queries.pairs(v), 2, 0.01)

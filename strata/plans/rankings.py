@@ -24,10 +24,15 @@ class Relations:
     files: DataFrame
     domains: DataFrame | None = None  # (repo, domain), for scores by domain
 
-    def staged(self) -> Relations:
-        """The same relations, computed once: eight axes read them. Equal blame lines become one row with their number."""
+    def grouped(self) -> Relations:
+        """The same relations with equal blame lines as one row with their number, which the axes read instead."""
         lines = self.blame if "lines" in self.blame.columns else axes.line_groups(self.blame)
-        return Relations(*map(clean.materialize, (self.commits, self.changes, lines, self.files)), self.domains)
+        return Relations(self.commits, self.changes, lines, self.files, self.domains)
+
+    def staged(self) -> Relations:
+        """grouped(), written to the shared folder now, for callers that read the relations in several queries."""
+        r = self.grouped()
+        return Relations(*map(clean.materialize, (r.commits, r.changes, r.blame, r.files)), r.domains)
 
     def cleaned(self, cfg: Config, reverted: DataFrame | None = None) -> Relations:
         """Aliases resolved, listed authors and repositories and reverted commits gone, blame narrowed to source files."""
@@ -66,7 +71,7 @@ def author_axes(r: Relations, cfg: Config, as_of, by=()) -> list[DataFrame]:
     """All axes of one wide row an author and group; by=() scores all repositories together, ("repo",) and ("domain",)
     each by itself."""
     if by == ("domain",):
-        per = F.broadcast(r.domains)  # a row a repository
+        per = r.domains  # a row a repository
         in_domain = lambda df: df.join(per, "repo")
         r = Relations(in_domain(r.commits), in_domain(r.changes), in_domain(r.blame), r.files, r.domains)
     else:
@@ -92,5 +97,6 @@ def author_axes(r: Relations, cfg: Config, as_of, by=()) -> list[DataFrame]:
     ]
 
 
-def author_scores(r: Relations, cfg: Config, as_of, by=()) -> DataFrame:
-    return score_authors(raw_scores(author_axes(r, cfg, as_of, by), by), cfg, as_of, by)
+def author_scores(r: Relations, cfg: Config, as_of, by=(), keep=lambda df: df) -> DataFrame:
+    """keep: what the caller does with the wide rows, which are read several times, such as to stage them."""
+    return score_authors(keep(raw_scores(author_axes(r, cfg, as_of, by), by)), cfg, as_of, by)

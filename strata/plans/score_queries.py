@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strata.fixtures import AS_OF, DAILY_REF, fixture_config, spark_sql, with_views
 from strata.functions import soft
 from strata.operators import scoring, teams
+from strata.operators.clean import materialize
 from strata.plans.blame_queries import ALL, BF, OW, WD
 from strata.plans.log_queries import FC, QUALITY, QUALITY_VALUE, SQL_ARCH
 from strata.plans.rankings import Relations, author_scores
@@ -108,7 +109,7 @@ RANK_COLUMNS = ("author", "total_commits", "production", "quality", "survival",
 
 def rankings(v, s, d, by=()):
     cfg = fixture_config(s, d)
-    scores = scoring.rank_by_impact(author_scores(relations(v).cleaned(cfg).staged(), cfg, AS_OF, by), by)
+    scores = scoring.rank_by_impact(author_scores(relations(v).cleaned(cfg).staged(), cfg, AS_OF, by, materialize), by)
     labels = [F.col(f"{a}.{p}").alias(f"{a}_{p}") for a in ("role", "style", "state") for p in ("name", "conf")]
     return rounded(scores.select(*by, "rank", *RANK_COLUMNS, *labels), 3)
 
