@@ -20,7 +20,7 @@ LONGEST = 4
 #: Candidates that one trie holds; more take further passes over the coded words.
 TRIE_PHRASES = 1 << 19
 #: Codes of a row of coded words (a piece without a break can be longer), and those that one numpy step takes.
-_ROW, _STEP = 1 << 12, 1 << 20
+_ROW, _STEP = 1 << 10, 1 << 19
 #: Rows of a batch on its way to Spark.
 _SENT = 1 << 16
 _BREAK = np.zeros(256, bool)
