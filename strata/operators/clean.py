@@ -149,8 +149,15 @@ def fuzzy_aliases(names: DataFrame, members: DataFrame) -> DataFrame:
     n = names.select("name").distinct().withColumn("nw", split("name"))
     m = members.select("member", "ordinal").withColumn("mw", split("member"))
     exact = n.join(m, norm_name(F.col("name")) == norm_name(F.col("member"))).select("name", "member", "ordinal", F.lit(0).alias("p"))
-    # Containment needs a shared word: block on words instead of comparing all names with all members.
-    shared = n.withColumn("w", F.explode("nw")).join(m.withColumn("w", F.explode("mw")), "w").drop("w").dropDuplicates(["name", "member"])
+    # The words of one lie within the other's only if its rarest word does: each name and member is looked up by that
+    # one word among all words of the other side, so a word that very many have is a key for those alone whose words are
+    # all as common.
+    n_words, m_words = (df.withColumn("w", F.explode(c)) for df, c in ((n, "nw"), (m, "mw")))
+    often = n_words.select("w").union(m_words.select("w")).groupBy("w").agg(F.count("*").alias("often"))
+    rarest = lambda df, key: df.join(often, "w").groupBy(*key).agg(F.min_by("w", F.struct("often", "w")).alias("w"))
+    within_member = rarest(n_words, ["name", "nw"]).join(m_words, "w")
+    within_name = rarest(m_words, ["member", "ordinal", "mw"]).join(n_words, "w")
+    shared = within_member.unionByName(within_name).drop("w").dropDuplicates(["name", "member", "ordinal"])
     within = (F.size(F.array_except("nw", "mw")) == 0) | (F.size(F.array_except("mw", "nw")) == 0)
     loose = shared.where((F.size("nw") >= 2) & (F.size("mw") >= 2) & within).select("name", "member", "ordinal", F.lit(1).alias("p"))
     first = Window.partitionBy("name").orderBy("p", "ordinal", "member")

@@ -28,13 +28,28 @@ def stratum_quotas(strata: DataFrame, n: int, min_per: int = 2) -> DataFrame:
     return rows.withColumn("extra", extra).select("stratum", "size", (F.col("base") + F.col("floor") + F.col("extra")).cast("long").alias("quota"))
 
 
+#: Ranges of the hash that a directory's files are counted in.
+_RANGE_BITS = 12
+
+
 def stratified_sample(files: DataFrame, n: int, seed: int = 42, by=()) -> DataFrame:
-    """Up to n files, spread over directories by stratum_quotas and chosen by a hash of path and seed."""
-    rows = files.withColumn("stratum", sample_stratum(F.col("path")))
-    quotas = stratum_quotas(rows.groupBy("stratum").agg(F.count("*").alias("size")), n)
-    order = Window.partitionBy("stratum").orderBy(F.xxhash64("path", F.lit(seed)), "path", *by)
-    chosen = rows.join(quotas.select("stratum", "quota"), "stratum").withColumn("n", F.row_number().over(order))
-    return chosen.where(F.col("n") <= F.col("quota")).drop("n", "quota")
+    """Up to n files, spread over directories by stratum_quotas: those with the smallest hashes of path and seed.
+
+    The choice is a mergeable sketch: counts of a directory's files by range of the hash give the range in which its
+    quota ends. Ranges below stay whole, and only the rows of that one range are put in order, so no task sorts a
+    directory."""
+    rows = files.withColumns({"stratum": sample_stratum(F.col("path")), "_h": F.xxhash64("path", F.lit(seed))})
+    rows = rows.withColumn("_range", F.shiftright("_h", 64 - _RANGE_BITS))
+    counts = rows.groupBy("stratum", "_range").agg(F.count("*").alias("_n"))
+    quotas = stratum_quotas(counts.groupBy("stratum").agg(F.sum("_n").alias("size")), n)
+    upto = F.sum("_n").over(Window.partitionBy("stratum").orderBy("_range"))  # a row a range
+    cut = counts.withColumn("_upto", upto).join(quotas.select("stratum", "quota"), "stratum")
+    cut = cut.where(F.col("_upto") - F.col("_n") < F.col("quota")).withColumn("_more", F.col("quota") - F.col("_upto") + F.col("_n"))
+    chosen = rows.join(cut.select("stratum", "_range", "_n", "_more"), ["stratum", "_range"])
+    whole, part = chosen.where("_n <= _more"), chosen.where("_n > _more")
+    order = Window.partitionBy("stratum").orderBy("_h", "path", *by)
+    part = part.withColumn("_place", F.row_number().over(order)).where("_place <= _more").drop("_place")
+    return whole.unionByName(part).drop("_h", "_range", "_n", "_more")
 
 
 def missing_keys(wanted: DataFrame, done: DataFrame, keys: tuple[str, ...] = ("repo", "head")) -> DataFrame:

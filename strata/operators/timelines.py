@@ -44,7 +44,7 @@ def snapshot_sums(lives: DataFrame, periods: DataFrame, keys: dict[str, Column],
     A sweep: a line adds to the first end after its birth and takes away at the first end after its death, and a key's
     values are running sums over the ends. The decay of a line is a factor of its birth times one of the end, so it sums
     up alike. No line meets the windows that it lives through; a key has at most a row for each of them."""
-    same = lives.groupBy(*(c.alias(k) for k, c in keys.items()), "born_at", "died_at").agg(F.count("*").alias("n"))
+    same = lives.where(F.col("born_at").isNotNull()).groupBy(*(c.alias(k) for k, c in keys.items()), "born_at", "died_at").agg(F.count("*").alias("n"))
     rows = _with_windows(same, periods).withColumn("ends", F.transform("_w", lambda w: w["end"]))
     place = lambda t: F.size(F.filter("ends", lambda e: e < F.col(t)))  # noqa: E731 - the first end at or after t
     rows = rows.withColumns({"i": place("born_at"), "j": place("died_at"), "count": F.size("ends"), "last": F.element_at("ends", -1)})

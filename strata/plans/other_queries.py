@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import lines, paths, sql
 from strata.operators import axes, modules, scoring, teams, timelines
+from strata.operators.clean import shared_folder
 from strata.plans import blame_queries, score_queries, timeline_queries
 from strata.plans.registry import SQL_IS_FIX, H, L, N, query, sql_conf, sql_module
 from strata.sources import writers
@@ -56,6 +57,23 @@ query("stream_dedup", lambda v, s, d: live.drain(live.deduplicated(live.stream_a
 query("stream_sessions", lambda v, s, d: live.drain(live.sessions(live.stream_activity(s, d)), "append", "sessions").groupBy("author").agg(F.count("*").alias("sessions"), F.sum("commits").alias("commits")),
       "SELECT author, COUNT(*) AS sessions, CAST(SUM(n) AS BIGINT) AS commits FROM (SELECT author, k, COUNT(*) AS n, MAX(ts) AS last FROM (SELECT author, ts, SUM(new) OVER (PARTITION BY author ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT author, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY author ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM e)) GROUP BY author, k) "
       "WHERE last + INTERVAL 30 MINUTE <= (SELECT MAX(ts) FROM e) - INTERVAL 1 DAY GROUP BY author", "", EV)
+query("stream_last_seen", lambda v, s, d: live.latest_seen(s, live.timed_activity(s, d, 4, F.concat(F.lit("user"), F.col("user_id").cast("string"))), 0.25),
+      "SELECT CONCAT('user', CAST(user_id AS VARCHAR)) AS author, epoch_us(MAX(ts)) // 1000 AS last_ms, epoch_us(MAX(ts)) // 1000 + 21600000 > epoch_us((SELECT MAX(ts) FROM events)) // 1000 - 86400000 AS active FROM events GROUP BY user_id")
+
+
+def ledger_periods(v, s, d):
+    """Complete periods by repository in a ledger, entered by two runs of which the second begins from nothing."""
+    at = shared_folder(s)
+    rows = live.period_axes(live.timed_activity(s, d), by=("repo",))
+    for run in ("first", "again"):
+        live.write_complete_periods(rows, f"{at}/periods", f"{at}/checkpoint-{run}", ("period_start", "repo")).awaitTermination()
+    found = live.PeriodLedger(s, f"{at}/periods", ("period_start", "repo")).read(rows.schema)
+    return found.select(F.date_format("period_start", "yyyy-MM-dd").alias("period"), "repo", "author", "production", "commits", F.round("quality", 4).alias("quality"))
+
+
+query("stream_period_complete", ledger_periods,
+      "SELECT strftime(w, '%Y-%m-%d') AS period, repo, author, CAST(SUM(lines) AS BIGINT) AS production, COUNT(*) AS commits, ROUND(100 - COUNT(*) FILTER (is_fix) / CAST(COUNT(*) AS DOUBLE) * 100, 4) AS quality FROM (SELECT *, time_bucket(INTERVAL 7 DAYS, ts, TIMESTAMP '1970-01-01') AS w FROM e) "
+      "WHERE w + INTERVAL 7 DAYS <= (SELECT MAX(ts) FROM e) - INTERVAL 1 DAY GROUP BY w, repo, author", "", EV)
 query("last_activity", lambda v, s, d: live.activity(s.read.parquet(f"{d}/events.parquet")).groupBy("author").agg(F.max("ts").alias("last")).select("author", F.date_format("last", "yyyy-MM-dd").alias("last_day")),
       "SELECT author, strftime(MAX(ts), '%Y-%m-%d') AS last_day FROM e GROUP BY author", "", EV)
 
