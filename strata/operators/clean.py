@@ -40,22 +40,33 @@ def exclude_files(df: DataFrame, patterns) -> DataFrame:
 def effectively_reverted(reverts: DataFrame) -> DataFrame:
     """reverts(repo, revert_id, reverted_id) -> (repo, commit_id) of commits that some standing commit reverts.
 
-    A commit falls when a commit that reverts it stands, and stands when all that revert it have fallen. Runs a
-    checkpointed job per level of revert-of-revert chains, however deep; cycles stay undecided and count as not reverted."""
-    edges = reverts.select("repo", "revert_id", F.col("reverted_id").alias("commit_id")).distinct()
-    reverters = edges.select("repo", F.col("revert_id").alias("commit_id")).distinct()
-    known = reverters.join(edges, ["repo", "commit_id"], "left_anti").withColumn("stands", F.lit(True))
+    A commit falls when a commit that reverts it stands, and stands when all that revert it have fallen; cycles, and
+    what hangs on them alone, stay undecided and count as not reverted.
+
+    Each checkpointed round decides what it can, and shortens the rest: a commit with one open reverter is the opposite
+    of that, so links to it go straight to its reverter with the sign turned. Chains halve in a round, so the rounds
+    grow with the logarithm of their length."""
+    edges = reverts.select("repo", F.col("reverted_id").alias("x"), F.col("revert_id").alias("r"), F.lit(False).alias("flip")).distinct()
+    known = edges.select("repo", F.col("r").alias("x")).distinct().join(edges.select("repo", "x").distinct(), ["repo", "x"], "left_anti").withColumn("stands", F.lit(True))
+    edges, known = _cut(edges), _cut(known)
+    idle = 0
     while True:
-        by = known.select("repo", F.col("commit_id").alias("revert_id"), "stands")
-        seen = edges.join(by, ["repo", "revert_id"], "left").groupBy("repo", "commit_id").agg(
-            F.coalesce(F.max("stands"), F.lit(False)).alias("hit"), F.count_if(F.col("stands").isNull()).alias("open")
-        )
-        new = seen.where(F.col("hit") | (F.col("open") == 0)).select("repo", "commit_id", (~F.col("hit")).alias("stands"))
-        new = _cut(new.join(known, ["repo", "commit_id"], "left_anti"))
-        if new.isEmpty():
+        seen = edges.join(known.select("repo", F.col("x").alias("r"), "stands"), ["repo", "r"], "left")
+        hit = F.coalesce(F.max(F.col("stands") != F.col("flip")), F.lit(False))
+        per = seen.groupBy("repo", "x").agg(hit.alias("hit"), F.count_if(F.col("stands").isNull()).alias("open"))
+        new = _cut(per.where(F.col("hit") | (F.col("open") == 0)).select("repo", "x", (~F.col("hit")).alias("stands")))
+        left = seen.where(F.col("stands").isNull()).drop("stands").join(new, ["repo", "x"], "left_anti")
+        one = left.join(per.where((F.col("open") == 1) & ~F.col("hit")).select("repo", "x"), ["repo", "x"], "left_semi")
+        one = one.select("repo", F.col("x").alias("r"), F.col("r").alias("next"), F.col("flip").alias("turn"))
+        left = left.join(one, ["repo", "r"], "left")
+        further = F.col("next").isNotNull()
+        left = left.select("repo", "x", F.when(further, F.col("next")).otherwise(F.col("r")).alias("r"), F.when(further, F.col("flip") == F.col("turn")).otherwise(F.col("flip")).alias("flip"))
+        edges, known = _cut(left.distinct()), known.union(new)
+        idle = idle + 1 if new.isEmpty() else 0
+        # By then every chain that is left would have reached its end: what stays leads into cycles.
+        if idle > edges.count().bit_length():
             break
-        known = _cut(known.union(new))
-    return known.where("not stands").select("repo", "commit_id")
+    return known.where("not stands").select("repo", F.col("x").alias("commit_id"))
 
 
 def shared_root(spark) -> str:

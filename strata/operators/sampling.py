@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.paths import sample_stratum
+from strata.sources.ledger import KeyLedger
 
 
 def stratum_quotas(strata: DataFrame, n: int, min_per: int = 2) -> DataFrame:
@@ -58,12 +59,8 @@ def missing_keys(wanted: DataFrame, done: DataFrame, keys: tuple[str, ...] = ("r
 
 
 def materialize_stage(df: DataFrame, path: str, keys: tuple[str, ...] = ("repo", "head")) -> DataFrame:
-    """Appends the rows of keys that path (a Parquet table partitioned by keys) lacks, and reads it whole."""
-    spark = df.sparkSession
-    try:
-        df = missing_keys(df, spark.read.parquet(path), keys)
-    except Exception as e:  # nothing there yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    df.write.mode("append").partitionBy(*keys).parquet(path)
-    return spark.read.parquet(path)
+    """Adds the rows of the keys that the stage at path lacks, and reads it whole. Runs side by side leave each key once:
+    a key's rows count from the atomic creation of its ledger entry."""
+    ledger = KeyLedger(df.sparkSession, path, keys)
+    ledger.add(df)
+    return ledger.read(df.schema)

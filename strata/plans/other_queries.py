@@ -28,7 +28,25 @@ def comment_filter(v, s, d):
     return text_lines(s, d).select("path", lang.alias("lang"), F.size("lines").alias("n_lines"), lines.count_code_lines(lang, F.col("lines")).alias("n_code"))
 
 
-query("comment_filter", comment_filter)
+def _code_lines(marks: list[tuple[str, str]], line_mark: str | None) -> str:
+    """A fold over trimmed lines x with the closing mark e and the number n of code lines so far, as SQL."""
+    quoted = lambda t: t.replace("'", "''")
+    blank = "[ \\t\\n\\x0B\\f\\r]"
+    after = "CASE WHEN s.e = '' THEN t.x ELSE ltrim(substr(t.x, position(s.e IN t.x) + length(s.e)), ' ') END"
+    rest = f"regexp_replace({after}, '^(?:(?:{'|'.join(f'{quoted(a)}.*?{quoted(z)}' for a, z in marks)}){blank}*)+', '')"
+    inside = "(s.e <> '' AND position(s.e IN t.x) = 0)"
+    comment = f"starts_with({rest}, '{line_mark}')" if line_mark else "FALSE"
+    opens = "CASE WHEN " + comment + " THEN '' " + " ".join(f"WHEN starts_with({rest}, '{quoted(a)}') THEN '{quoted(z)}'" for a, z in reversed(marks)) + " ELSE '' END"
+    skip = f"(t.x = '' OR {inside} OR {rest} = '' OR {comment} OR {opens} <> '')"
+    step = f"{{'e': CASE WHEN t.x = '' OR {inside} THEN s.e ELSE {opens} END, 'n': s.n + CASE WHEN {skip} THEN 0 ELSE 1 END, 'x': ''}}"
+    rows = f"list_transform(list_transform(lines, lambda l: regexp_replace(l, '^{blank}+|{blank}+$', '', 'g')), lambda l: {{'e': '', 'n': 0, 'x': l}})"
+    return f"list_reduce(list_concat([{{'e': '', 'n': 0, 'x': ''}}], {rows}), lambda s, t: {step}).n"
+
+
+query("comment_filter", comment_filter,
+      "SELECT path, lang, CAST(len(lines) AS INTEGER) AS n_lines, CAST(CASE lang WHEN 'python' THEN " + _code_lines([('"""', '"""'), ("'''", "'''")], "#") + " WHEN 'html' THEN " + _code_lines([("<!--", "-->")], None) + " ELSE len(lines) END AS INTEGER) AS n_code FROM "
+      "(SELECT CONCAT('docs/', doc_id, CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.md' END) AS path, CASE WHEN doc_id % 2 = 0 THEN 'python' ELSE 'prose' END AS lang, coalesce(string_split(text, chr(10)), []) AS lines FROM documents "
+      "UNION ALL SELECT CONCAT('pages/', page_id, '.html'), 'html', coalesce(string_split(html, chr(10)), []) FROM pages)")
 
 
 def sql_functions(v, s, d):
@@ -67,7 +85,7 @@ def ledger_periods(v, s, d):
     rows = live.period_axes(live.timed_activity(s, d), by=("repo",))
     for run in ("first", "again"):
         live.write_complete_periods(rows, f"{at}/periods", f"{at}/checkpoint-{run}", ("period_start", "repo")).awaitTermination()
-    found = live.PeriodLedger(s, f"{at}/periods", ("period_start", "repo")).read(rows.schema)
+    found = live.KeyLedger(s, f"{at}/periods", ("period_start", "repo")).read(rows.schema)
     return found.select(F.date_format("period_start", "yyyy-MM-dd").alias("period"), "repo", "author", "production", "commits", F.round("quality", 4).alias("quality"))
 
 

@@ -104,5 +104,5 @@ def test_complete_periods_are_written_once(spark, tmp_path):
     sf, out = events(spark, tmp_path, [0, 1, 8, 40]), str(tmp_path / "out")
     for _ in range(2):
         live.write_complete_periods(live.period_axes(live.stream_activity(spark, sf)), out, str(tmp_path / "ckpt")).awaitTermination()
-    rows = live.PeriodLedger(spark, out).read(live.period_axes(live.stream_activity(spark, sf)).schema).collect()
+    rows = live.KeyLedger(spark, out).read(live.period_axes(live.stream_activity(spark, sf)).schema).collect()
     assert len(rows) == len({(r.period_start, r.author) for r in rows}) > 0

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from strata.functions.periods import build_periods
 from strata.operators import axes, clean, modules, ranks, sampling, scoring, timelines
+from strata.functions import lines, paths
+from strata.sources.ledger import KeyLedger
 from strata.streaming import activity as live
 from test_sources import events
 
@@ -143,13 +145,13 @@ def test_a_fresh_checkpoint_writes_nothing_twice(spark, tmp_path):
     rows = live.period_axes(live.stream_activity(spark, sf))
     for k in range(3):
         live.write_complete_periods(rows, out, str(tmp_path / f"ckpt{k}")).awaitTermination()
-    found = live.PeriodLedger(spark, out).read(rows.schema).collect()
+    found = KeyLedger(spark, out).read(rows.schema).collect()
     assert len(found) == len({(x.period_start, x.author) for x in found}) == 3
 
 
 def test_two_runs_enter_a_period_once(spark, tmp_path):
     rows = spark.createDataFrame([(f"2024-0{m}-01", d, a) for m in (1, 2, 3) for d in ("x", None) for a in "uv"], "period_start string, domain string, author string")
-    ledgers = [live.PeriodLedger(spark, str(tmp_path), ("period_start", "domain")) for _ in range(3)]
+    ledgers = [KeyLedger(spark, str(tmp_path), ("period_start", "domain")) for _ in range(3)]
     runs = [threading.Thread(target=x.add, args=(rows,)) for x in ledgers]
     for t in runs:
         t.start()
@@ -157,7 +159,7 @@ def test_two_runs_enter_a_period_once(spark, tmp_path):
         t.join()
     assert sorted(map(str, ledgers[0].read(rows.schema).collect())) == sorted(map(str, rows.collect()))
     assert ledgers[0].add(rows) == 0
-    assert live.PeriodLedger(spark, str(tmp_path / "none")).read(rows.schema).count() == 0
+    assert KeyLedger(spark, str(tmp_path / "none")).read(rows.schema).count() == 0
 
 
 def test_files_dealt_by_event_time_lose_nothing(spark, tmp_path):
@@ -165,3 +167,56 @@ def test_files_dealt_by_event_time_lose_nothing(spark, tmp_path):
     sf = events(spark, tmp_path, days)
     stream = live.timed_activity(spark, sf, batches=4)
     assert live.drain(live.deduplicated(stream, delay="1 hour"), "append", "timed").count() == len(days)
+
+
+def test_two_runs_of_a_stage_leave_each_key_once(spark, tmp_path):
+    make = lambda heads: spark.createDataFrame([("r", h, i) for h in heads for i in range(3)], "repo string, head string, x int")
+    runs = [threading.Thread(target=sampling.materialize_stage, args=(make(h), str(tmp_path / "s"))) for h in ("abc", "bcd", "abcd")]
+    for t in runs:
+        t.start()
+    for t in runs:
+        t.join()
+    assert sorted(map(tuple, sampling.materialize_stage(make("ae"), str(tmp_path / "s")).collect())) == [("r", h, i) for h in "abcde" for i in range(3)]
+
+
+# --- reverts and comments ------------------------------------------------------------------------------------------
+
+
+def test_reverts_of_reverts(spark):
+    """Chains, several reverters, shared reverters and cycles against a plain fixed point."""
+    r = random.Random(6)
+    edges = {("a", x, x - r.randint(1, 3)) for x in range(4, 40) if r.random() < 0.8} | {("a", 200 + k, 200 + (k + 1) % 4) for k in range(4)} | {("a", 300, 200), ("a", 301, 300)} | {("b", k + 1, k) for k in range(30)}
+    stands, nodes = {}, {(g, n) for g, x, y in edges for n in (x, y)}
+    while True:
+        new = {}
+        for g, n in nodes - stands.keys():
+            by = [stands.get((g, x)) for h, x, y in edges if (h, y) == (g, n)]
+            if any(by) or None not in by:
+                new[g, n] = not any(by)
+        if not new:
+            break
+        stands |= new
+    df = spark.createDataFrame(sorted(edges), "repo string, revert_id long, reverted_id long")
+    assert {(x.repo, x.commit_id) for x in clean.effectively_reverted(df).collect()} == {k for k, v in stands.items() if not v}
+
+
+def test_deep_chain_takes_few_rounds(spark, monkeypatch):
+    rounds, cut = [], clean._cut
+    monkeypatch.setattr(clean, "_cut", lambda df: rounds.append(1) or cut(df))
+    df = spark.createDataFrame([("r", k + 1, k) for k in range(300)], "repo string, revert_id long, reverted_id long")
+    assert {x.commit_id for x in clean.effectively_reverted(df).collect()} == set(range(299, -1, -2))
+    assert len(rounds) < 40
+
+
+def test_lines_as_rows_keep_their_state_across_chunks(spark):
+    r = random.Random(1)
+    pool = {"a.go": ["x", "// c", "/* o", "*/ y", "*/", "", "/* a */ b"], "b.py": ["x", "# c", '"""', "'''", '""" a """ b', " "], "c.rb": ["=begin", "=end", "y", "#"], "d.lua": ["--[[", "]] z", "-- q", "w"], "e.md": ["", "t"]}
+    files = [(p, [r.choice(v) for _ in range(n)]) for p, v in pool.items() for n in (23,)] + [("f.go", [])]
+    df = spark.createDataFrame(files, "path string, lines array<string>").withColumn("lang", paths.detect_lang(F.col("path")))
+    want = {x.path: (x.f, x.n) for x in df.select("path", lines.skip_flags(F.col("lang"), F.col("lines")).alias("f"), lines.count_code_lines(F.col("lang"), F.col("lines")).alias("n")).collect()}
+    assert all(n == f.count(False) for f, n in want.values())
+    rows = df.select("path", "lang", F.posexplode("lines").alias("line_no", "line"))
+    got = collections.defaultdict(dict)
+    for x in lines.skipped_rows(rows, chunk=4).collect():
+        got[x.path][x.line_no] = x.skipped
+    assert {p: [v[k] for k in sorted(v)] for p, v in got.items()} == {p: f for p, (f, _) in want.items() if f}
