@@ -12,7 +12,7 @@ from strata.operators.clean import materialize
 from strata.plans.blame_queries import ALL, BF, OW, WD
 from strata.plans.log_queries import FC, QUALITY, QUALITY_VALUE, SQL_ARCH
 from strata.plans.rankings import Relations, author_scores
-from strata.plans.registry import SQL_AS_OF, SQL_IS_FIX, H, L, N, query, rounded, sql_conf, sql_days, sql_pick
+from strata.plans.registry import SQL_AS_OF, SQL_IS_FIX, H, L, N, query, rounded, sql_conf, sql_days, sql_module, sql_pick
 
 # --- soft functions and the rule engines on the label grid ----------------------------------------------------------
 
@@ -118,15 +118,20 @@ def _N(c: str, over: str) -> str:
     return f"coalesce(CASE WHEN MAX({c}) OVER ({over}) > 0 THEN least({c} / CAST(MAX({c}) OVER ({over}) AS DOUBLE) * 100, 100e0) END, 0e0)"
 
 
-def rk(key: str = "", of: str = "", over: str = "") -> str:
-    """The ranking's CTEs; for groups their column (`key`), its expression over repo (`of`) and the window of a group."""
+UNITS_REPOS = "SELECT author, repo FROM c WHERE NOT is_merge GROUP BY author, repo HAVING COUNT(*) >= 3"
+UNITS_MODULES = f"SELECT repo, author, {sql_module()} AS module FROM fca GROUP BY ALL HAVING COUNT(DISTINCT commit_id) >= 3"
+
+
+def rk(key: str = "", of: str = "", over: str = "", units: str = UNITS_REPOS) -> str:
+    """The ranking's CTEs; for groups their column (`key`), its expression over repo (`of`) and the window of a group;
+    breadth counts `units`."""
     return (
     f"x1 AS (SELECT {of}author, SUM(insertions + deletions) AS lines FROM fca WHERE NOT regexp_matches(path, 'generated|(^|/)mock_|[.]gen[.]|^docs/') GROUP BY ALL), "
     f"x2 AS (SELECT {of}author, COUNT(*) FILTER (NOT is_merge) AS commits, MIN(committed_at) AS f, MAX(committed_at) AS l FROM c GROUP BY ALL), "
     f"x3 AS (SELECT {of}author, AVG({QUALITY_VALUE}) AS quality FROM q GROUP BY ALL), "
     f"x4 AS (SELECT {of}author, SUM({WD}) AS survival, SUM(CASE WHEN pressure >= threshold THEN {WD} ELSE 0 END) AS robust, SUM(CASE WHEN pressure >= threshold THEN 0 ELSE {WD} END) AS dormant, COUNT(*) AS raw, SUM(CASE WHEN is_tested THEN w ELSE 0 END) AS tw, SUM(CASE WHEN is_tested THEN 0 ELSE w END) AS uw FROM en GROUP BY ALL), "
     f"x5 AS (SELECT {of}author, SUM(insertions + deletions) AS design FROM fca WHERE {SQL_ARCH} GROUP BY ALL), "
-    f"x6 AS (SELECT {of}author, COUNT(*) AS breadth FROM (SELECT author, repo FROM c WHERE NOT is_merge GROUP BY author, repo HAVING COUNT(*) >= 3) GROUP BY ALL), "
+    f"x6 AS (SELECT {of}author, COUNT(*) AS breadth FROM ({units}) GROUP BY ALL), "
     f"fx AS (SELECT DISTINCT fc.repo, fc.commit_id, fc.path, c.author AS fixer, c.committed_at AS fix_at FROM fc JOIN c ON c.repo = fc.repo AND c.commit_id = fc.commit_id WHERE {SQL_IS_FIX} AND NOT c.is_merge), "
     "dv AS (SELECT x.repo, x.fixer, b.author AS original, COUNT(*) AS lines FROM fx x JOIN b ON b.repo = x.repo AND b.path = x.path AND b.committed_at < x.fix_at AND b.author <> x.fixer GROUP BY 1, 2, 3), "
     "ds AS (SELECT repo, author, CASE WHEN SUM(a) + SUM(z) < 10 THEN 50e0 ELSE 50 + 50 * (SUM(a) - SUM(z)) / CAST(SUM(a) + SUM(z) AS DOUBLE) END AS debt FROM (SELECT repo, fixer AS author, lines AS a, 0 AS z FROM dv UNION ALL SELECT repo, original, 0, lines FROM dv) GROUP BY repo, author), "
@@ -150,7 +155,8 @@ query("rankings", rankings, rk_sql(), "c fc b files", FC, QUALITY, *ALL, OW, BF,
 # Two domains of two repositories each.
 DOMAIN = "CASE WHEN repo IN ('repo0', 'repo1') THEN 'BE' ELSE 'FE' END"
 query("rollup_domain", lambda v, s, d: rankings(v, s, d, ("domain",)), rk_sql("domain, ", "PARTITION BY domain"), "c fc b files", FC, QUALITY, *ALL, OW, BF, rk("domain, ", DOMAIN + " AS domain, ", "PARTITION BY domain"))
-query("rollup_repo_domain", lambda v, s, d: rankings(v, s, d, ("repo",)).select("repo", "rank", "author", "impact", "gravity", "role_name", "style_name", "state_name"))
+query("rollup_repo_domain", lambda v, s, d: rankings(v, s, d, ("repo",)).select("repo", "rank", "author", "impact", "gravity", "role_name", "style_name", "state_name"),
+      f"SELECT repo, rank, author, impact, gravity, role_name, style_name, state_name FROM ({rk_sql('repo, ', 'PARTITION BY repo')})", "c fc b files", FC, QUALITY, *ALL, OW, BF, rk("repo, ", "repo, ", "PARTITION BY repo", UNITS_MODULES))
 
 
 # --- teams ----------------------------------------------------------------------------------------------------------
