@@ -131,7 +131,13 @@ query("sink_team_csv", lambda v, s, d: writers.team_csv(score_queries.labelled_t
 query("sink_team_json", lambda v, s, d: writers.team_json(team_rows(s, d), score_queries.members(s, d)))
 query("sink_timeline_csv", lambda v, s, d: writers.timeline_csv(timeline_rows(s, d)[0]),
       "SELECT author, period, " + ", ".join(text(c) for c in ("impact", "gravity", "production", "quality", "survival", "design")) + ", role, style FROM tg", "score_grid", timeline_queries.TLG)
-query("sink_timeline_json", lambda v, s, d: writers.timeline_json(*timeline_rows(s, d), order="idx"))
+_NUMBERS = ", ".join(f"',\"{c}\":', CAST({c} AS VARCHAR)" for c in ("gravity", "impact", "production", "quality", "survival", "design"))
+_LABEL = lambda c: f"CASE WHEN {c} IS NULL THEN '' ELSE CONCAT(',\"{c}\":\"', {c}, '\"') END"  # noqa: E731 - a null leaves its field out
+query("sink_timeline_json", lambda v, s, d: writers.timeline_json(*timeline_rows(s, d), order="idx"),
+      "SELECT author, CONCAT('{\"author\":\"', author, '\",\"periods\":[', p.x, ']', CASE WHEN t.x IS NULL THEN '' ELSE CONCAT(',\"transitions\":[', t.x, ']') END, '}') AS report FROM "
+      f"(SELECT author, string_agg(CONCAT('{{\"idx\":', idx, ',\"period\":\"', period, '\"', {_LABEL('role')}, {_LABEL('style')}, {_NUMBERS}, ',\"at\":\"', strftime(make_timestamp(idx * 1000000), '%Y-%m-%dT%H:%M:%S.000Z'), '\"}}'), ',' ORDER BY idx) AS x FROM tg GROUP BY author) p "
+      f"LEFT JOIN (SELECT author, string_agg(CONCAT('{{\"period\":\"', period, '\",\"axis\":\"', axis, '\",\"before\":\"', before, '\",\"after\":\"', after, '\"}}'), ',' ORDER BY period, axis, before, after) AS x FROM ({timeline_queries.TR.format(k='author')}) GROUP BY author) t USING (author)",
+      "score_grid", timeline_queries.TLG)
 query("sink_team_timeline_csv", lambda v, s, d: writers.team_timeline_csv(timeline_queries.team_periods(s, d)),
       f"SELECT split_part(team, '~', 1) AS team, 'BE' AS domain, split_part(team, '~', 2) AS period, {TEAM_TEXT}" + ", ".join(text(c) for c in writers.TEAM_PERIOD) + " FROM tch", "score_grid", *timeline_queries.TEAM_PERIODS)
 
