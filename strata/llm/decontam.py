@@ -152,8 +152,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_
     [first, after) inside occurrences of benchmark windows; n_hit: their words; items: the ids (as strings, sorted) of
     the items that occur. Null and wordless texts have no words and no hits; null or wordless items never occur;
     repeated items and rows count as they stand; an empty benchmark hits nothing. Columns of docs that keep does not
-    name are left out; text names the column that holds the texts. The benchmark is held in memory pass_bytes of text at a time; beyond that, further passes read
-    the documents again, and each pass keeps in the shared folder only the documents it hits.
+    name are left out; text names the column that holds the texts. The benchmark is held in memory pass_bytes of text at a time (one longer item whole); beyond
+    that, further passes read the documents again, and each pass keeps in the shared folder only the documents it hits.
     """
     spark = docs.sparkSession
     ship(spark)
