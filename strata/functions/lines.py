@@ -105,15 +105,15 @@ def count_code_lines(lang: Column, lines: Column) -> Column:
 STATES = {f: ["", *dict.fromkeys(z for _, z in BLOCKS.get(f, []))] for f in FAMILIES}
 
 
-def skipped_rows(rows: DataFrame, by: tuple[str, ...] = ("path",), at: str = "line_no", chunk: int = 4096) -> DataFrame:
-    """rows(*by, line_no, lang, line) -> with `skipped`, as skip_flags() has it, for files of any length.
+def skipped_rows(rows: DataFrame, by: tuple[str, ...] = ("path",), at: str = "line_no", chunk: int = 4096, carry: tuple[str, ...] = ()) -> DataFrame:
+    """rows(*by, line_no, lang, line, *carry) -> with `skipped`, as skip_flags() has it, for files of any length.
 
     A run of lines is a function from the state it begins in to the state it ends in. Each chunk of a file is folded
     into that table (one entry a state) where its lines are, the tables of a file's chunks are composed in order, and
     each chunk then starts from its own state: no task or array takes in a file, only its chunks' tables."""
     rows = rows.withColumn("_chunk", F.floor(F.col(at) / chunk))
     key = [*by, "_chunk"]
-    chunks = rows.groupBy(*key).agg(F.first("lang").alias("lang"), F.array_sort(F.collect_list(F.struct(at, "line"))).alias("_lines"))
+    chunks = rows.groupBy(*key).agg(F.first("lang").alias("lang"), F.array_sort(F.collect_list(F.struct(at, "line", *carry))).alias("_lines"))
     text = F.transform("_lines", lambda x: F.coalesce(x["line"], F.lit("")))
 
     def table(family: str) -> Column:
@@ -140,7 +140,7 @@ def skipped_rows(rows: DataFrame, by: tuple[str, ...] = ("path",), at: str = "li
         out = F.when(F.col("lang") == family, flags(family)).otherwise(out)
     zipped = F.arrays_zip(F.col("_lines").alias("l"), out.alias("skipped"))
     done = begun.select(*by, "lang", F.explode(zipped).alias("z"))
-    return done.select(*by, f"z.l.{at}", "lang", "z.l.line", "z.skipped")
+    return done.select(*by, f"z.l.{at}", "lang", "z.l.line", "z.skipped", *(f"z.l.{c}" for c in carry))
 
 
 def code_lines(lang: Column, lines: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.functions.lines import skip_flags
+from strata.functions.lines import skip_flags, skipped_rows
 from strata.functions.paths import detect_lang, resolve_rename
 from strata.operators.clean import materialize
 
@@ -86,42 +86,65 @@ def resolve_hashes(reverts: DataFrame, commits: DataFrame) -> DataFrame:
 
 
 def read_blame(spark: SparkSession, path: str) -> DataFrame:
-    """Line-porcelain dumps (a file each) -> (repo, path, author, committed_at), a row a source line that is code."""
-    repo = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1)
-    rows = spark.read.text(path).select(repo.alias("repo"), F.input_file_name().alias("dump"), F.monotonically_increasing_id().alias("pos"), "value")
-    return _blame_lines(materialize(rows))
+    """Line-porcelain dumps (a file each) -> (repo, path, author, committed_at), a row a source line that is code.
+
+    A dump is read by all tasks that its splits go to (one, if its compression can't be split)."""
+    repo = F.regexp_extract("_metadata.file_path", r"([^/]+?)(\.[^./]*)?$", 1)
+    rows = spark.read.text(path).select(
+        repo.alias("repo"), F.col("_metadata.file_path").alias("dump"), F.col("_metadata.file_block_start").alias("chunk"), F.monotonically_increasing_id().alias("pos"), "value"
+    )
+    return _blame_lines(rows)
 
 
-def parse_blame(dumps: DataFrame) -> DataFrame:
+def parse_blame(dumps: DataFrame, chunk: int = 1 << 20) -> DataFrame:
     """dumps(repo, value) -> blame lines; comment lines are dropped file by file, in order."""
-    rows = dumps.select("repo", "value", F.monotonically_increasing_id().cast("string").alias("dump"))
-    return _blame_lines(rows.select("repo", "dump", F.posexplode(F.split("value", "\n")).alias("pos", "value")))
+    rows = materialize(dumps.select("repo", "value", F.monotonically_increasing_id().cast("string").alias("dump")))
+    rows = rows.select("repo", "dump", F.posexplode(F.split("value", "\n")).alias("pos", "value"))
+    return _blame_lines(rows.withColumn("chunk", F.floor(F.col("pos") / chunk)))
+
+
+#: Lines of a file that are folded at once by the comment filter, counted in kept lines of the dump.
+_FOLD = 16_384
 
 
 def _blame_lines(rows: DataFrame) -> DataFrame:
-    """rows(repo, dump, pos, value), the lines of dumps in order -> blame lines.
+    """rows(repo, dump, chunk, pos, value), the lines of dumps in order of chunk and pos -> blame lines.
 
     The header before a source line holds its author, time and file. A line's values are the last ones seen before it
-    in its dump (author: since the source line before), so they come from windows over a dump's lines; a file's lines
-    are then filtered in order."""
-    order = Window.partitionBy("repo", "dump").orderBy("pos")
-    text, last = F.col("value").startswith("\t"), lambda c: F.last(c, ignorenulls=True).over(order)
-    of = lambda mark, c: F.when(F.col("value").startswith(mark), c)
-    rest = lambda mark: of(mark, F.substr("value", F.lit(len(mark) + 1)))
+    in its dump (author: since the source line before). Each chunk is summed up by the values it ends with; a scan of
+    these summaries, a row a chunk, gives what each chunk begins with, and inside a chunk values come from windows. So
+    no key takes in a dump, and the comment filter none that takes in a file."""
+    heads = {"author": "author ", "at": "committer-time ", "path": "filename "}
+    text = F.col("value").startswith("\t")
+    cells = {c: F.when(F.col("value").startswith(m), F.substr("value", F.lit(len(m) + 1))) for c, m in heads.items()}
+    cells["at"] = cells["at"].try_cast("bigint")
+    part = ["repo", "dump", "chunk"]
+    rows = rows.select(*part, "pos", F.when(text, F.substr("value", F.lit(2))).alias("line"), *(v.alias(c) for c, v in cells.items()))
+    rows = rows.where(F.coalesce(F.col("line").isNotNull() | F.col("author").isNotNull() | F.col("at").isNotNull() | F.col("path").isNotNull(), F.lit(False)))
+    # What a chunk ends with; an author line counts for the one source line that follows it.
+    end = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("pos", c)))
+    ends = rows.groupBy(*part).agg(F.count("*").alias("n"), *(end(c).alias(c) for c in ("line", *heads)))
+    pending = F.when(F.col("author").isNotNull() & (F.col("line").isNull() | (F.col("author.pos") > F.col("line.pos"))), F.struct(F.col("author.author").alias("v")))
+    pending = pending.when(F.col("line").isNotNull(), F.struct(F.lit(None).cast("string").alias("v")))
+    before = Window.partitionBy("repo", "dump").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*part, "n", pending.alias("author"), F.col("at.at").alias("at"), F.col("path.path").alias("path"))
+    carried = {f"_{c}": F.last(c, ignorenulls=True).over(before) for c in heads}
+    starts = ends.select(*part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n"), *(v.alias(c) for c, v in carried.items()))
+    here = Window.partitionBy(*part).orderBy("pos")
+    last = lambda c: F.last(c, ignorenulls=True).over(here)
+    at = lambda c, w: F.last(F.when(F.col(c).isNotNull(), F.col("pos")), ignorenulls=True).over(w)
     rows = rows.withColumns({
-        "author": last(rest("author ")),
-        "author_pos": last(of("author ", F.col("pos"))),
-        "text_pos": F.last(F.when(text, F.col("pos")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)),
-        "at": last(rest("committer-time ").try_cast("bigint")),
-        "path": last(rest("filename ")),
-    })
-    # An author line counts for the one source line that follows it.
-    rows = rows.where(text & (F.col("author") != "") & (F.col("text_pos").isNull() | (F.col("author_pos") > F.col("text_pos"))))
-    cells = rows.select("repo", F.coalesce("path", F.lit("")).alias("path"), F.struct("dump", "pos", "author", "at", F.substr("value", F.lit(2)).alias("text")).alias("c"))
-    files = cells.groupBy("repo", "path").agg(F.array_sort(F.collect_list("c")).alias("rows"))
-    flags = skip_flags(detect_lang(F.col("path")), F.transform("rows", lambda r: r["text"]))
-    kept = F.explode(F.filter(F.arrays_zip(F.col("rows").alias("r"), flags.alias("s")), lambda x: ~x["s"])).alias("x")
-    return files.select("repo", "path", kept).select("repo", "path", F.col("x.r.author").alias("author"), F.timestamp_seconds("x.r.at").alias("committed_at"))
+        "author": last("author"), "author_pos": at("author", here), "text_pos": at("line", here.rowsBetween(Window.unboundedPreceding, -1)),
+        "at": last("at"), "path": last("path"), "i": F.row_number().over(here),
+    }).where("line is not null")
+    rows = rows.join(starts, part)
+    inside = F.when(F.col("text_pos").isNull() | (F.col("author_pos") > F.col("text_pos")), F.col("author"))
+    author = F.when(F.col("author_pos").isNull() & F.col("text_pos").isNull(), F.col("_author.v")).otherwise(inside)
+    path = F.coalesce("path", "_path", F.lit(""))
+    rows = rows.select("repo", "dump", path.alias("path"), (F.col("_n") + F.col("i")).alias("line_no"), author.alias("author"), F.coalesce("at", "_at").alias("at"), "line")
+    rows = rows.where("author <> ''").withColumn("lang", detect_lang(F.col("path")))
+    code = skipped_rows(rows, ("repo", "dump", "path"), "line_no", _FOLD, ("author", "at")).where(~F.col("skipped"))
+    return code.select("repo", "path", "author", F.timestamp_seconds("at").alias("committed_at"))
 
 
 def read_fix_blame(spark: SparkSession, path: str) -> DataFrame:

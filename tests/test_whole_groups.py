@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from strata.functions.periods import build_periods
 from strata.operators import axes, clean, modules, ranks, sampling, scoring, timelines
 from strata.functions import lines, paths
+from strata.sources import readers
 from strata.sources.ledger import KeyLedger
 from strata.streaming import activity as live
 from test_sources import events
@@ -220,3 +221,53 @@ def test_lines_as_rows_keep_their_state_across_chunks(spark):
     for x in lines.skipped_rows(rows, chunk=4).collect():
         got[x.path][x.line_no] = x.skipped
     assert {p: [v[k] for k in sorted(v)] for p, v in got.items()} == {p: f for p, (f, _) in want.items() if f}
+
+
+def porcelain(seed, n):
+    """A dump whose source lines miss some headers, and its (path, author, time, text) in order as a plain reader has them."""
+    rng = random.Random(seed)
+    out, rows, author, at, path = [], [], None, None, ""
+    for i in range(n):
+        if rng.random() < 0.8:
+            author = rng.choice(["Ann", "Bob", "Cy", ""])
+            out.append(f"author {author}")
+        if rng.random() < 0.5:
+            value = rng.choice([str(i), str(i), "x"])
+            at = int(value) if value != "x" else at
+            out.append(f"committer-time {value}")
+        if rng.random() < 0.3:
+            path = rng.choice(["a.go", "b.py", "c/d.go"])
+            out.append(f"filename {path}")
+        out.extend(["summary author Eve", "boundary"][: rng.randrange(3)])
+        text = rng.choice(["x = 1", "y", "/* o", "*/ z", "// c", "# c", "", "\tfilename q.go"])
+        out.append("\t" + text)
+        if author:
+            rows.append((path, author, at, text))
+        author = None
+    return "\n".join(out) + "\n", rows
+
+
+def test_a_dump_is_read_by_many_tasks(spark, tmp_path):
+    dump, rows = porcelain(3, 1200)
+    files = collections.defaultdict(list)
+    for r in rows:
+        files[r[0]].append(r)
+    df = spark.createDataFrame([(p, [r[3] for r in f]) for p, f in files.items()], "path string, lines array<string>")
+    flags = {r.path: r.f for r in df.select("path", lines.skip_flags(paths.detect_lang(F.col("path")), F.col("lines")).alias("f")).collect()}
+    want = sorted(((p, r[1], r[2]) for p, f in files.items() for r, s in zip(f, flags[p], strict=True) if not s), key=str)
+    seconds = lambda df: sorted((tuple(r) for r in df.select("path", "author", F.unix_timestamp("committed_at")).collect()), key=str)
+    (tmp_path / "r.txt").write_text(dump)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2500")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        got = readers.read_blame(spark, str(tmp_path))
+        assert seconds(got) == want
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan and "chunk" in plan
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    text = spark.createDataFrame([("r", dump)], "repo string, value string")
+    for chunk in (1, 1 << 20):
+        assert seconds(readers.parse_blame(text, chunk)) == want
+    assert readers.parse_blame(text.limit(0)).count() == 0
