@@ -8,7 +8,7 @@ from strata.functions import lines, paths, sql
 from strata.operators import axes, modules, scoring, teams, timelines
 from strata.operators.clean import shared_folder
 from strata.plans import blame_queries, score_queries, timeline_queries
-from strata.plans.registry import SQL_IS_FIX, H, L, N, query, sql_conf, sql_module
+from strata.plans.registry import SQL_IS_FIX, H, L, N, query, rounded, sql_conf, sql_module
 from strata.sources import writers
 from strata.streaming import activity as live
 
@@ -117,7 +117,40 @@ def report(v, s, d):
     return writers.domain_report(*map(named, (scores, axes.bus_factor(v("b"), cfg))), cover, *map(named, (pairs, axes.ownership(v("b")), blame_queries.module_scores(v))))
 
 
-query("sink_domain_json", report)
+#: What the domain report's oracle reads: the ranking, then modules, ownership, coupling and coverage.
+DOMAIN_CTES = tuple(dict.fromkeys([
+    score_queries.FC, score_queries.QUALITY, *blame_queries.ALL, *blame_queries.INDS, score_queries.BF, score_queries.rk(), blame_queries.ACT, blame_queries.LBL,
+]))
+
+
+def json_number(c: str) -> str:
+    """A double of at most four decimals as Spark's JSON has it."""
+    return f"CASE WHEN {c} <> 0 AND abs({c}) < 0.001e0 THEN CONCAT(CAST(round({c} * 10000) AS BIGINT), '.0E-4') ELSE CAST({c} AS VARCHAR) END"
+
+
+def json_object(**fields: tuple[str, str]) -> str:
+    """SQL for a JSON object of (kind, expression) fields: s(tring), n(umber as it is), d(ouble), j(SON)."""
+    as_text = {"s": lambda x: f"'\"', {x}, '\"'", "n": lambda x: f"CAST({x} AS VARCHAR)", "d": json_number, "j": lambda x: x}
+    return "CONCAT('{', " + ", ',', ".join(f"'\"{k}\":', {as_text[t](x)}" for k, (t, x) in fields.items()) + ", '}')"
+
+
+def json_list(item: str, order: str) -> str:
+    return f"CONCAT('[', string_agg({item}, ',' ORDER BY {order}), ']')"
+
+
+_R1 = lambda c: ("d", f"ROUND({c}, 1)")
+DOMAIN_PARTS = {
+    "members": (json_list(json_object(rank=("n", "rank"), member=("s", "author"), total_commits=("n", "total_commits"), **{a: _R1(a) for a in writers.AXES}, role=("s", "rl.n"), style=("s", "sy.n"), state=("s", "se.n")), "rank"),
+                "(SELECT *, row_number() OVER (ORDER BY impact DESC, author) AS rank FROM rr)"),
+    "bus_factor": (json_list(json_object(module=("s", "module"), author=("s", "author"), share=_R1("share * 100"), level=("s", "level")), "module, author, ROUND(share * 100, 1), level"), "bf"),
+    "test_coverage": (json_object(files=("n", "COUNT(*)"), tests=("n", "COUNT(*) FILTER (is_test)"), ratio=("d", "ROUND(COUNT(*) FILTER (is_test) / CAST(COUNT(*) AS DOUBLE), 4)")), "ft"),
+    "cochange": (json_list(json_object(module_a=("s", "module_a"), module_b=("s", "module_b"), together=("n", "together"), coupling=("d", "ROUND(coupling, 4)")), "module_a, module_b, together, ROUND(coupling, 4)"), "cc WHERE together >= 2 AND coupling >= 0.01e0"),
+    "ownership": (json_list(json_object(module=("s", "module"), repo=("s", "repo"), authors=("n", "authors"), top_author=("s", "top_author"), level=("s", "level")), "module, repo"), "owl"),
+    "modules": (json_list(json_object(module=("s", "module"), coupling=("s", "k.n"), vitality=("s", "vt.n"), ownership=("s", "o.n")), "module"), "lb"),
+}
+query("sink_domain_json", report,
+      "SELECT 'BE' AS domain, " + json_object(domain=("s", "'BE'"), **{k: ("j", f"(SELECT {x} FROM {of})") for k, (x, of) in DOMAIN_PARTS.items()}) + " AS report",
+      "c fc b files", *DOMAIN_CTES)
 # What prints with a fixed number of digits rounds halves up, and a null prints as 0.
 text = lambda c, digits=1, name=None: f"printf('%.{digits}f', round(CAST(coalesce({c}, 0) AS DOUBLE), {digits})) AS {name or c}"
 LABELS = ", ".join(f"{x}.n AS {a}, printf('%.2f', {sql_conf(x)}) AS {a}_conf" for a, x in (("role", "rl"), ("style", "sy"), ("state", "se")))
@@ -128,7 +161,14 @@ TEAM_TEXT = "CAST(core_members AS VARCHAR) AS core_members, CAST(effective_membe
 query("sink_team_csv", lambda v, s, d: writers.team_csv(score_queries.labelled_teams(s, d)),
       f"SELECT team, 'BE' AS domain, '5' AS repos, {TEAM_TEXT}" + ", ".join([*(text(f"avg_{a}") for a in teams.AVERAGES), *(text(h, 2 if h in ("aar", "anchor_density", "architecture_coverage") else 1) for h in writers.HEALTH)]) + " FROM tch",
       "score_grid", *score_queries.TEAM_CTES, timeline_queries.TEAM_CH)
-query("sink_team_json", lambda v, s, d: writers.team_json(team_rows(s, d), score_queries.members(s, d)))
+_TEAM_LABELS = {"character": ("ch.n", sql_conf("ch")), **{a: (f"{a}_name", f"{a}_conf") for a in ("structure", "culture", "phase", "risk")}}
+TEAM_LABELS = {a: ("j", json_object(name=("s", n), conf=("d", c))) for a, (n, c) in _TEAM_LABELS.items()}
+TEAM_SIZES = {c: ("n", c) for c in ("core_members", "effective_members", "total_members")}
+query("sink_team_json", lambda v, s, d: writers.team_json(team_rows(s, d), score_queries.members(s, d)),
+      "SELECT team, " + json_object(team=("s", "team"), domain=("s", "'BE'"), **TEAM_SIZES, classification=("j", json_object(**TEAM_LABELS)), health=("j", json_object(**{h: ("d", f"ROUND({h}, 4)") for h in writers.HEALTH})), warnings=("j", "coalesce(w.x, '[]')"), members=("j", "m.x")) + " AS report "
+      f"FROM tch JOIN (SELECT team, {json_list(json_object(author=('s', 'author'), tier=('s', 'tier'), impact=_R1('impact'), role=('s', 'rl.n'), style=('s', 'sy.n'), state=('s', 'se.n')), 'author')} AS x FROM tm GROUP BY team) m USING (team) "
+      f"""LEFT JOIN (SELECT team, {json_list("CONCAT('\"', warning, '\"')", 'o, o2')} AS x FROM ww GROUP BY team) w USING (team)""",
+      "score_grid", *score_queries.TEAM_CTES, score_queries.WARN, timeline_queries.TEAM_CH)
 query("sink_timeline_csv", lambda v, s, d: writers.timeline_csv(timeline_rows(s, d)[0]),
       "SELECT author, period, " + ", ".join(text(c) for c in ("impact", "gravity", "production", "quality", "survival", "design")) + ", role, style FROM tg", "score_grid", timeline_queries.TLG)
 _NUMBERS = ", ".join(f"',\"{c}\":', CAST({c} AS VARCHAR)" for c in ("gravity", "impact", "production", "quality", "survival", "design"))
@@ -144,9 +184,18 @@ query("sink_team_timeline_csv", lambda v, s, d: writers.team_timeline_csv(timeli
 
 def team_timeline_json(v, s, d):
     columns = ["team", "period", "core_members", "effective_members", "total_members", *writers.TEAM_PERIOD]
-    rows = timeline_queries.team_periods(s, d)
+    rows = rounded(timeline_queries.team_periods(s, d))
     return writers.timeline_json(rows.select(*columns, *timeline_queries.LABEL_AXES), timeline_queries.team_changes(s, d), key="team", order="period")
 
 
-query("sink_team_timeline_json", team_timeline_json)
-query("sink_validation_json", lambda v, s, d: writers.validation_report(timeline_queries.validation.global_gravity(timeline_queries.engineers(s, d)), timeline_queries.validated(s, d)))
+_CHANGE = json_object(**{k: ("s", k) for k in ("period", "axis", "before", "after")})
+query("sink_team_timeline_json", team_timeline_json,
+      "SELECT team, CONCAT('{\"team\":\"', team, '\",\"periods\":', p.x, CASE WHEN t.x IS NULL THEN '' ELSE CONCAT(',\"transitions\":', t.x) END, '}') AS report FROM "
+      f"(SELECT split_part(team, '~', 1) AS team, {json_list(json_object(period=('s', 'period'), **TEAM_SIZES, **{c: ('d', f'ROUND({c}, 4)') for c in writers.TEAM_PERIOD}, **TEAM_LABELS), 'period')} AS x FROM (SELECT *, split_part(team, '~', 2) AS period FROM tch) GROUP BY 1) p "
+      f"LEFT JOIN (SELECT team, {json_list(_CHANGE, 'period, axis')} AS x FROM ({timeline_queries.TEAM_TR}) GROUP BY team) t USING (team)",
+      "score_grid", *timeline_queries.TEAM_PERIODS)
+query("sink_validation_json", lambda v, s, d: writers.validation_report(timeline_queries.validation.global_gravity(timeline_queries.engineers(s, d)), rounded(timeline_queries.validated(s, d))),
+      "SELECT " + json_object(**{"global": ("j", "a.x"), "repos": ("j", "b.x")}) + " AS report FROM "
+      f"(SELECT {json_list(json_object(repo=('s', 'repo'), author=('s', 'author'), adjusted_gravity=('d', 'ROUND(g, 4)'), size=('n', 'size')), 'g DESC, repo, author')} AS x FROM (SELECT * FROM ({timeline_queries.ADJUSTED}) ORDER BY g DESC, repo, author LIMIT 100)) a, "
+      f"(SELECT {json_list(json_object(repo=('s', 'repo'), **{c: (t, f'ROUND({c}, 4)' if t == 'd' else c) for c, t in timeline_queries.VALIDATED.items()}), 'repo')} AS x FROM rv) b",
+      *timeline_queries.V, timeline_queries.CONC, timeline_queries.RV)

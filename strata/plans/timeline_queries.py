@@ -171,8 +171,9 @@ query("spearman_reranked", lambda v, s, d: rounded(validation.spearman(*lists(s,
       f"SELECT repo, COUNT(*) AS common, ROUND({RHO}, 6) AS rho FROM (SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY a) AS a, row_number() OVER (PARTITION BY repo ORDER BY b) AS b FROM ({BOTH})) GROUP BY repo", *V)
 CONC = "cn AS (SELECT e.repo, coalesce(SUM(e.gravity) FILTER (g.rank <= 3) / nullif(SUM(e.gravity), 0), 0e0) AS concentration FROM eg e JOIN g ON g.repo = e.repo AND g.name = e.author GROUP BY e.repo)"
 query("gravity_concentration", lambda v, s, d: rounded(validation.gravity_concentration(engineers(s, d)), 6), "SELECT repo, ROUND(concentration, 6) AS concentration FROM cn", *V, CONC)
+ADJUSTED = "SELECT eg.repo, author, size, gravity * ln(size) / ln(MAX(size) OVER ()) AS g FROM eg JOIN (SELECT repo, COUNT(*) AS size FROM eg GROUP BY repo) USING (repo) QUALIFY impact >= 20"
 query("adjusted_gravity", lambda v, s, d: rounded(validation.global_gravity(engineers(s, d)).select("repo", "author", "size", "adjusted_gravity")),
-      "SELECT eg.repo, author, size, ROUND(gravity * ln(size) / ln(MAX(size) OVER ()), 4) AS adjusted_gravity FROM eg JOIN (SELECT repo, COUNT(*) AS size FROM eg GROUP BY repo) USING (repo) QUALIFY impact >= 20", *V)
+      f"SELECT repo, author, size, ROUND(g, 4) AS adjusted_gravity FROM ({ADJUSTED})", *V)
 HID = "SELECT g.repo, g.name FROM g WHERE g.rank <= 20 AND NOT EXISTS (SELECT 1 FROM k WHERE k.repo = g.repo AND k.name = g.name)"
 query("hidden_architects", lambda v, s, d: (lambda g, t, k: validation.hidden_architects(g, k))(*lists(s, d)).select("repo", "name"), HID, *V)
 query("hidden_except", lambda v, s, d: (lambda g, t, k: validation.ranking_except(g, k))(*lists(s, d)), "SELECT repo, name FROM g WHERE rank <= 20 EXCEPT SELECT repo, name FROM k", *V)
@@ -198,6 +199,8 @@ RV = (
     f"JOIN ({OV.format('overlap', 't', 10, 'WHERE t.rank <= 10')}) o USING (repo) JOIN ({OV.format('recall', 'k', 20, '')}) r USING (repo) LEFT JOIN (SELECT repo, COUNT(*) AS common, {RHO} AS rho FROM ({BOTH}) GROUP BY repo) p USING (repo) "
     f"LEFT JOIN (SELECT repo, COUNT(*) AS hidden FROM ({HID}) GROUP BY repo) h USING (repo) LEFT JOIN (SELECT repo, COUNT(*) AS fighters FROM eg WHERE {FIGHT} GROUP BY repo) f USING (repo) JOIN cn USING (repo))"
 )
+#: The columns of a repository beside its name: n(umber as it is) or d(ouble).
+VALIDATED = {"size": "n", "overlap": "d", "common": "n", "rho": "d", "recall": "d", "hidden": "n", "fighters": "n", "concentration": "d"}
 query("repo_validation", lambda v, s, d: rounded(validated(s, d), 6), "SELECT repo, size, ROUND(overlap, 6) AS overlap, common, ROUND(rho, 6) AS rho, ROUND(recall, 6) AS recall, hidden, fighters, ROUND(concentration, 6) AS concentration FROM rv", *V, CONC, RV)
 query("validation_summary", lambda v, s, d: rounded(validation.validation_summary(validated(s, d))),
       "SELECT COUNT(*) AS repos, ROUND(AVG(overlap), 4) AS mean_overlap, ROUND(AVG(recall) FILTER (recall > 0), 4) AS mean_recall, ROUND(AVG(rho), 4) AS mean_rho, ROUND(AVG(concentration), 4) AS mean_concentration, CAST(SUM(hidden) AS BIGINT) AS hidden, CAST(SUM(fighters) AS BIGINT) AS fighters, MAX(size) AS largest, MIN(size) AS smallest FROM rv", *V, CONC, RV)
@@ -235,9 +238,11 @@ def team_changes(s, d):
     return timelines.transitions(names, "team", LABEL_AXES, "period")
 
 
-query("team_transitions", lambda v, s, d: team_changes(s, d),
-      "SELECT team, period, axis, before, after FROM (SELECT *, lag(after) OVER (PARTITION BY team, axis ORDER BY period) AS before FROM (SELECT split_part(team, '~', 1) AS team, split_part(team, '~', 2) AS period, unnest(['character', 'structure', 'culture', 'phase', 'risk']) AS axis, "
-      "unnest([ch.n, structure_name, culture_name, phase_name, risk_name]) AS after FROM tch)) WHERE before <> after AND before <> '—' AND after <> '—'", "score_grid", *TEAM_PERIODS)
+TEAM_TR = (
+    "SELECT team, period, axis, before, after FROM (SELECT *, lag(after) OVER (PARTITION BY team, axis ORDER BY period) AS before FROM (SELECT split_part(team, '~', 1) AS team, split_part(team, '~', 2) AS period, unnest(['character', 'structure', 'culture', 'phase', 'risk']) AS axis, "
+    "unnest([ch.n, structure_name, culture_name, phase_name, risk_name]) AS after FROM tch)) WHERE before <> after AND before <> '—' AND after <> '—'"
+)
+query("team_transitions", lambda v, s, d: team_changes(s, d), TEAM_TR, "score_grid", *TEAM_PERIODS)
 query("team_timeline", lambda v, s, d: rounded(teams.team_health(teams.aggregate(score_queries.members(s, d).withColumn("domain", F.concat(F.lit("P"), (F.col("n") % 3).cast("string"))))).select("team", F.col("domain").alias("period"), "core_members", "effective_members", "total_members", "avg_impact", "risk_ratio")),
       "SELECT team, CONCAT('P', CAST(n % 3 AS VARCHAR)) AS period, COUNT(*) FILTER (tier = 'core') AS core_members, COUNT(*) FILTER (tier <> 'peripheral') AS effective_members, COUNT(*) AS total_members, ROUND(coalesce(AVG(impact) FILTER (tier = 'core'), 0e0), 4) AS avg_impact, "
       "ROUND(COUNT(*) FILTER (tier = 'risk') / CAST(COUNT(*) FILTER (tier <> 'peripheral') AS DOUBLE) * 100, 4) AS risk_ratio FROM tm GROUP BY 1, 2 HAVING COUNT(*) FILTER (tier <> 'peripheral') > 0", "score_grid", score_queries.GRID, score_queries.SL, score_queries.TM)
