@@ -99,36 +99,88 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def expand_merge(merges: DataFrame, parents: DataFrame) -> DataFrame:
-    """merges(repo, commit_id), parents(repo, commit_id, pos, parent_id, parent_order) -> (repo, commit_id): what each
-    merge brought in, reachable from it but not from its first parent.
-
-    parent_order rises from parents to children (a date or generation). Both sides walk breadth first, a checkpointed
-    job a level; the first parent's side stops below the oldest commit of the other, whose frontier ends where both
-    meet, so the walk covers the branch and not the history."""
-    edges = parents.select("repo", "commit_id", "parent_id", F.col("parent_order").alias("at"))
-    key = ["repo", "root", "commit_id"]
-    starts = merges.select("repo", F.col("commit_id").alias("root"), "commit_id").distinct()
-    first = starts.join(parents.where("pos = 1").select("repo", "commit_id", "parent_id", F.col("parent_order").alias("at")), ["repo", "commit_id"])
-    main = front = _cut(first.select("repo", "root", F.col("parent_id").alias("commit_id"), "at").distinct())
-    side = edge = _cut(starts.withColumn("at", F.lit(None).cast(main.schema["at"].dataType)))
-
-    def step(frontier, found):
-        out = frontier.select("repo", "root", "commit_id").join(edges, ["repo", "commit_id"]).select("repo", "root", F.col("parent_id").alias("commit_id"), "at")
-        return out.dropDuplicates(key).join(found, key, "left_anti")
-
+#: Commits of a line that one key of the last join takes.
+_BLOCK = 1024
+
+
+def first_parent_lines(parents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """parents(repo, commit_id, pos, parent_id, parent_order) -> the commits that are parents, as lines, and the links
+    between lines.
+
+    A line follows first parents; where several commits have one first parent, the line goes on to the child with the
+    latest descendant, so the main line stays whole. (repo, commit_id, line, p, at): p counts from the line's oldest
+    commit; (repo, line, p, to_line, to_p, to_at): a parent in another line. Both come from pointers whose reach doubles
+    in each checkpointed round, so the rounds grow with the logarithm of the longest line."""
+    at = parents.groupBy("repo", F.col("parent_id").alias("commit_id")).agg(F.max("parent_order").alias("at"))
+    first = parents.where("pos = 1").groupBy("repo", "commit_id").agg(F.min("parent_id").alias("up"))
+    nodes = materialize(at.join(first, ["repo", "commit_id"], "left"))
+    rows = nodes.withColumn("best", F.col("at"))
+    while not rows.where("up is not null").isEmpty():
+        above = rows.select("repo", F.col("commit_id").alias("up"), F.col("up").alias("further"))
+        below = rows.where("up is not null").groupBy("repo", F.col("up").alias("commit_id")).agg(F.max("best").alias("below"))
+        rows = rows.join(above, ["repo", "up"], "left").join(below, ["repo", "commit_id"], "left")
+        rows = materialize(rows.select("repo", "commit_id", F.col("further").alias("up"), F.greatest("best", "below").alias("best")))
+    heirs = nodes.join(rows.select("repo", "commit_id", "best"), ["repo", "commit_id"]).where("up is not null")
+    heirs = heirs.groupBy("repo", F.col("up").alias("next")).agg(F.max(F.struct("best", "commit_id"))["commit_id"].alias("commit_id"))
+    rows = materialize(nodes.select("repo", "commit_id").join(heirs, ["repo", "commit_id"], "left").select(
+        "repo", "commit_id", F.coalesce("next", "commit_id").alias("to"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("p"), F.col("next").isNotNull().alias("on")
+    ))
+    while not rows.where("on").isEmpty():
+        ahead = rows.select("repo", F.col("commit_id").alias("to"), F.col("to").alias("further"), F.col("p").alias("more"), F.col("on").alias("still"))
+        rows = materialize(rows.join(ahead, ["repo", "to"]).select("repo", "commit_id", F.col("further").alias("to"), (F.col("p") + F.col("more")).alias("p"), (F.col("on") & F.col("still")).alias("on")))
+    lines = materialize(rows.select("repo", "commit_id", F.col("to").alias("line"), "p").join(nodes.select("repo", "commit_id", "at"), ["repo", "commit_id"]))
+    to = lines.select("repo", F.col("commit_id").alias("parent_id"), F.col("line").alias("to_line"), F.col("p").alias("to_p"), F.col("at").alias("to_at"))
+    links = parents.select("repo", "commit_id", "parent_id").join(lines.drop("at"), ["repo", "commit_id"]).join(to, ["repo", "parent_id"])
+    # A parent further down the same line is on the way anyway.
+    return lines, materialize(links.where("line <> to_line").select("repo", "line", "p", "to_line", "to_p", "to_at").distinct())
+
+
+def merge_branches(merges: DataFrame, parents: DataFrame) -> DataFrame:
+    """merges(repo, commit_id), parents(repo, commit_id, pos, parent_id, parent_order) -> (repo, root, commit_id): what
+    each merge (root) brought in, reachable from it but not from its first parent; the merge itself too.
+
+    parent_order never falls from parents to children (a date or generation). What is reached of a line is all below
+    its newest reached commit, so both sides are a row a line and not a row a commit, and a round follows the links that
+    leave the lines: rounds grow with how deep branches nest, not with their length. The first parent's side stops below
+    the oldest commit of the other, whose lines end where both meet, so the walk covers the branch and not the history."""
+    lines, links = first_parent_lines(parents)
+    key = ["repo", "root", "line"]
+    place = lines.select("repo", F.col("commit_id").alias("parent_id"), "line", "p", "at")
+    roots = merges.select("repo", "commit_id").distinct()
+    starts = materialize(roots.join(parents, ["repo", "commit_id"]).join(place, ["repo", "parent_id"]).select("repo", F.col("commit_id").alias("root"), "line", "p", "pos"))
+    tails = lines.where("p = 0").select("repo", "line", F.col("at").alias("tail_at"))
+    top = lambda rows: rows.groupBy(*key).agg(F.max("p").alias("p"))
+    main, side = top(starts.where("pos = 1")), top(starts)
+
+    def further(rows, wanted):
+        """Commits of other lines that rows lead to, at the newest, where they are beyond what rows hold."""
+        out = rows.join(links.withColumnRenamed("p", "from_p"), ["repo", "line"]).where(wanted)
+        out = out.groupBy("repo", "root", F.col("to_line").alias("line")).agg(F.max("to_p").alias("new_p"))
+        return out.join(rows.select(*key, "p"), key, "left").where("p is null or new_p > p").select(*key, F.col("new_p").alias("p"))
+
+    # Tables and not checkpoints: those carry the constraints of all rounds before along, which slows planning down.
     while True:
-        edge = _cut(step(edge, side).join(main, key, "left_anti"))
-        side = _cut(side.union(edge))
-        oldest = side.groupBy("repo", "root").agg(F.min("at").alias("oldest"))
-        # Commits of the first parent's side wait until the other side has come as far down.
-        front = front.join(oldest, ["repo", "root"])
-        ready, wait = front.where("at >= oldest").drop("oldest"), front.where("at < oldest").drop("oldest")
-        new = _cut(step(ready, main))
-        main, front = _cut(main.union(new)), _cut(wait.union(new))
-        if edge.isEmpty() and new.isEmpty():
+        # The side's lines above what the first parent reaches; the oldest commit there, or the one below it.
+        held = main.withColumnRenamed("p", "main_p")
+        side = materialize(side.join(held, key, "left").where("main_p is null or p > main_p").withColumn("main_p", F.coalesce("main_p", F.lit(-1).cast("long"))))
+        below = lines.select("repo", "line", F.col("p").alias("main_p"), "at")
+        oldest = side.join(below, ["repo", "line", "main_p"], "left").join(tails, ["repo", "line"])
+        oldest = oldest.groupBy("repo", "root").agg(F.min(F.coalesce("at", "tail_at")).alias("oldest"))
+        more_side = materialize(further(side, "from_p <= p and from_p > main_p").join(held, key, "left").where("main_p is null or p > main_p").drop("main_p"))
+        more_main = materialize(further(materialize(main.join(oldest, ["repo", "root"])), "from_p <= p and to_at >= oldest"))
+        if more_side.isEmpty() and more_main.isEmpty():
             break
-    return side.join(main, key, "left_anti").select("repo", "commit_id").distinct()
+        main = materialize(top(main.union(more_main)))
+        side = top(side.select(*key, "p").union(more_side))
+    block = lambda c: F.floor(F.col(c) / _BLOCK)
+    parts = side.withColumn("block", F.explode(F.sequence(block("main_p") + F.when(F.col("main_p") % _BLOCK == _BLOCK - 1, 1).otherwise(0), block("p"))))
+    parts = parts.withColumnRenamed("p", "side_p").join(lines.withColumn("block", block("p")), ["repo", "line", "block"])
+    return parts.where("p > main_p and p <= side_p").select("repo", "root", "commit_id").union(roots.select("repo", F.col("commit_id").alias("root"), "commit_id"))
+
+
+def expand_merge(merges: DataFrame, parents: DataFrame) -> DataFrame:
+    """(repo, commit_id): the commits of merge_branches(), each once."""
+    return merge_branches(merges, parents).select("repo", "commit_id").distinct()
 
 
 def exclude_reverted(commits: DataFrame, excluded: DataFrame) -> DataFrame:

@@ -105,6 +105,11 @@ query("touch_modules", lambda v, s, d: axes.commit_modules(v("fc")), f"SELECT DI
 
 FALLEN = "fallen AS (SELECT DISTINCT r.repo, r.reverted_id AS commit_id FROM reverts r WHERE NOT EXISTS (SELECT 1 FROM reverts x WHERE x.repo = r.repo AND x.reverted_id = r.revert_id AND NOT EXISTS (SELECT 1 FROM reverts y WHERE y.repo = x.repo AND y.reverted_id = x.revert_id)))"
 query("effectively_reverted", lambda v, s, d: clean.effectively_reverted(v("reverts")), "SELECT repo, commit_id FROM fallen", "reverts", FALLEN)
+# Every merge as if it were reverted. In the fixture a commit is at most 12 ids above its parents, and the one before it in
+# its repository is always a parent: from 400 ids below a merge on, both of its sides reach all.
+query("revert_branch_expand", lambda v, s, d: clean.merge_branches(v("c").where("is_merge"), v("commit_parents").withColumn("parent_order", F.col("parent_id"))).groupBy("repo", "root").agg(F.count("*").alias("commits"), F.min("commit_id").alias("oldest"), F.sum("commit_id").alias("ids")),
+      "SELECT repo, root, COUNT(*) AS commits, MIN(commit_id) AS oldest, CAST(SUM(commit_id) AS BIGINT) AS ids FROM (WITH RECURSIVE walk AS (SELECT repo, commit_id AS root, commit_id AS x, FALSE AS main FROM c WHERE is_merge UNION SELECT repo, commit_id, parent_id, TRUE FROM commit_parents WHERE pos = 1 AND EXISTS (SELECT 1 FROM c WHERE c.is_merge AND c.repo = commit_parents.repo AND c.commit_id = commit_parents.commit_id) "
+      "UNION SELECT w.repo, w.root, p.parent_id, w.main FROM walk w JOIN commit_parents p ON p.repo = w.repo AND p.commit_id = w.x WHERE p.parent_id >= w.root - 400) SELECT repo, root, x AS commit_id FROM walk GROUP BY ALL HAVING NOT bool_or(main)) GROUP BY repo, root", "c commit_parents")
 query("revert_exclude", lambda v, s, d: clean.exclude_reverted(v("c"), clean.effectively_reverted(v("reverts"))).groupBy("repo", "is_merge").agg(F.count("*").alias("n"), F.sum("commit_id").alias("ids")),
       "SELECT repo, is_merge, COUNT(*) AS n, CAST(SUM(commit_id) AS BIGINT) AS ids FROM c WHERE NOT EXISTS (SELECT 1 FROM fallen f WHERE f.repo = c.repo AND f.commit_id = c.commit_id) GROUP BY repo, is_merge", "c reverts", FALLEN)
 

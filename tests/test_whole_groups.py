@@ -271,3 +271,46 @@ def test_a_dump_is_read_by_many_tasks(spark, tmp_path):
     for chunk in (1, 1 << 20):
         assert seconds(readers.parse_blame(text, chunk)) == want
     assert readers.parse_blame(text.limit(0)).count() == 0
+
+
+def commit_graph(seed, n):
+    """[(commit, its parents)], newest last, with forks, merges of two and three, and merges of merges."""
+    rng, graph, tips = random.Random(seed), [(0, [])], [0]
+    for i in range(1, n):
+        main = rng.choice(tips[-4:])
+        others = rng.sample([t for t in tips if t != main], min(len(tips) - 1, rng.choice([0, 0, 0, 1, 2])))
+        graph.append((i, [main, *others]))
+        tips = [t for t in tips if t not in others and (t != main or rng.random() < 0.3)] + [i]
+    return graph
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_what_merges_bring_in(spark, seed):
+    want, merges, rows = set(), [], []
+    for repo, graph in (("r", commit_graph(seed, 70)), ("s", commit_graph(seed + 10, 40))):
+        reach = {}
+        for c, up in graph:
+            reach[c] = {c}.union(*(reach[u] for u in up))
+            # The order may tie, as dates do.
+            rows += [(repo, c, i + 1, u, u // 3) for i, u in enumerate(up)]
+            if len(up) > 1:
+                merges.append((repo, c))
+                want |= {(repo, c, x) for x in reach[c] - reach[up[0]]}
+    parents = spark.createDataFrame(rows, "repo string, commit_id long, pos int, parent_id long, parent_order long")
+    got = clean.merge_branches(spark.createDataFrame(merges, "repo string, commit_id long"), parents).collect()
+    assert len(got) == len({tuple(r) for r in got}) and {tuple(r) for r in got} == want
+
+
+def test_a_long_branch_takes_few_rounds(spark, monkeypatch):
+    """A main line and a branch of 600 commits each: rounds grow with the logarithm, and blocks of a line meet."""
+    n, rounds = 600, []
+    for name in ("_cut", "materialize"):
+        monkeypatch.setattr(clean, name, lambda df, cut=getattr(clean, name): rounds.append(1) or cut(df))
+    monkeypatch.setattr(clean, "_BLOCK", 7)
+    rows = [(2 * i + k, 1, max(2 * i + k - 2, 0), max(2 * i + k - 2, 0)) for i in range(1, n) for k in (0, 1)]
+    rows += [(2 * n, 1, 2 * n - 2, 2 * n - 2), (2 * n, 2, 2 * n - 1, 2 * n - 1)]
+    rows = [(c, pos, 0 if u == 1 else u, 0 if u == 1 else u) for c, pos, u, _ in rows]
+    parents = spark.createDataFrame([("r", *x) for x in rows], "repo string, commit_id long, pos int, parent_id long, parent_order long")
+    got = clean.expand_merge(spark.createDataFrame([("r", 2 * n)], "repo string, commit_id long"), parents)
+    assert {x.commit_id for x in got.collect()} == {2 * n, *range(3, 2 * n, 2)}
+    assert len(rounds) < 50
