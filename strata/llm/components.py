@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.common import discard, join_hot, stage
@@ -25,16 +25,26 @@ def components(links: DataFrame) -> DataFrame:
     """links(a, b) long -> (node, component_id), one row for each node of a link; component_id: least node reachable.
 
     Self links and nulls are ignored, repeated links count once; no links give an empty table. Each round is staged in
-    the shared folder, so a lost executor costs one round; the driver sees two sums a round, never the links.
+    the shared folder, so a lost executor costs one round; the driver sees two counts a round, never the links.
     """
-    sums = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
     first = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    seen = Observation()
-    edges, before = stage(first.observe(seen, *sums), "links"), None
-    while seen.get != before:
-        before, old, seen = seen.get, edges, Observation()
-        middle = stage(_star(old, True, before["n"]), "stars")
-        edges = stage(_star(middle, False, before["n"]).observe(seen, *sums), "star")
+    edges = stage(first, "links")
+    while True:
+        open_, rows = _unsettled(edges)
+        if not open_:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component_id")).union(edges.select("b", "b").distinct())
+        old = edges
+        middle = stage(_star(old, True, rows), "stars")
+        edges = stage(_star(middle, False, rows), "star")
         discard(middle)
         discard(old)
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component_id")).union(edges.select("b", "b").distinct())
+
+
+def _unsettled(edges: DataFrame) -> tuple[int, int]:
+    """How many vertices keep distinct links (a, b) with a > b from being separate stars, and the number of links.
+
+    Where every a has one link and is no b, each b is the least vertex of its component, so no round is needed to see
+    that nothing changes any more."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return tuple(ends.agg(F.count_if((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0)), F.coalesce(F.sum("up"), F.lit(0))).first())

@@ -303,14 +303,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     ordered = trees.select("region", "key", "doc", "sketch").repartitionByRange(n, "region", "key", "doc").sortWithinPartitions("region", "key", "doc")
     tested = confirmed(ordered.mapInArrow(_neighbour_links(least), "a long, b long").distinct())
     links = same.union(tested.where("linked").select("a", "b"))
-    comp = components(links)
+    comp = stage(components(links), "components")
     # Documents with a likely partner in another component, then the exact test among these alone.
     open_docs = stage(_blocks(trees, comp).mapInArrow(_cross(least, None), "doc long").distinct(), "open")
     if not open_docs.isEmpty():
         few = stage(trees.join(open_docs, "doc", "left_semi"), "few")
         more = stage(_blocks(few, comp, sets).mapInArrow(_cross(least, percent), "a long, b long"), "more")
         if not more.isEmpty():
-            comp = components(comp.select(F.col("node").alias("a"), F.col("component_id").alias("b")).union(more))
+            comp = stage(components(comp.select(F.col("node").alias("a"), F.col("component_id").alias("b")).union(more)), "components")
     least_of = first.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(*key, "_n", F.coalesce("component_id", "rep").alias("component_id"))
     out = join_hot(usable.select("doc_id", *key), least_of, key, total)
     alone = found.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).select("doc_id", *key, F.col("doc_id").alias("component_id"))
@@ -322,30 +322,31 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def _blocks(trees: DataFrame, comp: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     """The rows of every region with several components, dealt into blocks of about PROBES probes (rows outside the
-    region's largest component) and BLOCK rows; with sets their shingle sets too."""
+    region's largest component) and BLOCK rows; with sets their shingle sets too. The regions are staged and a row gets
+    all its places at once, so the plan reads trees for one join, however the rows are dealt."""
     n = partitions(trees.sparkSession)
     named = lambda rows: rows.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component_id", "doc"))
     sizes = named(trees.select("region", "doc")).groupBy("region", "comp").agg(F.count("*").alias("n"))
-    regions = (
+    regions = stage(
         sizes.groupBy("region")
         .agg(F.sum("n").alias("size"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"))
         .where("size > most")
         .withColumn("blocks", F.ceil((F.col("size") - F.col("most")) / PROBES).cast("long"))
         .withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("long"))
-        .withColumn("_n", F.col("size"))
+        .withColumn("_n", F.col("size")),
+        "regions",
     )
     rows = named(join_hot(trees, regions, ["region"], trees.count())).withColumn("minor", F.col("comp") != F.col("main"))
-    own = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("blocks"))
-    part = F.pmod(F.xxhash64("doc", F.lit(2)), F.col("parts"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("blocks"))).withColumn("part", F.pmod(F.xxhash64("doc", F.lit(2)), F.col("parts")))
     every = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
-    cells = ["region", "tree", "comp", "doc", "sketch", "high"]
+    cells = ["tree", "comp", "doc", "sketch", "high"]
     if sets is not None:
         rows = rows.join(sets.dropDuplicates(["doc", "f1"]), ["doc", "f1"])
         cells.append("set")
-    probes = rows.where("minor").select(*cells, F.lit(True).alias("probe"), own.alias("i"), F.explode(every("parts")).alias("j"))
+    place = lambda probe, i, j: F.struct(F.lit(probe).alias("probe"), i.alias("i"), j.alias("j"))
+    probes = F.transform(every("parts"), lambda j: place(True, F.col("own"), j))
     # A row meets the probes of every block; where it is a probe of that very cell it is there already.
-    others = rows.select(
-        *cells, F.lit(False).alias("probe"), F.explode(every("blocks")).alias("i"), part.alias("j"), "minor", own.alias("own")
-    ).where(~(F.col("minor") & (F.col("i") == F.col("own"))))
-    blocks = probes.unionByName(others.drop("minor", "own")).withColumn("block", F.xxhash64("region", "i", "j")).drop("region", "i", "j")
+    others = F.transform(F.filter(every("blocks"), lambda i: ~F.col("minor") | (i != F.col("own"))), lambda i: place(False, i, F.col("part")))
+    places = F.when(F.col("minor"), F.concat(probes, others)).otherwise(others)
+    blocks = rows.select("region", *cells, F.explode(places).alias("at")).select(*cells, "at.probe", F.xxhash64("region", "at.i", "at.j").alias("block"))
     return blocks.repartition(n, "block").sortWithinPartitions("block", F.desc("probe"))

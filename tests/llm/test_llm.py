@@ -65,6 +65,26 @@ def test_null_ids_stand_alone(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [(-1, -1, True), (-1, -1, True), (1, 1, True)]
 
 
+def test_near_duplicates_plans_stay_small(spark, monkeypatch):
+    """The driver's plans of the residual blocks read each table a few times, and stars take no round to be seen as such."""
+    plans, rounds, blocks, star = [], [], minhash._blocks, components._star
+
+    def seen(*args):
+        out = blocks(*args)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return out
+
+    monkeypatch.setattr(minhash, "_blocks", seen)
+    minhash.near_duplicates(table(spark, odd_texts())).count()
+    assert plans and max(plans) <= 8
+    monkeypatch.setattr(components, "_star", lambda *args: rounds.append(1) or star(*args))
+    got = components.components(spark.createDataFrame([(1, 2), (3, 1), (9, 8), (2, 1)], "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)]
+    assert not rounds
+    assert components.components(spark.createDataFrame([(1, 2), (3, 2), (9, 8), (9, 3)], "a long, b long").where("a > 0")).where("component_id = 1").count() == 5
+    assert rounds
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(i, i + 1) for i in range(60) if i % 7] + [(r.randint(100, 140), r.randint(100, 140)) for _ in range(40)] + [(5, 5), (1, 0)]
