@@ -14,15 +14,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm import bloom
-from strata.llm.common import U64, byte_codes, chunks, discard, join_hot, mix, partitions, prefix_hash, separated, ship, span_hash, stage, words
+from strata.llm.common import U64, byte_codes, chunks, discard, join_hot, mix, partitions, prefix_hash, separated, ship, span_hash, stage, whole_runs, words
 
 LONGEST = 4
 #: Candidates that one trie holds; more take further passes over the coded words.
 TRIE_PHRASES = 1 << 19
 #: Codes of a row of coded words (a piece without a break can be longer), and those that one numpy step takes.
 _ROW, _STEP = 1 << 10, 1 << 19
-#: Rows of a batch on its way to Spark.
-_SENT = 1 << 16
+#: Leading bits of a phrase's hash that name its bucket.
+BUCKET_BITS = 40
+#: Words for each part of the buckets, and buckets that a task of the first side holds at once, about.
+_PART, _HELD = 1 << 21, 1 << 20
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _WORD = np.ones(256, np.int8)
@@ -123,29 +125,94 @@ def _steps(batches):
 
 
 def _grams(w: np.ndarray, filters: list[bloom.Bits], longest: int):
-    """Yields for 2, 3, .. the positions of the phrases that may be frequent and their hashes: both parts of one word
+    """Yields for 2, 3, .. the positions of the phrases that may be frequent and their buckets: both parts of one word
     less may be, and so may the phrase itself where a filter for its length is given."""
     at = np.flatnonzero(w[:-1].astype(bool) & w[1:].astype(bool))
     for k in range(2, longest + 1):
-        h = mix(sum((w[at + j] * _PLACE[j] for j in range(k)), np.zeros(len(at), U64)) + U64(k))
+        h = mix(sum((w[at + j] * _PLACE[j] for j in range(k)), np.zeros(len(at), U64)) + U64(k)) >> U64(64 - BUCKET_BITS)
         if len(filters) > k - 2:
-            some = filters[k - 2].has(h)
+            some = filters[k - 2].has(mix(h))
             at, h = at[some], h[some]
         yield k, at, h
         # the next length begins where this one begins here and one word on
         at = at[:-1][np.diff(at) == 1] if len(at) else at
 
 
-def _buckets(filters: list[bloom.Bits], k: int):
-    """codes -> (h, n): the phrases of k words by hash."""
+def _summed(held: list[tuple[np.ndarray, np.ndarray]], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of some lists, sorted, with their sums; a sum says no more than `least`."""
+    h, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(h)
+    h, n = h[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[first], np.minimum(np.add.reduceat(n, first, dtype=np.int64), least).astype(np.min_scalar_type(least))
+
+
+def _packed(h: np.ndarray, n: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Sorted buckets as a row for each part: the first, the steps from each to the next in as few bytes as the widest
+    needs, and the counts. Many buckets lie close together, so three bytes do where Spark's rows take eleven."""
+    part = h * U64(parts) >> U64(BUCKET_BITS)
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    step = np.diff(h, prepend=h[:1])
+    step[first] = 0
+    width = max(1, -(-int(step.max()).bit_length() // 8))
+    ends = np.append(first, len(h))
+    binary = lambda x, size: pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((ends * size).astype(np.int32)), pa.py_buffer(x.tobytes())])
+    steps = step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part[first].astype(np.int32)), pa.array(np.full(len(first), width, np.int32)), pa.array(h[first].view(np.int64)), binary(steps, width), binary(n, n.itemsize)],
+        ["part", "width", "first", "steps", "counts"],
+    )
+
+
+def _unpacked(t: pa.Table, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows of _packed -> lists of (buckets, counts)."""
+    out, kind = [], np.dtype(np.min_scalar_type(least))
+    width = t.column("width").to_numpy()
+    for w in np.unique(width).tolist():
+        own = t.filter(pa.array(width == w))
+        counts = own.column("counts").to_pylist()
+        size = np.array([len(x) // kind.itemsize for x in counts])
+        wide = np.zeros((int(size.sum()), 8), np.uint8)
+        wide[:, :w] = np.frombuffer(b"".join(own.column("steps").to_pylist()), np.uint8).reshape(-1, w)
+        h = np.cumsum(wide.view("<u8").ravel(), dtype=U64)
+        h += np.repeat(own.column("first").to_numpy().view(U64) - h[np.cumsum(size) - size], size)
+        out.append((h, np.frombuffer(b"".join(counts), kind)))
+    return out
+
+
+def _buckets(filters: list[bloom.Bits], k: int, least: int, parts: int):
+    """codes -> the buckets of the phrases of k words, summed as far as a task holds them, as rows of _packed."""
 
     def run(batches):
+        held, size = [], 0
         for w in _steps(batches):
-            for size, _, h in _grams(w, filters, k):
-                if size == k:
-                    h, n = np.unique(h, return_counts=True)
-                    whole = pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], ["h", "n"])
-                    yield from (whole.slice(i, _SENT) for i in range(0, len(h), _SENT))
+            for length, _, h in _grams(w, filters, k):
+                if length == k and len(h):
+                    held.append(_summed([(h, np.ones(len(h), np.uint8))], least))
+                    size += len(held[-1][0])
+            if size >= _HELD:
+                held = [_summed(held, least)]
+                size = len(held[0][0])
+                if size >= _HELD // 2:
+                    yield _packed(*held[0], parts)
+                    held, size = [], 0
+        if held:
+            yield _packed(*_summed(held, least), parts)
+
+    return run
+
+
+def _full_buckets(least: int):
+    """Rows of _packed sorted by part -> (h, n): the buckets that reach `least`, a part at a time."""
+
+    def run(batches):
+        for t in whole_runs(batches, "part", 1):
+            part = t.column("part").to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])).tolist()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                h, n = _summed(_unpacked(t.slice(a, b - a), least), least)
+                full = n >= least
+                yield pa.RecordBatch.from_arrays([pa.array(mix(h[full]).view(np.int64)), pa.array(n[full].astype(np.int64))], ["h", "n"])
 
     return run
 
@@ -343,12 +410,16 @@ def collocations(docs: DataFrame, least: int = 30, covered: int = 80, top: int |
         discard(vocabulary)
         seed += 1  # a frequent word has another's code: other codes
     frequent = vocabulary.where(F.col("f") >= least)
-    held_words = bloom.build(frequent.select(F.col("code").alias("h"), F.lit(1).alias("n")), bloom.size_for(frequent.count()))
+    kinds_of, running = frequent.agg(F.count("*"), F.coalesce(F.sum("f"), F.lit(0))).first()
+    held_words = bloom.build(frequent.select(F.col("code").alias("h"), F.lit(1).alias("n")), bloom.size_for(kinds_of))
     codes = stage(source.mapInArrow(_encode(seed, held_words), "codes binary"), "codes")
     filters: list[bloom.Bits] = []
+    n = partitions(spark)
+    parts = max(2 * n, -(-running // _PART))
     for k in range(2, LONGEST + 1):
-        buckets = codes.mapInArrow(_buckets(list(filters), k), "h long, n int").groupBy("h").agg(F.sum("n").alias("n"))
-        buckets = stage(buckets.where(F.col("n") >= least), "buckets")
+        packed = codes.mapInArrow(_buckets(list(filters), k, least, parts), "part int, width int, first long, steps binary, counts binary")
+        packed = packed.repartition(n, "part").sortWithinPartitions("part")
+        buckets = stage(packed.mapInArrow(_full_buckets(least), "h long, n long"), "buckets")
         filters.append(bloom.build(buckets, bloom.size_for(buckets.count())))
         discard(buckets)
     kinds = ", ".join(f"{c} long" for c in _W)

@@ -264,3 +264,24 @@ def test_trie_places_every_phrase():
     some = [p for p in seen if r.random() < 0.4]
     trie = phrases.Trie(np.array([[*p, *[0] * (4 - len(p))] for p in some], np.uint64))
     assert {some[i]: n for i, n in zip(trie.rows().tolist(), trie.counts(np.array(text, np.uint64)).tolist(), strict=True)} == {p: seen[p] for p in some}
+
+
+def test_buckets_go_out_packed(spark, monkeypatch):
+    """Whatever a task holds at once, buckets come to their whole sums, and on their way take half of twelve bytes each."""
+    r = np.random.default_rng(3)
+    codes = np.concatenate([r.integers(1, 12, 60_000), r.integers(1, 1 << 40, 200_000)]).astype(np.uint64)
+    rows = [(x.tobytes(),) for x in np.split(codes, 52)]
+    batches = lambda: iter([pa.RecordBatch.from_arrays([pa.array([x for (x,) in rows], pa.binary())], ["codes"])])
+    places = [h for w in phrases._steps(batches()) for k, _, h in phrases._grams(w, [], 2)]
+    seen = collections.Counter(np.concatenate(places).tolist())
+    monkeypatch.setattr(phrases, "_STEP", 5000)
+    for held in (1 << 21, 9000):
+        monkeypatch.setattr(phrases, "_HELD", held)
+        for least, parts in ((3, 5), (300, 1), (2, 900)):
+            sent = list(phrases._buckets([], 2, least, parts)(batches()))
+            if held > len(codes) and parts < 9:
+                assert sum(b.nbytes for b in sent) < (6 if least < 256 else 7) * len(seen)
+            part = pa.Table.from_batches(sent).sort_by("part").to_batches(max_chunksize=7)
+            got = [(h, n) for b in phrases._full_buckets(least)(iter(part)) for h, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            full = np.array([h for h, n in seen.items() if n >= least], np.uint64)
+            assert sorted(got) == sorted((h, least) for h in phrases.mix(full).view(np.int64).tolist())
