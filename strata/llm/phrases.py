@@ -19,12 +19,13 @@ from strata.llm.common import U64, byte_codes, chunks, discard, join_hot, mix, p
 LONGEST = 4
 #: Candidates that one trie holds; more take further passes over the coded words.
 TRIE_PHRASES = 1 << 19
-#: Codes of a row of coded words (a piece without a break can be longer), and those that one numpy step takes.
-_ROW, _STEP = 1 << 10, 1 << 19
+#: Bytes of text that one numpy step takes, codes of a row of coded words (a piece without a break can be longer), and codes
+#: that one step takes. An executor keeps up to four workers and Spark reads 4096 rows at once, so all three are small.
+_TEXT, _ROW, _STEP = 1 << 19, 1 << 8, 1 << 17
 #: Leading bits of a phrase's hash that name its bucket.
 BUCKET_BITS = 40
 #: Words for each part of the buckets, and buckets that a task of the first side holds at once, about.
-_PART, _HELD = 1 << 21, 1 << 20
+_PART, _HELD = 1 << 20, 1 << 20
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _WORD = np.ones(256, np.int8)
@@ -66,7 +67,7 @@ def _count_words(seed: int):
         for batch in batches:
             langs = batch.column(0).to_pylist()
             hashes = _lang_hashes(langs)
-            for first, _, data, offsets in chunks(batch.column(1)):
+            for first, _, data, offsets in chunks(batch.column(1), _TEXT):
                 buf, start, end, doc, _ = _tokens(data, offsets)
                 code = _codes(buf, start, end, hashes[first + doc], seed)
                 size = end - start
@@ -94,7 +95,7 @@ def _encode(seed: int, frequent: bloom.Bits):
     def run(batches):
         for batch in batches:
             hashes = _lang_hashes(batch.column(0).to_pylist())
-            for first, _, data, offsets in chunks(batch.column(1)):
+            for first, _, data, offsets in chunks(batch.column(1), _TEXT):
                 buf, start, end, doc, begins = _tokens(data, offsets)
                 code = _codes(buf, start, end, hashes[first + doc], seed)
                 code = np.where(frequent.has(code), code, U64(0))
@@ -114,9 +115,11 @@ def _steps(batches):
     """Codes of about _STEP at a time, zeros between rows."""
     held, size = [], 0
     for batch in batches:
-        for x in batch.column(0):
-            held += [np.zeros(1, U64), np.frombuffer(x.as_buffer(), U64)]
-            size += len(held[-1])
+        for _, n, data, offsets in chunks(batch.column(0), 8 * _STEP):
+            out = np.zeros(len(data) // 8 + n, U64)
+            out[np.arange(len(data) // 8) + np.repeat(np.arange(1, n + 1), np.diff(offsets) // 8)] = data.view(U64)
+            held.append(out)
+            size += len(out)
             if size >= _STEP:
                 yield np.concatenate(held)
                 held, size = [], 0
@@ -139,8 +142,9 @@ def _grams(w: np.ndarray, filters: list[bloom.Bits], longest: int):
 
 
 def _summed(held: list[tuple[np.ndarray, np.ndarray]], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct buckets of some lists, sorted, with their sums; a sum says no more than `least`."""
+    """The distinct buckets of some lists, which it empties, sorted, with their sums; a sum says no more than `least`."""
     h, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
     order = np.argsort(h)
     h, n = h[order], n[order]
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -241,7 +245,7 @@ class Trie:
 
     def __init__(self, phrases: np.ndarray):
         self.words = np.unique(phrases[phrases != 0])
-        n = len(phrases)
+        n = self.size = len(phrases)
         symbol = np.where(phrases == 0, 0, np.searchsorted(self.words, phrases) + 1).astype(np.int64)
         self.owner, self.accept, self.base = (np.full(len(self.words) + 64, x, np.int32) for x in (-1, -1, 0))
         self.owner[0] = -2  # the root's own cell
@@ -321,24 +325,24 @@ class Trie:
         return target
 
     def counts(self, w: np.ndarray) -> np.ndarray:
-        """How often each phrase occurs in the codes: the states of all positions advance together."""
+        """How often each phrase, by its row, occurs in the codes: the states of all positions advance together."""
         at = np.searchsorted(self.words, w).clip(max=max(0, len(self.words) - 1))
         symbol = np.where(self.words[at] == w, at + 1, 0) if len(self.words) else np.zeros(len(w), np.int64)
         symbol = np.concatenate([symbol, np.zeros(LONGEST, np.int64)])
-        found = np.zeros(len(self.owner), np.int64)
         at = np.flatnonzero(symbol)
-        state = np.zeros(len(at), np.int64)
+        state, found = np.zeros(len(at), np.int64), []
         for j in range(LONGEST):
             c = symbol[at + j]
             to = self.base[state] + c
             goes = (c > 0) & (self.owner[to] == state)
             at, state = at[goes], to[goes]
-            found += np.bincount(state[self.accept[state] >= 0], minlength=len(found))
-        return found[self.accept >= 0]
+            found.append(self.accept[state])
+        found = np.concatenate(found)
+        return np.bincount(found[found >= 0], minlength=self.size)
 
     def rows(self) -> np.ndarray:
         """The phrase of each number of counts()."""
-        return self.accept[self.accept >= 0]
+        return np.arange(self.size)
 
 
 def _count_phrases(phrases: np.ndarray):
@@ -346,33 +350,38 @@ def _count_phrases(phrases: np.ndarray):
     trie = Trie(phrases)
 
     def run(batches):
-        total = np.zeros(len(trie.rows()), np.int64)
+        total = np.zeros(trie.size, np.int64)
         for w in _steps(batches):
             total += trie.counts(w)
         some = np.flatnonzero(total)
         for k in range(0, len(some), 1 << 16):
             part = some[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(trie.rows()[part], pa.int64()), pa.array(total[part], pa.int64())], ["phrase", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], ["phrase", "n"])
 
     return run
 
 
+def _counted_at_once(codes: DataFrame, candidates: DataFrame, least: int) -> DataFrame | None:
+    """_counted with one trie. The driver holds nothing of it afterwards."""
+    columns = candidates.toArrow()
+    phrases = np.stack([columns.column(c).to_numpy().view(U64) for c in _W], 1) if columns.num_rows else np.zeros((0, LONGEST), U64)
+    del columns
+    if not len(phrases):
+        return None
+    n = codes.mapInArrow(_count_phrases(phrases), "phrase long, n long").groupBy("phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    names = pa.table([pa.array(np.arange(len(phrases))), *[pa.array(phrases[:, j].view(np.int64)) for j in range(LONGEST)]], names=["phrase", *_W])
+    return stage(n.join(codes.sparkSession.createDataFrame(names), "phrase").select(*_W, "f"), "phrases")
+
+
 def _counted(codes: DataFrame, candidates: DataFrame, least: int, held: int) -> DataFrame:
     """candidates(w0..) -> (w0.., f) with f >= least: a trie, and a pass over the codes, for each `held` of them."""
-    spark = codes.sparkSession
     total = candidates.count()
     passes = max(1, -(-total * 5 // (held * 4))) if total > held else 1
     out = None
     for p in range(passes):
-        part = candidates if passes == 1 else candidates.where(F.pmod(F.xxhash64(*_W), F.lit(passes)) == p)
-        columns = part.toArrow()
-        phrases = np.stack([columns.column(c).to_numpy().view(U64) for c in _W], 1) if columns.num_rows else np.zeros((0, LONGEST), U64)
-        if not len(phrases):
-            continue
-        n = codes.mapInArrow(_count_phrases(phrases), "phrase long, n long").groupBy("phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        names = pa.table([pa.array(np.arange(len(phrases))), *[pa.array(phrases[:, j].view(np.int64)) for j in range(LONGEST)]], names=["phrase", *_W])
-        found = stage(n.join(spark.createDataFrame(names), "phrase").select(*_W, "f"), "phrases")
-        out = found if out is None else out.unionByName(found)
+        found = _counted_at_once(codes, candidates if passes == 1 else candidates.where(F.pmod(F.xxhash64(*_W), F.lit(passes)) == p), least)
+        if found is not None:
+            out = found if out is None else out.unionByName(found)
     return out if out is not None else candidates.withColumn("f", F.lit(0).cast("long")).limit(0)
 
 

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -285,3 +286,26 @@ def test_buckets_go_out_packed(spark, monkeypatch):
             got = [(h, n) for b in phrases._full_buckets(least)(iter(part)) for h, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             full = np.array([h for h, n in seen.items() if n >= least], np.uint64)
             assert sorted(got) == sorted((h, least) for h in phrases.mix(full).view(np.int64).tolist())
+
+
+def test_tasks_of_collocations_hold_little():
+    """What a task of each pass holds at once, beside its input, is a small part of what the coded words take."""
+    r = np.random.default_rng(5)
+    vocabulary = np.array([f"w{i}" + "." * (i % 16 == 0) for i in range(3000)])
+    texts = [" ".join(vocabulary[r.zipf(1.3, 4000) % 2900 + r.integers(0, 100, 4000)]) for _ in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], ["lang", "text"])
+    every = bloom.Bits(1 << 20, np.full(1 << 17, 255, np.uint8))
+    rows = pa.Table.from_batches(phrases._encode(0, every)(iter([batch])))
+    assert max(map(len, rows.column(0).to_pylist())) < 4096  # Spark reads thousands of rows at once
+    rows = rows.combine_chunks().to_batches(max_chunksize=1000)
+    codes = np.concatenate(list(phrases._steps(iter(rows))))
+    pairs = np.unique(np.stack([codes[:-1], codes[1:]], 1)[(codes[:-1] > 0) & (codes[1:] > 0)], axis=0)
+    trie = phrases._count_phrases(np.hstack([pairs, np.zeros_like(pairs)])[:20_000])
+    steps = ((phrases._count_words(0), [batch], 26), (phrases._encode(0, every), [batch], 26), (phrases._candidates([every] * 3), rows, 50), (trie, rows, 21))
+    for run, data, most in steps:
+        for _ in range(2):  # the second time with tables that stay
+            tracemalloc.start()
+            collections.deque(run(iter(data)), 0)
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+        assert peak < most << 20, run
