@@ -105,6 +105,31 @@ def test_coupled_pairs_are_those_of_all_pairs(spark):
     assert modules.coupled_pairs(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("a_row", [0, 2, 16])
+def test_coupled_pairs_of_narrow_and_wide_commits(spark, monkeypatch, a_row):
+    """However many pairs are made outright: none, so that all commits count as wide, those of some, or all."""
+    monkeypatch.setattr(modules, "_PAIRS_A_ROW", a_row)
+    r = random.Random(4)
+    rows = {(repo, c, f"m{r.randrange(25)}") for repo in "rs" for c in range(120) for _ in range(r.choice((1, 2, 3, 3, 12)))}
+    rows |= {("r", 500 + k, f"x{i}") for k in range(6) for i in range(30) if (i + k) % 3}
+    df = spark.createDataFrame(sorted(rows), "repo string, commit_id long, module string")
+    for together, coupling in ((2, 0.01), (4, 0.3)):
+        every = modules.cochange(df).where((F.col("together") >= together) & (F.col("coupling") >= coupling))
+        assert sorted(map(tuple, modules.coupled_pairs(df, together, coupling).collect())) == sorted(map(tuple, every.collect()))
+
+
+def test_coupled_pairs_make_no_row_a_pair_and_commit(spark):
+    """Few modules with very many commits: what is shuffled grows with the pairs, not with pairs times commits."""
+    df = spark.range(40000).select(F.lit("r").alias("repo"), F.col("id").alias("commit_id"), F.explode(F.array(*(F.format_string("m%d", (F.col("id") * k + k) % 40) for k in (1, 3, 7)))).alias("module")).distinct()
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    before = written()
+    cheap = modules.cochange(df)
+    want = sorted(map(tuple, cheap.where("together >= 2 and coupling >= 0.01").collect()))
+    between = written()
+    assert sorted(map(tuple, modules.coupled_pairs(df, 2, 0.01).collect())) == want
+    assert written() - between < 2 * (between - before)
+
+
 def test_sample_is_the_smallest_hashes(spark):
     files = spark.range(3000).select(F.concat(F.when(F.col("id") % 3 == 0, "a/b/").otherwise("hot/dir/"), "id").alias("path"))
     for n in (0, 5, 700, 5000):
