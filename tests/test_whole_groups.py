@@ -362,3 +362,17 @@ def test_the_walk_of_a_merge_covers_its_branch_only(spark, monkeypatch):
         reach[c] = {c}.union(*(reach[u] for u in ups.get(c, ())))
     assert got == {("r", c, x) for c in range(5, 3 * n, 3) for x in reach[c] - reach[c - 3]}
     assert max(sizes) < 12 * n
+
+
+def shuffle_files(spark):
+    at = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {x for x in at.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+
+
+def test_a_step_leaves_no_shuffle_files(spark):
+    """What is staged needs the disk of its table only, as soon as it is written; the session's setting stays."""
+    before = shuffle_files(spark)
+    kept = clean.materialize(spark.range(50000).groupBy((F.col("id") % 9973).alias("k")).count())
+    assert not shuffle_files(spark) - before
+    assert kept.count() == 9973
+    assert spark.conf.get(clean._CLEANUP, "false") == "false"
