@@ -10,6 +10,7 @@ from strata.fixtures import AS_OF, DAILY_REF, MIN_LINES, fixture_config
 from strata.functions import paths
 from strata.functions.periods import build_periods, period_range
 from strata.operators import axes, scoring, teams, timelines, validation
+from strata.operators.clean import materialize
 from strata.operators.scoring import raw_scores, score_authors
 from strata.plans import score_queries
 from strata.plans.blame_queries import BF, OW
@@ -40,24 +41,24 @@ query("blame_snapshot", lambda v, s, d: timelines.snapshot_sums(v("line_lives"),
 
 
 def scored_periods(v, s, d):
-    """All axes for every (period, author) as one plan: period is one more group key."""
+    """All axes for every (period, author): period is one more group key."""
     cfg, p, by = fixture_config(s, d), periods(s), ("period",)
     commits = timelines.assign_periods(v("c"), p)
     own = commits.where("not is_merge")
     touched = v("fc").join(own.select("repo", "commit_id", "author", "period"), ["repo", "commit_id"])
     lives = v("line_lives")
     keys = {"repo": F.col("repo"), "module": axes.module_of(F.col("path")), "risk": axes.risk_module_of(F.col("path")), "author": F.col("author")}
-    lines = timelines.snapshot_sums(lives, p, keys, cfg.tau)
+    lines = materialize(timelines.snapshot_sums(lives, p, keys, cfg.tau))
     module_lines = axes.owners(lines, F.col("risk"), ("period", "repo")).where("rank = 1")
     risk = F.when(F.col("share") >= cfg.critical, "CRITICAL").when(F.col("share") >= cfg.high, "HIGH")
     risks = module_lines.select("period", "repo", "author", risk.alias("level")).where("level is not null")
     modules = touched.select("period", "repo", "commit_id", axes.module_of(F.col("path")).alias("module")).distinct()
-    pressure = axes.change_pressure(modules, lines, by)
+    pressure = materialize(axes.change_pressure(modules, lines, by))
     limits = axes.pressure_threshold(lines, pressure, cfg.min_substantial_lines, by=by)
     weighed = lines.join(pressure, ["period", "repo", "module"], "left").join(limits.select("period", "repo", "threshold"), ["period", "repo"], "left")
     weighed = weighed.withColumns({"pressure": F.coalesce("pressure", F.lit(0.0)), "is_tested": F.lit(True)})
     fixes = fix_files(commits, v("fc"), by)
-    debt = axes.debt_score(axes.debt_events(fixes, lives.withColumnRenamed("born_at", "committed_at"), by), cfg.debt_threshold, ("period", "repo"))
+    debt = axes.debt_score(axes.debt_events(fixes, lives.withColumnRenamed("born_at", "committed_at"), by, keep=materialize), cfg.debt_threshold, ("period", "repo"))
     parts = [
         axes.lines_changed(touched, cfg.exclude_files, by),
         axes.author_activity(commits, by, merges_in_dates=False),
@@ -68,7 +69,8 @@ def scored_periods(v, s, d):
         axes.mean_over(debt, "debt_cleanup", by),
         axes.indispensability(risks, by),
     ]
-    raw = raw_scores(parts, by)
+    # Each step by itself: the disk is that of the largest and not of all.
+    raw = materialize(raw_scores([materialize(part) for part in parts], by))
     ends = F.broadcast(p.select(F.col("label").alias("period"), F.col("start").alias("period_start"), "end"))  # some periods
     return score_authors(raw.join(ends, "period"), cfg, F.col("end"), by)
 
